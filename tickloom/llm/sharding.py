@@ -41,10 +41,10 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
-def draw(shard: Shard) -> Column:
-    """The shard's exponential draw for a row, from 52 bits of md5."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{shard.path}|"), _id()).cast("binary")), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / shard.weight
+def draw(path: str) -> Column:
+    """The exponential draw of unit weight of a shard's path for a row, from 52 bits of md5."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{path}|"), _id()).cast("binary")), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / F.lit(float(1 << 52)))
 
 
 def descend(shards: tuple[Shard, ...], draws: dict[str, Column]) -> Column:
@@ -53,7 +53,7 @@ def descend(shards: tuple[Shard, ...], draws: dict[str, Column]) -> Column:
     def level(members: list[Shard], keys: tuple[str, ...]) -> tuple[Column, Column]:
         """(draw, number) of the subtree of ``members``."""
         if not keys:
-            return draws[members[0].path], F.lit(members[0].number)
+            return draws[members[0].path] / members[0].weight, F.lit(members[0].number)
         names = list(dict.fromkeys(getattr(s, keys[0]) for s in members))
         below = [level([s for s in members if getattr(s, keys[0]) == name], keys[1:]) for name in names]
         least = F.least(*(d for d, _ in below)) if len(below) > 1 else below[0][0]
@@ -74,10 +74,10 @@ def assign(docs: DataFrame, shards: tuple[Shard, ...] = EIGHT, grown: tuple[Shar
     empty table gives an empty result.
     """
     bucket = F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), _id()).cast("binary")), 1, 8), 16, 10).cast("bigint") % spread
-    every = {s.path: s for s in (*shards, *(grown or ()))}
+    every = list(dict.fromkeys(s.path for s in (*shards, *(grown or ()))))
 
     def placed(rows: DataFrame) -> DataFrame:
-        drawn = rows.withColumns({f"draw{k}": draw(s) for k, s in enumerate(every.values())})
+        drawn = rows.withColumns({f"draw{k}": draw(path) for k, path in enumerate(every)})
         draws = {path: F.col(f"draw{k}") for k, path in enumerate(every)}
         more = descend(grown, draws) if grown else F.lit(None).cast("int")
         return drawn.withColumns({"shard": descend(shards, draws), "grown_shard": more, "bucket": bucket})
