@@ -17,7 +17,8 @@ def accepted_manifests(manifests: DataFrame, keys: list[str]) -> DataFrame:
     Acceptance depends on what was accepted before, so a channel's manifests (about one a second) are folded in order.
     valid over 1 is discarded; valid 0 clears; an older number (1 to 32767 behind) is discarded; number 0 that is no
     wrap from 65535, or count 0 with a newer number, is discarded; a newer number replaces the set."""
-    state = "named_struct('seq', cast(null as bigint), 'count', cast(null as bigint), 'out', cast(array() as array<struct<pos:bigint,accepted:boolean,rules:array<string>>>))"
+    kind = manifests.schema["pos"].dataType.simpleString()
+    state = f"named_struct('seq', cast(null as bigint), 'count', cast(null as bigint), 'out', cast(array() as array<struct<pos:{kind},accepted:boolean,rules:array<string>>>))"
 
     def step(s: Column, m: Column) -> Column:
         first = s["seq"].isNull()

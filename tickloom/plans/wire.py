@@ -212,3 +212,19 @@ def rule_snapshot_order_fields(spark, sf):
 @query("layout_of_messages")
 def layout_of_messages(spark, sf):
     return spark.createDataFrame([(m.feed, m.type, m.name, m.length, m.port, len(m.fields)) for m in MESSAGES.values()], "feed string, type int, name string, length int, port string, n_fields int")
+
+
+@query("feed_check_top_of_book")
+def feed_check_top_of_book(spark, sf):
+    """The whole engine over a top-of-book feed: quotes of all ticks, and definitions of two thirds of the instruments."""
+    from ..engine import Settings, check
+
+    t = feeds.ticks(spark, sf)
+    quotes = datagrams(t, "tob", _body("tob", "quote", _QUOTE))
+    d = t.selectExpr("channel_id", "instrument").where("instrument % 3 > 0").distinct()
+    d = d.selectExpr("channel_id", "instrument", "cast(row_number() over (partition by channel_id order by instrument) as bigint) as seq").withColumn("ts_ns", F.lit(0).cast("bigint"))
+    n = d.groupBy("channel_id").agg(F.count("*").alias("n")).withColumns({"seq": F.lit(0).cast("bigint"), "ts_ns": F.lit(0).cast("bigint")})
+    manifest = datagrams(n, "tob", _body("tob", "manifest", {"channel": "channel_id", "valid": "1", "manifest_seq": "1", "count": "n"}), "refdata")
+    definition = datagrams(d, "tob", _body("tob", "definition", {"instrument": "instrument", "source": "1", "manifest_seq": "1"}), "refdata")
+    found = check(quotes.unionByName(manifest).unionByName(definition), "tob", Settings(window=8))
+    return found.groupBy("rule_id", "severity", "status").agg(F.count("*").alias("n"))
