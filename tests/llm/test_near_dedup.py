@@ -63,6 +63,12 @@ def test_awkward_rows(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed):
     rows = copies(seed)
+    if seed == 2:  # a large group of copies at all distances, most of them not linked with each other
+        rng = random.Random(5)
+        base = prose(rng, 60).split()
+        for _ in range(60):
+            n = rng.randrange(0, 8)
+            rows.append((len(rows), " ".join(prose(rng, 1) if k in set(rng.sample(range(60), n)) else w for k, w in enumerate(base))))
     assert result(near_duplicates(table(spark, rows))) == brute(rows)
 
 

@@ -9,13 +9,17 @@ Plan, with nothing collected to the driver but counts:
 
 1. Sets that are equal become one *class* (one shuffle, combined before it), so copies are never paired.
 2. Buckets of two classes or more: each class is linked first with the class of least id that shares most bands.
-3. Buckets that still hold several components are compared by sketch. Members of the bucket's largest component are
-   dealt into blocks of 512 and the others are compared with each block, so neither a hot bucket nor a large group of
-   near copies meets in one task, and members of one component are never compared with each other.
-4. Pairs whose sketches look similar enough are confirmed on the full sets, recomputed from the whole texts.
-
-A pass lists at most ``per_row`` partners for a row; if any row had more, another pass without that limit follows over
-what is still apart, so no link is lost to it. A pair at exactly 0.75 is missed by all 32 bands with odds of 5e-6.
+3. Buckets that still hold several components are compared by sketch, in blocks of 512 rows. First each row is paired
+   with its block's medoid, the row that is on average most like the others: copies that differ too much from each
+   other mostly link through the text they were made from, so this joins large groups by one pair a row.
+4. What is still apart is compared in full: members of the bucket's largest component are dealt into blocks and the
+   others are compared with each block, so neither a hot bucket nor a large group of near copies meets in one task,
+   and members of one component are never compared with each other.
+5. Pairs whose sketches look similar enough are confirmed on the full sets, recomputed from the whole texts.
+
+Pass 4 lists at most ``per_row`` partners for a row; buckets in which a row had more are passed again without a limit,
+with the texts beside the rows, so that pairs are confirmed where they meet and only links leave the task: no link is
+lost to the limit, and no task lists all pairs of a group. A pair at exactly 0.75 is missed by all 32 bands with odds of 5e-6.
 Set hashes have 64 bits: two different sets are taken as one with odds of 2**-64 for a pair.
 """
 
@@ -148,15 +152,45 @@ def _confirmer(width: int, percent: int):
     return make
 
 
-def _compare(percent: int, most: int, per_row: int | None):
-    """Streams rows sorted by (band, kind, i, j) and lists the pairs of each block that look similar."""
+def _medoids(g: dict[str, np.ndarray], percent: int, most: int, sample: int = 256) -> Iterator[tuple[int, int, bool]]:
+    """Pairs of each row with the medoid of the rows it looks similar to, taken one after another."""
+    left = np.argsort(g["node"], kind="stable")
+    while len(left) > 1:
+        some = left[:sample]
+        z = np.bitwise_count(g["sketch"][left][:, None, :] ^ g["sketch"][some][None, :, :]).sum(axis=2, dtype=np.int64)
+        at = int(np.argmin(np.minimum(z, most + 1).mean(axis=1)))
+        x = left[at]
+        d = np.bitwise_count(g["sketch"][left] ^ g["sketch"][x]).sum(axis=1, dtype=np.int64)
+        near = d <= most
+        near[at] = True
+        for y in left[near]:
+            low, high = sorted((int(g["n"][x]), int(g["n"][y])))
+            if g["comp"][x] != g["comp"][y] and 100 * low >= percent * high:
+                yield int(g["node"][x]), int(g["node"][y]), False
+        if near.sum() == 1:
+            return  # not even the medoid is like another row
+        left = left[~near]
+
+
+def _compare(percent: int, most: int, per_row: int | None, medoids: bool = False, width: int | None = None):
+    """Streams rows sorted by (band, kind, i, j) and lists the pairs of each block that look similar: with ``medoids``
+    those with medoids, else all, or ``per_row`` for a row and a mark where there were more.
+
+    With ``width``, rows have their text and bands as well, each pair is confirmed on the full sets in the first band
+    that its rows share, and one link of a row with each other component is listed."""
+    words = WordHashes()
 
     def block(g: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bool]]:
+        if medoids:
+            if not g["kind"][0] and not g["j"][0]:
+                yield from _medoids(g, percent, most)
+            return
         if g["kind"][0]:
             sides = [(np.flatnonzero(g["fb"] == g["i"][0]), np.flatnonzero(g["fb"] == g["j"][0]), False)]
         else:
             few, many = np.flatnonzero(~g["major"]), np.flatnonzero(g["major"])
             sides = [(few, many, False)] + [(few, few, True)] * int(g["j"][0] == 0)
+        sets: dict[int, np.ndarray] = {}
         for left, right, same in sides:
             if not len(left) or not len(right):
                 continue
@@ -168,24 +202,47 @@ def _compare(percent: int, most: int, per_row: int | None):
                     continue
                 z = np.bitwise_count(g["sketch"][them] ^ g["sketch"][x]).sum(axis=1, dtype=np.int64)
                 near = np.flatnonzero(z <= most)
-                if per_row and len(near) > per_row:
+                if width is not None:
+                    yield from linked(g, sets, x, them[near])
+                elif per_row and len(near) > per_row:
                     for y in them[near[np.argsort(z[near], kind="stable")[:per_row]]]:
                         yield int(g["node"][x]), int(g["node"][y]), True
                 else:
                     for y in them[near]:
                         yield int(g["node"][x]), int(g["node"][y]), False
 
+    def linked(g: dict[str, np.ndarray], sets: dict[int, np.ndarray], x: int, them: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+        them = them[g["bands"][x][np.argmax(g["bands"][them] == g["bands"][x], axis=1)] == g["band"][0]] if len(them) else them
+        done = set()
+        for y in them:
+            if g["comp"][y] in done:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingle_set(lower_space_words(g["text"][k]), words, width)
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                done.add(g["comp"][y])
+                yield int(g["node"][x]), int(g["node"][y]), False
+
     names = ["band", "kind", "i", "j", "node", "comp", "n", "fb"]
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         g = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
         g["major"] = batch.column("major").to_numpy(zero_copy_only=False).astype(bool)
         g["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        if width is not None:
+            g["text"] = np.array(batch.column("text").to_pylist(), object)
+            g["bands"] = np.array(batch.column("bands").to_pylist(), np.int64)
         return g
 
-    def out(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-        a, b, more = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], ["a", "b", "more"])
+    def out(found: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
+        band, a, b, more = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (band, a, b)), pa.array(more)], ["band", "a", "b", "more"])
+
+    def pairs(g: dict[str, np.ndarray]) -> Iterator[tuple[int, int, int, bool]]:
+        for p in block(g):
+            yield int(g["band"][0]), *p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -198,11 +255,11 @@ def _compare(percent: int, most: int, per_row: int | None):
             key = np.stack([g[k] for k in names[:4]], axis=1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             starts = np.concatenate([[0], cuts])
-            found = [p for s, e in zip(starts[:-1], starts[1:], strict=True) for p in block({k: v[s:e] for k, v in g.items()})]
+            found = [p for s, e in zip(starts[:-1], starts[1:], strict=True) for p in pairs({k: v[s:e] for k, v in g.items()})]
             rest = {k: v[starts[-1] :] for k, v in g.items()}
             if found:
                 yield out(found)
-        if rest is not None and (found := list(block(rest))):
+        if rest is not None and (found := list(pairs(rest))):
             yield out(found)
 
     return run
@@ -227,7 +284,7 @@ def _blocks(rows: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
     return r.select("band", "block.kind", "block.i", "block.j", "node", "comp", "n", "fb", "major", "sketch")
 
 
-def link(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, slack: float = 0.2, per_row: int = 8) -> DataFrame:
+def link(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, slack: float = 0.2, per_row: int = 2) -> DataFrame:
     """The tables of a run: returns (node, root, component_id); "signatures", a row per document, is kept as well.
 
     ``slack`` is how far below the threshold an estimate may lie and still be confirmed (over five deviations).
@@ -265,7 +322,7 @@ def link(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 7
     links = confirmed(tried, "links0")
     labels = components(links, scratch, "c0")
 
-    for step, limit in enumerate((per_row, None), 1):
+    for step, (medoids, limit) in enumerate(((True, None), (False, per_row), (False, None)), 1):
         named = rows.join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
         named = scratch.table(named, f"named{step}")
         sizes = named.groupBy("band", "comp").agg(F.count("*").alias("c"))
@@ -273,20 +330,26 @@ def link(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 7
             F.max_by("comp", "c").alias("top"), F.max("c").alias("most"), F.sum("c").alias("rows"), F.count("*").alias("comps")
         )
         mixed = scratch.table(mixed.where("comps > 1"), f"mixed{step}")
-        blocks = _blocks(named, mixed, classes)
-        keys = ["band", "kind", "i", "j"]
-        similar = (
-            blocks.repartition(*keys)
-            .sortWithinPartitions(*keys)
-            .mapInArrow(_compare(percent, most_bits(percent / 100 - slack), limit), "a bigint, b bigint, more boolean")
-        )
-        seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = similar.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
-        pairs = scratch.table(pairs.join(seen, ["a", "b"], "left_anti"), f"pairs{step}")
-        links = links.unionByName(confirmed(pairs.select("a", "b"), f"links{step}"))
+        blocks = _blocks(named, mixed if limit or medoids else mixed.join(crowded, "band", "left_semi"), classes)
+        keys, most = ["band", "kind", "i", "j"], most_bits(percent / 100 - slack)
+        exact = not limit and not medoids
+        if exact:
+            blocks = blocks.join(texts.join(classes.select("node", "bands"), "node"), "node")
+        similar = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+            _compare(percent, most, limit, medoids, width if exact else None), "band bigint, a bigint, b bigint, more boolean"
+        )
+        similar = scratch.table(similar, f"similar{step}")
+        pairs = similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if exact:
+            links = links.unionByName(pairs)
+        else:
+            seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = scratch.table(pairs.join(seen, ["a", "b"], "left_anti"), f"pairs{step}")
+            links = links.unionByName(confirmed(pairs, f"links{step}"))
+            tried = tried.unionByName(pairs)
         labels = components(links, scratch, f"c{step}")
-        tried = tried.unionByName(pairs.select("a", "b"))
-        if pairs.where("more").isEmpty():
+        crowded = similar.where("more").select("band").distinct()
+        if not medoids and crowded.isEmpty():
             break
 
     linked = labels.join(classes.select("node", "doc_id"), "node")
