@@ -68,6 +68,16 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
+def test_packing_of_very_long_white_space(spark):
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" + " \n\t " * 500_000]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(encoder.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts)
+    got = packing.pack_documents(table(spark, [(1, texts[0]), (2, "one two")])).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(encoder.encode(texts[0])) // 4 + 1
+    assert any(r["doc_id"] == 2 for r in got)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_complete_and_tight(seed):
     rng = np.random.default_rng(seed)

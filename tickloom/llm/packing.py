@@ -40,7 +40,8 @@ class Encoder:
     """Token ids of whole texts, as little-endian 32-bit numbers, by the vocabulary of a tokenizers file.
 
     The file's byte-level vocabulary is given to tiktoken as merge ranks, which yields the same ids several times
-    faster; texts that hold one of the file's special tokens go through tokenizers itself."""
+    faster; texts that hold one of the file's special tokens go through tokenizers itself, and so do those on which
+    tiktoken's backtracking pattern gives up, as on about a million white-space characters in a row."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -56,9 +57,12 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not self.special.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its regex ran out of stack
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(1)
