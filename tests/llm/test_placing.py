@@ -183,6 +183,23 @@ def test_wrapper_induction(spark):
     assert wrapper.extract(df.where("false")).count() == 0
 
 
+def texts_by_id(spark, rows):
+    df = spark.createDataFrame([(k, f"http://{h}.example/{k}", t) for k, h, t in rows], "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrapper.extract(df.coalesce(2)).collect()}
+
+
+def test_wrapper_template_larger_than_articles(spark):
+    rng = random.Random(5)
+    terms = prose(rng, 300)
+    short = [prose(rng, 6) for _ in range(12)]
+    rows = [(k, "big", f"<body><div>{terms}</div><div><p>{t}</p></div></body>") for k, t in enumerate(short)]
+    same = prose(rng, 20)
+    rows += [(100 + k, "copies", f"<body><div class=ad>{k}</div><div>{terms}</div><div><p>{same if k < 20 else short[k - 20]}</p></div></body>") for k in range(28)]
+    got = texts_by_id(spark, rows)
+    assert [got[k] for k in range(12)] == short
+    assert [got[100 + k] for k in range(28)] == [same] * 20 + short[:8]  # twenty copies have one vote
+
+
 def plain_matching(a, b):
     if a.tag != b.tag:
         return 0

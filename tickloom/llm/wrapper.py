@@ -2,26 +2,27 @@
 
 Each host has a reference page. Every other page of the host is aligned with it by simple tree matching, the ordered
 matching of two DOM trees with most nodes in common, and each text of the reference counts the pages that have a text in
-its place and those that have the same one there. Pages that repeat the reference's text as a whole say nothing about
-the template and are left out of the count. Texts that stay the same on most pages are the template's; the places that
-vary are slots. Pages are aligned again and give the text of their slots.
+its place and those that have the same one there. Pages whose text, without what is marked as no content, is equal are
+copies: they have one vote together, and none where they repeat the reference. Every other page counts, however much of
+it is template. Texts that stay the same on most pages are the template's; the places that vary are slots. Pages are
+aligned again and give the text of their slots.
 
 Menus and adverts differ from page to page as articles do, so slots alone would take them for content. Slots inside
 elements whose name or class says they are no content are dropped, and where a page marks its article, only that is
 taken. Hosts of one page, and pages of no host, have slots only and rely on these marks.
 
 Plan: the references are one row per host, chosen by a minimum that is combined before the shuffle. Pages are joined
-with them by host, counts are summed per batch before they are shuffled, and the pages are joined with the template the
-same way; a hot host is a skewed join of plain tables, which AQE splits. No task holds more than a batch of pages.
+with them by host, each page gives one row of votes, of which copies keep one, and the pages are joined with the template
+the same way; a hot host is a skewed join of plain tables, which AQE splits. No task holds more than a batch of pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -298,6 +299,10 @@ def _key() -> Column:
     return F.xxhash64("page_id", "url", "html")
 
 
+def _digest(root: Node) -> bytes:
+    return hashlib.blake2b(content(root).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 class Pages:
     """Parsing and aligning with a host's reference, whose tree is kept while its pages come one after another."""
 
@@ -320,25 +325,23 @@ class Pages:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, place, pages, same): of each text of the references, pages with a text there, and with the same one."""
-    pages = Pages()
+    """(host, copy, votes): of each page that is no copy of its reference, the digest of its text, and for each text of
+    the reference that has a text in its place, twice its number, and 1 more where it is the same one."""
+    pages, last, own = Pages(), None, b""
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
+        hosts, copies, votes = [], [], []
         for name, page, ref in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True):
             tree, texts = pages.reference(ref)
-            at = {id(t): k for k, t in enumerate(texts)}
-            pairs = [(at[id(a)], a.text.strip() == b.text.strip(), len(a.text.strip())) for a, b in pages.matcher.align(tree, pages.tree(page))]
-            if 2 * sum(n for _, same, n in pairs if same) > sum(n for _, _, n in pairs):
-                continue  # a copy of the reference
-            for place, same, n in pairs:
-                if n:
-                    s = sums.setdefault((name, place), [0, 0])
-                    s[0] += 1
-                    s[1] += same
-        if sums:
-            hosts, places = zip(*sums, strict=True)
-            counted = np.array(list(sums.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(places, pa.int32()), pa.array(counted[:, 0]), pa.array(counted[:, 1])], ["host", "place", "pages", "same"])
+            if tree is not last:
+                last, own, at = tree, _digest(tree), {id(t): k for k, t in enumerate(texts)}
+            other = pages.tree(page)
+            copy = _digest(other)
+            if copy == own:
+                continue
+            hosts.append(name)
+            copies.append(copy)
+            votes.append([2 * at[id(a)] + (a.text.strip() == b.text.strip()) for a, b in pages.matcher.align(tree, other) if not a.text.isspace()])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(copies, pa.binary()), pa.array(votes, pa.list_(pa.int32()))], ["host", "copy", "votes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +374,9 @@ def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataF
         references = scratch.table(references, "references", keep=True)
         # At sight of both tables' sizes the planner broadcasts the references or sorts and splits.
         votes = page.where("host <> '' and html is not null").join(references, "host").select("host", "html", "reference")
-        votes = votes.mapInArrow(_votes, "host string, place int, pages bigint, same bigint").groupBy("host", "place").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+        votes = votes.mapInArrow(_votes, "host string, copy binary, votes array<int>").groupBy("host", "copy").agg(F.min("votes").alias("votes"))
+        votes = votes.select("host", F.explode("votes").alias("vote")).groupBy("host", F.expr("vote div 2").cast("int").alias("place"))
+        votes = votes.agg(F.count("*").alias("pages"), F.sum(F.col("vote") % 2).alias("same"))
         constant = votes.where((F.col("pages") >= least_pages) & (F.col("same") >= share * F.col("pages")))
         template = constant.groupBy("host").agg(F.collect_list("place").alias("places"))  # at most the texts of a page
         wrapper = scratch.table(references.join(template, "host"), "wrappers", keep=True)
