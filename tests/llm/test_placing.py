@@ -200,6 +200,16 @@ def test_wrapper_template_larger_than_articles(spark):
     assert [got[100 + k] for k in range(28)] == [same] * 20 + short[:8]  # twenty copies have one vote
 
 
+def test_wrapper_of_few_pages_and_of_each_layout(spark):
+    rng = random.Random(6)
+    bare = lambda t: f"<body><div>Site name</div><p>{t}</p></body>"
+    boxed = lambda t: f"<body><table><tr><td>Other menu</td></tr></table><section><p>{t}</p></section></body>"
+    words = [prose(rng, 12) for _ in range(30)]
+    rows = [(k, "two", bare(t)) for k, t in enumerate(words[:2])]
+    rows += [(k, "both", (bare if k < 15 else boxed)(words[k])) for k in range(2, 30)]
+    assert texts_by_id(spark, rows) == dict(enumerate(words))
+
+
 def plain_matching(a, b):
     if a.tag != b.tag:
         return 0

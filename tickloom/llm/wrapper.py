@@ -1,6 +1,8 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each host has a reference page. Every other page of the host is aligned with it by simple tree matching, the ordered
+Pages of a host that have the same kinds of structural elements and start with the same one are a layout, and each layout
+has a reference page; layouts of one page are put to the host's commonest. Every other page of a layout is aligned with
+its reference by simple tree matching, the ordered
 matching of two DOM trees with most nodes in common, and each text of the reference counts the pages that have a text in
 its place and those that have the same one there. Pages whose text, without what is marked as no content, is equal are
 copies: they have one vote together, and none where they repeat the reference. Every other page counts, however much of
@@ -9,10 +11,10 @@ aligned again and give the text of their slots.
 
 Menus and adverts differ from page to page as articles do, so slots alone would take them for content. Slots inside
 elements whose name or class says they are no content are dropped, and where a page marks its article, only that is
-taken. Hosts of one page, and pages of no host, have slots only and rely on these marks.
+taken. Hosts of one page (copies counted once), and pages of no host, have slots only and rely on these marks.
 
-Plan: the references are one row per host, chosen by a minimum that is combined before the shuffle. Pages are joined
-with them by host, each page gives one row of votes, of which copies keep one, and the pages are joined with the template
+Plan: the references are one row per host and layout, chosen by minima that are combined before the shuffle. Pages are
+joined with them by host and layout, each page gives one row of votes, of which copies keep one, and the pages are joined with the template
 the same way; a hot host is a skewed join of plain tables, which AQE splits. No task holds more than a batch of pages.
 """
 
@@ -50,6 +52,7 @@ MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BODY_MARKS = frozenset("article articlebody content main post entry story".split())
 ASIDES = frozenset("comment comments reply related promo promoted sponsored ad ads advert advertisement teaser".split())
+LAYOUT = "div section main article nav header footer aside table form".split()
 DEPTH = 120
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -295,6 +298,13 @@ def host() -> Column:
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def layout() -> Column:
+    """Which of LAYOUT occur in the page, and the first element of its body."""
+    page = F.lower("html")
+    kinds = F.concat(*(F.when(F.contains(page, F.lit(f"<{t}")), "1").otherwise("0") for t in LAYOUT))
+    return F.concat(kinds, F.regexp_extract(page, r"<body[^>]*>\s*<([a-z]+)", 1))
+
+
 def _key() -> Column:
     return F.xxhash64("page_id", "url", "html")
 
@@ -325,12 +335,12 @@ class Pages:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, copy, votes): of each page that is no copy of its reference, the digest of its text, and for each text of
+    """(host, of, copy, votes): of each page that is no copy of its reference, the digest of its text, and for each text of
     the reference that has a text in its place, twice its number, and 1 more where it is the same one."""
     pages, last, own = Pages(), None, b""
     for batch in batches:
-        hosts, copies, votes = [], [], []
-        for name, page, ref in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True):
+        hosts, kinds, copies, votes = [], [], [], []
+        for name, of, page, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "of", "html", "reference")), strict=True):
             tree, texts = pages.reference(ref)
             if tree is not last:
                 last, own, at = tree, _digest(tree), {id(t): k for k, t in enumerate(texts)}
@@ -339,9 +349,10 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copy == own:
                 continue
             hosts.append(name)
+            kinds.append(of)
             copies.append(copy)
             votes.append([2 * at[id(a)] + (a.text.strip() == b.text.strip()) for a, b in pages.matcher.align(tree, other) if not a.text.isspace()])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(copies, pa.binary()), pa.array(votes, pa.list_(pa.int32()))], ["host", "copy", "votes"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.string()), pa.array(copies, pa.binary()), pa.array(votes, pa.list_(pa.int32()))], ["host", "of", "copy", "votes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,28 +370,36 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 2, share: float = 0.8) -> DataFrame:
     """page_id, url, text, one row per row of ``pages``; text is "" where there is none.
 
-    A text is the template's where at least ``least_pages`` pages of the host have a text in its place and ``share`` of
-    those have this one. Null html is empty; a null url or one without a host has no reference. Repeated pages and
-    null ids are kept as they come; other columns are not looked at. An empty table gives an empty result.
+    A text is the template's where at least ``least_pages`` pages of the layout, the reference among them, have a text in
+    its place and ``share`` of the others have this one (all of them where they are fewer than five). Null html is empty;
+    a null url or one without a host has no reference. Repeated pages and null ids are kept as they come; other columns
+    are not looked at. An empty table gives an empty result.
     """
     with Scratch(pages.sparkSession, "wrapper") as scratch:
-        page = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host())
-        keyed = page.where("host <> '' and html is not null").select("host", "html", _key().alias("key"))
-        chosen = scratch.table(keyed.groupBy("host").agg(F.min("key").alias("key"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "chosen")
-        references = keyed.join(chosen, ["host", "key"]).groupBy("host").agg(F.first("html").alias("reference"))
-        references = scratch.table(references, "references", keep=True)
+        page = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host()).withColumn("layout", layout())
+        own = page.where("host <> '' and html is not null")
+        # Rows with the same html are one page here; a host has as many layouts as there are kinds of them, not pages.
+        found = own.groupBy("host", "layout", F.xxhash64("html").alias("same")).agg(F.min(_key()).alias("key"))
+        found = scratch.table(found.groupBy("host", "layout").agg(F.min("key").alias("key"), F.count("*").alias("n")), "layouts")
+        most = found.groupBy("host").agg(F.max(F.struct("n", "layout", "key")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > 1)
+        single = F.col("n") < 2
+        chosen = found.join(most, "host").select("host", "layout", F.when(single, F.col("top.layout")).otherwise(F.col("layout")).alias("of"), F.when(single, F.col("top.key")).otherwise(F.col("key")).alias("key"))
+        chosen = scratch.table(chosen, "chosen")
+        models = own.withColumn("key", _key()).join(chosen.select("host", "of", "key").distinct(), ["host", "key"]).groupBy("host", "of").agg(F.first("html").alias("reference"))
+        references = scratch.table(chosen.drop("key").join(models, ["host", "of"]), "references", keep=True)
         # At sight of both tables' sizes the planner broadcasts the references or sorts and splits.
-        votes = page.where("host <> '' and html is not null").join(references, "host").select("host", "html", "reference")
-        votes = votes.mapInArrow(_votes, "host string, copy binary, votes array<int>").groupBy("host", "copy").agg(F.min("votes").alias("votes"))
-        votes = votes.select("host", F.explode("votes").alias("vote")).groupBy("host", F.expr("vote div 2").cast("int").alias("place"))
+        votes = own.join(references, ["host", "layout"]).select("host", "of", "html", "reference")
+        votes = votes.mapInArrow(_votes, "host string, of string, copy binary, votes array<int>").groupBy("host", "of", "copy").agg(F.min("votes").alias("votes"))
+        votes = votes.select("host", "of", F.explode("votes").alias("vote")).groupBy("host", "of", F.expr("vote div 2").cast("int").alias("place"))
         votes = votes.agg(F.count("*").alias("pages"), F.sum(F.col("vote") % 2).alias("same"))
-        constant = votes.where((F.col("pages") >= least_pages) & (F.col("same") >= share * F.col("pages")))
-        template = constant.groupBy("host").agg(F.collect_list("place").alias("places"))  # at most the texts of a page
-        wrapper = scratch.table(references.join(template, "host"), "wrappers", keep=True)
-    found = page.join(wrapper.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
+        constant = votes.where((F.col("pages") + 1 >= least_pages) & (F.col("same") >= share * F.col("pages")))
+        template = constant.groupBy("host", "of").agg(F.collect_list("place").alias("places"))  # at most the texts of a page
+        wrapper = scratch.table(references.join(template, ["host", "of"]), "wrappers", keep=True)
+    wrapper = wrapper.select(F.col("host").alias("its_host"), F.col("layout").alias("its_layout"), "reference", "places")
+    found = page.join(wrapper, (F.col("host") == F.col("its_host")) & (F.col("layout") == F.col("its_layout")), "left")
     return found.select("page_id", "url", "html", "reference", "places").mapInArrow(_extract, "page_id bigint, url string, text string")
 
 
