@@ -169,6 +169,24 @@ def test_content(page, want):
     assert wrapper.content(wrapper.parse(page)) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><div class='nav'>menu</div><div class='content-sidebar-wrap'><main><article><p>Body</p></article></main></div></body>", "Body"),
+        ("<body><div class='has-sidebar'><article><p>Body</p></article></div><p>foot line</p></body>", "Body"),
+        ("<main><div class='with-comments'><article><p>Body</p></article></div></main>", "Body"),
+        ("<main><p>Body</p><div class='related'><article>other</article></div></main>", "Body"),
+        ("<article>Body</article><div class='related'><article>other</article></div>", "Body"),
+        ("<body><div class='page-header-fixed'><p>Body</p></div></body>", "Body"),
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>Body</p></body></html>", "Body"),
+        ("<head><script>x</script><link rel=a><div><p>Body</p></div>", "Body"),
+        ("<article><p>Let <math><msup><mi>x</mi><mn>2</mn></msup></math> be</p></article>", "Let x2 be"),
+    ],
+)
+def test_content_inside_marked_elements(page, want):
+    assert wrapper.content(wrapper.parse(page)) == want
+
+
 def test_wrapper_induction(spark):
     rng = random.Random(2)
     frame = "<html><body><div>Site name</div><div><p>{}</p><p>{}</p></div><div><span>Follow us everywhere</span></div></body></html>"

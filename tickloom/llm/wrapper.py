@@ -34,10 +34,11 @@ from .shared import Scratch
 # HTML's element kinds, and names that mark what is no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot munder mover munderover mstyle semantics".split())
 NO_CONTENT = frozenset(
-    "head title script style noscript template svg math iframe object canvas audio video map nav header footer aside form fieldset button select option input textarea label menu dialog".split()
+    "head title script style noscript template svg annotation annotation-xml iframe object canvas audio video map nav header footer aside form fieldset button select option input textarea label menu dialog".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("ul ol dl table article section div body main nav aside header footer".split())
@@ -64,11 +65,11 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element (tag, children) or a text (tag "#", text). ``shape`` numbers its tree of tags."""
 
-    __slots__ = ("tag", "children", "text", "shape", "skip", "main", "body")
+    __slots__ = ("tag", "children", "text", "shape", "skip", "main", "body", "named")
 
     def __init__(self, tag: str, text: str = "", skip: bool = False):
         self.tag, self.text, self.skip = tag, text, skip
-        self.main = self.body = False
+        self.main = self.body = self.named = False
         self.children: list[Node] = []
         self.shape = 0
 
@@ -79,11 +80,16 @@ def _names(value: str) -> set[str]:
 
 def parse(page: str) -> Node:
     """The DOM tree; unclosed elements end where HTML ends them, or with their parent. Below DEPTH levels, elements
-    stand beside each other instead of inside."""
+    stand beside each other instead of inside. A class or id does not skip what holds the page's main or only articles,
+    nor all that the page has."""
     root = Node("#root")
     stack, at, length = [root], 0, len(page)
+    named: list[Node] = []  # what only a class or id skips
+    articles: list[list[Node]] = []  # of each article inside such a node, these nodes
 
     def add(text: str) -> None:
+        if stack[-1].tag == "head" and not text.isspace():
+            stack.pop()
         if text and not text.isspace():
             stack[-1].children.append(Node("#", html_module.unescape(text)))
         elif text and stack[-1].children and stack[-1].children[-1].tag == "#":
@@ -112,6 +118,8 @@ def parse(page: str) -> Node:
                     break
             continue
         attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m.group(3))} if m.group(3).strip(" /") else {}
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
@@ -127,13 +135,23 @@ def parse(page: str) -> Node:
                 break
         names = _names(f"{attributes.get('class', '')} {attributes.get('id', '')}") if attributes else set()
         inside = any(x.main for x in stack)
-        marked = bool(names & MARKS) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        by_name = bool(names & MARKS)
+        marked = attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         heading = inside and (tag == "header" or names & MARKS == {"header"})
         if tag == "article":
-            marked = bool(names & ASIDES)
-        node = Node(tag, skip=(tag in NO_CONTENT or marked) and tag not in ("html", "body", "main") and not heading)
+            marked, by_name = bool(names & ASIDES), False
+        node = Node(tag, skip=(tag in NO_CONTENT or marked or by_name) and tag not in ("html", "body", "main") and not heading)
         node.body = bool(names & BODY_MARKS)
         node.main = not inside and (tag in MAIN or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody")
+        node.named = node.skip and by_name and not marked and tag not in NO_CONTENT
+        if node.named:
+            named.append(node)
+        if named and not node.skip and (tag in MAIN or node.main) and (over := [x for x in stack if x.named]):
+            if tag == "article":
+                articles.append(over)
+            else:
+                for x in over:
+                    x.skip = False
         stack[-1 if len(stack) <= DEPTH else -2].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -142,6 +160,13 @@ def parse(page: str) -> Node:
             if len(stack) > DEPTH:
                 stack.pop()
             stack.append(node)
+    if articles and (not _outermost(root, "main") or not _shows(root)):
+        for over in articles:
+            for x in over:
+                x.skip = False
+    if named and not _shows(root):
+        for x in named:
+            x.skip = False
     return root
 
 
@@ -254,6 +279,19 @@ def _outermost(root: Node, mark: str) -> list[Node]:
     return out
 
 
+def _shows(root: Node) -> bool:
+    """Whether ``content`` finds any text."""
+    stack = _outermost(root, "main") or [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "#":
+            if not node.text.isspace():
+                return True
+        elif not node.skip:
+            stack.extend(node.children)
+    return False
+
+
 def _text(tops: list[Node], template: set[int] | frozenset[int]) -> str:
     parts: list[str] = []
 
