@@ -148,3 +148,27 @@ def test_sequencer_state_survives(spark):
         got += list(s.push(*t))
         state = s.state()
     assert got == want
+
+
+def test_ladders_at_points_over_the_whole_tape_equal_a_replay(spark):
+    rng = random.Random(11)
+    updates, clears, want = [], [], set()
+    for instrument, last in ((1, 1350), (2, 720)):
+        book = {}
+        for seq in range(1, last + 1):
+            if seq % 90 == 17:
+                side, scope, at = rng.randrange(3), rng.randrange(2), rng.randrange(12)
+                scope = 0 if side == 2 else scope
+                clears.append((instrument, seq, side, scope, at))
+                book = {(s, p): q for (s, p), q in book.items() if not (side in (2, s) and (scope == 0 or (p <= at if s == 0 else p >= at)))}
+            else:
+                side, price, qty = rng.randrange(2), rng.randrange(12), rng.choice([0, 1, 5, 9])
+                updates.append((instrument, seq, side, price, qty))
+                book[side, price] = qty
+            if seq % 100 == 0 or seq == last:
+                want |= {(instrument, seq, s, p, q) for (s, p), q in book.items() if q}
+    u = spark.createDataFrame(updates, "instrument int, per_seq bigint, side int, price bigint, qty bigint")
+    c = spark.createDataFrame(clears, "instrument int, per_seq bigint, clear_side int, scope int, from_price bigint")
+    points = spark.createDataFrame([(i, k) for i, last in ((1, 1350), (2, 720)) for k in {*range(100, last, 100), last}], "instrument int, k bigint")
+    got = levels.ladder_asof(u, points, ["instrument"], c).collect()
+    assert len(got) == len(want) and {(r["instrument"], r["k"], r["side"], r["price"], r["qty"]) for r in got} == want
