@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -231,3 +232,15 @@ def test_digest_columns(spark):
     df = secrets.scan(table(spark, SECRETS[:1])).select(F.sha2(secrets.joined("base_spans").cast("binary"), 256).alias("h"))
     text = ",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans(SECRETS[0][1])[0])
     assert df.first()["h"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_more_languages_than_bits_and_languages_of_one_document(spark):
+    rng = random.Random(9)
+    words = {f"l{k:02}": ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(5)) for _ in range(30)] for k in range(70)}
+    ids = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    names = [x for x in words for _ in range(3 if x != "l69" else 1)]
+    rows = [(i, " ".join(rng.choices(words[x], k=40)), x) for i, x in zip(ids, names)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 70
+    asked = spark.createDataFrame([(k, " ".join(rng.choices(w, k=40)), None) for k, w in enumerate(words.values())], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()} == dict(enumerate(words))

@@ -1,11 +1,12 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
 One table serves all languages: slot i holds a bitmask with a bit per language, and the AND of the slots of an n-gram
-is the set of all languages whose filter contains it. A text's n-grams are looked up at once; the population count per
+is the set of all languages whose filter contains it; past 64 languages there is a further table for each 64. A text's n-grams are looked up at once; the population count per
 language, corrected for the false positives that the language's fill predicts, decides.
 
 The filters are fitted on a bounded sample of the labelled rows (``per_language`` rows of each language in expectation,
-chosen by a hash of doc_id over the whole table) and hold each language's ``grams`` commonest n-grams. Every document is
+chosen by a hash of doc_id over the whole table) and hold each language's ``grams`` commonest n-grams; those seen in one
+document only fill up a language that has fewer others. Every document is
 predicted from its whole text, in a map without a shuffle; the table of the model is what is sent to the executors, and
 its size depends on ``slots`` and the number of languages only.
 """
@@ -21,18 +22,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, constants, mix
+from .shared import Scratch, arrow_map, constants, mix
 
 LETTER = regex.compile(r"\p{L}")
 NGRAM, PROBES = 4, 3
-MOST_LANGUAGES = 64  # bits of a slot; of more languages the commonest are learned
+WORD = 64  # languages of a table, a bit of its slots each
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    table: np.ndarray  # slots x bitmask
+    table: np.ndarray  # slots x bitmask of the first WORD languages
     false_rate: np.ndarray  # per language
+    more: tuple[np.ndarray, ...] = ()  # the same of each WORD languages after them
 
 
 class Grams:
@@ -64,13 +66,17 @@ def slots_of(grams: np.ndarray, slots: int) -> list[np.ndarray]:
 
 def build(languages: list[str], grams: dict[str, np.ndarray], slots: int) -> Model:
     """The table with every language's n-grams; ``slots`` is a power of two."""
-    width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-    table, rates = np.zeros(slots, width), []
-    for k, name in enumerate(languages):
-        for at in slots_of(grams[name], slots):
-            table[at] |= width(1 << k)
-        rates.append((np.count_nonzero(table & width(1 << k)) / slots) ** PROBES)
-    return Model(languages, table, np.array(rates))
+    tables, rates = [], []
+    for first in range(0, max(len(languages), 1), WORD):
+        part = languages[first : first + WORD]
+        width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(part) <= bits)
+        table = np.zeros(slots, width)
+        for k, name in enumerate(part):
+            for at in slots_of(grams[name], slots):
+                table[at] |= width(1 << k)
+            rates.append((np.count_nonzero(table & width(1 << k)) / slots) ** PROBES)
+        tables.append(table)
+    return Model(languages, tables[0], np.array(rates), tuple(tables[1:]))
 
 
 def predict(text: str | None, model: Model, grams: Grams) -> tuple[str, float]:
@@ -82,8 +88,11 @@ def predict(text: str | None, model: Model, grams: Grams) -> tuple[str, float]:
         return "und", 0.0
     g = grams.of(text)
     a, b, c = slots_of(g, len(model.table))
-    masks = model.table[a] & model.table[b] & model.table[c]
-    hits = np.array([np.count_nonzero(masks & masks.dtype.type(1 << k)) for k in range(len(model.languages))], float)
+    hits = []
+    for table in (model.table, *model.more):
+        masks = table[a] & table[b] & table[c]
+        hits += [np.count_nonzero(masks & masks.dtype.type(1 << k)) for k in range(min(WORD, len(model.languages) - len(hits)))]
+    hits = np.array(hits, float)
     counts = np.clip((hits - len(g) * model.false_rate) / (1 - model.false_rate), 0, None)
     total = counts.sum()
     best = int(np.argmax(counts))
@@ -98,19 +107,19 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, per_language: int = 4000, grams: int = 40_000, slots: int = 1 << 20) -> Model:
     """Learns from rows that aren't held out and whose text and lang are not null.
 
-    To the driver come one count per language, and of each language's sampled n-grams those seen often enough to be
-    among the commonest; both are bounded by the parameters, not by the table.
+    To the driver come counts per language, and of each language's sampled n-grams those seen in two documents or more,
+    and of those seen in one about as many as lack to ``grams``; all are bounded by the parameters and the number of
+    languages, not by the table.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out()).where("lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Model([], np.zeros(slots, np.uint8), np.zeros(0))
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    sample = rows.where("text is not null").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, share double")
+    sample = rows.where("text is not null").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batches):
         counter, seen = Grams(), {}
@@ -127,7 +136,15 @@ def fit(docs: DataFrame, per_language: int = 4000, grams: int = 40_000, slots: i
         return pa.RecordBatch.from_pydict({"lang": [name] * len(g), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n)})
 
     counts = sample.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counts.where("n > 1").toArrow()
+    with Scratch(spark, "langid") as scratch:
+        counts = scratch.table(counts, "counts")
+        sums = counts.groupBy("lang").agg(F.count_if(F.col("n") > 1).alias("often"), F.count_if(F.col("n") == 1).alias("once")).collect()
+        # The n-grams are hashes: those below a limit are a sample of the size that lacks, and a margin.
+        lack = {r["lang"]: max(grams - r["often"], 0) for r in sums}
+        limits = [(r["lang"], min(1.0, (lack[r["lang"]] + 6 * lack[r["lang"]] ** 0.5) / max(r["once"], 1))) for r in sums]
+        limits = spark.createDataFrame(limits, "lang string, most double")
+        low = F.shiftrightunsigned("gram", 1) <= F.col("most") * float(1 << 63)
+        table = counts.join(F.broadcast(limits), "lang").where((F.col("n") > 1) | ((F.col("most") > 0) & low)).select("lang", "gram", "n").toArrow()
     names, g, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy()
     common = {}
     for name in languages:
