@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -248,4 +249,109 @@ def test_tree_matching_equals_plain_form():
         a, b = wrapper.parse(tree(3)), wrapper.parse(tree(3))
         m = wrapper.Matcher()
         assert m.weight(m.shape(a), m.shape(b)) == plain_matching(a, b)
-        assert all(x.tag == y.tag == "#" for x, y in m.align(a, b))
+        pairs = list(m.align(a, b))
+        assert all(x.tag == y.tag for x, y, _ in pairs) and len(pairs) == m.weight(a.shape, b.shape)
+        for x, y, rest in pairs:  # every child has its partner or is handed out
+            assert len(rest) == len(y.children) - sum(any(q is c for _, q, _ in pairs) for c in y.children)
+
+
+def test_long_lists_are_matched_as_short_ones():
+    rng = random.Random(4)
+    words = ["<p><b>x</b></p>", "<p><i>x</i><b>y</b></p>", "<div>x</div>", "<ul><li>x</li></ul>", "<div><p>x</p></div>"]
+    for _ in range(10):
+        a, b = (wrapper.parse("".join(rng.choices(words, k=rng.randrange(30, 60)))) for _ in range(2))
+        plain, halved = wrapper.Matcher(), wrapper.Matcher()
+        halved.cells = 50
+        for m in (plain, halved):
+            m.shape(a), m.shape(b)
+            p, q = tuple(c.shape for c in a.children), tuple(c.shape for c in b.children)
+            found = m.partners(p, q)
+            assert sum(m.weight(p[i], q[j]) for i, j in found) + 1 == plain_matching(a, b) == m.weight(a.shape, b.shape)
+            assert all(i > k and j > n for (i, j), (k, n) in zip(sorted(found)[1:], sorted(found), strict=False))
+
+
+def test_deep_and_wide_pages(spark):
+    inner = "<nav><a>MENU</a></nav><p>ok</p>"
+    for depth in (10, 118, 5000):
+        assert wrapper.content(wrapper.parse("<main>" + "<div>" * depth + inner + "</div>" * depth + "after</main>")) == "ok after"
+    rng = random.Random(8)
+    unlike = lambda: "".join(f"<div>{''.join(f'<{t}>{prose(rng, 2)}</{t}>' for t in rng.choices(['p', 'b', 'i', 'em', 'h2', 'pre', 'u'], k=6))}</div>" for _ in range(2000))
+    pages = [(k, "wide", f"<body><article>{unlike()}</article></body>") for k in range(3)]
+    pages += [(10 + k, "deep", "<body><div>menu</div>" + "<section>" * 20_000 + f"<p>{prose(rng, 9)}</p>" + "<div></div>" * k) for k in range(3)]
+    start = time.time()
+    got = texts_by_id(spark, pages)
+    assert time.time() - start < 60
+    for k, _, page in pages:
+        assert got[k] == wrapper.content(wrapper.parse(page.replace("<div>menu</div>", "")))
+
+
+def bare(rng, kinds, n):
+    """Pages without a word that says what an element is: menus, a notice and a footer of ``kinds`` variants."""
+    out = []
+    for k in range(n):
+        menu = "".join(f"<div><a href=/>{w}</a></div>" for w in prose(random.Random(k % kinds), 6).split())
+        notice, foot = prose(random.Random(100 + k % kinds), 7), prose(random.Random(200 + k % kinds), 5)
+        replies = "".join(f"<div><b>{prose(rng, 1)}</b> says <span>{prose(rng, 30)}</span><i>Answer</i></div>" for _ in range(rng.randrange(2, 9)))
+        paragraphs = [prose(rng, rng.randrange(20, 60)) for _ in range(rng.randrange(2, 6))]
+        title = prose(rng, 5)
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f"<body><div>{menu}</div><div>{notice}</div><div><div>{body}</div><div>{replies}</div></div><div>&copy; us, {foot}</div></body>"
+        out.append((page, " ".join([title, *paragraphs])))
+    return out
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 1000])
+def test_induction_decides_without_any_marks(spark, kinds):
+    made = bare(random.Random(kinds), kinds, 24)
+    got = texts_by_id(spark, [(k, "bare", page) for k, (page, _) in enumerate(made)])
+    assert [got[k] for k in range(24)] == [text for _, text in made]
+    assert all(wrapper.content(wrapper.parse(page)) != text for page, text in made)  # which marks alone can't tell
+
+
+def test_wrapper_decides_over_names(spark):
+    rng = random.Random(12)
+    page = "<body><div class=story>{}</div><div class=sidebar><div><p>{}</p><p>{}</p></div></div></body>"
+    rows = [(k, "names", page.format(prose(rng, 4), prose(rng, 60), prose(rng, 60))) for k in range(10)]
+    got = texts_by_id(spark, rows)
+    for k, _, h in rows:
+        assert got[k] == " ".join(x.split("</p>")[0] for x in h.split("<p>")[1:])
+
+
+def plain_counts(ref, pages):
+    """The counts of a layout by a loop over its pages; copies of a text count once, by their least votes."""
+    votes = {}
+    for page in pages:
+        copy, *v = wrapper.votes_of(wrapper.Pages(), ref, page)
+        votes[copy] = min(votes.get(copy, v), v)
+    by = defaultdict(list)
+    for places, values, sizes in votes.values():
+        for p, v, z in zip(places, values, sizes):
+            by[p].append((v, z))
+    out = {}
+    for p, got in by.items():
+        n = Counter(v for v, _ in got)
+        top = max((c, v) for v, c in n.items())
+        out[p] = (len(got), len(n), top[0], top[1], sum(z for _, z in got), n[1])
+    return out
+
+
+def test_extract_equals_brute_force(spark):
+    rng = random.Random(21)
+    pages = [page for page, _ in bare(rng, 4, 15)] + [html(f"<article><h1>{prose(rng, 3)}</h1><p>{prose(rng, 30)}</p></article>", prose(rng, 1)) for _ in range(9)]
+    pages += pages[:3] + [pages[0].replace("</div></body>", "<p>more</p></div></body>")]
+    got = texts_by_id(spark, [(k, "x", p) for k, p in enumerate(pages)])
+    for kind in (True, False):
+        own = [(k, p) for k, p in enumerate(pages) if ("<article>" in p) == kind]
+        possible = []
+        for ref in {p for _, p in own}:  # which page is the reference is left to a hash
+            wrap = wrapper.judge(wrapper.parse(ref), plain_counts(ref, [p for _, p in own]))
+            possible.append([wrapper.text_by(wrapper.Pages(), p, ref, wrap) for _, p in own])
+        assert [got[k] for k, _ in own] in possible
+
+
+def test_extract_keeps_repeats_null_ids_and_clashing_columns(spark):
+    rows = [(1, "http://a.example/", "<p>x</p>", "h", "l", "t", "r"), (1, "http://a.example/", "<p>x</p>", "h", "l", "t", "r"), (None, None, None, None, None, None, None), (2, "no url", "", "h", "l", "t", "r")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, layout string, text string, reference string")
+    got = wrapper.extract(df)
+    assert got.columns == ["page_id", "url", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "http://a.example/", "x")] * 2 + [(None, None, ""), (2, "no url", "")], key=str)

@@ -1,20 +1,27 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Pages of a host that have the same kinds of structural elements and start with the same one are a layout, and each layout
-has a reference page; layouts of one page are put to the host's commonest. Every other page of a layout is aligned with
-its reference by simple tree matching, the ordered
-matching of two DOM trees with most nodes in common, and each text of the reference counts the pages that have a text in
-its place and those that have the same one there. Pages whose text, without what is marked as no content, is equal are
-copies: they have one vote together, and none where they repeat the reference. Every other page counts, however much of
-it is template. Texts that stay the same on most pages are the template's; the places that vary are slots. Pages are
-aligned again and give the text of their slots.
-
-Menus and adverts differ from page to page as articles do, so slots alone would take them for content. Slots inside
-elements whose name or class says they are no content are dropped, and where a page marks its article, only that is
-taken. Hosts of one page (copies counted once), and pages of no host, have slots only and rely on these marks.
+has a reference page; layouts of one page are put to the host's commonest. Every page of a layout is aligned with its
+reference by simple tree matching, the ordered matching of two DOM trees with most nodes in common. Each text of the
+reference counts the pages that have a text in its place, the values there and the commonest one; each container counts
+the pages in which it has the same shape, and the text that pages have in it beyond the reference. Pages whose text,
+without what is marked as no content, is equal are copies and have one vote together; every other page counts.
+
+``judge`` makes the wrapper of a layout from these counts alone:
+
+* texts that stay the same on most pages, or are drawn from few values, are template; the places that vary are slots;
+* containers whose text is links, and lists of records that repeat one fixed label, are furniture (menus, teasers, replies);
+* from the root down, the container with more than half of the varying text holds the article. What stands beside it, small
+  and of one shape on nearly all pages, is a field of the template (adverts, notices, footers with changing text), and so
+  is what only single pages have there. Text blocks and headings beside it stay.
+
+A wrapper decides over names and kinds of elements: what holds the article is never skipped, whatever its class says, and
+furniture is, whatever it is called. Marks (HTML's sectioning elements, roles, words in class names) break ties: inside the
+article, where no container has most of the text or fewer than three pages differ, and where a page has no counterpart of
+the article's place. Hosts of one page (copies counted once), and pages of no host, have marks only.
 
 Plan: the references are one row per host and layout, chosen by minima that are combined before the shuffle. Pages are
-joined with them by host and layout, each page gives one row of votes, of which copies keep one, and the pages are joined with the template
+joined with them by host and layout, each page gives one row of votes, of which copies keep one, and the pages are joined with the wrappers
 the same way; a hot host is a skewed join of plain tables, which AQE splits. No task holds more than a batch of pages.
 """
 
@@ -23,9 +30,12 @@ from __future__ import annotations
 import hashlib
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +64,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 BODY_MARKS = frozenset("article articlebody content main post entry story".split())
 ASIDES = frozenset("comment comments reply related promo promoted sponsored ad ads advert advertisement teaser".split())
 LAYOUT = "div section main article nav header footer aside table form".split()
-DEPTH = 120
+# Elements that never hold article text, and those that hold a line or block of it.
+HARD = frozenset("head title script style noscript template svg annotation annotation-xml iframe object canvas audio video map form fieldset button select option input textarea label menu dialog".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl li dt dd table caption thead tbody tfoot tr td th figure figcaption address details summary hr br img picture".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -78,24 +91,57 @@ def _names(value: str) -> set[str]:
     return {x.lower() for x in _NAME.findall(value)}
 
 
+class _Open:
+    """The open elements, with counts that save walking them: a page may be nested as deep as it is long."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.count, self.mains = [root], Counter(), 0
+        self.named: list[Node] = []  # the open ones that only a class or id skips
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.count[node.tag] += 1
+        self.mains += node.main
+        if node.named:
+            self.named.append(node)
+
+    def cut(self, k: int) -> None:
+        while len(self.nodes) > k:
+            node = self.nodes.pop()
+            self.count[node.tag] -= 1
+            self.mains -= node.main
+            if node.named:
+                self.named.pop()
+
+    def close(self, tags: set[str], stop: frozenset[str]) -> None:
+        """Ends the nearest open element of ``tags``, unless one of ``stop`` is nearer."""
+        if any(self.count[t] for t in tags):
+            for k in range(len(self.nodes) - 1, 0, -1):
+                if self.nodes[k].tag in tags:
+                    return self.cut(k)
+                if self.nodes[k].tag in stop:
+                    return None
+        return None
+
+
 def parse(page: str) -> Node:
-    """The DOM tree; unclosed elements end where HTML ends them, or with their parent. Below DEPTH levels, elements
-    stand beside each other instead of inside. A class or id does not skip what holds the page's main or only articles,
-    nor all that the page has."""
+    """The DOM tree; unclosed elements end where HTML ends them, or with their parent. A class or id does not skip what
+    holds the page's main or only articles, nor all that the page has."""
     root = Node("#root")
-    stack, at, length = [root], 0, len(page)
+    stack, at, length = _Open(root), 0, len(page)
     named: list[Node] = []  # what only a class or id skips
     articles: list[list[Node]] = []  # of each article inside such a node, these nodes
 
     def add(text: str) -> None:
-        if stack[-1].tag == "head" and not text.isspace():
-            stack.pop()
+        if stack.nodes[-1].tag == "head" and not text.isspace():
+            stack.cut(len(stack.nodes) - 1)
+        inside = stack.nodes[-1].children
         if text and not text.isspace():
-            stack[-1].children.append(Node("#", html_module.unescape(text)))
-        elif text and stack[-1].children and stack[-1].children[-1].tag == "#":
-            stack[-1].children[-1].text += " "
+            inside.append(Node("#", html_module.unescape(text)))
+        elif text and inside and inside[-1].tag == "#":
+            inside[-1].text += " "
         elif text:
-            stack[-1].children.append(Node("#", " "))
+            inside.append(Node("#", " "))
 
     while at < length:
         m = _TAG.search(page, at)
@@ -110,31 +156,17 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in CONTAINERS and tag in INLINE:
-                    break
+            stack.close({tag}, CONTAINERS if tag in INLINE else frozenset())
             continue
         attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m.group(3))} if m.group(3).strip(" /") else {}
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+        if stack.nodes[-1].tag == "head" and tag not in IN_HEAD:
+            stack.cut(len(stack.nodes) - 1)
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in CONTAINERS:
-                    break
-        for k in range(len(stack) - 1, 0, -1) if tag in CLOSED_BY else ():
-            if stack[k].tag in CLOSED_BY[tag]:
-                del stack[k:]
-                break
-            if stack[k].tag in CONTAINERS:
-                break
+            stack.close({"p"}, CONTAINERS)
+        if tag in CLOSED_BY:
+            stack.close(CLOSED_BY[tag], CONTAINERS)
         names = _names(f"{attributes.get('class', '')} {attributes.get('id', '')}") if attributes else set()
-        inside = any(x.main for x in stack)
+        inside = stack.mains > 0
         by_name = bool(names & MARKS)
         marked = attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         heading = inside and (tag == "header" or names & MARKS == {"header"})
@@ -146,20 +178,18 @@ def parse(page: str) -> Node:
         node.named = node.skip and by_name and not marked and tag not in NO_CONTENT
         if node.named:
             named.append(node)
-        if named and not node.skip and (tag in MAIN or node.main) and (over := [x for x in stack if x.named]):
+        if stack.named and not node.skip and (tag in MAIN or node.main):
             if tag == "article":
-                articles.append(over)
+                articles.append(list(stack.named))
             else:
-                for x in over:
+                for x in stack.named:
                     x.skip = False
-        stack[-1 if len(stack) <= DEPTH else -2].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = page.find(">", end.end()) + 1 or length if end else length
         elif tag not in VOID and not m.group(3).endswith("/"):
-            if len(stack) > DEPTH:
-                stack.pop()
-            stack.append(node)
+            stack.push(node)
     if articles and (not _outermost(root, "main") or not _shows(root)):
         for over in articles:
             for x in over:
@@ -170,29 +200,45 @@ def parse(page: str) -> Node:
     return root
 
 
+def nodes_of(root: Node) -> list[Node]:
+    """All nodes of a tree in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(reversed(node.children))
+    return out
+
+
 class Matcher:
-    """Simple tree matching with the weights of pairs of shapes remembered; the memory is emptied when it is full."""
+    """Simple tree matching with the weights of pairs of shapes remembered; the memory is emptied when it is full.
 
-    limit = 200_000
+    A pair of shapes nested deeper than ``depth``, or standing in lists of more than ``pairs`` unlike pairs, has as its
+    weight the bound of it that their sizes give, so that time stays in bounds; every node is aligned all the same."""
+
+    limit, depth, pairs, cells = 200_000, 60, 40_000, 4_000_000
 
     def __init__(self) -> None:
         self.shapes: dict[tuple, int] = {}
         self.tags: list[str] = []
         self.parts: list[tuple[int, ...]] = []
         self.sizes: list[int] = []
+        self.depths: list[int] = []
         self.weights: dict[tuple[int, int], int] = {}
 
-    def shape(self, node: Node) -> int:
-        """Numbers the shapes of ``node`` and all below it."""
-        key = (node.tag, tuple(self.shape(c) for c in node.children))
-        found = self.shapes.get(key)
-        if found is None:
-            found = self.shapes[key] = len(self.tags)
-            self.tags.append(key[0])
-            self.parts.append(key[1])
-            self.sizes.append(1 + sum(self.sizes[c] for c in key[1]))
-        node.shape = found
-        return found
+    def shape(self, root: Node) -> int:
+        """Numbers the shapes of ``root`` and all below it."""
+        for node in reversed(nodes_of(root)):
+            key = (node.tag, tuple(c.shape for c in node.children))
+            found = self.shapes.get(key)
+            if found is None:
+                found = self.shapes[key] = len(self.tags)
+                self.tags.append(key[0])
+                self.parts.append(key[1])
+                self.sizes.append(1 + sum(self.sizes[c] for c in key[1]))
+                self.depths.append(1 + max((self.depths[c] for c in key[1]), default=0))
+            node.shape = found
+        return root.shape
 
     def full(self) -> bool:
         return len(self.tags) > self.limit or len(self.weights) > 4 * self.limit
@@ -205,43 +251,54 @@ class Matcher:
             return 0
         found = self.weights.get((a, b))
         if found is None:
-            found = self.weights[a, b] = 1 + int(self.table(self.parts[a], self.parts[b])[-1][-1])
+            if min(self.depths[a], self.depths[b]) > self.depth:
+                found = min(self.sizes[a], self.sizes[b])
+            else:
+                p, q = self.parts[a], self.parts[b]
+                found = 1 + (int(self._last(*self._pairs(p, q))[-1]) if len(p) * len(q) > 400 else self._small(p, q)[-1][-1])
+            self.weights[a, b] = found
         return found
 
-    def table(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[list[int]]:
+    def _small(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[list[int]]:
         row = [0] * (len(b) + 1)
         rows = [row]
-        memo: dict[tuple[int, int], int] = {}
         for x in a:
             new, best = [0], 0
             for j, y in enumerate(b):
-                w = memo.get((x, y))
-                if w is None:
-                    w = memo[x, y] = self.weight(x, y)
-                best = max(best, row[j + 1], row[j] + w)
+                best = max(best, row[j + 1], row[j] + self.weight(x, y))
                 new.append(best)
             row = new
             rows.append(row)
         return rows
 
-    def align(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
-        """Pairs of texts in the same place of both trees, whose roots match."""
-        if a.tag == "#":
-            yield a, b
-            return
-        x, y = a.children, b.children
-        i, j, end_i, end_j = 0, 0, len(x), len(y)
-        pairs = []
-        while i < end_i and j < end_j and x[i].shape == y[j].shape:  # alike at both ends: no table is needed for these
-            pairs.append((x[i], y[j]))
-            i, j = i + 1, j + 1
-        while end_i > i and end_j > j and x[end_i - 1].shape == y[end_j - 1].shape:
-            end_i, end_j = end_i - 1, end_j - 1
-            pairs.append((x[end_i], y[end_j]))
-        if i < end_i and j < end_j:
-            p, q = tuple(c.shape for c in x[i:end_i]), tuple(c.shape for c in y[j:end_j])
-            t = self.table(p, q)
-            m, n = len(p), len(q)
+    def _pairs(self, p: tuple[int, ...], q: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of the unlike shapes of two lists, and where each list's members stand in that table."""
+        u, i = np.unique(np.asarray(p), return_inverse=True)
+        v, j = np.unique(np.asarray(q), return_inverse=True)
+        if len(u) * len(v) <= self.pairs:
+            return np.array([[self.weight(x, y) for y in v.tolist()] for x in u.tolist()], np.int64), i, j
+        names = {t: n for n, t in enumerate(dict.fromkeys(self.tags[x] for x in (*u, *v)))}
+        a, b = (np.array([names[self.tags[x]] for x in w]) for w in (u, v))
+        size_a, size_b = (np.array([self.sizes[x] for x in w], np.int64) for w in (u, v))
+        return np.where(a[:, None] == b, np.minimum(size_a[:, None], size_b), 0), i, j
+
+    @staticmethod
+    def _last(w: np.ndarray, i: np.ndarray, j: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Last row of the table of greatest ordered matchings; all rows go to ``keep`` if given."""
+        row = np.zeros(len(j) + 1, np.int64)
+        for x in i:
+            new = np.maximum(row[1:], row[:-1] + w[x][j])
+            row = np.concatenate(([0], np.maximum.accumulate(new)))
+            if keep is not None:
+                keep.append(row)
+        return row
+
+    def partners(self, p: tuple[int, ...], q: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places in two lists of shapes that a greatest ordered matching pairs. Long lists are halved until a table
+        of them fits."""
+        out: list[tuple[int, int]] = []
+
+        def back(t, m: int, n: int, a: int, b: int) -> None:
             while m and n:
                 if t[m][n] == t[m - 1][n]:
                     m -= 1
@@ -249,20 +306,53 @@ class Matcher:
                     n -= 1
                 else:
                     m, n = m - 1, n - 1
-                    pairs.append((x[i + m], y[j + n]))
-        for p, q in pairs:
-            yield from self.align(p, q)
-
-
-def texts_of(root: Node) -> list[Node]:
-    """The texts of a tree in page order."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.tag == "#":
-            out.append(node)
-        stack.extend(reversed(node.children))
-    return out
+                    out.append((a + m, b + n))
+
+        if len(p) * len(q) <= 400:
+            back(self._small(p, q), len(p), len(q), 0, 0)
+            return out
+        w, i, j = self._pairs(p, q)
+        parts = [(0, len(p), 0, len(q))]
+        while parts:
+            a, a_end, b, b_end = parts.pop()
+            if a == a_end or b == b_end:
+                continue
+            if (a_end - a) * (b_end - b) <= self.cells or a_end - a == 1:
+                rows = [np.zeros(b_end - b + 1, np.int64)]
+                self._last(w, i[a:a_end], j[b:b_end], rows)
+                back(rows, a_end - a, b_end - b, a, b)
+            else:
+                half = (a + a_end) // 2
+                ahead, behind = self._last(w, i[a:half], j[b:b_end]), self._last(w, i[half:a_end][::-1], j[b:b_end][::-1])
+                cut = b + int(np.argmax(ahead + behind[::-1]))
+                parts += [(a, half, b, cut), (half, a_end, cut, b_end)]
+        return out
+
+    def align(self, a: Node, b: Node) -> Iterator[tuple[Node, Node, list[Node]]]:
+        """Pairs of nodes in the same place of both trees, whose roots match, and the second's children without a
+        partner."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            x, y = a.children, b.children
+            if a.shape == b.shape:
+                yield a, b, []
+                todo.extend(zip(x, y))
+                continue
+            i, j, end_i, end_j = 0, 0, len(x), len(y)
+            while i < end_i and j < end_j and x[i].shape == y[j].shape:  # alike at both ends: no table is needed for these
+                todo.append((x[i], y[j]))
+                i, j = i + 1, j + 1
+            while end_i > i and end_j > j and x[end_i - 1].shape == y[end_j - 1].shape:
+                end_i, end_j = end_i - 1, end_j - 1
+                todo.append((x[end_i], y[end_j]))
+            rest = y[j:end_j]
+            if i < end_i and j < end_j:
+                found = self.partners(tuple(c.shape for c in x[i:end_i]), tuple(c.shape for c in rest))
+                todo.extend((x[i + m], rest[n]) for m, n in found)
+                paired = {n for _, n in found}
+                rest = [c for n, c in enumerate(rest) if n not in paired]
+            yield a, b, rest
 
 
 def _outermost(root: Node, mark: str) -> list[Node]:
@@ -294,25 +384,19 @@ def _shows(root: Node) -> bool:
 
 def _text(tops: list[Node], template: set[int] | frozenset[int]) -> str:
     parts: list[str] = []
-
-    def walk(node: Node) -> None:
-        if node.tag == "#":
+    stack: list[Node | None] = [x for top in reversed(tops) for x in (None, top)]  # None stands for a space
+    while stack:
+        node = stack.pop()
+        if node is None:
+            parts.append(" ")
+        elif node.tag == "#":
             if id(node) not in template:
                 parts.append(node.text)
-            return
-        if node.skip:
-            return
-        apart = node.tag not in INLINE
-        if apart:
-            parts.append(" ")
-        for c in node.children:
-            walk(c)
-        if apart:
-            parts.append(" ")
-
-    for top in tops:
-        walk(top)
-        parts.append(" ")
+        elif not node.skip:
+            if node.tag not in INLINE:
+                parts.append(" ")
+                stack.append(None)
+            stack.extend(reversed(node.children))
     return _SPACE.sub(" ", "".join(parts)).strip()
 
 
@@ -351,19 +435,40 @@ def _digest(root: Node) -> bytes:
     return hashlib.blake2b(content(root).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _value(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) or 1
+
+
+def _plain(tops: list[Node]) -> int:
+    """Characters of text outside links and elements that never hold any."""
+    total, stack = 0, list(tops)
+    while stack:
+        node = stack.pop()
+        if node.tag == "#":
+            total += len(node.text.strip())
+        elif node.tag != "a" and node.tag not in HARD:
+            stack.extend(node.children)
+    return total
+
+
+def _container(node: Node) -> bool:
+    return node.tag != "#" and node.tag not in INLINE and node.tag not in BLOCKS and node.tag not in HARD
+
+
 class Pages:
-    """Parsing and aligning with a host's reference, whose tree is kept while its pages come one after another."""
+    """Parsing and aligning with a reference, whose tree is kept while the pages of its layout come one after another."""
 
     def __init__(self) -> None:
-        self.matcher, self.last = Matcher(), (None, None, [])
+        self.matcher, self.last = Matcher(), (None, None, {})
 
-    def reference(self, source: str) -> tuple[Node, list[Node]]:
+    def reference(self, source: str) -> tuple[Node, dict[int, int]]:
+        """The reference's tree, and the numbers of its nodes in page order by their ids."""
         if self.matcher.full():
-            self.matcher, self.last = Matcher(), (None, None, [])
+            self.matcher, self.last = Matcher(), (None, None, {})
         if self.last[0] != source:
             tree = parse(source)
             self.matcher.shape(tree)
-            self.last = (source, tree, texts_of(tree))
+            self.last = (source, tree, {id(x): k for k, x in enumerate(nodes_of(tree))})
         return self.last[1], self.last[2]
 
     def tree(self, source: str) -> Node:
@@ -372,49 +477,198 @@ class Pages:
         return tree
 
 
+def votes_of(pages: Pages, ref: str, page: str) -> tuple[bytes, list[int], list[int], list[int]]:
+    """Digest of a page's text, and its votes: places of the reference with, for a text, its value and length, and for
+    an element, whether it has the reference's shape (1 or 0) and the plain characters of children without a partner."""
+    model, at = pages.reference(ref)
+    tree = pages.tree(page)
+    copy = _digest(tree)
+    places, values, sizes = [], [], []
+    for a, b, rest in pages.matcher.align(model, tree):
+        if a.tag == "#":
+            if not (text := b.text.strip()):
+                continue
+            value, size = _value(text), len(text)
+        elif a.tag in HARD:
+            continue
+        else:
+            size = _plain(rest) if rest else 0
+            if not size and not _container(a):
+                continue
+            value = int(a.shape == b.shape)
+        places.append(at[id(a)])
+        values.append(value)
+        sizes.append(size)
+    return copy, places, values, sizes
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, of, copy, votes): of each page that is no copy of its reference, the digest of its text, and for each text of
-    the reference that has a text in its place, twice its number, and 1 more where it is the same one."""
-    pages, last, own = Pages(), None, b""
+    """(host, of, copy, places, values, sizes): the votes of each page."""
+    pages = Pages()
     for batch in batches:
-        hosts, kinds, copies, votes = [], [], [], []
-        for name, of, page, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "of", "html", "reference")), strict=True):
-            tree, texts = pages.reference(ref)
-            if tree is not last:
-                last, own, at = tree, _digest(tree), {id(t): k for k, t in enumerate(texts)}
-            other = pages.tree(page)
-            copy = _digest(other)
-            if copy == own:
-                continue
-            hosts.append(name)
-            kinds.append(of)
-            copies.append(copy)
-            votes.append([2 * at[id(a)] + (a.text.strip() == b.text.strip()) for a, b in pages.matcher.align(tree, other) if not a.text.isspace()])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.string()), pa.array(copies, pa.binary()), pa.array(votes, pa.list_(pa.int32()))], ["host", "of", "copy", "votes"])
+        got = [votes_of(pages, ref, page) for page, ref in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True)]
+        copy, places, values, sizes = zip(*got, strict=True) if got else ((), (), (), ())
+        columns = [batch.column("host"), batch.column("of"), pa.array(copy, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "of", "copy", "places", "values", "sizes"])
+
+
+# What a wrapper says of an element.
+FURNITURE, ABOVE, ARTICLE = 1, 2, 3
+
+
+def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], share: float = 0.8, small: float = 0.1, least: int = 3) -> dict[int, int]:
+    """The wrapper of a layout: of nodes of its reference, by their numbers in page order, a text's template value (0 for
+    any value), or FURNITURE, ABOVE (holds the article) or ARTICLE of an element.
+
+    ``counts`` has of a place the pages (copies once), the distinct values, how many have the commonest, that value, the
+    characters on all pages, and the pages of the reference's shape. A text is template where ``share`` of the pages have
+    one value (all, where they are fewer than six), or where its values are a tenth of the pages; containers are judged
+    where ``least`` pages vote."""
+    Matcher().shape(root)
+    nodes = nodes_of(root)
+    n = len(nodes)
+    number = {id(x): k for k, x in enumerate(nodes)}
+    parent, linked = [-1] * n, [False] * n
+    out: dict[int, int] = {}
+    varying, links, plain, n_links = ([0] * n for _ in range(4))
+    held = [x.main for x in nodes]  # whether what the page calls its article is in an element
+    labels: list[set[int]] = [set() for _ in range(n)]  # the template values in an element
+    for k, x in enumerate(nodes):
+        for c in x.children:
+            parent[number[id(c)]] = k
+            linked[number[id(c)]] = linked[k] or x.tag == "a"
+    for k in range(n - 1, -1, -1):  # below come after above
+        x, up = nodes[k], parent[k]
+        pages, distinct, top, value, size, same = counts.get(k, (0, 0, 0, 0, 0, 0))
+        if x.tag == "#":
+            if pages >= 2 and top - 1 >= share * (pages - 1):
+                out[k] = value
+                labels[k].add(value)
+            elif pages >= 10 and 10 * distinct <= pages:
+                out[k] = 0
+            elif not linked[k]:
+                varying[k] = size
+            links[k], plain[k] = (size, 0) if linked[k] else (0, size)
+        elif x.tag not in HARD:
+            varying[k] += size
+            plain[k] += size
+            n_links[k] += x.tag == "a"
+            furniture = pages >= 2 and _container(x) or x.tag in ("ul", "ol", "table", "dl")
+            if furniture and links[k] >= 0.7 * (links[k] + plain[k]) and n_links[k] >= 3:
+                out[k] = FURNITURE
+            elif pages >= least and _container(x) and not held[k]:
+                alike = Counter(c.shape for c in x.children if c.tag != "#").most_common(1)
+                if alike and alike[0][1] >= 2 and 2 * alike[0][1] > sum(c.tag != "#" for c in x.children):
+                    records = [number[id(c)] for c in x.children if c.shape == alike[0][0]]
+                    if varying[k] and set.intersection(*(labels[c] for c in records)):
+                        out[k] = FURNITURE
+            if out.get(k) == FURNITURE:
+                varying[k] = 0
+        else:
+            varying[k] = links[k] = plain[k] = n_links[k] = 0
+            continue
+        if up >= 0:
+            varying[up] += varying[k]
+            links[up] += links[k]
+            plain[up] += plain[k]
+            n_links[up] += n_links[k]
+            labels[up] |= labels[k]
+            held[up] = held[up] or held[k]
+    mains = [k for k in range(n) if nodes[k].main]
+    end = list(range(n))  # last number inside each node
+    for k in range(n - 1, 0, -1):
+        end[parent[k]] = max(end[parent[k]], end[k])
+    at, path = 0, []
+    while True:
+        kids = [number[id(c)] for c in nodes[at].children if c.tag != "#"]
+        boxes = [k for k in kids if _container(nodes[k]) and out.get(k) != FURNITURE]
+        big = max(boxes, key=lambda k: varying[k], default=-1)
+        most = big >= 0 and 2 * varying[big] > varying[at] and counts.get(big, (0,))[0] >= least
+        lines = sum(varying[k] for k in kids if nodes[k].tag in BLOCKS)
+        inside = [m for m in mains if at <= m <= end[at]]
+        if most and inside and not any(big <= m <= end[big] for m in inside) and not any(m <= big for m in inside if end[m] >= big):
+            return out  # the page calls something else its article
+        if not nodes[at].main and (most or 2 * lines > varying[at] > 0):
+            for k in boxes:
+                pages, same = counts.get(k, (0,) * 6)[0], counts.get(k, (0,) * 6)[5]
+                title = any(nodes[j].tag == "h1" and varying[j] for j in range(k, end[k] + 1)) and not nodes[k].skip
+                if k != big or not most:
+                    if pages >= least and same >= share * pages and varying[k] <= small * varying[at] and not title and not any(k <= m <= end[k] for m in mains):
+                        out[k] = FURNITURE
+        if not most or nodes[at].main:
+            break
+        path.append(big)
+        at = big
+    for k in path:
+        out[k] = ABOVE
+    if path:
+        out[path[-1]] = ARTICLE
+    return out
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper (places, marks) of each layout's counts."""
+    for batch in batches:
+        places, marks = [], []
+        for ref, counts in zip(batch.column("reference").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            found = judge(parse(ref), {c["place"]: (c["pages"], c["distinct"], c["top"], c["value"], c["size"], c["same"]) for c in counts})
+            places.append(list(found))
+            marks.append(list(found.values()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "of")), pa.array(places, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))], ["host", "of", "places", "marks"])
+
+
+def text_by(pages: Pages, page: str, ref: str, wrapper: dict[int, int]) -> str:
+    """Text of a page by the wrapper of its layout."""
+    tree = pages.tree(page)
+    if not wrapper:
+        return content(tree)
+    model, at = pages.reference(ref)
+    pages.matcher.shape(tree)
+    template, article = set(), None
+    for a, b, rest in pages.matcher.align(model, tree):
+        mark = wrapper.get(at[id(a)])
+        if mark is None:
+            continue
+        if a.tag == "#":
+            if mark == 0 or mark == _value(b.text.strip()):
+                template.add(id(b))
+        elif mark == FURNITURE:
+            b.skip = True
+        else:
+            b.skip = False
+            if mark == ARTICLE:
+                article = b
+    if article is None:
+        return content(tree, template)
+    for a, b, rest in pages.matcher.align(model, tree):
+        if b is not article and wrapper.get(at[id(a)]) == ABOVE or a is model or a.tag in ("html", "body"):
+            for x in rest:  # what stands beside the article's place on single pages
+                x.skip = x.skip or _container(x)
+        if b is article:
+            break
+    return _text([tree], template) or content(pages.tree(page), template)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages = Pages()
+    pages, last, wrapper = Pages(), None, {}
     for batch in batches:
         out = []
-        for page, ref, places in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            tree, fixed = pages.tree(page or ""), frozenset()
-            if ref is not None and places:
-                model, texts = pages.reference(ref)
-                pages.matcher.shape(tree)
-                template = {id(texts[k]): texts[k].text.strip() for k in places if k < len(texts)}
-                fixed = frozenset(id(b) for a, b in pages.matcher.align(model, tree) if template.get(id(a)) == b.text.strip())
-            out.append(content(tree, fixed))
+        for page, ref, places, marks in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "places", "marks")), strict=True):
+            if ref is None or not places:
+                out.append(content(parse(page or "")))
+                continue
+            if ref != last:
+                last, wrapper = ref, dict(zip(places, marks, strict=True))
+            out.append(text_by(pages, page or "", ref, wrapper))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, least_pages: int = 2, share: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, one row per row of ``pages``; text is "" where there is none.
 
-    A text is the template's where at least ``least_pages`` pages of the layout, the reference among them, have a text in
-    its place and ``share`` of the others have this one (all of them where they are fewer than five). Null html is empty;
-    a null url or one without a host has no reference. Repeated pages and null ids are kept as they come; other columns
-    are not looked at. An empty table gives an empty result.
+    Null html is empty; a null url or one without a host has no reference. Repeated pages and null ids are kept as they
+    come; other columns are not looked at. An empty table gives an empty result. Memory is that of a batch of pages and
+    their trees, however deep or wide these are.
     """
     with Scratch(pages.sparkSession, "wrapper") as scratch:
         page = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host()).withColumn("layout", layout())
@@ -426,19 +680,25 @@ def extract(pages: DataFrame, least_pages: int = 2, share: float = 0.8) -> DataF
         single = F.col("n") < 2
         chosen = found.join(most, "host").select("host", "layout", F.when(single, F.col("top.layout")).otherwise(F.col("layout")).alias("of"), F.when(single, F.col("top.key")).otherwise(F.col("key")).alias("key"))
         chosen = scratch.table(chosen, "chosen")
-        models = own.withColumn("key", _key()).join(chosen.select("host", "of", "key").distinct(), ["host", "key"]).groupBy("host", "of").agg(F.first("html").alias("reference"))
-        references = scratch.table(chosen.drop("key").join(models, ["host", "of"]), "references", keep=True)
+        models = own.withColumn("key", _key()).join(chosen.select("host", "of", "key").distinct(), ["host", "key"]).groupBy("host", "of").agg(F.min("html").alias("reference"))
+        references = scratch.table(chosen.drop("key").join(models, ["host", "of"]), "references")
         # At sight of both tables' sizes the planner broadcasts the references or sorts and splits.
         votes = own.join(references, ["host", "layout"]).select("host", "of", "html", "reference")
-        votes = votes.mapInArrow(_votes, "host string, of string, copy binary, votes array<int>").groupBy("host", "of", "copy").agg(F.min("votes").alias("votes"))
-        votes = votes.select("host", "of", F.explode("votes").alias("vote")).groupBy("host", "of", F.expr("vote div 2").cast("int").alias("place"))
-        votes = votes.agg(F.count("*").alias("pages"), F.sum(F.col("vote") % 2).alias("same"))
-        constant = votes.where((F.col("pages") + 1 >= least_pages) & (F.col("same") >= share * F.col("pages")))
-        template = constant.groupBy("host", "of").agg(F.collect_list("place").alias("places"))  # at most the texts of a page
-        wrapper = scratch.table(references.join(template, ["host", "of"]), "wrappers", keep=True)
-    wrapper = wrapper.select(F.col("host").alias("its_host"), F.col("layout").alias("its_layout"), "reference", "places")
+        votes = votes.mapInArrow(_votes, "host string, of string, copy binary, places array<int>, values array<bigint>, sizes array<int>")
+        votes = votes.groupBy("host", "of", "copy").agg(F.min(F.struct("places", "values", "sizes")).alias("v"))
+        votes = votes.select("host", "of", F.explode(F.arrays_zip("v.places", "v.values", "v.sizes")).alias("v"))
+        votes = votes.groupBy("host", "of", F.col("v.places").alias("place"), F.col("v.values").alias("value")).agg(F.count("*").alias("n"), F.sum("v.sizes").alias("size"))
+        counts = votes.groupBy("host", "of", "place").agg(
+            F.sum("n").alias("pages"), F.count("*").alias("distinct"), F.max(F.struct("n", "value")).alias("top"), F.sum("size").alias("size"), F.sum(F.when(F.col("value") == 1, F.col("n")).otherwise(0)).alias("same")
+        )
+        one = F.struct("place", "pages", "distinct", F.col("top.n").alias("top"), F.col("top.value").alias("value"), "size", "same")
+        counts = counts.groupBy("host", "of").agg(F.collect_list(one).alias("counts"))  # at most the nodes of a page
+        wrappers = references.groupBy("host", "of").agg(F.min("reference").alias("reference")).join(counts, ["host", "of"])
+        wrappers = scratch.table(wrappers.mapInArrow(_judge, "host string, of string, places array<int>, marks array<bigint>"), "judged")
+        wrapper = scratch.table(references.join(wrappers, ["host", "of"]), "wrappers", keep=True)
+    wrapper = wrapper.select(F.col("host").alias("its_host"), F.col("layout").alias("its_layout"), "reference", "places", "marks")
     found = page.join(wrapper, (F.col("host") == F.col("its_host")) & (F.col("layout") == F.col("its_layout")), "left")
-    return found.select("page_id", "url", "html", "reference", "places").mapInArrow(_extract, "page_id bigint, url string, text string")
+    return found.select("page_id", "url", "html", "reference", "places", "marks").mapInArrow(_extract, "page_id bigint, url string, text string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
