@@ -285,6 +285,14 @@ def test_deep_and_wide_pages(spark):
         assert got[k] == wrapper.content(wrapper.parse(page.replace("<div>menu</div>", "")))
 
 
+def test_skeletons_keep_the_tree():
+    page = html("<main><p>a<b>c</b><div class=menu>x</div></main><article class='comment'><p>y")
+    root = wrapper.parse(page)
+    again, marks = wrapper.regrown(wrapper.skeleton(root, {0: 3, 2: -5, 7: 0}))
+    look = lambda x: [(n.tag, len(n.children), n.skip, n.main) for n in wrapper.nodes_of(x)]
+    assert look(again) == look(root) and marks == {0: 3, 2: -5, 7: 0}
+
+
 def bare(rng, kinds, n):
     """Pages without a word that says what an element is: menus, a notice and a footer of ``kinds`` variants."""
     out = []
@@ -321,7 +329,7 @@ def plain_counts(ref, pages):
     """The counts of a layout by a loop over its pages; copies of a text count once, by their least votes."""
     votes = {}
     for page in pages:
-        copy, *v = wrapper.votes_of(wrapper.Pages(), ref, page)
+        copy, *v = wrapper.votes_of(wrapper.Pages(), ref, page)  # ref is a skeleton
         votes[copy] = min(votes.get(copy, v), v)
     by = defaultdict(list)
     for places, values, sizes in votes.values():
@@ -344,8 +352,9 @@ def test_extract_equals_brute_force(spark):
         own = [(k, p) for k, p in enumerate(pages) if ("<article>" in p) == kind]
         possible = []
         for ref in {p for _, p in own}:  # which page is the reference is left to a hash
-            wrap = wrapper.judge(wrapper.parse(ref), plain_counts(ref, [p for _, p in own]))
-            possible.append([wrapper.text_by(wrapper.Pages(), p, ref, wrap) for _, p in own])
+            root = wrapper.parse(ref)
+            wrap = wrapper.judge(root, plain_counts(wrapper.skeleton(root), [p for _, p in own]))
+            possible.append([wrapper.text_by(wrapper.Pages(), p, wrapper.skeleton(root, wrap)) for _, p in own])
         assert [got[k] for k, _ in own] in possible
 
 

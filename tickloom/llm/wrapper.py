@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Pages of a host that have the same kinds of structural elements and start with the same one are a layout, and each layout
-has a reference page; layouts of one page are put to the host's commonest. Every page of a layout is aligned with its
+has a reference page, of which only the tree is kept; layouts of one page are put to the host's commonest. Every page of a layout is aligned with its
 reference by simple tree matching, the ordered matching of two DOM trees with most nodes in common. Each text of the
 reference counts the pages that have a text in its place, the values there and the commonest one; each container counts
 the pages in which it has the same shape, and the text that pages have in it beyond the reference. Pages whose text,
@@ -72,7 +72,6 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -397,7 +396,7 @@ def _text(tops: list[Node], template: set[int] | frozenset[int]) -> str:
                 parts.append(" ")
                 stack.append(None)
             stack.extend(reversed(node.children))
-    return _SPACE.sub(" ", "".join(parts)).strip()
+    return " ".join("".join(parts).split())
 
 
 def content(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
@@ -455,21 +454,59 @@ def _container(node: Node) -> bool:
     return node.tag != "#" and node.tag not in INLINE and node.tag not in BLOCKS and node.tag not in HARD
 
 
+def skeleton(root: Node, marks: dict[int, int] | None = None) -> str:
+    """A tree without its texts, with the marks of a wrapper: a line per node in page order with tag, number of children,
+    whether it is skipped (s) and what the page calls its article (m), and the mark. It is a small part of a page."""
+    lines = []
+    for k, x in enumerate(nodes_of(root)):
+        mark = marks.get(k) if marks else None
+        line = x.tag if x.tag == "#" else f"{x.tag} {len(x.children)} {'s' * x.skip}{'m' * x.main}"
+        lines.append(line if mark is None else f"{line} ={mark}")
+    return "\n".join(lines)
+
+
+def regrown(text: str) -> tuple[Node, dict[int, int]]:
+    """The tree of a skeleton, and its marks by the nodes' numbers."""
+    root, marks = Node("#root"), {}
+    open_: list[tuple[Node, int]] = []
+    for k, line in enumerate(text.split("\n")):
+        tag, *rest = line.split(" ")
+        if rest and rest[-1].startswith("="):
+            marks[k] = int(rest.pop()[1:])
+        node = Node(tag)
+        if k:
+            parent, left = open_.pop()
+            parent.children.append(node)
+            if left > 1:
+                open_.append((parent, left - 1))
+        else:
+            root = node
+        if tag != "#":
+            node.skip, node.main = "s" in rest[1], "m" in rest[1]
+            if int(rest[0]):
+                open_.append((node, int(rest[0])))
+    return root, marks
+
+
 class Pages:
-    """Parsing and aligning with a reference, whose tree is kept while the pages of its layout come one after another."""
+    """Parsing pages and aligning them with references, whose trees are kept; all is forgotten when memory is full."""
+
+    limit = 200_000
 
     def __init__(self) -> None:
-        self.matcher, self.last = Matcher(), (None, None, {})
-
-    def reference(self, source: str) -> tuple[Node, dict[int, int]]:
-        """The reference's tree, and the numbers of its nodes in page order by their ids."""
-        if self.matcher.full():
-            self.matcher, self.last = Matcher(), (None, None, {})
-        if self.last[0] != source:
-            tree = parse(source)
+        self.matcher, self.held, self.known = Matcher(), 0, {}
+
+    def reference(self, text: str) -> tuple[Node, dict[int, int], dict[int, int]]:
+        """Of a skeleton the tree, the numbers of its nodes by their ids, and the marks."""
+        if self.matcher.full() or self.held > self.limit:
+            self.matcher, self.held, self.known = Matcher(), 0, {}
+        found = self.known.get(text)
+        if found is None:
+            tree, marks = regrown(text)
             self.matcher.shape(tree)
-            self.last = (source, tree, {id(x): k for k, x in enumerate(nodes_of(tree))})
-        return self.last[1], self.last[2]
+            found = self.known[text] = (tree, {id(x): k for k, x in enumerate(nodes_of(tree))}, marks)
+            self.held += len(found[1])
+        return found
 
     def tree(self, source: str) -> Node:
         tree = parse(source)
@@ -477,10 +514,10 @@ class Pages:
         return tree
 
 
-def votes_of(pages: Pages, ref: str, page: str) -> tuple[bytes, list[int], list[int], list[int]]:
+def votes_of(pages: Pages, reference: str, page: str) -> tuple[bytes, list[int], list[int], list[int]]:
     """Digest of a page's text, and its votes: places of the reference with, for a text, its value and length, and for
     an element, whether it has the reference's shape (1 or 0) and the plain characters of children without a partner."""
-    model, at = pages.reference(ref)
+    model, at, _ = pages.reference(reference)
     tree = pages.tree(page)
     copy = _digest(tree)
     places, values, sizes = [], [], []
@@ -502,11 +539,22 @@ def votes_of(pages: Pages, ref: str, page: str) -> tuple[bytes, list[int], list[
     return copy, places, values, sizes
 
 
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of a batch, one at a time."""
+    return zip(*((x.as_py() for x in batch.column(c)) for c in names), strict=True)
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = pa.array([skeleton(parse(x)) for (x,) in _rows(batch, "html")], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("of"), text], ["host", "of", "reference"])
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, of, copy, places, values, sizes): the votes of each page."""
     pages = Pages()
     for batch in batches:
-        got = [votes_of(pages, ref, page) for page, ref in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True)]
+        got = [votes_of(pages, ref, page) for page, ref in _rows(batch, "html", "reference")]
         copy, places, values, sizes = zip(*got, strict=True) if got else ((), (), (), ())
         columns = [batch.column("host"), batch.column("of"), pa.array(copy, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, ["host", "of", "copy", "places", "values", "sizes"])
@@ -607,59 +655,49 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wrapper (places, marks) of each layout's counts."""
+    """The wrapper of each layout by its counts: the reference's skeleton with marks; null where it has none."""
     for batch in batches:
-        places, marks = [], []
-        for ref, counts in zip(batch.column("reference").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            found = judge(parse(ref), {c["place"]: (c["pages"], c["distinct"], c["top"], c["value"], c["size"], c["same"]) for c in counts})
-            places.append(list(found))
-            marks.append(list(found.values()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "of")), pa.array(places, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))], ["host", "of", "places", "marks"])
+        out = []
+        for ref, counts in _rows(batch, "reference", "counts"):
+            root, _ = regrown(ref)
+            found = judge(root, {c["place"]: (c["pages"], c["distinct"], c["top"], c["value"], c["size"], c["same"]) for c in counts})
+            out.append(skeleton(root, found) if found else None)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("of"), pa.array(out, pa.string())], ["host", "of", "wrapper"])
 
 
-def text_by(pages: Pages, page: str, ref: str, wrapper: dict[int, int]) -> str:
+def text_by(pages: Pages, page: str, wrapper: str | None) -> str:
     """Text of a page by the wrapper of its layout."""
+    if wrapper is None:
+        return content(parse(page))
+    model, at, marks = pages.reference(wrapper)
     tree = pages.tree(page)
-    if not wrapper:
-        return content(tree)
-    model, at = pages.reference(ref)
-    pages.matcher.shape(tree)
     template, article = set(), None
+    beside: list[Node] = []  # what stands beside the article's place on this page only
     for a, b, rest in pages.matcher.align(model, tree):
-        mark = wrapper.get(at[id(a)])
-        if mark is None:
-            continue
+        mark = marks.get(at[id(a)])
         if a.tag == "#":
-            if mark == 0 or mark == _value(b.text.strip()):
+            if mark is not None and (mark == 0 or mark == _value(b.text.strip())):
                 template.add(id(b))
-        elif mark == FURNITURE:
+            continue
+        if rest and (mark == ABOVE or a.tag in ("#root", "html", "body")) and mark != ARTICLE:
+            beside += rest
+        if mark == FURNITURE:
             b.skip = True
-        else:
+        elif mark is not None:
             b.skip = False
             if mark == ARTICLE:
                 article = b
     if article is None:
         return content(tree, template)
-    for a, b, rest in pages.matcher.align(model, tree):
-        if b is not article and wrapper.get(at[id(a)]) == ABOVE or a is model or a.tag in ("html", "body"):
-            for x in rest:  # what stands beside the article's place on single pages
-                x.skip = x.skip or _container(x)
-        if b is article:
-            break
-    return _text([tree], template) or content(pages.tree(page), template)
+    for x in beside:
+        x.skip = x.skip or _container(x)
+    return _text([tree], template) or content(parse(page))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages, last, wrapper = Pages(), None, {}
+    pages = Pages()
     for batch in batches:
-        out = []
-        for page, ref, places, marks in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "places", "marks")), strict=True):
-            if ref is None or not places:
-                out.append(content(parse(page or "")))
-                continue
-            if ref != last:
-                last, wrapper = ref, dict(zip(places, marks, strict=True))
-            out.append(text_by(pages, page or "", ref, wrapper))
+        out = [text_by(pages, page or "", wrapper) for page, wrapper in _rows(batch, "html", "wrapper")]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -680,7 +718,8 @@ def extract(pages: DataFrame) -> DataFrame:
         single = F.col("n") < 2
         chosen = found.join(most, "host").select("host", "layout", F.when(single, F.col("top.layout")).otherwise(F.col("layout")).alias("of"), F.when(single, F.col("top.key")).otherwise(F.col("key")).alias("key"))
         chosen = scratch.table(chosen, "chosen")
-        models = own.withColumn("key", _key()).join(chosen.select("host", "of", "key").distinct(), ["host", "key"]).groupBy("host", "of").agg(F.min("html").alias("reference"))
+        models = own.withColumn("key", _key()).join(chosen.select("host", "of", "key").distinct(), ["host", "key"]).groupBy("host", "of").agg(F.min("html").alias("html"))
+        models = scratch.table(models.mapInArrow(_skeletons, "host string, of string, reference string"), "models")
         references = scratch.table(chosen.drop("key").join(models, ["host", "of"]), "references")
         # At sight of both tables' sizes the planner broadcasts the references or sorts and splits.
         votes = own.join(references, ["host", "layout"]).select("host", "of", "html", "reference")
@@ -693,12 +732,11 @@ def extract(pages: DataFrame) -> DataFrame:
         )
         one = F.struct("place", "pages", "distinct", F.col("top.n").alias("top"), F.col("top.value").alias("value"), "size", "same")
         counts = counts.groupBy("host", "of").agg(F.collect_list(one).alias("counts"))  # at most the nodes of a page
-        wrappers = references.groupBy("host", "of").agg(F.min("reference").alias("reference")).join(counts, ["host", "of"])
-        wrappers = scratch.table(wrappers.mapInArrow(_judge, "host string, of string, places array<int>, marks array<bigint>"), "judged")
-        wrapper = scratch.table(references.join(wrappers, ["host", "of"]), "wrappers", keep=True)
-    wrapper = wrapper.select(F.col("host").alias("its_host"), F.col("layout").alias("its_layout"), "reference", "places", "marks")
+        wrappers = models.join(counts, ["host", "of"]).mapInArrow(_judge, "host string, of string, wrapper string")
+        wrapper = scratch.table(references.select("host", "layout", "of").join(wrappers, ["host", "of"]), "wrappers", keep=True)
+    wrapper = wrapper.select(F.col("host").alias("its_host"), F.col("layout").alias("its_layout"), "wrapper")
     found = page.join(wrapper, (F.col("host") == F.col("its_host")) & (F.col("layout") == F.col("its_layout")), "left")
-    return found.select("page_id", "url", "html", "reference", "places", "marks").mapInArrow(_extract, "page_id bigint, url string, text string")
+    return found.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id bigint, url string, text string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
