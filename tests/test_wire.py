@@ -1,12 +1,14 @@
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import wire as w
 from tickloom.functions.layout import MAGIC, MESSAGES, SCHEMA_VERSION, message
 from tickloom.functions.rules import REASONS, RULES, SEVERITIES, catalogue, starved
-from tickloom.operators.frames import decode_frames, frame_findings, messages_of, structural, walk
+from tickloom.operators.frames import decode_frames, frame_findings, messages_of, starts_of, structural
 
 
 def raw_frame(feed, *messages, count=None, length=None, seq=1, channel=3, version=None, reset=0):
@@ -52,11 +54,31 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("case", CASES)
-def test_walk(case):
-    raw, want = CASES[case]
-    found, _ = walk(raw, MAGIC["mbo"], SCHEMA_VERSION["mbo"])
-    assert [(f["rule_id"], f["transport"]) for f in found] == want
+def test_frame_rules(spark):
+    names = list(CASES)
+    grams = spark.createDataFrame([("c", k, "mktdata", bytearray(CASES[n][0])) for k, n in enumerate(names)] + [("c", 99, "mktdata", None)], "capture_id string, arrival bigint, port string, raw binary")
+    got = {r["arrival"]: [(f["rule_id"], f["transport"]) for f in r["findings"]] for r in decode_frames(grams, "mbo").collect()}
+    assert {n: got[k] for k, n in enumerate(names)} == {n: want for n, (_, want) in CASES.items()}
+    assert got[99] == [("FRAME.LENGTH_CONSISTENCY", True)]
+
+
+def test_starts_equal_a_plain_loop():
+    rng = random.Random(1)
+    rows = [None, b"", b"x" * 23]
+    for _ in range(300):
+        raw = bytearray(rng.randrange(256) for _ in range(rng.randrange(24, 200)))
+        for at in range(25, len(raw)):
+            raw[at] = rng.choice([0, 3, 4, 5, 8, 16, 40])
+        raw[22:24] = rng.choice([len(raw), len(raw) - 3, len(raw) + 9, 30000]).to_bytes(2, "little")
+        rows.append(bytes(raw))
+    got = starts_of(pa.concat_arrays([pa.array(rows[:2], pa.binary()), pa.array([b"left out", *rows[2:]], pa.binary())[1:]])).to_pylist()
+    for raw, found in zip(rows, got, strict=True):
+        want, at = [], 24
+        end = min(len(raw), int.from_bytes(raw[22:24], "little")) if raw and len(raw) >= 24 else 0
+        while at + 4 <= end and 4 <= raw[at + 1] <= end - at:
+            want.append(at)
+            at += raw[at + 1]
+        assert found == want
 
 
 def test_short_bodies_read_as_zero(spark):

@@ -1,16 +1,16 @@
 """Datagrams to frames to messages, and the structural rules on them. Everything here is row-local: no shuffle.
 
-datagrams: capture_id, arrival, port, raw. The frame walk is the one step in Python (one Arrow batch at a time); the
-header and all message fields are column expressions.
+datagrams: capture_id, arrival, port, raw. Where the messages of a frame begin is found in Arrow batches, for all frames
+of a batch at once; the header, all message fields and every rule are column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.layout import FRAME_HEADER, MAGIC, MAX_FRAME, MESSAGE_HEADER, SCHEMA_VERSION, Field, message, of_feed
 from ..functions.wire import read
@@ -20,83 +20,92 @@ _HEADER = (
     Field("msg_count", 20, "u8"), Field("reset_count", 21, "u8"), Field("frame_length", 22, "u16"),
 )
 
-_WALK = pa.struct(
-    [
-        ("findings", pa.list_(pa.struct([("rule_id", pa.string()), ("at", pa.int32()), ("detail", pa.string()), ("transport", pa.bool_())]))),
-        ("messages", pa.list_(pa.struct([("type", pa.int32()), ("length", pa.int32()), ("flags", pa.int32()), ("at", pa.int32()), ("body", pa.binary())]))),
-    ]
-)
-_WALK_DDL = "struct<findings:array<struct<rule_id:string,at:int,detail:string,transport:boolean>>,messages:array<struct<type:int,length:int,flags:int,at:int,body:binary>>>"
-
-
-def walk(raw: bytes, magic: int, version: int) -> tuple[list[dict], list[dict]]:
-    """Findings and messages of one datagram. A short or foreign one has no messages.
-
-    What a cut on the way can explain is transport; a publisher's own contradiction is not. Counts are judged only
-    where nothing was cut."""
-    found: list[dict] = []
-    messages: list[dict] = []
-
-    def say(rule: str, at: int, detail: str, transport: bool = False) -> None:
-        found.append({"rule_id": rule, "at": at, "detail": detail, "transport": transport})
-
-    size = len(raw)
-    if size < FRAME_HEADER:
-        say("FRAME.LENGTH_CONSISTENCY", 0, f"{size} bytes are no header", True)
-        return found, messages
-    declared, count = int.from_bytes(raw[22:24], "little"), raw[20]
-    if (own := int.from_bytes(raw[:2], "little")) != magic:
-        say("FRAME.MAGIC_MISMATCH", 0, f"magic {own}")
-        return found, messages
-    if raw[2] != version:
-        say("FRAME.SCHEMA_VERSION", 2, f"version {raw[2]}")
-    legal = FRAME_HEADER <= declared <= MAX_FRAME
-    if not legal:
-        say("FRAME.LENGTH_CONSISTENCY", 22, f"frame length {declared}")
-    elif declared != size:
-        say("FRAME.LENGTH_CONSISTENCY", 22, f"frame length {declared} of {size}", declared > size)
-    end, cut = min(declared, size), legal and declared > size
-    at = FRAME_HEADER
-    stopped = None  # what ended the walk before the end: rule, detail, transport
-    while at < end and stopped is None:
-        length = raw[at + 1] if at + MESSAGE_HEADER <= end else None
-        if length is None:
-            stopped = ("FRAME.LENGTH_CONSISTENCY", "rest is no message header", cut)
-        elif length < MESSAGE_HEADER:
-            stopped = ("MSG.LENGTH_PER_TYPE", f"message length {length}", False)
-        elif at + length > declared:
-            stopped = ("FRAME.LENGTH_CONSISTENCY", "message beyond the frame", False)
-        elif at + length > size:
-            stopped = ("FRAME.LENGTH_CONSISTENCY", "message beyond the datagram", legal)
-        else:
-            messages.append({"type": raw[at], "length": length, "flags": int.from_bytes(raw[at + 2 : at + 4], "little"), "at": at, "body": raw[at + MESSAGE_HEADER : at + length]})
-            at += length
-    whole = not cut and not (stopped and stopped[2])
-    if stopped:
-        say(stopped[0], at, stopped[1], stopped[2])
-    if count == 0:
-        say("FRAME.MSG_COUNT_RANGE", 20, "message count 0")
-    if whole:
-        if count and count != len(messages):
-            say("FRAME.MSG_COUNT_RANGE", 20, f"message count {count} of {len(messages)}")
-        if legal and at != declared:
-            say("FRAME.LENGTH_CONSISTENCY", at, f"messages end at {at} of {declared}")
-    return found, messages
-
 
-def decode_frames(datagrams: DataFrame, feed: str) -> DataFrame:
-    """``datagrams`` with the header's fields, ``findings`` and ``messages``. Short datagrams have an all-zero header."""
+def starts_of(raw: pa.Array) -> pa.Array:
+    """Offsets of the messages that lie whole inside each datagram and inside its declared length, as int32 lists.
+
+    All datagrams advance together, one message a turn; a turn costs what the datagrams still under way cost."""
+    raw = raw.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"\0", np.uint8)
+    size = np.diff(bounds)
+    rows = np.flatnonzero(size >= FRAME_HEADER)
+    base = bounds[rows]
+    end = np.minimum(size[rows], data[base + 22] + data[base + 23].astype(np.int64) * 256)
+    at = np.full(len(rows), FRAME_HEADER, np.int64)
+    whose, where = [], []
+    while len(rows):
+        fits = at + MESSAGE_HEADER <= end
+        rows, base, end, at = rows[fits], base[fits], end[fits], at[fits]
+        length = data[base + at + 1].astype(np.int64)
+        fits = (length >= MESSAGE_HEADER) & (at + length <= end)
+        rows, base, end, at, length = rows[fits], base[fits], end[fits], at[fits], length[fits]
+        whose.append(rows)
+        where.append(at)
+        at = at + length
+    whose, where = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (whose, where))
+    order = np.argsort(whose, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(raw)))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(where[order], pa.int32()))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _starts(raw: pa.Array) -> pa.Array:
+    return starts_of(raw)
+
+
+def _byte(at: Column | int) -> Column:
+    at = at if isinstance(at, Column) else F.lit(at)
+    return F.conv(F.hex(F.substring(F.col("raw"), at + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def _frame_rules(feed: str) -> Column:
+    """The findings of a datagram: each rule is a predicate on its header, its size and the end of its last message.
+
+    What a cut on the way can explain is transport; a publisher's own contradiction is not. Counts, and the end of the
+    messages, are judged only where nothing was cut."""
+    size, declared, count, n = F.octet_length("raw"), F.col("frame_length"), F.col("msg_count"), F.size("starts")
+    own = (size >= FRAME_HEADER) & (F.col("magic") == MAGIC[feed])
+    legal = declared.between(FRAME_HEADER, MAX_FRAME)
+    cut = legal & (declared > size)
+    last = F.element_at("starts", -1)
+    stop = F.when(n > 0, last + _byte(last + 1)).otherwise(FRAME_HEADER)
+    left = F.least(declared, size) - stop
+    next_length = F.when(left >= MESSAGE_HEADER, _byte(stop + 1))
+    beyond = next_length >= MESSAGE_HEADER
+
+    def say(rule: str, when: Column, at: Column | int, detail: list, transport: Column | bool = False) -> Column:
+        parts = [x.cast("string") if isinstance(x, Column) else F.lit(x) for x in detail]
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.when(when, F.struct(F.lit(rule).alias("rule_id"), as_column(at).cast("int").alias("at"), F.concat(*parts).alias("detail"), as_column(transport).alias("transport")))
+
+    return F.array_compact(
+        F.array(
+            say("FRAME.LENGTH_CONSISTENCY", size < FRAME_HEADER, 0, [size, " bytes are no header"], True),
+            say("FRAME.MAGIC_MISMATCH", (size >= FRAME_HEADER) & ~own, 0, ["magic ", F.col("magic")]),
+            say("FRAME.SCHEMA_VERSION", own & (F.col("schema_version") != SCHEMA_VERSION[feed]), 2, ["version ", F.col("schema_version")]),
+            say("FRAME.LENGTH_CONSISTENCY", own & ~legal, 22, ["frame length ", declared]),
+            say("FRAME.LENGTH_CONSISTENCY", own & legal & (declared != size), 22, ["frame length ", declared, " of ", size], declared > size),
+            say("FRAME.LENGTH_CONSISTENCY", own & left.between(1, MESSAGE_HEADER - 1), stop, ["rest is no message header"], cut),
+            say("MSG.LENGTH_PER_TYPE", own & (next_length < MESSAGE_HEADER), stop, ["message length ", next_length]),
+            say("FRAME.LENGTH_CONSISTENCY", own & beyond & (stop + next_length > declared), stop, ["message beyond the frame"]),
+            say("FRAME.LENGTH_CONSISTENCY", own & beyond & (stop + next_length <= declared), stop, ["message beyond the datagram"], legal),
+            say("FRAME.MSG_COUNT_RANGE", own & (count == 0), 20, ["message count 0"]),
+            say("FRAME.MSG_COUNT_RANGE", own & ~cut & (count > 0) & (count != n), 20, ["message count ", count, " of ", n]),
+            say("FRAME.LENGTH_CONSISTENCY", own & ~cut & legal & (stop != declared), stop, ["messages end at ", stop, " of ", declared]),
+        )
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            walked = [dict(zip(("findings", "messages"), walk(r or b"", MAGIC[feed], SCHEMA_VERSION[feed]), strict=True)) for r in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(walked, _WALK)], [*batch.schema.names, "walked"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in datagrams.schema)
-    out = datagrams.mapInArrow(run, f"{fields}, walked {_WALK_DDL}")
+def decode_frames(datagrams: DataFrame, feed: str) -> DataFrame:
+    """``datagrams`` with the header's fields, ``starts`` (offsets of the messages; none in a foreign frame) and
+    ``findings``. Short datagrams have an all-zero header; null ones are empty."""
+    raw = F.coalesce("raw", F.lit(b""))
     whole = F.octet_length("raw") >= FRAME_HEADER
     header = {f.name: F.when(whole, read(F.col("raw"), f, 0)).otherwise(F.lit(0)).cast("bigint") for f in _HEADER}
-    return out.withColumns({"feed": F.lit(feed), **header, "findings": F.col("walked.findings"), "messages": F.col("walked.messages")}).drop("walked")
+    out = datagrams.withColumn("raw", raw).withColumn("starts", _starts("raw")).withColumns({"feed": F.lit(feed), **header})
+    none = F.array().cast("array<int>")
+    return out.withColumn("starts", F.when(F.col("magic") == MAGIC[feed], F.col("starts")).otherwise(none)).withColumn("findings", _frame_rules(feed))
 
 
 def frame_findings(frames: DataFrame) -> DataFrame:
@@ -107,9 +116,12 @@ def frame_findings(frames: DataFrame) -> DataFrame:
 
 def messages_of(frames: DataFrame) -> DataFrame:
     """A row for each message, with the frame's header."""
-    keep = [c for c in frames.columns if c not in ("raw", "findings", "messages", "flags", "type", "length")]
-    m = frames.select(*keep, F.posexplode("messages").alias("msg_index", "m"))
-    return m.select(*keep, "msg_index", "m.type", "m.length", "m.flags", "m.body")
+    own = ("raw", "findings", "starts", "flags", "type", "length")
+    keep = [c for c in frames.columns if c not in own]
+    m = frames.select(*keep, "raw", F.posexplode("starts").alias("msg_index", "at"))
+    length = _byte(F.col("at") + 1)
+    body = F.substring(F.col("raw"), F.col("at") + MESSAGE_HEADER + 1, length - MESSAGE_HEADER)
+    return m.select(*keep, "msg_index", _byte(F.col("at")).alias("type"), length.alias("length"), (_byte(F.col("at") + 2) + 256 * _byte(F.col("at") + 3)).alias("flags"), body.alias("body"))
 
 
 def registered(source: Column, ranges: list[tuple[int, int]] | None) -> Column:

@@ -108,7 +108,7 @@ def _several(spark, sf) -> DataFrame:
 @query("frame_walk_message_counts", with_ctes("ticks", "select seq % 4 as n_messages, count(*) as n from ticks where seq % 23 <> 0 group by 1"))
 def frame_walk_message_counts(spark, sf):
     f = fr.decode_frames(_several(spark, sf), "mbo").where("octet_length(raw) >= 24")
-    return f.groupBy(F.size("messages").cast("bigint").alias("n_messages")).agg(F.count("*").alias("n"))
+    return f.groupBy(F.size("starts").cast("bigint").alias("n_messages")).agg(F.count("*").alias("n"))
 
 
 @query("frame_length_findings", with_ctes("ticks", """
