@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.layout import FRAME_HEADER, MAGIC, message
@@ -24,12 +24,13 @@ from .operators import orders as od
 from .operators import refdata as rd
 from .operators import snapshots as sn
 from .operators.findings import graded
-from .operators.ordered import asof, with_duplicates, with_emit_position, with_eras, with_gaps, with_islands, with_previous, with_sticky
+from .operators.ordered import asof, with_common_eras, with_duplicates, with_emit_position, with_eras, with_gaps, with_islands, with_previous, with_ring, with_sticky
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Durations are in ns, and 0 leaves out the rules that need them."""
+    """Durations are in ns, and 0 leaves out the rules that need them. ``journal`` is how many changes of an instrument
+    a subscriber keeps between two snapshot groups."""
 
     window: int = 8
     manifest_cadence: int = 0
@@ -38,6 +39,7 @@ class Settings:
     confirm_cycles: int = 2
     ranges: tuple[tuple[int, int], ...] | None = ((1, 1023),)
     ports: tuple[str, ...] = ("mktdata", "refdata", "snapshot")
+    journal: int = 4096
 
     def configured(self) -> tuple[str, ...]:
         out = []
@@ -52,7 +54,9 @@ class Settings:
 
 CHANNEL = ["capture_id", "channel_id"]
 BOOK = [*CHANNEL, "instrument", "era_no"]
+LIFE = [*BOOK, "life_no"]
 _PLACE = ["capture_id", "port", "channel_id", "seq"]
+_CARRIED = ("capture_id", "port", "channel_id", "seq", "era_no", "pos", "send_ts", "dirty", "lost_frames", "future", "body")
 
 
 def _say(rows: DataFrame, rule: str | Column, status: str | Column = "violation", reason: str | Column | None = None, detail: Column | None = None) -> DataFrame:
@@ -74,7 +78,7 @@ class Run:
         self.frames = cut(fr.decode_frames(datagrams, feed).withColumn("future", F.col("schema_version") > fr.SCHEMA_VERSION[feed]))
         own = (F.octet_length("raw") >= FRAME_HEADER) & (F.col("magic") == MAGIC[feed])
         keys = [*CHANNEL, "port"]
-        eras = cut(with_eras(self.frames.where(own), keys))
+        eras = cut(with_common_eras(with_eras(self.frames.where(own), keys), CHANNEL, "port"))
         self.lost_eras = eras.where("era_state in ('older', 'ambiguous')")
         self.starts = eras.where("era_state = 'newer'")
         copies = cut(with_duplicates(eras.where("era_state in ('same', 'newer')").withColumn("payload", F.xxhash64("raw")), [*keys, "era_no", "seq"], "payload"))
@@ -88,9 +92,9 @@ class Run:
         self.messages = cut(m.withColumn("pos", F.struct("emit_pos", "era_no", "seq", "msg_index")))
 
     def typed(self, *names: str, port: str | None = None) -> list[DataFrame]:
-        keep = ("capture_id", "port", "channel_id", "seq", "era_no", "pos", "send_ts", "dirty", "future", "type", "body")
+        keep = ("capture_id", "port", "channel_id", "seq", "era_no", "pos", "send_ts", "dirty", "missing", "future", "type", "body")
         m = self.messages.where(F.col("port") == port) if port else self.messages
-        return [decode(m, message(self.feed, n), keep).drop("channel", "ts") for n in names]
+        return [decode(m.withColumnRenamed("missing", "lost_frames"), message(self.feed, n), tuple("lost_frames" if c == "missing" else c for c in keep)).drop("channel", "ts") for n in names]
 
     # --- envelope and sequencing
 
@@ -182,30 +186,42 @@ class Run:
         bound = F.when(~ready | ~F.col("price_bound").isin(1, 2), "na").when(F.col("mid_price") < 0, "violation").otherwise("pass")
         return [_say(k, "MID.METHOD0_REQUIRES_DEFAULT", default), _say(k, "MID.PRICE_BOUND", bound)]
 
-    def _sequenced(self, deltas: DataFrame) -> DataFrame:
-        """Deltas with life_no (instrument resets so far), prev_max, missing and untrusted: something before this row
-        is missing, or the numbering was not seen from 1."""
+    def _lives(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with life_no, the instrument resets so far: after a reset the book is empty and numbers start anew."""
         (resets,) = self.typed("instrument_reset", port="mktdata")
-        both = deltas.withColumn("is_reset", F.lit(False)).unionByName(resets.select(*_PLACE, "era_no", "pos", "instrument").withColumn("is_reset", F.lit(True)), allowMissingColumns=True)
-        d = with_islands(both, BOOK, F.col("is_reset"), ["pos"], "life_no").where("not is_reset").drop("is_reset")
-        life = [*BOOK, "life_no"]
-        g = with_gaps(d, life, "per_seq", ["pos"])
-        broken = (F.col("missing") > 0) | (F.col("prev_max").isNull() & (F.col("per_seq") != 1)) | F.coalesce(F.col("dirty"), F.lit(False))
-        return cut(with_sticky(g, life, broken, ["pos"], "untrusted"))
-
-    def _groups(self, row: str, key: Column) -> DataFrame:
+        both = rows.withColumn("is_reset", F.lit(False)).unionByName(resets.select(*_PLACE, "era_no", "pos", "instrument").withColumn("is_reset", F.lit(True)), allowMissingColumns=True)
+        return with_islands(both, BOOK, F.col("is_reset"), ["pos"], "life_no").where("not is_reset").drop("is_reset")
+
+    def _sequenced(self, deltas: DataFrame) -> DataFrame:
+        """Deltas with life_no, prev_max, missing and untrusted: something before this row is missing, or the numbering
+        was not seen from 1."""
+        g = with_gaps(self._lives(deltas), LIFE, "per_seq", ["pos"])
+        broken = (F.col("missing") > 0) | (F.col("prev_max").isNull() & (F.col("per_seq") != 1))
+        g = with_sticky(g, LIFE, broken, ["pos"], "broken")
+        g = with_sticky(g, LIFE, F.coalesce(F.col("per_seq") <= F.col("prev_max"), F.lit(False)), ["pos"], "repeated")
+        return cut(with_sticky(g, LIFE, F.col("broken") | F.coalesce(F.col("dirty"), F.lit(False)), ["pos"], "untrusted"))
+
+    def _groups(self, row: str, key: Column, *values: str) -> DataFrame:
+        """Snapshot groups, with the life of their instrument at their end. A group is dirty if the snapshot port lost a
+        frame between its begin and its end; what was lost before its begin doesn't touch it."""
         begins, rows, ends = self.typed("snapshot_begin", row, "snapshot_end", port="snapshot")
-        common = ["capture_id", "port", "channel_id", "seq", "era_no", "pos", "snapshot_id", "dirty"]
+        common = ["capture_id", "port", "channel_id", "seq", "era_no", "pos", "snapshot_id", "lost_frames", "dirty"]
         b = begins.select(*common, "instrument", F.col("anchor").cast("bigint").alias("anchor"), "total", "last_seq").withColumn("kind", F.lit("begin"))
         e = ends.select(*common, "instrument", F.col("anchor").cast("bigint").alias("anchor")).withColumn("kind", F.lit("end"))
-        r = rows.select(*common, key.alias("key")).withColumn("kind", F.lit("row"))
+        r = rows.select(*common, key.alias("key"), *(F.col(v).cast("bigint").alias(v) for v in values)).withColumn("kind", F.lit("row"))
         every = b.unionByName(r, allowMissingColumns=True).unionByName(e, allowMissingColumns=True)
         self.snapshot_rows = cut(with_islands(every, [*CHANNEL, "era_no"], F.col("kind") == "begin", ["pos"]))
         g = sn.groups(every, [*CHANNEL, "era_no"]).where("island > 0")
-        more = self.snapshot_rows.groupBy(*CHANNEL, "era_no", "island").agg(
-            F.max("last_seq").alias("last_seq"), F.max(F.coalesce("dirty", F.lit(False))).alias("dirty"), F.max(F.when(F.col("kind") == "end", F.col("pos"))).alias("end_pos"), F.min("seq").alias("seq")
-        )
-        return cut(g.join(more, [*CHANNEL, "era_no", "island"]).withColumn("pos", F.col("begin_pos")))
+        # A frame after a loss taints the group that was open before it: not the one that it begins.
+        first = F.min_by("seq", "pos").over(Window.partitionBy(*CHANNEL, "era_no", "island"))
+        more = self.snapshot_rows.withColumn("inside", F.col("seq") > first).groupBy(*CHANNEL, "era_no", "island").agg(
+            F.max("last_seq").alias("last_seq"), F.max(F.col("inside") & (F.col("lost_frames") > 0)).alias("torn"), F.max(F.when(F.col("kind") == "end", F.col("pos"))).alias("end_pos"),
+            F.min("seq").alias("seq"), F.max(F.coalesce("dirty", F.lit(False))).alias("port_dirty"), F.max(F.col("lost_frames") * F.when(F.col("kind") == "begin", 1).otherwise(0)).alias("before"),
+        )
+        after = F.lead("before").over(Window.partitionBy(*CHANNEL, "era_no").orderBy("island"))
+        more = more.withColumn("dirty", F.col("torn") | (F.col("end_pos").isNull() & F.coalesce(after > 0, F.lit(False)))).drop("torn", "before")
+        g = g.join(more, [*CHANNEL, "era_no", "island"]).withColumn("port", F.lit("snapshot"))
+        return cut(self._lives(g.withColumn("pos", F.coalesce("end_pos", "begin_pos"))).withColumn("pos", F.col("begin_pos")))
 
     def _structure(self, g: DataFrame) -> dict[str, Column]:
         return {
@@ -218,69 +234,99 @@ class Run:
         common = [*_PLACE, "era_no", "pos", "dirty", "instrument", "per_seq"]
         u = updates.select(*common, "side", "price", F.col("qty").cast("bigint").alias("qty"), "action")
         c = clears.select(*common, "clear_side", "scope", "from_price")
-        s = self._sequenced(u.select(*common).unionByName(c.select(*common)))
-        taken = s.where("prev_max is null or per_seq > prev_max").select(*BOOK, "life_no", "per_seq").distinct()
-        g = self._groups("snapshot_level", F.concat_ws(":", "side", "price"))
+        s = self._lives(u.select(*common).unionByName(c.select(*common)))
+        g = self._groups("snapshot_level", F.concat_ws(":", "side", "price"), "side", "price", "qty")
         shape = self._structure(g)
         bad = shape["count"] | shape["end"] | shape["id"] | shape["dup"]
         structure = sn.verdict([(F.col("dirty") & (bad | shape["open"]), "unverifiable", "loss"), (~F.col("ended"), "unverifiable", "truncated"), (bad | shape["open"], "violation", None)])
         g = g.withColumn("structure", structure)
         out = [
-            _say(s.where("missing > 0"), "MBP.DELTA.PERINSTR_DENSITY"),
             _say(lv.absolute_apply(u), "MBP.DELTA.ABSOLUTE_APPLY"),
             _say(lv.malformed_clears(c), "MBP.DELTA.ABSOLUTE_APPLY"),
             _say(g, "MBP.SNAP.GROUP_STRUCTURE", F.col("structure.status"), F.col("structure.reason")),
         ]
         done = g.where("structure.status = 'pass'").withColumn("k", F.col("last_seq"))
-        after = asof(s, done.select(*BOOK, F.col("end_pos").alias("pos"), F.col("end_pos").alias("group_end")), BOOK, "pos", ["group_end"])
-        out.append(_say(after.where("per_seq = 1 and prev_max > 1 and group_end is not null"), "MBP.DELTA.PERINSTR_NO_SNAPSHOT_RESET"))
-        # The rebuilt ladder at each group's sequence number against the group's levels.
-        on = [*BOOK, "per_seq"]
-        legal = c.join(lv.malformed_clears(c).select(*on), on, "left_anti")
-        book = lv.ladder_asof(u.join(taken, on, "left_semi"), done.select(*BOOK, "k").distinct(), BOOK, legal.join(taken, on, "left_semi"))
-        (rows,) = self.typed("snapshot_level", port="snapshot")
-        inside = self.snapshot_rows.where("kind = 'row'").select("capture_id", "channel_id", "era_no", "island", "pos")
-        levels = rows.join(inside, ["capture_id", "channel_id", "era_no", "pos"]).join(done.select(*BOOK, "island", "k"), [*CHANNEL, "era_no", "island"])
-        snap = levels.select(*BOOK, "k", "side", "price", F.col("qty").cast("bigint").alias("qty"))
-        diff = sn.signatures(sn.book_diff(snap, book, [*BOOK, "k"], ["side", "price"], ["qty"]), [*BOOK, "k"], ["side", "price"])
-        bounds = s.groupBy(*BOOK).agg(F.max("per_seq").alias("last_delta"), F.max("untrusted").alias("untrusted"))
-        prior = with_previous(done, BOOK, ["pos"], base_k="k")
-        audits = prior.join(bounds, BOOK, "left").join(diff.select(*BOOK, "k", "signature", "shown"), [*BOOK, "k"], "left")
+        n = self._adopted(s, c, done)
+        out.append(_say(n.where("not adopted and missing > 0"), "MBP.DELTA.PERINSTR_DENSITY"))
+        out.append(_say(n.where("restarts"), "MBP.DELTA.PERINSTR_NO_SNAPSHOT_RESET"))
+        audits = n.where("adopted")
+        compared = audits.where("base_k is not null and k >= base_k").select(*LIFE, "island", "k", "base_island")
+        # What stands at a group's number: the base's levels, and the accepted changes since, each of which belongs to the
+        # first group that reaches its number.
+        levels = self.snapshot_rows.where("kind = 'row'").select(*CHANNEL, "era_no", "island", "side", "price", "qty")
+        base = compared.join(levels.withColumnRenamed("island", "base_island"), [*CHANNEL, "era_no", "base_island"])
+        base = base.select(*LIFE, "island", F.lit(-1).cast("bigint").alias("per_seq"), "side", "price", "qty")
+        changes = u.select(*common, "side", "price", "qty").unionByName(c.join(lv.malformed_clears(c).select(*BOOK, "pos"), [*BOOK, "pos"], "left_anti").select(*common, "clear_side", "scope", "from_price"), allowMissingColumns=True)
+        taken = n.where("not adopted and accepted").select(*LIFE, "pos")
+        changes = changes.join(taken, [*BOOK, "pos"]).withColumn("at", F.col("per_seq").cast("bigint"))
+        reach = audits.where("base_k is null or k > base_k").select(*LIFE, F.col("k").cast("bigint").alias("at"), "island")
+        changes = asof(changes, reach, LIFE, "at", ["island"], forward=True).where("island is not null")
+        keys = [*LIFE, "island"]
+        changes = changes.join(compared.select(*keys), keys, "left_semi")
+        book = lv.ladder(base.unionByName(changes.where("price is not null").select(*base.columns)), keys, changes.where("scope is not null"))
+        snap = levels.join(compared.select(*keys), [*CHANNEL, "era_no", "island"]).select(*keys, "side", "price", "qty")
+        diff = sn.signatures(sn.book_diff(snap, book, keys, ["side", "price"], ["qty"]), keys, ["side", "price"])
+        audits = audits.join(diff.select(*keys, "signature", "shown"), keys, "left")
         v = sn.verdict(
             [
-                (F.coalesce(F.col("untrusted"), F.lit(False)), "unverifiable", "loss"),
-                (F.col("base_k").isNull() & (F.col("k") > 0) & F.col("last_delta").isNull(), "unverifiable", "cold_start"),
+                (F.col("gapped"), "unverifiable", "loss"),
+                (F.col("overflow"), "unverifiable", "overflow"),
+                (F.col("base_k").isNull() & ((F.col("k") > 0) | (F.col("received") > 0)), "unverifiable", "cold_start"),
                 (F.col("k") < F.col("base_k"), "unverifiable", "reorder"),
-                (F.col("k") > F.coalesce("last_delta", F.lit(0)), "unverifiable", "pending"),
+                (F.col("k") > F.coalesce("prev_max", F.lit(0)), "unverifiable", "pending"),
                 (F.col("signature").isNotNull(), "violation", None),
             ]
         )
-        audits = audits.withColumn("v", v)
+        audits = audits.withColumn("v", v).withColumn("pos", F.col("begin_pos"))
         out.append(_say(audits, "MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", F.col("v.status"), F.col("v.reason"), F.col("shown")))
         return out
 
+    def _adopted(self, s: DataFrame, clears: DataFrame, done: DataFrame) -> DataFrame:
+        """Deltas and, at their ends, the groups that a subscriber adopts, in one numbering per life. A group sets the
+        number to its own if that is greater, and ends what the deltas before it missed. Columns of both: prev_max (the
+        number before), missing, accepted, restarts. Of groups: gapped and overflow since the group before, and the
+        base, which is the group adopted before with the greatest number (base_k, base_island)."""
+        bad = lv.malformed_clears(clears).select(*BOOK, "pos", F.lit(True).alias("malformed"))
+        d = s.select(*_PLACE, "era_no", "instrument", "life_no", "pos", "per_seq").join(bad, [*BOOK, "pos"], "left").withColumn("adopted", F.lit(False))
+        a = done.select(*_PLACE, "era_no", "instrument", "life_no", F.col("end_pos").alias("pos"), "begin_pos", "island", "k", "received").withColumn("adopted", F.lit(True))
+        n = d.unionByName(a, allowMissingColumns=True)
+        w = Window.partitionBy(*LIFE).orderBy("pos")
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        n = n.withColumn("prev_max", F.max(F.coalesce("per_seq", F.when(F.col("k") > 0, F.col("k")))).over(before)).withColumn("after_group", F.lag("adopted").over(w))
+        n = n.withColumn("missing", F.greatest(F.coalesce(F.col("per_seq") - F.col("prev_max") - 1, F.lit(0)), F.lit(0)).cast("bigint"))
+        n = n.withColumn("accepted", ~F.col("adopted") & (F.col("prev_max").isNull() | (F.col("per_seq") > F.col("prev_max"))))
+        n = n.withColumn("restarts", F.coalesce(F.col("after_group") & (F.col("per_seq") == 1) & (F.col("prev_max") > 1), F.lit(False)))
+        n = n.withColumn("span", F.coalesce(F.sum(F.col("adopted").cast("bigint")).over(before), F.lit(0)))
+        part = Window.partitionBy(*LIFE, "span").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        n = n.withColumn("gapped", F.max((F.col("missing") > 0) | F.col("restarts") | F.coalesce("malformed", F.lit(False))).over(part))
+        n = n.withColumn("taken", F.sum(F.col("accepted").cast("bigint")).over(part))
+        n = n.withColumn("base", F.max(F.when(F.col("adopted"), F.struct(F.col("k"), F.col("pos"), F.col("island")))).over(before))
+        kept = F.greatest(F.col("prev_max") - F.col("k"), F.lit(0))  # changes beyond a group's number stay in the journal
+        n = n.withColumn("kept", F.coalesce(F.max(F.when(F.col("adopted"), F.struct("pos", kept.alias("kept")))).over(before)["kept"], F.lit(0)))
+        n = n.withColumn("overflow", F.col("kept") + F.col("taken") > self.settings.journal)
+        return cut(n.withColumn("base_k", F.col("base.k")).withColumn("base_island", F.col("base.island")).drop("base", "kept", "taken", "span", "after_group"))
+
     def market_by_order(self) -> list[DataFrame]:
         adds, cancels, executes, trades = self.typed("order_add", "order_cancel", "order_execute", "trade", port="mktdata")
         common = [*_PLACE, "era_no", "pos", "dirty", "instrument", "source", "per_seq", "order_id"]
         hidden = adds.where(F.col("flags").bitwiseAND(F.lit(4).cast("bigint")) != 0).select(*BOOK, "order_id").distinct()
-        body = F.xxhash64("type", "body")
         qty = F.col("qty").cast("bigint").alias("qty")
         events = (
-            adds.select(*common, "side", "price", qty, body.alias("payload")).withColumn("kind", F.lit("add"))
-            .unionByName(cancels.select(*common, body.alias("payload")).withColumn("kind", F.lit("cancel")), allowMissingColumns=True)
-            .unionByName(executes.select(*common, "aggressor", "trade_id", "price", qty, (F.col("exec_flags").bitwiseAND(F.lit(1).cast("bigint")) != 0).alias("full_fill"), body.alias("payload")).withColumn("kind", F.lit("execute")), allowMissingColumns=True)
+            adds.select(*common, "side", "price", "flags", F.col("enter_ts").cast("bigint").alias("enter_ts"), qty, F.xxhash64(*adds.drop(*_CARRIED).columns).alias("payload")).withColumn("kind", F.lit("add"))
+            .unionByName(cancels.select(*common, F.xxhash64(*cancels.drop(*_CARRIED).columns).alias("payload")).withColumn("kind", F.lit("cancel")), allowMissingColumns=True)
+            .unionByName(executes.select(*common, "aggressor", "trade_id", "price", qty, (F.col("exec_flags").bitwiseAND(F.lit(1).cast("bigint")) != 0).alias("full_fill"), F.xxhash64(*executes.drop(*_CARRIED).columns).alias("payload")).withColumn("kind", F.lit("execute")), allowMissingColumns=True)
         )
         s = self._sequenced(events)
-        life = [*BOOK, "life_no"]
+        life = LIFE
         loss = F.coalesce(F.col("dirty"), F.lit(False))
         first = s.where("prev_max is null and per_seq <> 1")
-        copies = with_duplicates(s, [*life, "per_seq"], "payload", "pos")
+        repeats = with_ring(s, life, "per_seq", ["pos"], "payload", 16)
         (batches, resets) = self.typed("batch_boundary", "instrument_reset", port="mktdata")
         out = [
             _say(s.where("missing > 0"), "DELTA.PERINSTR_DENSITY", F.when(loss, "unverifiable").otherwise("violation"), F.when(loss, "loss")),
             _say(first, "DELTA.PERINSTR_FIRST_VALUE", F.when((F.col("life_no") > 0) & ~loss, "violation").otherwise("unverifiable"), F.when(loss, "loss").when(F.col("life_no") == 0, "cold_start")),
             _say(s.where("per_seq = 1 and prev_max > 1"), "DELTA.PERINSTR_NO_SNAPSHOT_RESET"),
-            _say(copies.where("divergent"), "DELTA.PERINSTR_DUP_DIVERGENT"),
+            _say(repeats.where("divergent"), "DELTA.PERINSTR_DUP_DIVERGENT", F.when(loss, "unverifiable").otherwise("violation"), F.when(loss, "loss")),
             _say(s.where("prev_max = 4294967295 and per_seq = 0"), "DELTA.PERINSTR_WRAP_BEFORE_RESET"),
             _say(with_previous(batches, [*CHANNEL, "era_no"], ["pos"], before="batch_id").where("batch_id < before"), "BATCH.ID_MONOTONIC"),
         ]
@@ -314,52 +360,39 @@ class Run:
 
     def _order_snapshots(self, s: DataFrame, seen: DataFrame, resets: DataFrame, life: list[str]) -> list[DataFrame]:
         cfg = self.settings
-        g = self._groups("snapshot_order", F.col("order_id").cast("string"))
-        shape, dirty = self._structure(g), F.coalesce(F.col("dirty"), F.lit(False))
+        g = self._groups("snapshot_order", F.col("order_id").cast("string"), "order_id", "side", "price", "qty", "flags", "enter_ts")
+        shape, dirty, port_dirty = self._structure(g), F.coalesce("dirty", F.lit(False)), F.coalesce("port_dirty", F.lit(False))
         gated = lambda rule, bad: _say(g.where(bad), rule, F.when(dirty, "unverifiable").otherwise("violation"), F.when(dirty, "loss"))
         over = F.col("received") > F.col("total")
-        counted = F.when(over | ~dirty, "violation").otherwise("unverifiable")
+        counted = F.when(over | ~(dirty | port_dirty), "violation").otherwise("unverifiable")
         out = [
-            gated("SNAP.BEGIN_ORDER_END_GROUPING", shape["open"]), _say(g.where(shape["count"]), "SNAP.TOTAL_ORDERS_COUNT_MATCH", counted, F.when(~over & dirty, "loss")),
+            gated("SNAP.BEGIN_ORDER_END_GROUPING", shape["open"]), _say(g.where(shape["count"]), "SNAP.TOTAL_ORDERS_COUNT_MATCH", counted, F.when(~over & (dirty | port_dirty), "loss")),
             gated("SNAP.END_FIELDS_MATCH_BEGIN", shape["end"]), gated("SNAP.ORDER_SNAPSHOT_ID_MATCH", shape["id"]),
             gated("SNAP.SNAPSHOT_ORDER_NO_DUP_ORDER_ID", shape["dup"]), gated("SNAP.EMPTY_BOOK_WELL_FORMED", shape["empty"]),
         ]
         done = g.where(~shape["open"] & ~shape["count"] & ~shape["end"]).withColumn("k", F.col("last_seq"))
-        top = self.accepted.where("port = 'mktdata'").select(*CHANNEL, F.struct("pos.emit_pos", "pos.era_no", "pos.seq", F.lit(-1).alias("msg_index")).alias("pos"), "seq", "era_no")
-        top = with_gaps(top, [*CHANNEL, "era_no"], "seq", ["pos"]).select(*CHANNEL, "era_no", "pos", F.greatest("seq", "prev_max").alias("top_seq"))
-        late = asof(g, top, [*CHANNEL, "era_no"], "pos", ["top_seq"])
+        top = self.accepted.where("port = 'mktdata'").select(*CHANNEL, F.struct("pos.emit_pos", "pos.era_no", "pos.seq", F.lit(-1).alias("msg_index")).alias("pos"), "seq", "era_no", F.col("dirty").alias("mkt_lost"))
+        top = with_gaps(top, [*CHANNEL, "era_no"], "seq", ["pos"]).select(*CHANNEL, "era_no", "pos", "mkt_lost", F.greatest("seq", "prev_max").alias("top_seq"))
+        late = asof(g, top, [*CHANNEL, "era_no"], "pos", ["top_seq", "mkt_lost"])
         ever = top.groupBy(*CHANNEL, "era_no").agg(F.max("top_seq").alias("ever"))  # what the buffer still held counts as out of order
         ahead = late.where("anchor > coalesce(top_seq, -1)").join(ever, [*CHANNEL, "era_no"])
-        held = F.col("anchor") <= F.col("ever")
+        held = (F.col("anchor") <= F.col("ever")) | F.coalesce("mkt_lost", F.lit(False))
         out.append(_say(ahead, "SNAP.ANCHOR_IS_MKTDATA_SEQ", F.when(held, "unverifiable").otherwise("violation"), F.when(held, "reorder")))
         checks = sn.with_anchor_checks(g, BOOK)
         for rule, status in (("SNAP.ANCHOR_MONOTONIC_PER_INSTRUMENT", "anchor_status"), ("SNAP.SNAPSHOT_ID_MONOTONIC", "id_status")):
-            out.append(_say(checks, rule, F.col(status), F.when(F.col(status) == "unverifiable", "cold_start")))
-        track = s.select(*BOOK, "pos", F.greatest("per_seq", "prev_max").alias("tracker"))
-        k = asof(g, track, BOOK, "pos", ["tracker"])
-        out.append(_say(k.where("tracker is not null and tracker < last_seq"), "SNAP.LAST_INSTRUMENT_SEQ_CONSISTENT_WITH_DELTAS", F.when(dirty, "unverifiable").otherwise("violation"), F.when(dirty, "loss")))
+            lost = (F.col(status) == "violation") & port_dirty
+            out.append(_say(checks, rule, F.when(lost, "unverifiable").otherwise(F.col(status)), F.when(lost, "loss").when(F.col(status) == "unverifiable", "cold_start")))
+        track = s.select(*LIFE, "pos", F.greatest("per_seq", "prev_max").alias("tracker"), "broken", "repeated")
+        k = asof(late, track.select(*LIFE, "pos", "tracker"), LIFE, "pos", ["tracker"])
+        unsure = port_dirty | F.coalesce("mkt_lost", F.lit(False))
+        out.append(_say(k.where("tracker is not null and tracker < last_seq"), "SNAP.LAST_INSTRUMENT_SEQ_CONSISTENT_WITH_DELTAS", F.when(unsure, "unverifiable").otherwise("violation"), F.when(unsure, "reorder")))
         out.append(_say(k.where("ended and tracker is not null"), "SNAP.ANCHOR_LE_OR_GT_LAST_APPLIED_HANDLING", "pass"))
         out.append(_say(rd.uncovered(self.definitions.select(*CHANNEL, "instrument").distinct(), done.select(*CHANNEL, "instrument"), CHANNEL), "SNAP.ROUND_ROBIN_COVERS_MANIFEST"))
-        (rows,) = self.typed("snapshot_order", port="snapshot")
-        inside = self.snapshot_rows.where("kind = 'row'").select("capture_id", "channel_id", "era_no", "island", "pos")
-        orders = rows.drop("instrument").join(inside, ["capture_id", "channel_id", "era_no", "pos"]).join(g.select(*BOOK, "island", "last_seq"), [*CHANNEL, "era_no", "island"])
+        keys = [*CHANNEL, "era_no", "island"]
+        orders = self.snapshot_rows.where("kind = 'row'").select(*keys, "port", "seq", "pos", "order_id", "side", "price", "qty", "flags", "enter_ts").join(g.select(*keys, "instrument", "life_no"), keys)
         bound = rd.price_bound(self.known(orders.select(*_PLACE, "pos", "instrument", "price"), "price_bound"), "price")
         out.append(_say(bound, "SNAP.ORDER_PRICE_BOUND", F.col("status"), F.when(F.col("status") == "unverifiable", "cold_start")))
-        # Live orders at each group's sequence number against the group's orders.
-        points = done.select(*BOOK, "k", "island").distinct()
-        upto = seen.join(points, BOOK).where("per_seq <= k")
-        book = od.live_at(upto, [*BOOK, "k", "island"], F.struct(F.lit(1 << 62).alias("emit_pos"), F.lit(1 << 62).alias("era_no"), F.lit(1 << 62).alias("seq"), F.lit(1 << 30).alias("msg_index")))
-        snap = orders.withColumnRenamed("last_seq", "k").join(points, [*BOOK, "k", "island"], "left_semi").select(*BOOK, "k", "island", "order_id", "side", "price", F.col("qty").cast("bigint").alias("remaining"))
-        keys = [*BOOK, "k", "island"]
-        diff = sn.signatures(sn.book_diff(snap, book, keys, ["order_id"], ["remaining", "price", "side"]), keys, ["order_id"])
-        last = s.groupBy(*BOOK).agg(F.max("per_seq").alias("last_delta"), F.max("untrusted").alias("untrusted"))
-        a = done.join(last, BOOK, "left").join(diff.select(*keys, "signature", "shown"), keys, "left")
-        cold = F.col("last_delta").isNull() & (F.col("k") > 0)
-        open_ = F.coalesce("untrusted", F.lit(False)) | cold | (F.col("k") > F.coalesce("last_delta", F.lit(0)))
-        a = a.withColumn("signature", F.when(~open_, F.coalesce("signature", F.lit(""))))
-        a = sn.oracle_status(a, BOOK, "pos", cfg.confirm_cycles)
-        reason = F.when(F.col("status") == "unverifiable", F.when(F.coalesce("untrusted", F.lit(False)), "untrusted").when(cold, "cold_start").otherwise("pending"))
-        out.append(_say(a, "SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", F.col("status"), reason, F.col("shown")))
+        out.append(self._order_audits(g, shape, track, top, seen, orders))
         # What follows an instrument reset.
         r = resets.select(*_PLACE, "era_no", "pos", "instrument", F.col("anchor").cast("bigint").alias("anchor"))
         ends = done.select(*BOOK, F.col("end_pos").alias("pos"), "anchor", F.col("k").alias("group_k"))
@@ -377,6 +410,34 @@ class Run:
         out.append(_say(nxt, "RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR", F.when(F.col("next_seq") == F.col("group_k") + 1, "pass").otherwise("violation")))
         return out
 
+    def _order_audits(self, g: DataFrame, shape: dict[str, Column], track: DataFrame, top: DataFrame, seen: DataFrame, orders: DataFrame) -> DataFrame:
+        """Each completed group against the live orders of its life, by what was known when it ended: a later gap changes
+        no verdict. A group that can be compared has just the number the deltas had reached."""
+        ended = g.where(F.col("ended") & (F.col("orphans") == 0)).withColumn("k", F.col("last_seq")).withColumn("begin", F.col("pos")).withColumn("pos", F.col("end_pos"))
+        a = asof(asof(ended, track, LIFE, "pos", ["tracker", "broken", "repeated"]), top.select(*CHANNEL, "era_no", "pos", "mkt_lost"), [*CHANNEL, "era_no"], "pos", ["mkt_lost"])
+        a = self.known(a)
+        no = lambda c: F.coalesce(F.col(c), F.lit(False))
+        bad = F.lit(False)
+        for name in ("count", "end", "id", "dup", "empty"):
+            bad = bad | shape[name]
+        why = (
+            F.when(bad, "superseded").when(F.col("known").isNull() | F.col("channel_ready").isNull(), "cold_start").when(F.col("tracker").isNull() | no("broken"), "untrusted")
+            .when(no("repeated"), "reorder").when(no("mkt_lost"), "loss").when(F.col("tracker") != F.col("k"), "pending").when(no("dirty"), "loss")
+        )
+        a = cut(a.withColumn("why", why))
+        compared = a.where("why is null")
+        keys, values = [*LIFE, "k", "island"], ["remaining", "price", "side", "flags", "enter_ts"]
+        hidden = orders.where(F.col("flags").bitwiseAND(F.lit(4).cast("bigint")) != 0).select(*CHANNEL, "era_no", "island", "order_id")
+        island = [*CHANNEL, "era_no", "island", "order_id"]
+        book = lv.at_points(od.versions(seen, LIFE), compared.select(*LIFE, "k"), LIFE, "per_seq", "until").join(compared.select(*keys), [*LIFE, "k"])
+        snap = orders.withColumnRenamed("qty", "remaining").join(compared.select(*keys), [*LIFE, "island"])
+        kept = lambda rows: rows.join(hidden, island, "left_anti").select(*keys, "order_id", *(F.col(v).cast("bigint").alias(v) for v in values))
+        diff = sn.signatures(sn.book_diff(kept(snap), kept(book.withColumn("order_id", F.col("order_id").cast("bigint"))), keys, ["order_id"], values), keys, ["order_id"])
+        compared = compared.join(diff.select(*keys, "signature", "shown"), keys, "left").withColumn("signature", F.coalesce("signature", F.lit("")))
+        compared = sn.oracle_status(compared, LIFE, "pos", self.settings.confirm_cycles)
+        every = compared.unionByName(a.where("why is not null").withColumn("status", F.lit("unverifiable")), allowMissingColumns=True)
+        return _say(every.withColumn("pos", F.col("begin")), "SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", F.col("status"), F.col("why"), F.col("shown"))
+
     def findings(self) -> DataFrame:
         """rule_id, severity, status, reason, capture_id, port, channel_id, instrument, seq, detail."""
         parts = [*self.envelope(), *self.reference()]

@@ -1,15 +1,28 @@
-"""Cutting lineage: relations that many rules share are written once to the shared checkpoint folder."""
+"""Cutting lineage: relations that many rules share are written once, as Parquet, to the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. A temporary one only for a local master, where all tasks see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint, under spark.checkpoint.dir; under a temporary folder only where that is unset."""
+    """``df`` as a written table, of which readers take only the columns and row groups they need. A lost executor costs
+    a re-read."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tickloom-"))
-    return df.checkpoint()
+    path = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,8 +3,8 @@
 updates: keys, per_seq, side, price, qty (absolute; 0 removes), action. clears: keys, per_seq, clear_side (0 bid, 1 ask,
 2 both), scope (0 whole, 1 range), from_price.
 
-A ladder is the last update of each price that no later clear covers. It is one aggregation per (keys, side, price): a
-clear is expanded only against prices that were touched, and nothing is replayed.
+A ladder is the last update of each price that no later clear covers, found by windows and aggregations: nothing is
+replayed.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import asof
+
 
 def covers() -> Column:
     """Whether a clear covers a level: range clears take bids at or below and asks at or above from_price."""
@@ -21,28 +23,46 @@ def covers() -> Column:
 
 
 def ladder(updates: DataFrame, keys: list[str], clears: DataFrame | None = None) -> DataFrame:
-    """keys, side, price, qty, per_seq of the levels standing after all rows."""
+    """keys, side, price, qty, per_seq of the levels standing after all rows.
+
+    Of each price the last update counts, and falls if a later clear of its side reaches its price: one running extreme
+    of ``from_price``, from the last row back, over (keys, side). Clears meet no prices in a join."""
     u = updates.select(*keys, "side", "price", "per_seq", "qty")
-    if clears is not None:
-        touched = u.select(*keys, "side", "price").distinct()
-        hit = touched.join(clears, keys).where(covers())
-        zero = hit.groupBy(*keys, "side", "price").agg(F.max("per_seq").alias("per_seq")).withColumn("qty", F.lit(0).cast("bigint"))
-        u = u.unionByName(zero)
     last = u.groupBy(*keys, "side", "price").agg(F.max_by("qty", "per_seq").alias("qty"), F.max("per_seq").alias("per_seq"))
-    return last.where("qty > 0")
+    if clears is None:
+        return last.where("qty > 0")
+    sides = F.when(F.col("clear_side") == 2, F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).otherwise(F.array(F.col("clear_side").cast("bigint")))
+    c = clears.select(*keys, "per_seq", F.explode(sides).alias("side"), (F.col("scope") == 0).alias("__whole"), "from_price")
+    both = last.unionByName(c, allowMissingColumns=True)
+    later = Window.partitionBy(*keys, "side").orderBy(F.desc("per_seq")).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.max("__whole").over(later), F.lit(False))
+    gone = gone | F.coalesce(F.when(F.col("side") == 0, F.max("from_price").over(later) >= F.col("price")).otherwise(F.min("from_price").over(later) <= F.col("price")), F.lit(False))
+    return both.withColumn("__gone", gone).where("price is not null and not __gone and qty > 0").select(*keys, "side", "price", "qty", "per_seq")
 
 
 def ladder_asof(updates: DataFrame, points: DataFrame, keys: list[str], clears: DataFrame | None = None) -> DataFrame:
     """The ladders at each of ``points`` (keys, k): keys, k, side, price, qty.
 
-    Updates and clears get an interval of sequence numbers in which they stand, so a point meets each level once."""
+    Updates and clears get an interval of sequence numbers in which they stand, with the numbers of its first and last
+    point from two as-of joins; a level is then repeated for the points between, so that each point meets it once."""
     u = updates.select(*keys, "side", "price", "per_seq", "qty")
     if clears is not None:
         hit = u.select(*keys, "side", "price").distinct().join(clears, keys).where(covers())
         u = u.unionByName(hit.select(*keys, "side", "price", "per_seq", F.lit(0).cast("bigint").alias("qty")))
     w = Window.partitionBy(*keys, "side", "price").orderBy("per_seq")
     spans = u.withColumn("until", F.lead("per_seq").over(w)).where("qty > 0")
-    return spans.join(points, keys).where("k >= per_seq and (until is null or k < until)").select(*keys, "k", "side", "price", "qty")
+    return at_points(spans, points, keys, "per_seq", "until").select(*keys, "k", "side", "price", "qty")
+
+
+def at_points(spans: DataFrame, points: DataFrame, keys: list[str], start: str, until: str) -> DataFrame:
+    """``spans`` once for each of ``points`` (keys, k) with start <= k < until (null: no end), by equality joins only."""
+    p = points.select(*keys, "k").distinct().withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
+    dims = p.select(*keys, F.col("k").cast("bigint").alias("__at"), F.col("__n").alias("__first"))
+    s = asof(spans.withColumn("__at", F.col(start).cast("bigint")), dims, keys, "__at", ["__first"], forward=True)
+    s = s.where("__first is not null").withColumn("__at", F.coalesce(F.col(until).cast("bigint"), F.lit((1 << 63) - 1)))
+    s = asof(s, dims.withColumnRenamed("__first", "__last"), keys, "__at", ["__last"], strict=True).where("__first <= __last")
+    s = s.withColumn("__n", F.explode(F.sequence("__first", "__last"))).drop("__at", "__first", "__last")
+    return s.join(p, [*keys, "__n"]).drop("__n")
 
 
 def inside(levels: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,6 +42,14 @@ def with_duplicates(frames: DataFrame, keys: list[str], payload: str, arrival: s
     return frames.withColumn("copy_no", F.row_number().over(w) - 1).withColumn("divergent", ~F.col(payload).eqNullSafe(first))
 
 
+def with_ring(rows: DataFrame, keys: list[str], seq: str, order: list[str], payload: str, size: int) -> DataFrame:
+    """``rows`` with divergent: one of the ``size`` rows before has the same ``seq`` and another payload."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    w = Window.partitionBy(*keys, seq).orderBy(*order)
+    out = rows.withColumn("__n", place).withColumn("__gap", F.col("__n") - F.lag("__n").over(w)).withColumn("__was", F.lag(payload).over(w))
+    return out.withColumn("divergent", F.coalesce((F.col("__gap") <= size) & (F.col("__was") != F.col(payload)), F.lit(False))).drop("__n", "__gap", "__was")
+
+
 def with_gaps(rows: DataFrame, keys: list[str], seq: str, order: list[str]) -> DataFrame:
     """``rows`` with prev_max, missing (numbers skipped since the greatest so far) and backward (at or below... it)."""
     top = F.max(seq).over(_before(keys, order))
@@ -104,6 +112,16 @@ def with_eras(frames: DataFrame, keys: list[str], reset: str = "reset_count", or
     return out.withColumn("era_state", state).drop("__change", "__span", "state")
 
 
+def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str = "reset_count", order: str = "arrival") -> DataFrame:
+    """``frames`` of ``with_eras`` with the era_no that all ports of ``keys`` share, whichever port leads into an era: a
+    port whose first reset count is ahead of the first of its channel starts that many eras later."""
+    first = frames.groupBy(*keys, port).agg(F.min(F.struct(F.col(order).alias("at"), F.col(reset).alias("rc"))).alias("own"))
+    channel = first.groupBy(*keys).agg(F.min("own").alias("all"))
+    ahead = F.pmod(F.col("own.rc") - F.col("all.rc") + 128, F.lit(256)) - 128
+    late = first.join(channel, keys).select(*keys, port, ahead.cast("bigint").alias("__ahead"))
+    return frames.join(late, [*keys, port]).withColumn("era_no", F.col("era_no") + F.col("__ahead")).drop("__ahead")
+
+
 def with_emit_position(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival", port_order: Column | None = None) -> DataFrame:
     """``frames`` with emit_pos, the arrival at which a reorder buffer of ``window`` frames lets each go.
 

@@ -78,6 +78,19 @@ def live_at(events: DataFrame, keys: list[str], pos: Column) -> DataFrame:
     return last.select(*keys, "order_id", "l.*").where("not ended and remaining > 0").drop("ended")
 
 
+def versions(events: DataFrame, keys: list[str]) -> DataFrame:
+    """What each event leaves of its order: keys, order_id, side, price, flags, enter_ts, remaining, from per_seq to
+    before until (null: no later event). Events that leave nothing alive have no row."""
+    w = Window.partitionBy(*keys, "order_id").orderBy("pos")
+    e = events.withColumn("life", F.sum((F.col("kind") == "add").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("per_seq").over(w))
+    own = Window.partitionBy(*keys, "order_id", "life").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.max((F.col("kind") == "cancel") | ((F.col("kind") == "execute") & F.coalesce(F.col("full_fill"), F.lit(False)))).over(own)
+    left = F.first("qty").over(own) - F.coalesce(F.sum(F.when(F.col("kind") == "execute", F.col("qty"))).over(own), F.lit(0))
+    entry = {c: F.first(c).over(own) for c in ("side", "price", "flags", "enter_ts")}
+    e = e.withColumns(entry | {"remaining": left.cast("bigint"), "gone": gone})
+    return e.where("life > 0 and not gone and remaining > 0").select(*keys, "order_id", "side", "price", "flags", "enter_ts", "remaining", "per_seq", "until")
+
+
 def to_levels(live: DataFrame, keys: list[str]) -> DataFrame:
     """Orders added up to price levels: keys, side, price, qty, orders."""
     return live.groupBy(*keys, "side", "price").agg(F.sum("remaining").alias("qty"), F.count("*").alias("orders"))
