@@ -110,7 +110,7 @@ def decode_frames(datagrams: DataFrame, feed: str) -> DataFrame:
 
 def frame_findings(frames: DataFrame) -> DataFrame:
     """rule_id, status, transport, detail and the frame's place, a row for each finding of the walk."""
-    f = frames.select("capture_id", "arrival", "feed", "port", "channel_id", "seq", F.explode("findings").alias("f"))
+    f = frames.select("capture_id", "arrival", "feed", "port", "channel_id", "seq", F.explode_outer("findings").alias("f")).where("f is not null")
     return f.select("capture_id", "arrival", "feed", "port", "channel_id", "seq", "f.rule_id", F.lit("violation").alias("status"), "f.transport", "f.detail")
 
 
@@ -118,7 +118,8 @@ def messages_of(frames: DataFrame) -> DataFrame:
     """A row for each message, with the frame's header."""
     own = ("raw", "findings", "starts", "flags", "type", "length")
     keep = [c for c in frames.columns if c not in own]
-    m = frames.select(*keep, "raw", F.posexplode("starts").alias("msg_index", "at"))
+    # Outer, as a plain explode has the planner ask for the list's size below, where the whole header is worked out again.
+    m = frames.select(*keep, "raw", F.posexplode_outer("starts").alias("msg_index", "at")).where("at is not null")
     length = _byte(F.col("at") + 1)
     body = F.substring(F.col("raw"), F.col("at") + MESSAGE_HEADER + 1, length - MESSAGE_HEADER)
     return m.select(*keep, "msg_index", _byte(F.col("at")).alias("type"), length.alias("length"), (_byte(F.col("at") + 2) + 256 * _byte(F.col("at") + 3)).alias("flags"), body.alias("body"))
@@ -202,5 +203,5 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         say("MID.QUALITY_FLAGS", bits("midpoint", "quality", 0xF0) != 0, names="midpoint")
         say("MID.TIMESTAMP_ORDERING", field("midpoint", "compute_ts") < field("midpoint", "book_ts"), names="midpoint")
     keep = [c for c in messages.columns if c not in ("body", "rule_id", "status")]
-    found = messages.withColumn("f", F.explode(F.array_compact(F.array(*rows))))
+    found = messages.withColumn("f", F.explode_outer(F.array_compact(F.array(*rows)))).where("f is not null")
     return found.select(*keep, "f.rule_id", "f.status")
