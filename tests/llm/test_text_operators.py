@@ -117,6 +117,26 @@ def test_contamination_equals_brute_force(spark, block):
     assert clean.count() == sum(r[2] == 0 for r in plain_contamination(docs, ITEMS)) and clean.columns == table(spark, []).columns
 
 
+def test_contamination_keeps_clashing_columns(spark):
+    rows = [(1, "nothing to see", 5, [[7]], ["a"], "r", "k"), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, spans array<array<int>>, items array<string>, row string, key string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    for block in (1 << 20, 1):
+        clean = decontam.decontaminate(docs, items, block_bytes=block)
+        assert clean.schema == docs.schema and sorted(map(tuple, clean.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_index_of_items_is_small_and_finds_shared_windows():
+    rng = random.Random(6)
+    shared = prose(rng, 30)
+    items = [{"item_id": k, "text": f"{shared} {prose(rng, 400)}"} for k in range(300)]
+    index = decontam.build_index(items)
+    assert index.size() <= 24 * sum(len(r["text"]) for r in items)
+    words = f"x {shared} y".encode().split()
+    found = decontam.search(words, decontam.WordHashes().of(words), index)
+    assert sorted({(a, b) for a, b, _ in found}) == [(k, k + 10) for k in range(1, 22)] and all(len(own) == 300 for *_, own in found)
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert {r["n_hit"] for r in decontam.contamination(table(spark), none).collect()} == {0}
