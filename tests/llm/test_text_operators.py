@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -246,6 +247,31 @@ def test_redaction(spark):
     assert secrets.redact(table(spark, [])).count() == 0
 
 
+def test_secrets_in_long_texts(spark):
+    rng = random.Random(10)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    keys = " ".join(base64[k : k + 24] for k in range(0, 400_000, 24))
+    rows = [(1, base64), (2, "".join(rng.choice("ACGT") for _ in range(1_000_000))), (3, keys), (4, "a" * 400_000 + "1" + base64[:30])]
+    start = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(table(spark, rows)).collect()}
+    assert [tuple(s) for s in got[1]["secret_spans"]] == [("entropy", 0, 1_000_000)] and got[2]["secret_spans"] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows[2:3])).collect()}
+    assert time.time() - start < 60
+    base, every = plain_spans(keys)
+    assert [tuple(s) for s in got[3]["base_spans"]] == base and [tuple(s) for s in got[3]["secret_spans"]] == every and len(every) > 10_000
+    want, at = [], 0
+    for _, a, b in every:
+        want.append(keys[at:a])
+        at = b
+    assert clean[3] == "[SECRET]".join([*want, keys[at:]])
+
+
+def test_secrets_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef1", "b", 3, "c"), (2, None, None, None, None)], "doc_id bigint, text string, base_spans string, secret_spans int, row string")
+    got = secrets.redact(docs)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "[SECRET]", "b", 3, "c"), (2, None, None, None, None)], key=str)
+
+
 def test_digest_columns(spark):
     from pyspark.sql import functions as F
 

@@ -143,7 +143,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 _FOUND = "n_words bigint, spans array<array<bigint>>, items array<string>"
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 32 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 16 << 20) -> DataFrame:
     """row (a struct of the columns of ``docs``, of which text is looked at), n_words, spans (merged [start, end) of
     words) and items (sorted ids)."""
     item = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")

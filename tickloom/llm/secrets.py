@@ -4,17 +4,22 @@ Positions come from the pieces between matches: ``split`` and ``regexp_extract_a
 non-overlapping matches, so the lengths of pieces and matches add up to the offsets, in code points.
 
 Candidates of the entropy scan are runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit. A
-window of 20 characters slides over a candidate; the sum of c * log2(c) over its character counts is carried along and
-corrected for the one character that leaves and the one that enters, and the entropy is log2(20) - sum / 20. The
+window of 20 characters slides over a candidate; the counts of its characters, and the sum of c * log2(c) over them, are
+carried along and corrected for the one character that leaves and the one that enters; the entropy is log2(20) - sum / 20.
+Counts are kept as fields of a few 64-bit numbers, and sums as whole multiples of 2^-40, so that a step costs the same at
+every place and nothing drifts. The
 candidate's class (hexadecimal, letters and digits, or with other characters) sets the limit that its highest window
 must reach. An allow-list drops UUIDs, dates, words that mark examples, and alphabets written in order. Candidates
 that lie in a span of the patterns add nothing.
 
-The scan is a projection: no shuffle, no Python. Texts without a match cost one pass for each pattern.
+The scan is a projection: no shuffle, no Python. Texts without a match cost one pass for each pattern; time grows with the
+length of a text, and of a candidate, in proportion.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,43 +51,87 @@ class Entropy:
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often and in whatever lambda it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, start: Column, kind: str, step: Callable[..., tuple[Column, Column]], share: Callable[[Column, Column], Column] | None = None, block: int = 256) -> Column:
+    """The outs of a fold that gives one for each item: ``step`` takes carry and item to (carry, out of type ``kind``), and
+    with ``share`` also what that makes, once, of the carry before a block of items and the block.
+
+    An array that grows by one is copied at each step, so the outs are gathered in blocks, and the blocks in a list."""
+    none, no_blocks = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def one(state: Column, x: Column, *shared: Column) -> Column:
+        carry, out = step(state["carry"], x, *shared)
+        return F.struct(carry.alias("carry"), F.concat(state["outs"], F.array(out)).alias("outs"))
+
+    def fold(xs: Column) -> Column:
+        def part(state: Column, k: Column) -> Column:
+            zero = F.struct(state["carry"].alias("carry"), none.alias("outs"))
+            done = lambda s: F.struct(s["carry"].alias("carry"), F.concat(state["blocks"], F.array(s["outs"])).alias("blocks"))
+            items = F.slice(xs, k * block + 1, F.lit(block))
+            if share is None:
+                return F.aggregate(items, zero, lambda s, x: one(s, x), done)
+            return let(F.struct(share(state["carry"], items).alias("shared"), items.alias("items")), lambda b: F.aggregate(b["items"], zero, lambda s, x: one(s, x, b["shared"]), done))
+
+        n = F.size(xs)
+        numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.aggregate(numbers, F.struct(start.alias("carry"), no_blocks.alias("blocks")), part, lambda s: F.flatten(s["blocks"]))
+
+    return let(items, fold)
+
+
 def matched(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """[{start, end, value, part}] of the matches in code points; of ``group`` (part) at least ``least`` characters."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group is not None else whole
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("value"), part.alias("part"))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,part:string>>)")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
 
-    def step(state: Column, m: Column) -> Column:
-        begin = state["at"] + F.char_length(m["gap"])
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        begin = at + F.char_length(m["gap"])
         end = (begin + F.char_length(m["value"])).cast("bigint")
-        one = F.struct(begin.cast("bigint").alias("start"), end.alias("end"), m["value"].alias("value"), m["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+        return end, F.struct(begin.cast("bigint").alias("start"), end.alias("end"), m["value"].alias("value"), m["part"].alias("part"))
 
-    found = F.aggregate(both, start, step, lambda s: s["found"])
+    found = running(both, F.lit(0).cast("bigint"), "struct<start:bigint,end:bigint,value:string,part:string>", step)
     return F.filter(found, lambda m: F.char_length(m["part"]) >= least) if least else found
 
 
+# Counts are fields of 5 bits, 12 to a number, for the characters from "+" to "z".
+_FIRST, _FIELDS, _NUMBERS, _ONE = 43, 12, 7, 1 << 40
+
+
 def highest_entropy(value: Column, window: int) -> Column:
-    """The highest Shannon entropy of the windows of ``value``, by counts carried from window to window; 0 for a value
-    shorter than the window."""
-    log = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
-    count = lambda where, c: F.char_length(where) - F.char_length(F.replace(where, c, F.lit("")))
-
-    def step(state: Column, p: Column) -> Column:
-        before = F.substring(value, F.greatest(p - window, F.lit(1)), F.least(p - 1, F.lit(window)))
-        leaves, enters = F.substring(value, p - window, F.lit(1)), F.substring(value, p, F.lit(1))
-        full = p > window
-        left = F.when(full, F.substring(before, F.lit(2), F.lit(window))).otherwise(before)
-        gone, come = count(before, leaves), count(left, enters)
-        total = state["sum"] + F.when(full, log(gone - 1) - log(gone)).otherwise(0.0) + log(come + 1) - log(come)
-        bits = F.log2(F.lit(float(window))) - total / window
-        best = F.when(p >= window, F.greatest(state["best"], bits)).otherwise(state["best"])
-        return F.struct(total.alias("sum"), best.alias("best"))
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), start, step, lambda s: s["best"])
+    """The highest Shannon entropy of the windows of ``value`` (characters from "+" to "z"), by counts carried from window
+    to window; 0 for a value shorter than the window, which may have 31 characters at most."""
+    assert 2 <= window <= 31
+    logs = F.array(*(F.lit(round(_ONE * c * math.log2(c)) if c else 0).cast("bigint") for c in range(window + 1)))
+    log = lambda c: F.element_at(logs, (c + 1).cast("int"))
+
+    def moves_of(codes: Column) -> Column:
+        """Of each place the number and shift of the count that grows and of the one that falls, and whether a window is whole."""
+        field = lambda c: F.struct(F.floor(c / _FIELDS).cast("int").alias("number"), (5 * F.pmod(c, F.lit(_FIELDS))).alias("shift"))
+        late = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), window), codes), F.lit(1), F.size(codes))
+        both = F.arrays_zip(codes.alias("come"), late.alias("gone"))
+        return F.transform(both, lambda m, k: F.struct(field(m["come"]).alias("to"), F.when(m["gone"].isNotNull(), field(m["gone"])).alias("off"), (k >= window - 1).alias("whole")))
+
+    moves = let(F.transform(F.split(value, ""), lambda c: F.ascii(c) - _FIRST), moves_of)
+
+    def step(state: Column, m: Column) -> Column:
+        to, off = m["to"], m["off"]
+        count = lambda f: F.call_function("shiftright", F.element_at(state["counts"], f["number"] + 1), f["shift"]).bitwiseAND(F.lit(31).cast("bigint"))
+        gone = F.coalesce(count(off), F.lit(0).cast("bigint"))
+        come = count(to) - F.coalesce((to == off).cast("bigint"), F.lit(0).cast("bigint"))
+        total = state["sum"] + log(F.greatest(gone - 1, F.lit(0))) - log(gone) + log(come + 1) - log(come)
+        bit = lambda f, k: F.when(f["number"] == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), f["shift"])).otherwise(0)
+        counts = F.transform(state["counts"], lambda x, k: x + bit(to, k) - bit(off, k))
+        least = F.when(m["whole"], F.least(state["least"], total)).otherwise(state["least"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), least.alias("least"))
+
+    none = round(_ONE * window * math.log2(window))
+    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), _NUMBERS).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(none).cast("bigint").alias("least"))
+    return F.aggregate(moves, start, step, lambda s: math.log2(window) - s["least"] / float(_ONE * window))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -96,6 +145,12 @@ def scan(df: DataFrame, rules: Entropy = Entropy()) -> DataFrame:
     secret_spans holds base_spans and what the entropy scan adds. A null or empty text has no spans. Nothing else of
     a row is looked at, so nulls elsewhere, repeated rows and other columns don't matter.
     """
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("base_spans", "secret_spans")]
+    return _scanned(df, rules).select(*kept, "base_spans", "secret_spans")
+
+
+def _scanned(df: DataFrame, rules: Entropy) -> DataFrame:
+    """row (a struct of the columns of ``df``), base_spans and secret_spans."""
     none = F.expr(f"cast(array() as {SPAN})")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lower = F.lower(text)
@@ -111,17 +166,22 @@ def scan(df: DataFrame, rules: Entropy = Entropy()) -> DataFrame:
 
     drawn = F.filter(matched(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~m["value"].rlike(ALLOWED))
     drawn = F.filter(drawn, lambda m: highest_entropy(m["value"], rules.window) >= limit(m["value"]))
-    entropy = F.when(text.rlike(rf"(?=[A-Za-z+/_=-]*+[0-9]){CANDIDATE}"), _spans(drawn, "entropy")).otherwise(none)
+    entropy = F.when(text.rlike(CANDIDATE), _spans(drawn, "entropy")).otherwise(none)
 
     rank = lambda s: F.array_position(F.array(*map(F.lit, ("assign", "access", "hex", "entropy"))), s["kind"])
-    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return (
-        df.withColumn("base_spans", F.concat(assign, access, hexes))
-        .withColumn("secret_spans", entropy)
-        .withColumn("secret_spans", F.filter("secret_spans", lambda s: ~F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))))
-        .withColumn("secret_spans", order(F.concat("base_spans", "secret_spans")))
-        .withColumn("base_spans", order(F.col("base_spans")))
-    )
+    sort = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+    def within(reach: Column, s: Column) -> tuple[Column, Column]:
+        """The furthest end of the base spans so far; a span and whether it stays. At one start, base spans come first."""
+        drawn_one = s["rank"] == 4
+        return F.when(drawn_one, reach).otherwise(F.greatest(reach, s["end"])), F.struct(plain(s).alias("span"), (~drawn_one | (reach < s["end"])).alias("stays"))
+
+    every = running(sort(F.concat("base_spans", "secret_spans")), F.lit(-1).cast("bigint"), "struct<span:struct<kind:string,start:bigint,end:bigint>,stays:boolean>", within)
+    every = F.transform(F.filter(every, lambda s: s["stays"]), lambda s: s["span"])
+    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.concat(assign, access, hexes).alias("base_spans"), entropy.alias("secret_spans"))
+    order = F.transform(sort(F.col("base_spans")), plain).alias("base_spans")
+    return out.select("row", order, F.when(F.size("secret_spans") > 0, every).otherwise(order).alias("secret_spans"))
 
 
 def joined(spans: str) -> Column:
@@ -130,22 +190,30 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: Entropy = Entropy()) -> DataFrame:
     """The rows of ``docs`` with each run of overlapping spans replaced by ``mark``, and n_chars (where there is such a
-    column) counted anew for texts that changed; all other columns and rows stay as they are."""
-    spans, text = F.col("secret_spans"), F.col("text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(state: Column, s: Column) -> Column:
-        new = s["start"] >= state["at"]
-        piece = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        out = F.when(new, F.concat(state["out"], piece, F.lit(mark))).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = scan(docs, rules).withColumn("text", F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return clean.select(docs.columns)
+    column) counted anew for texts that changed; all other columns, whatever their names, and rows stay as they are."""
+    spans, text = F.col("secret_spans"), F.col("row.text").cast("string")
+
+    def part(at: Column, block: Column) -> Column:
+        """The text that a block of spans reaches, so that pieces are not counted off from the start of a long one."""
+        size = F.array_max(F.transform(block, lambda s: s["end"])) - at
+        return F.struct(at.alias("from"), F.substring(text, (at + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int")).alias("text"))
+
+    def step(at: Column, s: Column, near: Column) -> tuple[Column, Column]:
+        piece = F.substring(near["text"], (at - near["from"] + 1).cast("int"), (s["start"] - at).cast("int"))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.concat(piece, F.lit(mark))).otherwise("")
+
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    clean = F.concat(F.array_join(running(spans, F.lit(0).cast("bigint"), "string", step, part), ""), F.substring(text, (end + 1).cast("int"), F.lit(2**31 - 1)))
+    found = _scanned(docs, rules).withColumn("clean", F.when(F.size(spans) > 0, clean))
+    changed = F.col("clean").isNotNull()
+
+    def column(c: str) -> Column:
+        kind, old = docs.schema[c].dataType, F.col("row").getField(c)
+        if c == "text":
+            return F.when(changed, F.col("clean").cast(kind)).otherwise(old).alias(c)
+        return F.when(changed, F.char_length("clean").cast(kind)).otherwise(old).alias(c) if c == "n_chars" else old.alias(c)
+
+    return found.select(*map(column, docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
