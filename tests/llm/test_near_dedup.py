@@ -85,6 +85,13 @@ def test_deduplicate_keeps_rows_and_columns(spark):
     assert ids == sorted(want, key=str)
 
 
+def test_deduplicate_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 1, "x", "r"), (2, "a b c d e f g", 2, "y", "s"), (3, None, None, None, None), (2, "other words than these are", 3, "z", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, nth int, key string, row string")
+    got = deduplicate(docs)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect()), key=str) == sorted((rows[0], rows[2], rows[3]), key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60)] + [(200, 100 + k) for k in range(40)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(40)]

@@ -182,8 +182,7 @@ def _compare(percent: int, most: int, per_row: int | None, medoids: bool = False
 
     def block(g: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bool]]:
         if medoids:
-            if not g["kind"][0] and not g["j"][0]:
-                yield from _medoids(g, percent, most)
+            yield from _medoids(g, percent, most)
             return
         if g["kind"][0]:
             sides = [(np.flatnonzero(g["fb"] == g["i"][0]), np.flatnonzero(g["fb"] == g["j"][0]), False)]
@@ -265,12 +264,17 @@ def _compare(percent: int, most: int, per_row: int | None, medoids: bool = False
     return run
 
 
-def _blocks(rows: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each row of a mixed bucket once for each block in which it is compared."""
+def _blocks(rows: DataFrame, mixed: DataFrame, classes: DataFrame, medoids: bool = False) -> DataFrame:
+    """Each row of a mixed bucket once for each block in which it is compared. With ``medoids``, a row outside the largest
+    component is in one block only, and of that component a block's worth of rows joins each."""
     few, many = F.ceil((F.col("rows") - F.col("most")) / F.lit(BLOCK)), F.ceil(F.col("most") / F.lit(BLOCK))
     r = rows.join(mixed, "band").join(classes.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
     r = r.withColumn("nf", few.cast("int")).withColumn("ng", many.cast("int")).withColumn("major", F.col("comp") == F.col("top"))
     r = r.withColumn("fb", F.when(~F.col("major"), F.expr("int(pmod(xxhash64(node), nf))")).otherwise(-1))
+    if medoids:
+        own = """if(not major, array(struct(0 as kind, fb as i, 0 as j)),
+            if(pmod(xxhash64(node), ng) = 0, transform(sequence(0, nf - 1), f -> struct(0 as kind, f as i, 0 as j)), array()))"""
+        return r.withColumn("block", F.explode(F.expr(own))).select("band", "block.kind", "block.i", "block.j", "node", "comp", "n", "fb", "major", "sketch")
     r = r.withColumn(
         "block",
         F.explode(
@@ -330,7 +334,7 @@ def link(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 7
             F.max_by("comp", "c").alias("top"), F.max("c").alias("most"), F.sum("c").alias("rows"), F.count("*").alias("comps")
         )
         mixed = scratch.table(mixed.where("comps > 1"), f"mixed{step}")
-        blocks = _blocks(named, mixed if limit or medoids else mixed.join(crowded, "band", "left_semi"), classes)
+        blocks = _blocks(named, mixed if limit or medoids else mixed.join(crowded, "band", "left_semi"), classes, medoids)
         keys, most = ["band", "kind", "i", "j"], most_bits(percent / 100 - slack)
         exact = not limit and not medoids
         if exact:
@@ -382,12 +386,11 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataF
     Of rows with the component's doc_id, the one with the least text key stays, and of equal ones one.
     """
     found = near_duplicates(docs, width, percent).where("kept and node is not null")
-    named = found.groupBy("root").agg(F.min("component_id").alias("__doc"), F.min("text_key").alias("__key"))
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(worded).withColumn("__text", text_key())
-    rows = rows.join(named.drop("root"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key")))
-    rows = rows.withColumn("__nth", F.expr("row_number() over (partition by __doc, __key order by __text)")).where("__nth = 1")
-    return rows.select(docs.columns).unionByName(docs.where(~worded))
+    named = found.groupBy("root").agg(F.min("component_id").alias("doc"), F.min("text_key").alias("key")).drop("root")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own"), text_key().alias("text"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    once = rows.where("worded").join(named, F.col("own").eqNullSafe(F.col("doc")) & (F.col("text") == F.col("key")))
+    once = once.withColumn("nth", F.expr("row_number() over (partition by doc, key order by text)")).where("nth = 1")
+    return once.select("row").unionByName(rows.where("not worded").select("row")).select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
