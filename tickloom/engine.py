@@ -150,7 +150,8 @@ class Run:
         if cfg.definition_cycle:
             start = self.manifests.groupBy(*CHANNEL).agg(F.min("send_ts").alias("origin"))
             frozen = self.definitions.join(self.ready, [*CHANNEL, "manifest_seq"], "left_semi").select(*CHANNEL, "instrument").distinct().join(start, CHANNEL)
-            c = rd.cycles(self.definitions, frozen, CHANNEL, "send_ts", "origin", cfg.definition_cycle).withColumn("port", F.lit("refdata"))
+            end = self.accepted.where("port = 'refdata'").groupBy(*CHANNEL).agg(F.max("send_ts").alias("last"))
+            c = rd.cycles(self.definitions, frozen, CHANNEL, "send_ts", "origin", cfg.definition_cycle, end).withColumn("port", F.lit("refdata"))
             last = c.groupBy(*CHANNEL).agg(F.max("cycle").alias("last"))
             c = c.join(last, CHANNEL)
             out.append(_say(c, "REFDATA.DEFINITION_CYCLE_COVERAGE", F.when(F.col("missing") == 0, "pass").when(F.col("cycle") == F.col("last"), "unverifiable").otherwise("violation"), F.when((F.col("missing") > 0) & (F.col("cycle") == F.col("last")), "insufficient_window")))

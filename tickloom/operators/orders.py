@@ -94,3 +94,18 @@ def versions(events: DataFrame, keys: list[str]) -> DataFrame:
 def to_levels(live: DataFrame, keys: list[str]) -> DataFrame:
     """Orders added up to price levels: keys, side, price, qty, orders."""
     return live.groupBy(*keys, "side", "price").agg(F.sum("remaining").alias("qty"), F.count("*").alias("orders"))
+
+
+def rolled_up(trades: DataFrame, executions: DataFrame, keys: list[str]) -> DataFrame:
+    """Trades with what their executions add up to: n_executions, executed, and agrees (the quantities are the same)."""
+    e = executions.where("trade_id <> 0").groupBy(*keys, "trade_id").agg(F.count("*").alias("n_executions"), F.sum("qty").cast("bigint").alias("executed"))
+    out = trades.join(e, [*keys, "trade_id"], "left").na.fill(0, ["n_executions", "executed"])
+    return out.withColumn("agrees", F.col("executed") == F.col("qty"))
+
+
+def arbitrated(rows: DataFrame, keys: list[str], source: str, preferred: list[str]) -> DataFrame:
+    """Rows of one instance for each key: the first of ``preferred`` that has any. Instances are never mixed, as their
+    numberings have nothing to do with each other."""
+    rank = F.array_position(F.array(*map(F.lit, preferred)), F.col(source))
+    best = rows.where(rank > 0).groupBy(*keys).agg(F.min_by(source, rank).alias("__best"))
+    return rows.join(best, keys).where(F.col(source) == F.col("__best")).drop("__best")

@@ -81,17 +81,40 @@ def ready_at(definitions: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys, "manifest_seq").agg(F.min("pos").alias("ready_pos"), F.max("current_count").alias("n_defs"))
 
 
-def cycles(definitions: DataFrame, expected: DataFrame, keys: list[str], ts: str, origin: str, length: int) -> DataFrame:
+def cycles(definitions: DataFrame, expected: DataFrame, keys: list[str], ts: str, origin: str, length: int, until: DataFrame | None = None) -> DataFrame:
     """Tumbling cycles of ``length`` from each key's ``origin`` (in ``expected``: keys, origin, instrument): keys,
-    cycle, n_expected, n_seen, n_times (distinct send times) and missing, for cycles with a definition."""
+    cycle, n_expected, n_seen, n_times (distinct send times) and missing, for cycles with a definition; with ``until``
+    (keys, last: the last time on the feed) for silent ones as well."""
     start = expected.select(*keys, origin).distinct()
     d = definitions.join(start, keys).withColumn("cycle", F.floor((F.col(ts) - F.col(origin)) / length).cast("bigint")).where("cycle >= 0")
     due = expected.groupBy(*keys).agg(F.countDistinct("instrument").alias("n_expected"))
     inside = d.join(expected.select(*keys, "instrument").distinct(), [*keys, "instrument"], "left_semi")
     seen = inside.groupBy(*keys, "cycle").agg(F.countDistinct("instrument").alias("n_seen"), F.countDistinct(ts).alias("n_times"))
+    if until is not None:
+        last = F.floor((F.col("last") - F.col(origin)) / length).cast("bigint")
+        every = start.join(until, keys).where(F.col("last") >= F.col(origin)).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("cycle"))
+        seen = every.join(seen, [*keys, "cycle"], "left").na.fill(0, ["n_seen", "n_times"])
     return seen.join(due, keys).withColumn("missing", F.col("n_expected") - F.col("n_seen"))
 
 
+def surviving(trackers: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """What is kept of per-instrument state (keys, instrument) when a manifest brings a new set of instruments; channels
+    without a new set keep all."""
+    bumped = current.select(*keys).distinct()
+    same = trackers.join(bumped, keys, "left_anti")
+    return same.unionByName(trackers.join(bumped, keys, "left_semi").join(current.select(*keys, "instrument").distinct(), [*keys, "instrument"], "left_semi"))
+
+
+def with_definition(facts: DataFrame, definitions: DataFrame, keys: list[str], pos: str, values: list[str], tolerance: int) -> DataFrame:
+    """``facts`` with the definition in force, or where there is none yet, the first that comes within ``tolerance``
+    after them; defined is "before", "after" or null."""
+    before = asof(facts, definitions.select(*keys, pos, F.struct(*values).alias("__b")), keys, pos, ["__b"])
+    both = asof(before, definitions.select(*keys, pos, F.struct(F.col(pos).alias("__at"), *values).alias("__a")), keys, pos, ["__a"], strict=True, forward=True)
+    late = F.col("__b").isNull() & (F.col("__a.__at") <= F.col(pos) + tolerance)
+    chosen = {v: F.when(F.col("__b").isNotNull(), F.col(f"__b.{v}")).when(late, F.col(f"__a.{v}")) for v in values}
+    return both.withColumns(chosen).withColumn("defined", F.when(F.col("__b").isNotNull(), "before").when(late, "after")).drop("__a", "__b")
+
+
 def price_bound(facts: DataFrame, price: str) -> DataFrame:
     """``facts`` (with price_bound, null where no definition is known) with status: a negative price under bound 1 or 2
     is a violation, a bound of 0 does not apply, and without a definition nothing can be said."""
