@@ -443,7 +443,8 @@ class Run:
         """rule_id, severity, status, reason, capture_id, port, channel_id, instrument, seq, detail."""
         parts = [*self.envelope(), *self.reference()]
         parts += {"tob": self.top_of_book, "midpoint": self.midpoint, "mbp": self.market_by_price, "mbo": self.market_by_order}[self.feed]()
-        out = reduce(DataFrame.unionByName, map(cut, parts))
+        # A plan for each few parts: fewer jobs than parts, and none too long to be planned.
+        out = reduce(DataFrame.unionByName, (cut(reduce(DataFrame.unionByName, parts[k : k + 8])) for k in range(0, len(parts), 8)))
         spark = out.sparkSession
         missing = [(r, "na") for r in starved(self.feed, set(self.settings.ports))]
         if missing:
