@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, arrow_map, constants, mix
+from .shared import arrow_map, constants, mix
 
 LETTER = regex.compile(r"\p{L}")
 NGRAM, PROBES = 4, 3
@@ -107,9 +107,8 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, per_language: int = 4000, grams: int = 40_000, slots: int = 1 << 20) -> Model:
     """Learns from rows that aren't held out and whose text and lang are not null.
 
-    To the driver come counts per language, and of each language's sampled n-grams those seen in two documents or more,
-    and of those seen in one about as many as lack to ``grams``; all are bounded by the parameters and the number of
-    languages, not by the table.
+    To the driver come the count and the ``grams`` commonest n-grams of each language, of those seen equally often the ones
+    of least hash: bounded by the parameter and the number of languages, not by the table.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(~held_out()).where("lang is not null")
@@ -136,21 +135,13 @@ def fit(docs: DataFrame, per_language: int = 4000, grams: int = 40_000, slots: i
         return pa.RecordBatch.from_pydict({"lang": [name] * len(g), "gram": pa.array(g.astype(np.int64)), "n": pa.array(n)})
 
     counts = sample.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    with Scratch(spark, "langid") as scratch:
-        counts = scratch.table(counts, "counts")
-        sums = counts.groupBy("lang").agg(F.count_if(F.col("n") > 1).alias("often"), F.count_if(F.col("n") == 1).alias("once")).collect()
-        # The n-grams are hashes: those below a limit are a sample of the size that lacks, and a margin.
-        lack = {r["lang"]: max(grams - r["often"], 0) for r in sums}
-        limits = [(r["lang"], min(1.0, (lack[r["lang"]] + 6 * lack[r["lang"]] ** 0.5) / max(r["once"], 1))) for r in sums]
-        limits = spark.createDataFrame(limits, "lang string, most double")
-        low = F.shiftrightunsigned("gram", 1) <= F.col("most") * float(1 << 63)
-        table = counts.join(F.broadcast(limits), "lang").where((F.col("n") > 1) | ((F.col("most") > 0) & low)).select("lang", "gram", "n").toArrow()
-    names, g, n = table.column("lang").to_numpy(), table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+    # Ranked in the cluster, combined before the shuffle: the driver gets the model's own n-grams and no others.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    table = counts.withColumn("nth", nth).where(F.col("nth") <= grams).select("lang", "gram").toArrow()
+    names, g = table.column("lang").to_numpy(), table.column("gram").to_numpy().astype(np.uint64)
     common = {}
     for name in languages:
-        own = np.flatnonzero(names == name)
-        own = own[np.lexsort((g[own], -n[own]))][:grams]
-        common[name] = g[own]
+        common[name] = g[names == name]
     return build([x for x in languages if len(common[x])], common, slots)
 
 
