@@ -27,7 +27,6 @@ the same way; a hot host is a skewed join of plain tables, which AQE splits. No
 
 from __future__ import annotations
 
-import hashlib
 import html as html_module
 import re
 from collections import Counter
@@ -430,8 +429,8 @@ def _key() -> Column:
     return F.xxhash64("page_id", "url", "html")
 
 
-def _digest(root: Node) -> bytes:
-    return hashlib.blake2b(content(root).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _digest(root: Node) -> int:
+    return _value(content(root))
 
 
 def _value(text: str) -> int:
@@ -514,7 +513,7 @@ class Pages:
         return tree
 
 
-def votes_of(pages: Pages, reference: str, page: str) -> tuple[bytes, list[int], list[int], list[int]]:
+def votes_of(pages: Pages, reference: str, page: str) -> tuple[int, list[int], list[int], list[int]]:
     """Digest of a page's text, and its votes: places of the reference with, for a text, its value and length, and for
     an element, whether it has the reference's shape (1 or 0) and the plain characters of children without a partner."""
     model, at, _ = pages.reference(reference)
@@ -551,13 +550,14 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, of, copy, places, values, sizes): the votes of each page."""
+    """(unit, copy, places, values, sizes): the votes of each page. unit is a hash of host and layout, and copy one of the
+    page's text, so that millions of votes are counted by numbers."""
     pages = Pages()
     for batch in batches:
         got = [votes_of(pages, ref, page) for page, ref in _rows(batch, "html", "reference")]
         copy, places, values, sizes = zip(*got, strict=True) if got else ((), (), (), ())
-        columns = [batch.column("host"), batch.column("of"), pa.array(copy, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "of", "copy", "places", "values", "sizes"])
+        columns = [batch.column("unit"), pa.array(copy, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["unit", "copy", "places", "values", "sizes"])
 
 
 # What a wrapper says of an element.
@@ -722,17 +722,18 @@ def extract(pages: DataFrame) -> DataFrame:
         models = scratch.table(models.mapInArrow(_skeletons, "host string, of string, reference string"), "models")
         references = scratch.table(chosen.drop("key").join(models, ["host", "of"]), "references")
         # At sight of both tables' sizes the planner broadcasts the references or sorts and splits.
-        votes = own.join(references, ["host", "layout"]).select("host", "of", "html", "reference")
-        votes = votes.mapInArrow(_votes, "host string, of string, copy binary, places array<int>, values array<bigint>, sizes array<int>")
-        votes = votes.groupBy("host", "of", "copy").agg(F.min(F.struct("places", "values", "sizes")).alias("v"))
-        votes = votes.select("host", "of", F.explode(F.arrays_zip("v.places", "v.values", "v.sizes")).alias("v"))
-        votes = votes.groupBy("host", "of", F.col("v.places").alias("place"), F.col("v.values").alias("value")).agg(F.count("*").alias("n"), F.sum("v.sizes").alias("size"))
-        counts = votes.groupBy("host", "of", "place").agg(
+        unit = F.xxhash64("host", "of").alias("unit")
+        votes = own.join(references, ["host", "layout"]).select(unit, "html", "reference")
+        votes = votes.mapInArrow(_votes, "unit bigint, copy bigint, places array<int>, values array<bigint>, sizes array<int>")
+        votes = votes.groupBy("unit", "copy").agg(F.min(F.struct("places", "values", "sizes")).alias("v"))
+        votes = votes.select("unit", F.explode(F.arrays_zip("v.places", "v.values", "v.sizes")).alias("v"))
+        votes = votes.groupBy("unit", F.col("v.places").alias("place"), F.col("v.values").alias("value")).agg(F.count("*").alias("n"), F.sum("v.sizes").alias("size"))
+        counts = votes.groupBy("unit", "place").agg(
             F.sum("n").alias("pages"), F.count("*").alias("distinct"), F.max(F.struct("n", "value")).alias("top"), F.sum("size").alias("size"), F.sum(F.when(F.col("value") == 1, F.col("n")).otherwise(0)).alias("same")
         )
         one = F.struct("place", "pages", "distinct", F.col("top.n").alias("top"), F.col("top.value").alias("value"), "size", "same")
-        counts = counts.groupBy("host", "of").agg(F.collect_list(one).alias("counts"))  # at most the nodes of a page
-        wrappers = models.join(counts, ["host", "of"]).mapInArrow(_judge, "host string, of string, wrapper string")
+        counts = counts.groupBy("unit").agg(F.collect_list(one).alias("counts"))  # at most the nodes of a page
+        wrappers = models.withColumn("unit", unit).join(counts, "unit").mapInArrow(_judge, "host string, of string, wrapper string")
         wrapper = scratch.table(references.select("host", "layout", "of").join(wrappers, ["host", "of"]), "wrappers", keep=True)
     wrapper = wrapper.select(F.col("host").alias("its_host"), F.col("layout").alias("its_layout"), "wrapper")
     found = page.join(wrapper, (F.col("host") == F.col("its_host")) & (F.col("layout") == F.col("its_layout")), "left")
