@@ -1,13 +1,15 @@
 """Quality rules on repetition inside a document, from a suffix array over its words.
 
 The suffix array is built by prefix doubling on word ranks; the ranks of every level also give the longest common
-prefix of neighbouring suffixes. Neighbours with a common prefix of at least L words form the LCP intervals of the
-repeated substrings of L words or more; the longest repeat that starts at a position is the greater of its two
-neighbouring prefixes. The union of those spans is what repeats cover.
+prefix of neighbouring suffixes. Runs of neighbours with a common prefix of at least L words are the LCP intervals of the
+repeated substrings of L words or more. The innermost interval of a position is that of the longest repeat which starts
+there, the greater of its two neighbouring prefixes, and can't be continued to the right. It is maximal unless the repeat
+of the position before is one word longer, which is the same repeat begun earlier. The union of the maximal spans is what
+repeats cover.
 
 A document whose windows of L words are all distinct has no such interval, which one pass over window hashes shows, so
-the array is built only where there is a repeat. Time is n log n in the words of one document, memory is in proportion
-to the longest document, and the step is a map without any shuffle.
+the array is built only where there is a repeat. Time is n log n in the words of one document and memory log n ranks a word
+of the longest document, and the step is a map without any shuffle.
 """
 
 from __future__ import annotations
@@ -82,8 +84,9 @@ def repeats(hashes: np.ndarray, least: int) -> np.ndarray:
 
 
 def covered(longest: np.ndarray, least: int) -> np.ndarray:
-    """Which positions the spans of repeats of ``least`` words or more cover."""
-    at = np.flatnonzero(longest >= least)
+    """Which positions the spans of maximal repeats of ``least`` words or more cover."""
+    before = np.concatenate([[0], longest[:-1]])
+    at = np.flatnonzero((longest >= least) & (before != longest + 1))
     edge = np.zeros(len(longest) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + longest[at], -1)

@@ -2,8 +2,8 @@
 
 An archive that was compressed as a whole can't be entered in the middle. The normaliser inflates such a file once, as
 a stream, writes each record as a gzip member of its own, and a sidecar file of JSON lines with the offset and length
-of each member; readers then fetch single records. Records pass through in pieces, so memory doesn't depend on the
-length of a file or a record.
+of each member; readers then fetch single records. The normaliser passes records on in pieces, so its memory doesn't
+depend on the length of a file or a record; a reader, and the writer of a page's record, hold one record at a time.
 
 Each archive is written by one task from its partition, under a name no other attempt uses, and is listed in a written
 manifest; archives roll over at a size limit. A task that is run again writes files of its own, and those of the failed
