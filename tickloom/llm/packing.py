@@ -236,8 +236,11 @@ def plan(counts: np.ndarray, length: int = LENGTH, groups: int = GROUPS, small:
     return rows
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, groups: int = GROUPS, spread: int = 64) -> DataFrame:
-    """``pieces`` (a written table with doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+def pack(pieces: DataFrame, length: int = LENGTH, groups: int = GROUPS, spread: int = 64, bucket_rows: int = 1_000_000) -> DataFrame:
+    """``pieces`` (a written table with doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+
+    Pieces of one length are numbered in buckets of about ``bucket_rows``, ``spread`` at least, so that a length that
+    many have, as the full one, is no hot key."""
     spark = pieces.sparkSession
     histogram = pieces.groupBy("length").count().collect()  # a row per length, ``length`` at most
     counts = np.zeros(length + 1, np.int64)
@@ -245,15 +248,16 @@ def pack(pieces: DataFrame, length: int = LENGTH, groups: int = GROUPS, spread:
         counts[r["length"]] = r["count"]
     steps = plan(counts, length, groups) or [(0, 0, 0, 0, 0)]
     table = pa.Table.from_arrays([pa.array(x, pa.int64()) for x in zip(*steps, strict=True)], ["n", "first", "many", "sequence", "offset"])
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(spread)))
+    spreads = spark.createDataFrame([(r["length"], max(spread, -(-r["count"] // bucket_rows))) for r in histogram], "length bigint, spread bigint")
+    rows = pieces.join(F.broadcast(spreads), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("spread")))
     counted = rows.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
     before = counted.selectExpr("length", "bucket", "sum(rows) over (partition by length order by bucket) - rows as before")
     rows = rows.withColumn("nth", F.expr("row_number() over (partition by length, bucket order by doc_id, piece, ids_crc32) - 1"))
-    rows = rows.join(F.broadcast(before), ["length", "bucket"])  # length * spread rows at most
+    rows = rows.join(F.broadcast(before), ["length", "bucket"])  # a row per bucket
     rows = rows.withColumn("rank", F.col("before") + F.col("nth"))
     # The plan's rows depend on the lengths there can be, not on the pieces.
     found = rows.join(F.broadcast(spark.createDataFrame(table)), (F.col("length") == F.col("n")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("many")))
-    return found.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop("bucket", "before", "nth", "rank", "n", "first", "many", "sequence")
+    return found.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop("bucket", "spread", "before", "nth", "rank", "n", "first", "many", "sequence")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
