@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import pytest
@@ -172,3 +173,20 @@ def test_ladders_at_points_over_the_whole_tape_equal_a_replay(spark):
     points = spark.createDataFrame([(i, k) for i, last in ((1, 1350), (2, 720)) for k in {*range(100, last, 100), last}], "instrument int, k bigint")
     got = levels.ladder_asof(u, points, ["instrument"], c).collect()
     assert len(got) == len(want) and {(r["instrument"], r["k"], r["side"], r["price"], r["qty"]) for r in got} == want
+
+
+@pytest.mark.parametrize("window", [0, 1, 3, 8])
+def test_emission_equals_a_buffer(spark, window):
+    rng = random.Random(window)
+    seqs = [k for k in range(200) if k % 17]
+    for _ in range(60):  # most within the window, some far off
+        i = rng.randrange(len(seqs))
+        seqs.insert(min(len(seqs), i + rng.choice([1, 2, 3, 12, 40])), seqs.pop(i))
+    df = spark.createDataFrame([("c", s, a) for a, s in enumerate(seqs)], "c string, seq bigint, arrival bigint")
+    got = {r["seq"]: r["emit_pos"] for r in o.with_emit_position(df, ["c"], window=window).collect()}
+    heap, left = [], {}
+    for a, s in enumerate(seqs):
+        heapq.heappush(heap, s)
+        if len(heap) > window:
+            left[heapq.heappop(heap)] = a
+    assert got == left | {s: 1 << 60 for s in heap}

@@ -122,13 +122,30 @@ def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str =
     return frames.join(late, [*keys, port]).withColumn("era_no", F.col("era_no") + F.col("__ahead")).drop("__ahead")
 
 
+def with_late(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival") -> DataFrame:
+    """``frames`` with late: more than ``window`` frames with a greater seq came before, so that a reorder buffer has let
+    one of them go already.
+
+    The k-th greatest seq so far is a running maximum over what the k-1 maxima before it pushed out, so the one that
+    counts is ``window`` + 1 windows deep, all over the same partitions and order: one shuffle, one sort."""
+    before = _before(keys, [arrival])
+    out = frames.withColumn("__x", F.col(seq))
+    for _ in range(window):
+        out = out.withColumn("__top", F.max("__x").over(before)).withColumn("__x", F.when(F.col("__top").isNotNull(), F.least("__x", "__top")))
+    return out.withColumn("late", F.coalesce(F.max("__x").over(before) > F.col(seq), F.lit(False))).drop("__x", "__top")
+
+
 def with_emit_position(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival", port_order: Column | None = None) -> DataFrame:
     """``frames`` with emit_pos, the arrival at which a reorder buffer of ``window`` frames lets each go.
 
-    The i-th frame in order of seq leaves when the (i + window)-th arrives; the last ones leave at the end, by port."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(seq, arrival))
-    arrived = F.row_number().over(Window.partitionBy(*keys).orderBy(arrival))
-    f = frames.withColumn("__i", rank).withColumn("__n", arrived)
-    gone = f.select(*keys, (F.col("__n") - window).alias("__i"), F.col(arrival).alias("__gone"))
+    A late frame leaves as it comes. Of the others the i-th in order of seq leaves when the (i + window)-th arrives; the
+    last ones leave at the end, by port."""
+    f = with_late(frames, keys, seq, window, arrival)
+    own = [*keys, "late"]
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(seq, arrival))
+    arrived = F.row_number().over(Window.partitionBy(*own).orderBy(arrival))
+    f = f.withColumn("__i", rank).withColumn("__n", arrived)
+    gone = f.where("not late").select(*keys, (F.col("__n") - window).alias("__i"), F.col(arrival).alias("__gone"))
     last = F.lit(1 << 60) + (port_order if port_order is not None else F.lit(0))
-    return f.join(gone, [*keys, "__i"], "left").withColumn("emit_pos", F.coalesce("__gone", last)).drop("__i", "__n", "__gone")
+    out = f.join(gone, [*keys, "__i"], "left").withColumn("emit_pos", F.when(F.col("late"), F.col(arrival)).otherwise(F.coalesce("__gone", last)))
+    return out.drop("__i", "__n", "__gone", "late")
