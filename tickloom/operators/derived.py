@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import asof
+
 
 def scaled(raw: Column, exponent: Column | int) -> Column:
     """raw * 10^exponent as DECIMAL(38,12)."""
@@ -74,3 +76,10 @@ def bandwidth(rows: DataFrame, by: list[str], ts: str, span: int, size: Column)
     """Bytes and messages per window of ``span``."""
     slot = F.floor(F.col(ts) / span).cast("bigint").alias("slot")
     return rows.groupBy(*by, slot).agg(F.sum(size).alias("bytes"), F.count("*").alias("messages"))
+
+
+def mid_or_trade(quotes: DataFrame, trades: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """``quotes`` with mid, where it is null the price of the last trade at or before, and its origin (quotes, trade)."""
+    out = asof(quotes, trades.select(*keys, pos, F.col("price").alias("__last")), keys, pos, ["__last"])
+    origin = F.when(F.col("mid").isNotNull(), "quotes").when(F.col("__last").isNotNull(), "trade")
+    return out.withColumn("origin", origin).withColumn("mid", F.coalesce("mid", "__last")).drop("__last")

@@ -11,6 +11,7 @@ from ..functions.layout import message
 from ..functions.rules import spec_links
 from ..operators import orders as od
 from ..operators import refdata as rd
+from ..operators.derived import mid_or_trade
 from . import feeds
 from .feeds import with_ctes
 from .registry import query
@@ -170,3 +171,29 @@ def surviving_trackers(spark, sf):
 @query("rule_spec_links")
 def rule_spec_links(spark, sf):
     return spec_links(spark)
+
+
+_TWO_HOURS = 7_200_000_000_000
+
+
+@query("burst_definition_cycles", with_ctes("definitions", f"""
+with d as (select channel_id, instrument, send_ts // 3600000000000 * 3600000000000 as send_ts from definitions),
+o as (select channel_id, min(send_ts) as origin from d group by 1)
+select channel_id, (send_ts - origin) // {_TWO_HOURS} as cycle, count(distinct instrument) as n_seen from d join o using (channel_id) group by all having count(distinct send_ts) = 1"""))
+def burst_definition_cycles(spark, sf):
+    """Cycles of two hours whose definitions, sent on the hour, all came at one time."""
+    d = feeds.definitions(spark, sf).withColumn("send_ts", F.expr("send_ts div 3600000000000 * 3600000000000"))
+    expected = d.select("channel_id", "instrument").distinct().join(d.groupBy("channel_id").agg(F.min("send_ts").alias("origin")), "channel_id")
+    return rd.cycles(d, expected, ["channel_id"], "send_ts", "origin", _TWO_HOURS).where("n_times = 1").select("channel_id", "cycle", "n_seen")
+
+
+@query("mid_or_last_trade", with_ctes("ticks", """
+with q as (select seq, instrument, case when qty % 5 > 0 then price + 1 end as mid from ticks where event_type = 'view'),
+t as (select seq, instrument, price from ticks where event_type = 'purchase')
+select q.seq, q.instrument, coalesce(q.mid, t.price) as mid, case when q.mid is not null then 'quotes' when t.price is not null then 'trade' end as origin
+from q asof left join t on q.instrument = t.instrument and t.seq <= q.seq"""))
+def mid_or_last_trade(spark, sf):
+    t = feeds.ticks(spark, sf)
+    quotes = t.where("event_type = 'view'").selectExpr("seq", "instrument", "if(qty % 5 > 0, price + 1, null) as mid")
+    trades = t.where("event_type = 'purchase'").select("seq", "instrument", "price")
+    return mid_or_trade(quotes, trades, ["instrument"], "seq").select("seq", "instrument", "mid", "origin")
