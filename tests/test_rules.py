@@ -143,3 +143,20 @@ def test_numbering_of_the_level_feed(spark):
     t.send("snapshot", t.msg("snapshot_begin", instrument=7, anchor=0, total=0, snapshot_id=1, last_seq=2), t.msg("snapshot_end", instrument=7, anchor=0, snapshot_id=1))
     update(1)
     assert violations(t.run(spark, Settings(window=0))) == ["MBP.DELTA.PERINSTR_NO_SNAPSHOT_RESET"]
+
+
+def test_an_overfill_leaves_its_order(spark):
+    tapes = {}
+    for name, more in (("over", ()), ("full", (1,))):
+        t = tapes[name] = Tape("mbo")
+        manifest(t)
+        define(t)
+        add(t, 1, 1), add(t, 2, 2)
+        execute(t, 3, 1, 4)
+        execute(t, 4, 1, 9, **({"exec_flags": 1} if more else {}))
+        execute(t, 5, 1 if not more else 2, 2)
+        group(t, 1, 5, [(1, 100, 4), (2, 100, 10)] if not more else [(2, 100, 8)])
+    found = run_all(spark, tapes, Settings(window=0))
+    for name in tapes:
+        assert found[name].count(("REF.EXEC_OVERFILL", "violation")) == 1 and violations(found[name]) == ["REF.EXEC_OVERFILL"]
+        assert ("SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "pass") in found[name]

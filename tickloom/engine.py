@@ -332,7 +332,7 @@ class Run:
             _say(with_previous(batches, [*CHANNEL, "era_no"], ["pos"], before="batch_id").where("batch_id < before"), "BATCH.ID_MONOTONIC"),
         ]
         seen = s.join(hidden, [*BOOK, "order_id"], "left_anti")
-        lives = cut(od.with_lifecycle(seen, life))
+        lives = cut(od.settled(od.with_lifecycle(seen, life), life))
         gate = lambda rows, rule: _say(rows, rule, F.when(F.col("untrusted"), "unverifiable").otherwise("violation"), F.when(F.col("untrusted"), "untrusted"))
         q = od.quantities(lives)
         out += [
@@ -344,22 +344,21 @@ class Run:
         t = trades.select(*_PLACE, "era_no", "pos", "dirty", "instrument", "trade_id")
         lone = od.ungrouped_trades(t, executes.select(*BOOK, "pos", "trade_id"), BOOK)
         out.append(_say(lone, "TRADE.EXEC_GROUPING", F.when(loss, "unverifiable").otherwise("violation"), F.when(loss, "loss")))
-        marks = self._batch_marks(batches, seen, life)
+        marks = self._batch_marks(batches, lives)
         out.append(gate(marks, "BATCH.ATOMICITY_CONSISTENCY"))
         for rule, facts in (("FIELD.ORDERADD_PRICE_BOUND", adds), ("REF.EXEC_PRICE_BOUND", executes)):
             k = rd.price_bound(self.known(facts.select(*_PLACE, "pos", "instrument", "price"), "price_bound"), "price")
             out.append(_say(k, rule, F.col("status"), F.when(F.col("status") == "unverifiable", "cold_start")))
-        return out + self._order_snapshots(s, seen, resets, life)
+        return out + self._order_snapshots(s, lives, resets)
 
-    def _batch_marks(self, batches: DataFrame, events: DataFrame, life: list[str]) -> DataFrame:
+    def _batch_marks(self, batches: DataFrame, lives: DataFrame) -> DataFrame:
         """Orders with nothing left that a boundary finds live: their last event before it left 0 without ending them."""
-        lives = od.with_lifecycle(events, life)
         left = F.when(F.col("kind") == "add", F.col("qty")).otherwise(F.col("entry_qty") - F.col("filled") - F.coalesce("qty", F.lit(0)))
         spent = lives.where("life > 0 and not removed and kind <> 'cancel' and not coalesce(full_fill, false)").where(left == 0)
         b = batches.select(*CHANNEL, "pos", F.col("pos").alias("boundary"))
         return asof(spent, b, CHANNEL, "pos", ["boundary"], strict=True, forward=True).where("boundary is not null")
 
-    def _order_snapshots(self, s: DataFrame, seen: DataFrame, resets: DataFrame, life: list[str]) -> list[DataFrame]:
+    def _order_snapshots(self, s: DataFrame, lives: DataFrame, resets: DataFrame) -> list[DataFrame]:
         cfg = self.settings
         g = self._groups("snapshot_order", F.col("order_id").cast("string"), "order_id", "side", "price", "qty", "flags", "enter_ts")
         shape, dirty, port_dirty = self._structure(g), F.coalesce("dirty", F.lit(False)), F.coalesce("port_dirty", F.lit(False))
@@ -393,7 +392,7 @@ class Run:
         orders = self.snapshot_rows.where("kind = 'row'").select(*keys, "port", "seq", "pos", "order_id", "side", "price", "qty", "flags", "enter_ts").join(g.select(*keys, "instrument", "life_no"), keys)
         bound = rd.price_bound(self.known(orders.select(*_PLACE, "pos", "instrument", "price"), "price_bound"), "price")
         out.append(_say(bound, "SNAP.ORDER_PRICE_BOUND", F.col("status"), F.when(F.col("status") == "unverifiable", "cold_start")))
-        out.append(self._order_audits(g, shape, track, top, seen, orders))
+        out.append(self._order_audits(g, shape, track, top, lives, orders))
         # What follows an instrument reset.
         r = resets.select(*_PLACE, "era_no", "pos", "instrument", F.col("anchor").cast("bigint").alias("anchor"))
         ends = done.select(*BOOK, F.col("end_pos").alias("pos"), "anchor", F.col("k").alias("group_k"))
@@ -411,7 +410,7 @@ class Run:
         out.append(_say(nxt, "RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR", F.when(F.col("next_seq") == F.col("group_k") + 1, "pass").otherwise("violation")))
         return out
 
-    def _order_audits(self, g: DataFrame, shape: dict[str, Column], track: DataFrame, top: DataFrame, seen: DataFrame, orders: DataFrame) -> DataFrame:
+    def _order_audits(self, g: DataFrame, shape: dict[str, Column], track: DataFrame, top: DataFrame, lives: DataFrame, orders: DataFrame) -> DataFrame:
         """Each completed group against the live orders of its life, by what was known when it ended: a later gap changes
         no verdict. A group that can be compared has just the number the deltas had reached."""
         ended = g.where(F.col("ended") & (F.col("orphans") == 0)).withColumn("k", F.col("last_seq")).withColumn("begin", F.col("pos")).withColumn("pos", F.col("end_pos"))
@@ -430,7 +429,7 @@ class Run:
         keys, values = [*LIFE, "k", "island"], ["remaining", "price", "side", "flags", "enter_ts"]
         hidden = orders.where(F.col("flags").bitwiseAND(F.lit(4).cast("bigint")) != 0).select(*CHANNEL, "era_no", "island", "order_id")
         island = [*CHANNEL, "era_no", "island", "order_id"]
-        book = lv.at_points(od.versions(seen, LIFE), compared.select(*LIFE, "k"), LIFE, "per_seq", "until").join(compared.select(*keys), [*LIFE, "k"])
+        book = lv.at_points(od.versions(lives, LIFE), compared.select(*LIFE, "k"), LIFE, "per_seq", "until").join(compared.select(*keys), [*LIFE, "k"])
         snap = orders.withColumnRenamed("qty", "remaining").join(compared.select(*keys), [*LIFE, "island"])
         kept = lambda rows: rows.join(hidden, island, "left_anti").select(*keys, "order_id", *(F.col(v).cast("bigint").alias(v) for v in values))
         diff = sn.signatures(sn.book_diff(kept(snap), kept(book.withColumn("order_id", F.col("order_id").cast("bigint"))), keys, ["order_id"], values), keys, ["order_id"])

@@ -23,6 +23,27 @@ def with_lifecycle(events: DataFrame, keys: list[str]) -> DataFrame:
     return e.withColumns(entry | {"removed": F.coalesce(F.max(ends).over(before), F.lit(False)), "filled": F.coalesce(F.sum(F.when(F.col("kind") == "execute", F.col("qty"))).over(before), F.lit(0)).cast("bigint")})
 
 
+def settled(lives: DataFrame, keys: list[str]) -> DataFrame:
+    """``lives`` in which an execution of more than is left, and without the full-fill flag, leaves its order as it was.
+
+    What counts as filled then depends on what was let through before, so the orders that have such an execution, and no
+    others, are folded."""
+    over = (F.col("kind") == "execute") & (F.col("life") > 0) & ~F.col("removed") & (F.col("qty") > F.col("entry_qty") - F.col("filled"))
+    own = [*keys, "order_id", "life"]
+    odd = lives.where(over).select(*own).distinct()
+    event = F.struct("pos", (F.col("kind") == "execute").alias("fills"), F.col("qty").cast("bigint").alias("qty"), F.col("entry_qty").cast("bigint").alias("most"))
+    kind = lives.schema["pos"].dataType.simpleString()
+    start = F.expr(f"named_struct('filled', 0L, 'rows', cast(array() as array<struct<pos:{kind},filled:bigint>>))")
+
+    def step(s: Column, x: Column) -> Column:
+        after = s["filled"] + F.when(x["fills"] & (s["filled"] + x["qty"] <= x["most"]), x["qty"]).otherwise(0)
+        return F.struct(after.cast("bigint").alias("filled"), F.concat(s["rows"], F.array(F.struct(x["pos"].alias("pos"), s["filled"].alias("filled")))).alias("rows"))
+
+    events = lives.join(odd, own, "left_semi").groupBy(*own).agg(F.array_sort(F.collect_list(event)).alias("all"))
+    fixed = events.select(*keys, "order_id", F.explode(F.aggregate("all", start, step, lambda s: s["rows"])).alias("r")).select(*keys, "order_id", "r.pos", F.col("r.filled").alias("__filled"))
+    return lives.join(fixed, [*keys, "order_id", "pos"], "left").withColumn("filled", F.coalesce("__filled", "filled")).drop("__filled")
+
+
 def dangling(lives: DataFrame, kind: str) -> DataFrame:
     """Operations of a kind on orders that were never added."""
     return lives.where((F.col("kind") == kind) & (F.col("life") == 0))
@@ -78,16 +99,17 @@ def live_at(events: DataFrame, keys: list[str], pos: Column) -> DataFrame:
     return last.select(*keys, "order_id", "l.*").where("not ended and remaining > 0").drop("ended")
 
 
-def versions(events: DataFrame, keys: list[str]) -> DataFrame:
-    """What each event leaves of its order: keys, order_id, side, price, flags, enter_ts, remaining, from per_seq to
-    before until (null: no later event). Events that leave nothing alive have no row."""
-    w = Window.partitionBy(*keys, "order_id").orderBy("pos")
-    e = events.withColumn("life", F.sum((F.col("kind") == "add").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", F.lead("per_seq").over(w))
-    own = Window.partitionBy(*keys, "order_id", "life").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    gone = F.max((F.col("kind") == "cancel") | ((F.col("kind") == "execute") & F.coalesce(F.col("full_fill"), F.lit(False)))).over(own)
-    left = F.first("qty").over(own) - F.coalesce(F.sum(F.when(F.col("kind") == "execute", F.col("qty"))).over(own), F.lit(0))
-    entry = {c: F.first(c).over(own) for c in ("side", "price", "flags", "enter_ts")}
-    e = e.withColumns(entry | {"remaining": left.cast("bigint"), "gone": gone})
+def versions(lives: DataFrame, keys: list[str]) -> DataFrame:
+    """What each event of ``lives`` leaves of its order: keys, order_id, side, price, flags, enter_ts, remaining, from
+    per_seq to before until (null: no later event). Events that leave nothing alive have no row."""
+    until = F.lead("per_seq").over(Window.partitionBy(*keys, "order_id").orderBy("pos"))
+    first = Window.partitionBy(*keys, "order_id", "life").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_fill, full = F.col("kind") == "execute", F.coalesce(F.col("full_fill"), F.lit(False))
+    before = F.col("entry_qty") - F.col("filled")
+    left = before - F.when(is_fill & (F.col("qty") <= before), F.col("qty")).otherwise(0)
+    gone = F.col("removed") | (F.col("kind") == "cancel") | (is_fill & full)
+    entry = {"side": F.col("entry_side"), "price": F.col("entry_price"), "flags": F.first("flags").over(first), "enter_ts": F.first("enter_ts").over(first)}
+    e = lives.withColumns({"until": until, "remaining": left.cast("bigint"), "gone": gone} | entry)
     return e.where("life > 0 and not gone and remaining > 0").select(*keys, "order_id", "side", "price", "flags", "enter_ts", "remaining", "per_seq", "until")
 
 
