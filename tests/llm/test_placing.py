@@ -325,6 +325,18 @@ def test_wrapper_decides_over_names(spark):
         assert got[k] == " ".join(x.split("</p>")[0] for x in h.split("<p>")[1:])
 
 
+def test_main_elements_bound_the_article(spark):
+    rng = random.Random(14)
+    rows, want = [], {}
+    for k in range(10):
+        body, other, notice = prose(rng, rng.randrange(60, 90)), prose(rng, rng.randrange(20, 30)), prose(rng, 3)
+        replies = "".join(f"<div><b>{prose(rng, 1)}</b><p>{prose(rng, 9)}</p></div>" for _ in range(rng.randrange(1, 5)))
+        rows.append((k, "article", f"<body><div><article><p>{body}</p></article><div>{replies}</div></div><div>{other}</div></body>"))
+        rows.append((100 + k, "main", f"<body><main><div>{notice}</div><article><h2>{other}</h2><p>{body}</p></article></main></body>"))
+        want |= {k: body, 100 + k: f"{other} {body}"}
+    assert texts_by_id(spark, rows) == want
+
+
 def plain_counts(ref, pages):
     """The counts of a layout by a loop over its pages; copies of a text count once, by their least votes."""
     votes = {}

@@ -16,7 +16,8 @@ without what is marked as no content, is equal are copies and have one vote toge
   is what only single pages have there. Text blocks and headings beside it stay.
 
 A wrapper decides over names and kinds of elements: what holds the article is never skipped, whatever its class says, and
-furniture is, whatever it is called. Marks (HTML's sectioning elements, roles, words in class names) break ties: inside the
+furniture is, whatever it is called. Marks (HTML's sectioning elements, roles, words in class names) break ties: what the
+page itself calls its article bounds it where both agree on the place; and they decide inside the
 article, where no container has most of the text or fewer than three pages differ, and where a page has no counterpart of
 the article's place. Hosts of one page (copies counted once), and pages of no host, have marks only.
 
@@ -636,14 +637,15 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
         inside = [m for m in mains if at <= m <= end[at]]
         if most and inside and not any(big <= m <= end[big] for m in inside) and not any(m <= big for m in inside if end[m] >= big):
             return out  # the page calls something else its article
-        if not nodes[at].main and (most or 2 * lines > varying[at] > 0):
+        ends = nodes[at].main and nodes[at].tag != "main"  # a main element may hold more than the article
+        if not ends and (most or 2 * lines > varying[at] > 0):
             for k in boxes:
                 pages, same = counts.get(k, (0,) * 6)[0], counts.get(k, (0,) * 6)[5]
                 title = any(nodes[j].tag == "h1" and varying[j] for j in range(k, end[k] + 1)) and not nodes[k].skip
                 if k != big or not most:
                     if pages >= least and same >= share * pages and varying[k] <= small * varying[at] and not title and not any(k <= m <= end[k] for m in mains):
                         out[k] = FURNITURE
-        if not most or nodes[at].main:
+        if not most or ends:
             break
         path.append(big)
         at = big
@@ -691,6 +693,8 @@ def text_by(pages: Pages, page: str, wrapper: str | None) -> str:
         return content(tree, template)
     for x in beside:
         x.skip = x.skip or _container(x)
+    if _outermost(tree, "main"):
+        return content(tree, template)
     return _text([tree], template) or content(parse(page))
 
 
