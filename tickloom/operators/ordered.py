@@ -22,15 +22,12 @@ def asof(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: l
     """Each fact with the ``values`` of the last dim at or before its ``pos`` (``strict``: before; ``forward``: after).
 
     Both sides are united and the last dim is carried over the order, so there is one shuffle and no range join."""
-    side = F.lit(1 if strict != forward else 0)
-    d = dims.select(*keys, pos, side.alias("__side"), F.struct(*values).alias("__dim"))
-    f = facts.withColumn("__fact", F.struct(*facts.columns)).select(*keys, pos, F.lit(0 if strict != forward else 1).alias("__side"), "__fact")
+    d = dims.select(*keys, pos, F.lit(1 if strict else 0).alias("__side"), F.struct(*values).alias("__dim"))
+    f = facts.withColumn("__fact", F.struct(*facts.columns)).select(*keys, pos, F.lit(0 if strict else 1).alias("__side"), "__fact")
     both = f.unionByName(d, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(pos, "__side")
-    if forward:
-        seen = F.first("__dim", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        seen = F.last("__dim", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # Forward is backward in the other order: a frame that ends with its partition is worked out anew for each row.
+    w = Window.partitionBy(*keys).orderBy(F.desc(pos) if forward else F.asc(pos), "__side")
+    seen = F.last("__dim", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__seen", seen).where("__fact is not null")
     return out.select("__fact.*", *(F.col(f"__seen.{v}").alias(v) for v in values))
 
