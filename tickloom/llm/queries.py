@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP9_SQL, op9
+from .importance import OP11_SQL, op11
 from .langid import op4
 from .near_dedup import OP1_SQL, op1
 from .packing import op8
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8,
         "op9_decontamination": op9,
         "op10_wrapper": op10,
+        "op11_importance": op11,
     }
 
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_secrets": OP5_SQL,
         "op7_sharding": OP7_SQL,
         "op9_decontamination": OP9_SQL,
+        "op11_importance": OP11_SQL,
     }
