@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import OP12_SQL, op12
 from .decontam import OP9_SQL, op9
 from .importance import OP11_SQL, op11
 from .langid import op4
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9,
         "op10_wrapper": op10,
         "op11_importance": op11,
+        "op12_codes": op12,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": OP7_SQL,
         "op9_decontamination": OP9_SQL,
         "op11_importance": OP11_SQL,
+        "op12_codes": OP12_SQL,
     }
