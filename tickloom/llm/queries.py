@@ -11,6 +11,7 @@ from .decontam import OP9_SQL, op9
 from .importance import OP11_SQL, op11
 from .langid import op4
 from .near_dedup import OP1_SQL, op1
+from .neighbours import op13
 from .packing import op8
 from .quality import op6
 from .repetition import OP2_SQL, op2
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_wrapper": op10,
         "op11_importance": op11,
         "op12_codes": op12,
+        "op13_neighbours": op13,
     }
 
 
