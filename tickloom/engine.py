@@ -4,6 +4,9 @@ Positions are structs (emission, era, seq, message), which order messages of all
 them go. Each rule is a projection, a window on its keys or an as-of join; nothing is collected. Relations that many rules
 share are written once to the checkpoint folder, so that each rule's plan is short and a lost executor costs a re-read. What cannot be decided
 because something was lost, or because the run began in the middle, is unverifiable, with a reason.
+
+Loss is one relation: at which position each port of a channel lost its first frame of an era, or began a new one. The
+findings of all rules in ``GATES`` meet it in one as-of join, each by its rule's own ports.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from .operators import orders as od
 from .operators import refdata as rd
 from .operators import snapshots as sn
 from .operators.findings import graded
-from .operators.ordered import asof, with_common_eras, with_duplicates, with_emit_position, with_eras, with_gaps, with_islands, with_previous, with_ring, with_sticky
+from .operators.ordered import asof, with_common_eras, with_duplicates, with_emit_position, with_gaps, with_islands, with_previous, with_ring, with_sticky
 
 
 @dataclass(frozen=True)
 class Settings:
     """Durations are in ns, and 0 leaves out the rules that need them. ``journal`` is how many changes of an instrument
-    a subscriber keeps between two snapshot groups."""
+    a subscriber keeps between two snapshot groups. With ``empty_start`` a level book counts as known to be empty at number
+    0, so that an empty first group at 0 passes; without, it has nothing to be compared with."""
 
     window: int = 8
     manifest_cadence: int = 0
@@ -40,6 +44,7 @@ class Settings:
     ranges: tuple[tuple[int, int], ...] | None = ((1, 1023),)
     ports: tuple[str, ...] = ("mktdata", "refdata", "snapshot")
     journal: int = 4096
+    empty_start: bool = False
 
     def configured(self) -> tuple[str, ...]:
         out = []
@@ -55,18 +60,35 @@ class Settings:
 CHANNEL = ["capture_id", "channel_id"]
 BOOK = [*CHANNEL, "instrument", "era_no"]
 LIFE = [*BOOK, "life_no"]
+PORTS = ("mktdata", "refdata", "snapshot")
 _PLACE = ["capture_id", "port", "channel_id", "seq"]
+SET = [*CHANNEL, "era_no", "session", "generation"]
+#: A violation of these rules is unverifiable where one of the ports has lost a frame of the era so far.
+GATES = {r: ("refdata",) for r in RULES if r.startswith("REFDATA.") or r == "MANIFEST.STATE_MACHINE"} | {
+    "HEARTBEAT.CADENCE": ("mktdata",), "DELTA.PERINSTR_DENSITY": ("mktdata",), "DELTA.PERINSTR_DUP_DIVERGENT": ("mktdata",), "TRADE.EXEC_GROUPING": ("mktdata",),
+    "RESET.SNAPSHOT_FOLLOWS": ("mktdata", "snapshot"), "RESET.RECOVERY_SNAPSHOT_ANCHOR_MATCHES_RESET": ("mktdata",),
+    "RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR": ("mktdata",), "SNAP.ROUND_ROBIN_COVERS_MANIFEST": ("snapshot",),
+}
+#: Rules that say nothing of a run before it has seen a frame of the port.
+NEEDS = {"RESET.SNAPSHOT_FOLLOWS": "snapshot"}
+_PRUNED = 1 << 32  # lives after a pruning are numbered from a multiple of this
 _CARRIED = ("capture_id", "port", "channel_id", "seq", "era_no", "pos", "send_ts", "dirty", "lost_frames", "future", "body")
 
 
+_POS = ("emit_pos", "era_no", "seq", "msg_index")
+_POS_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in _POS) + ">"
+
+
 def _say(rows: DataFrame, rule: str | Column, status: str | Column = "violation", reason: str | Column | None = None, detail: Column | None = None) -> DataFrame:
     """Rows as findings; a missing place is filled with what a finding without one carries."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     has = lambda c, default: F.col(c) if c in rows.columns else default
+    placed = "pos" in rows.columns and "msg_index" in getattr(rows.schema["pos"].dataType, "names", [])
     return rows.select(
         as_column(rule).alias("rule_id"), as_column(status).alias("status"), as_column(reason).alias("reason"), F.col("capture_id"),
         has("port", F.lit("snapshot")).alias("port"), F.col("channel_id").cast("bigint").alias("channel_id"), has("instrument", F.lit(0)).cast("bigint").alias("instrument"),
         has("seq", F.lit(None)).cast("bigint").alias("seq"), (detail if detail is not None else F.lit("")).cast("string").alias("detail"), has("future", F.lit(False)).alias("future"),
+        (F.struct(*(F.col(f"pos.{c}").cast("bigint").alias(c) for c in _POS)) if placed else F.lit(None).cast(_POS_TYPE)).alias("pos"),
     )
 
 
@@ -78,7 +100,7 @@ class Run:
         self.frames = cut(fr.decode_frames(datagrams, feed).withColumn("future", F.col("schema_version") > fr.SCHEMA_VERSION[feed]))
         own = (F.octet_length("raw") >= FRAME_HEADER) & (F.col("magic") == MAGIC[feed])
         keys = [*CHANNEL, "port"]
-        eras = cut(with_common_eras(with_eras(self.frames.where(own), keys), CHANNEL, "port"))
+        eras = cut(with_common_eras(self.frames.where(own), CHANNEL, "port"))
         self.lost_eras = eras.where("era_state in ('older', 'ambiguous')")
         self.starts = eras.where("era_state = 'newer'")
         copies = cut(with_duplicates(eras.where("era_state in ('same', 'newer')").withColumn("payload", F.xxhash64("raw")), [*keys, "era_no", "seq"], "payload"))
@@ -91,6 +113,31 @@ class Run:
         m = fr.messages_of(self.accepted.drop("pos"))
         self.messages = cut(m.withColumn("pos", F.struct("emit_pos", "era_no", "seq", "msg_index")))
 
+    def loss_gate(self) -> DataFrame:
+        """Positions at which a port of a channel begins an era or loses its first frame of it, and lost_<port> after
+        each: null while no frame of the port has come."""
+        at = F.struct(*(F.col(f"pos.{c}").cast("bigint").alias(c) for c in _POS[:3]), F.lit(-1).cast("bigint").alias("msg_index"))
+        first = self.accepted.groupBy(*CHANNEL, "port", "era_no").agg(F.min(at).alias("begins"), F.min(F.when(F.col("dirty"), at)).alias("loses"))
+        flips = F.array(F.struct(F.col("begins").alias("pos"), F.lit(False).alias("lost")), F.struct(F.col("loses").alias("pos"), F.lit(True).alias("lost")))
+        flips = first.select(*CHANNEL, "port", F.inline(flips)).where("pos is not null")
+        until = Window.partitionBy(*CHANNEL).orderBy("pos", "lost").rowsBetween(Window.unboundedPreceding, 0)
+        return flips.select(*CHANNEL, "pos", *(F.last(F.when(F.col("port") == p, F.col("lost")), ignorenulls=True).over(until).alias(f"lost_{p}") for p in PORTS))
+
+    def gated(self, findings: DataFrame) -> DataFrame:
+        """``findings`` with what loss leaves of them; those without a position are of the end of the run."""
+        ruled = F.col("rule_id").isin(*GATES)
+        end = F.struct(*(F.lit((1 << 63) - 1).alias(c) for c in _POS))
+        rows = findings.where(ruled).withColumn("pos", F.coalesce("pos", end))
+        rows = asof(rows, self.loss_gate(), CHANNEL, "pos", [f"lost_{p}" for p in PORTS])
+        lost, unseen = F.lit(False), F.lit(False)
+        for port in PORTS:
+            lost = lost | (F.col("rule_id").isin(*(r for r, ports in GATES.items() if port in ports), "") & F.coalesce(f"lost_{port}", F.lit(False)))
+            unseen = unseen | (F.col("rule_id").isin(*(r for r, p in NEEDS.items() if p == port), "") & F.col(f"lost_{port}").isNull())
+        bad = F.col("status") == "violation"
+        status = F.when(bad & unseen, "na").when(bad & lost, "unverifiable").otherwise(F.col("status"))
+        rows = rows.withColumn("reason", F.when(bad & lost & ~unseen, "loss").otherwise(F.col("reason"))).withColumn("status", status)
+        return rows.select(*findings.columns).unionByName(findings.where(~ruled)).drop("pos")
+
     def typed(self, *names: str, port: str | None = None) -> list[DataFrame]:
         keep = ("capture_id", "port", "channel_id", "seq", "era_no", "pos", "send_ts", "dirty", "missing", "future", "type", "body")
         m = self.messages.where(F.col("port") == port) if port else self.messages
@@ -124,53 +171,74 @@ class Run:
     # --- reference data
 
     def reference(self) -> list[DataFrame]:
+        """What a subscriber keeps of reference data ends at a reset and at a manifest that says it is not valid (a new
+        session), and its set of instruments at every newer manifest (a new generation)."""
         cfg = self.settings
         m, d = self.typed("manifest", "definition", port="refdata")
-        manifests = cut(rd.accepted_manifests(m, CHANNEL))
-        self.manifests = manifests.where("accepted")
-        tagged = cut(rd.tagged(d, self.manifests, CHANNEL))
-        self.definitions = tagged.where("not stale and current_seq is not null")
-        seen = rd.with_distinct_so_far(self.definitions, CHANNEL)
-        self.ready = cut(rd.ready_at(self.definitions, CHANNEL))
-        r = self.ready.select(*CHANNEL, "manifest_seq", "ready_pos")
-        served = asof(m.where("valid = 0"), self.ready.withColumnRenamed("ready_pos", "pos"), CHANNEL, "pos", ["n_defs"])
+        keys = [*CHANNEL, "era_no", "session"]
+        m = with_islands(m, [*CHANNEL, "era_no"], F.col("valid") == 0, ["pos"], "session")
+        every = self.every_manifest = cut(rd.accepted_manifests(m, keys))
+        manifests = every.where("accepted")
+        states = every.where("accepted or valid = 0").withColumn("serving", F.col("valid") == 1)
+        tagged = asof(d, states, [*CHANNEL, "era_no"], "pos", ["session", "generation", "current_seq", "current_count", "serving"]).where("serving")
+        tagged = cut(tagged.withColumn("stale", F.col("manifest_seq") != F.col("current_seq")))
+        self.definitions = tagged.where("not stale")
+        seen = rd.with_distinct_so_far(self.definitions, SET)
+        self.ready = cut(rd.ready_at(self.definitions, SET))
+        opens = self.accepted.where("port = 'refdata'").groupBy(*CHANNEL, "era_no").agg(F.min("pos").alias("p"))
+        opens = opens.select(*CHANNEL, "era_no", F.struct("p.emit_pos", "p.era_no", "p.seq", F.lit(-1).cast(m.schema["pos"].dataType["msg_index"].dataType).alias("msg_index")).alias("pos"), F.lit(False).alias("serving"))
+        # Where the set in force changes: facts of any port are judged by the one before their position.
+        self.sets = states.where("newer or not serving").select(*SET, "pos", "serving").unionByName(opens, allowMissingColumns=True)
+        r = self.ready.select(*SET, "ready_pos")
+        was = asof(every.where("valid = 0").withColumn("session", F.col("session") - 1), self.ready.select(*keys, F.col("ready_pos").alias("pos"), "n_defs"), keys, "pos", ["n_defs"])
+        empty = asof(manifests.where("count = 0 and not newer"), self.ready.select(*keys, F.col("ready_pos").alias("pos"), "n_defs"), keys, "pos", ["n_defs"])
         out = [
-            _say(manifests.withColumn("rule", F.explode("rules")), F.col("rule")),
+            _say(every.withColumn("rule", F.explode("rules")), F.col("rule")),
             _say(tagged.where("stale"), "REFDATA.STALE_SEQ_TAG_AFTER_BUMP"),
             _say(seen.where("first_seen and n_distinct > current_count"), "REFDATA.COUNT_VS_DISTINCT_DEFS"),
-            _say(seen.where("first_seen").join(r, [*CHANNEL, "manifest_seq"]).where("pos > ready_pos"), "REFDATA.SET_CHANGE_NO_SEQ_BUMP"),
-            _say(served.where("n_defs is not null"), "REFDATA.VALID_FLAG_WHILE_SERVING"),
-            _say(
-                asof(self.manifests, self.ready.select(*CHANNEL, F.col("ready_pos").alias("pos"), F.col("manifest_seq").alias("ready_seq")), CHANNEL, "pos", ["ready_seq"]).where("ready_seq = manifest_seq and count = 0"),
-                "MANIFEST.STATE_MACHINE",
-            ),
+            _say(seen.where("first_seen").join(r, SET).where("pos > ready_pos"), "REFDATA.SET_CHANGE_NO_SEQ_BUMP"),
+            _say(was.where("n_defs is not null"), "REFDATA.VALID_FLAG_WHILE_SERVING"),
+            _say(empty.where("n_defs is not null"), "MANIFEST.STATE_MACHINE"),
         ]
         if cfg.manifest_cadence:
-            out.append(_say(rd.cadence(self.manifests, CHANNEL, "pos", "send_ts", cfg.manifest_cadence), "REFDATA.MANIFEST_CADENCE"))
+            out.append(_say(rd.cadence(manifests, keys, "pos", "send_ts", cfg.manifest_cadence), "REFDATA.MANIFEST_CADENCE"))
         if cfg.definition_cycle:
-            start = self.manifests.groupBy(*CHANNEL).agg(F.min("send_ts").alias("origin"))
-            frozen = self.definitions.join(self.ready, [*CHANNEL, "manifest_seq"], "left_semi").select(*CHANNEL, "instrument").distinct().join(start, CHANNEL)
-            end = self.accepted.where("port = 'refdata'").groupBy(*CHANNEL).agg(F.max("send_ts").alias("last"))
-            c = rd.cycles(self.definitions, frozen, CHANNEL, "send_ts", "origin", cfg.definition_cycle, end).withColumn("port", F.lit("refdata"))
-            last = c.groupBy(*CHANNEL).agg(F.max("cycle").alias("last"))
-            c = c.join(last, CHANNEL)
-            out.append(_say(c, "REFDATA.DEFINITION_CYCLE_COVERAGE", F.when(F.col("missing") == 0, "pass").when(F.col("cycle") == F.col("last"), "unverifiable").otherwise("violation"), F.when((F.col("missing") > 0) & (F.col("cycle") == F.col("last")), "insufficient_window")))
-            out.append(_say(c, "REFDATA.NO_BURST_DEFINITIONS", F.when(F.col("n_expected") <= 1, "na").when(F.col("missing") > 0, "unverifiable").when(F.col("n_times") == 1, "violation").otherwise("pass"), F.when((F.col("n_expected") > 1) & (F.col("missing") > 0), "superseded")))
+            c = cut(rd.closed_cycles(manifests, self.definitions, self.ready, keys, cfg.definition_cycle))
+            cold = ~F.col("established")
+            covered = F.when(cold, "unverifiable").when(F.col("missing") > 0, "violation").otherwise("pass")
+            out.append(_say(c, "REFDATA.DEFINITION_CYCLE_COVERAGE", covered, F.when(cold, "cold_start")))
+            paced = F.when(cold | (F.col("missing") > 0), "unverifiable").when(F.col("n_expected") <= 1, "na").when(F.col("n_frames") == 1, "violation").otherwise("pass")
+            out.append(_say(c, "REFDATA.NO_BURST_DEFINITIONS", paced, F.when(cold, "cold_start").when(F.col("missing") > 0, "superseded")))
             if cfg.manifest_cadence:
-                span = self.accepted.where("port = 'refdata'").groupBy(*CHANNEL).agg((F.max("send_ts") - F.min("send_ts")).alias("span"), F.max("dirty").alias("dirty"))
-                s = span.join(self.ready.groupBy(*CHANNEL).agg(F.count("*").alias("n")), CHANNEL, "left").withColumn("port", F.lit("refdata"))
-                short = F.col("span") < cfg.manifest_cadence + cfg.definition_cycle
-                v = sn.verdict([(F.col("n").isNotNull(), "pass", None), (short, "unverifiable", "insufficient_window"), (F.col("dirty"), "unverifiable", "loss"), (F.col("n").isNull(), "violation", None)])
-                s = s.withColumn("v", v)
-                out.append(_say(s, "REFDATA.NEVER_REACHES_READY", F.col("v.status"), F.col("v.reason")))
+                out.append(self._never_ready(every, manifests, d))
         return out
 
+    def _never_ready(self, every: DataFrame, manifests: DataFrame, definitions: DataFrame) -> DataFrame:
+        """One finding for each channel that reference data came of, by its last session."""
+        last = F.max(F.struct("era_no", "session"))
+        seen = every.select(*CHANNEL, "era_no", "session").unionByName(definitions.select(*CHANNEL, "era_no", F.lit(-1).cast("bigint").alias("session")))
+        now = seen.groupBy(*CHANNEL).agg(last.alias("now")).select(*CHANNEL, "now.*")
+        keys = [*CHANNEL, "era_no", "session"]
+        span = manifests.groupBy(*keys).agg(F.min_by("send_ts", "pos").alias("first_ts"), F.max_by("send_ts", "pos").alias("last_ts"))
+        s = now.join(span, keys, "left").join(self.ready.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").withColumn("port", F.lit("refdata"))
+        short = F.col("last_ts") - F.col("first_ts") < self.settings.manifest_cadence + self.settings.definition_cycle
+        v = sn.verdict([
+            (F.col("n").isNotNull(), "pass", None), (F.col("first_ts").isNull(), "unverifiable", "cold_start"), (F.col("last_ts") < F.col("first_ts"), "unverifiable", "superseded"),
+            (short, "unverifiable", "insufficient_window"), (F.lit(True), "violation", None),
+        ])
+        s = s.withColumn("v", v)
+        return _say(s, "REFDATA.NEVER_REACHES_READY", F.col("v.status"), F.col("v.reason"))
+
     def known(self, facts: DataFrame, *fields: str) -> DataFrame:
-        """``facts`` with channel_ready and, of the instrument's definition in force, known and the fields."""
-        dims = self.definitions.select(*CHANNEL, "instrument", "pos", F.lit(True).alias("known"), *fields)
-        f = asof(facts, dims, [*CHANNEL, "instrument"], "pos", ["known", *fields])
-        ready = self.ready.select(*CHANNEL, F.col("ready_pos").alias("pos"), F.lit(True).alias("channel_ready"))
-        return asof(f, ready, CHANNEL, "pos", ["channel_ready"])
+        """``facts`` with channel_ready and, of the instrument's definition in the set in force, known and the fields."""
+        own = {"era_no": "ref_era", "session": "session", "generation": "generation"}
+        named = lambda rows: rows.withColumnsRenamed({"era_no": "ref_era"})
+        f = asof(facts, named(self.sets), CHANNEL, "pos", [*own.values(), "serving"])
+        keys = [*CHANNEL, *own.values()]
+        f = asof(f, named(self.definitions.select(*SET, "instrument", "pos", F.lit(True).alias("known"), *fields)), [*keys, "instrument"], "pos", ["known", *fields])
+        f = asof(f, named(self.ready.select(*SET, F.col("ready_pos").alias("pos"), F.lit(True).alias("channel_ready"))), keys, "pos", ["channel_ready"])
+        off = ~F.coalesce("serving", F.lit(False))
+        return f.withColumns({c: F.when(~off, F.col(c)) for c in ("known", "channel_ready", *fields)}).drop(*own.values(), "serving")
 
     # --- feeds
 
@@ -187,11 +255,26 @@ class Run:
         bound = F.when(~ready | ~F.col("price_bound").isin(1, 2), "na").when(F.col("mid_price") < 0, "violation").otherwise("pass")
         return [_say(k, "MID.METHOD0_REQUIRES_DEFAULT", default), _say(k, "MID.PRICE_BOUND", bound)]
 
+    def _pruned(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with pruned: how many complete sets of instruments left theirs out so far. Order books of instruments
+        that a set leaves out are forgotten when its last definition has come."""
+        keys = [*CHANNEL, "instrument"]
+        numbered = lambda events, by, name: events.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("pos")).cast("bigint"))
+        frozen = self.ready.select(*SET, "ready_pos")
+        kept = self.definitions.select(*SET, "instrument", "pos").join(frozen, SET).where("pos <= ready_pos").select(*keys, F.col("ready_pos").alias("pos")).distinct()
+        out = asof(rows, numbered(frozen.select(*CHANNEL, F.col("ready_pos").alias("pos")), CHANNEL, "n_sets"), CHANNEL, "pos", ["n_sets"])
+        out = asof(out, numbered(kept, keys, "n_kept"), keys, "pos", ["n_kept"])
+        return out.withColumn("pruned", F.coalesce("n_sets", F.lit(0)) - F.coalesce("n_kept", F.lit(0))).drop("n_sets", "n_kept")
+
     def _lives(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with life_no, the instrument resets so far: after a reset the book is empty and numbers start anew."""
+        """``rows`` with life_no, the instrument resets so far: after a reset the book is empty and numbers start anew.
+        Lives of an order book that a set of instruments left out are numbered from the next multiple of ``_PRUNED``."""
         (resets,) = self.typed("instrument_reset", port="mktdata")
         both = rows.withColumn("is_reset", F.lit(False)).unionByName(resets.select(*_PLACE, "era_no", "pos", "instrument").withColumn("is_reset", F.lit(True)), allowMissingColumns=True)
-        return with_islands(both, BOOK, F.col("is_reset"), ["pos"], "life_no").where("not is_reset").drop("is_reset")
+        if self.feed != "mbo":
+            return with_islands(both, BOOK, F.col("is_reset"), ["pos"], "life_no").where("not is_reset").drop("is_reset")
+        both = with_islands(self._pruned(both), [*BOOK, "pruned"], F.col("is_reset"), ["pos"], "life_no").where("not is_reset")
+        return both.withColumn("life_no", F.col("pruned") * _PRUNED + F.col("life_no")).drop("is_reset", "pruned")
 
     def _sequenced(self, deltas: DataFrame) -> DataFrame:
         """Deltas with life_no, prev_max, missing and untrusted: something before this row is missing, or the numbering
@@ -272,7 +355,7 @@ class Run:
             [
                 (F.col("gapped"), "unverifiable", "loss"),
                 (F.col("overflow"), "unverifiable", "overflow"),
-                (F.col("base_k").isNull() & ((F.col("k") > 0) | (F.col("received") > 0)), "unverifiable", "cold_start"),
+                (F.col("base_k").isNull() & ((F.col("k") > 0) | (F.col("received") > 0) | F.lit(not self.settings.empty_start)), "unverifiable", "cold_start"),
                 (F.col("k") < F.col("base_k"), "unverifiable", "reorder"),
                 (F.col("k") > F.coalesce("prev_max", F.lit(0)), "unverifiable", "pending"),
                 (F.col("signature").isNotNull(), "violation", None),
@@ -321,13 +404,14 @@ class Run:
         life = LIFE
         loss = F.coalesce(F.col("dirty"), F.lit(False))
         first = s.where("prev_max is null and per_seq <> 1")
+        fresh = F.col("life_no") % _PRUNED == 0  # no reset seen
         repeats = with_ring(s, life, "per_seq", ["pos"], "payload", 16)
         (batches, resets) = self.typed("batch_boundary", "instrument_reset", port="mktdata")
         out = [
-            _say(s.where("missing > 0"), "DELTA.PERINSTR_DENSITY", F.when(loss, "unverifiable").otherwise("violation"), F.when(loss, "loss")),
-            _say(first, "DELTA.PERINSTR_FIRST_VALUE", F.when((F.col("life_no") > 0) & ~loss, "violation").otherwise("unverifiable"), F.when(loss, "loss").when(F.col("life_no") == 0, "cold_start")),
+            _say(s.where("missing > 0"), "DELTA.PERINSTR_DENSITY"),
+            _say(first, "DELTA.PERINSTR_FIRST_VALUE", F.when(~fresh & ~loss, "violation").otherwise("unverifiable"), F.when(loss, "loss").when(fresh, "cold_start")),
             _say(s.where("per_seq = 1 and prev_max > 1"), "DELTA.PERINSTR_NO_SNAPSHOT_RESET"),
-            _say(repeats.where("divergent"), "DELTA.PERINSTR_DUP_DIVERGENT", F.when(loss, "unverifiable").otherwise("violation"), F.when(loss, "loss")),
+            _say(repeats.where("divergent"), "DELTA.PERINSTR_DUP_DIVERGENT"),
             _say(s.where("prev_max = 4294967295 and per_seq = 0"), "DELTA.PERINSTR_WRAP_BEFORE_RESET"),
             _say(with_previous(batches, [*CHANNEL, "era_no"], ["pos"], before="batch_id").where("batch_id < before"), "BATCH.ID_MONOTONIC"),
         ]
@@ -343,7 +427,7 @@ class Run:
         ]
         t = trades.select(*_PLACE, "era_no", "pos", "dirty", "instrument", "trade_id")
         lone = od.ungrouped_trades(t, executes.select(*BOOK, "pos", "trade_id"), BOOK)
-        out.append(_say(lone, "TRADE.EXEC_GROUPING", F.when(loss, "unverifiable").otherwise("violation"), F.when(loss, "loss")))
+        out.append(_say(lone, "TRADE.EXEC_GROUPING"))
         marks = self._batch_marks(batches, lives)
         out.append(gate(marks, "BATCH.ATOMICITY_CONSISTENCY"))
         for rule, facts in (("FIELD.ORDERADD_PRICE_BOUND", adds), ("REF.EXEC_PRICE_BOUND", executes)):
@@ -359,7 +443,6 @@ class Run:
         return asof(spent, b, CHANNEL, "pos", ["boundary"], strict=True, forward=True).where("boundary is not null")
 
     def _order_snapshots(self, s: DataFrame, lives: DataFrame, resets: DataFrame) -> list[DataFrame]:
-        cfg = self.settings
         g = self._groups("snapshot_order", F.col("order_id").cast("string"), "order_id", "side", "price", "qty", "flags", "enter_ts")
         shape, dirty, port_dirty = self._structure(g), F.coalesce("dirty", F.lit(False)), F.coalesce("port_dirty", F.lit(False))
         gated = lambda rule, bad: _say(g.where(bad), rule, F.when(dirty, "unverifiable").otherwise("violation"), F.when(dirty, "loss"))
@@ -370,7 +453,6 @@ class Run:
             gated("SNAP.END_FIELDS_MATCH_BEGIN", shape["end"]), gated("SNAP.ORDER_SNAPSHOT_ID_MATCH", shape["id"]),
             gated("SNAP.SNAPSHOT_ORDER_NO_DUP_ORDER_ID", shape["dup"]), gated("SNAP.EMPTY_BOOK_WELL_FORMED", shape["empty"]),
         ]
-        done = g.where(~shape["open"] & ~shape["count"] & ~shape["end"]).withColumn("k", F.col("last_seq"))
         top = self.accepted.where("port = 'mktdata'").select(*CHANNEL, F.struct("pos.emit_pos", "pos.era_no", "pos.seq", F.lit(-1).alias("msg_index")).alias("pos"), "seq", "era_no", F.col("dirty").alias("mkt_lost"))
         top = with_gaps(top, [*CHANNEL, "era_no"], "seq", ["pos"]).select(*CHANNEL, "era_no", "pos", "mkt_lost", F.greatest("seq", "prev_max").alias("top_seq"))
         late = asof(g, top, [*CHANNEL, "era_no"], "pos", ["top_seq", "mkt_lost"])
@@ -378,7 +460,7 @@ class Run:
         ahead = late.where("anchor > coalesce(top_seq, -1)").join(ever, [*CHANNEL, "era_no"])
         held = (F.col("anchor") <= F.col("ever")) | F.coalesce("mkt_lost", F.lit(False))
         out.append(_say(ahead, "SNAP.ANCHOR_IS_MKTDATA_SEQ", F.when(held, "unverifiable").otherwise("violation"), F.when(held, "reorder")))
-        checks = sn.with_anchor_checks(g, BOOK)
+        checks = sn.with_anchor_checks(g.withColumn("pruned", F.floor(F.col("life_no") / _PRUNED)), [*BOOK, "pruned"])
         for rule, status in (("SNAP.ANCHOR_MONOTONIC_PER_INSTRUMENT", "anchor_status"), ("SNAP.SNAPSHOT_ID_MONOTONIC", "id_status")):
             lost = (F.col(status) == "violation") & port_dirty
             out.append(_say(checks, rule, F.when(lost, "unverifiable").otherwise(F.col(status)), F.when(lost, "loss").when(F.col(status) == "unverifiable", "cold_start")))
@@ -387,28 +469,58 @@ class Run:
         unsure = port_dirty | F.coalesce("mkt_lost", F.lit(False))
         out.append(_say(k.where("tracker is not null and tracker < last_seq"), "SNAP.LAST_INSTRUMENT_SEQ_CONSISTENT_WITH_DELTAS", F.when(unsure, "unverifiable").otherwise("violation"), F.when(unsure, "reorder")))
         out.append(_say(k.where("ended and tracker is not null"), "SNAP.ANCHOR_LE_OR_GT_LAST_APPLIED_HANDLING", "pass"))
-        out.append(_say(rd.uncovered(self.definitions.select(*CHANNEL, "instrument").distinct(), done.select(*CHANNEL, "instrument"), CHANNEL), "SNAP.ROUND_ROBIN_COVERS_MANIFEST"))
+        out.append(self._round_robin(g))
         keys = [*CHANNEL, "era_no", "island"]
         orders = self.snapshot_rows.where("kind = 'row'").select(*keys, "port", "seq", "pos", "order_id", "side", "price", "qty", "flags", "enter_ts").join(g.select(*keys, "instrument", "life_no"), keys)
         bound = rd.price_bound(self.known(orders.select(*_PLACE, "pos", "instrument", "price"), "price_bound"), "price")
         out.append(_say(bound, "SNAP.ORDER_PRICE_BOUND", F.col("status"), F.when(F.col("status") == "unverifiable", "cold_start")))
         out.append(self._order_audits(g, shape, track, top, lives, orders))
-        # What follows an instrument reset.
+        return [*out, *self._recoveries(s, g, resets)]
+
+    def _round_robin(self, g: DataFrame) -> DataFrame:
+        """A finding for each instrument of the sets in force at the end, and for each channel whose set never got
+        complete: covered by a snapshot group of the last era, or not after two rounds of them."""
+        newest = self.accepted.groupBy(*CHANNEL).agg(F.max("era_no").alias("era_no"))
+        done = g.where("ended").join(newest, [*CHANNEL, "era_no"], "left_semi").groupBy(*CHANNEL, "instrument").agg(F.count("*").alias("n"))
+        rounds = done.groupBy("capture_id").agg(F.max("n").alias("rounds"))
+        last = F.struct("era_no", "session", "generation", "serving")
+        refdata = self.sets.select(*CHANNEL, "pos", last.alias("s"))
+        now = refdata.groupBy(*CHANNEL).agg(F.max_by("s", "pos").alias("s")).select(*CHANNEL, "s.*")
+        now = now.join(self.ready.select(*SET, F.lit(True).alias("complete")), SET, "left").withColumn("complete", F.coalesce(F.col("complete") & F.col("serving"), F.lit(False)))
+        own = now.where("complete").join(self.definitions.select(*SET, "instrument").distinct(), SET).join(done, [*CHANNEL, "instrument"], "left").join(rounds, ["capture_id"], "left")
+        few = F.coalesce("rounds", F.lit(0)) < 2
+        v = sn.verdict([(few, "unverifiable", "insufficient_window"), (F.col("n").isNull(), "violation", None)])
+        rule = "SNAP.ROUND_ROBIN_COVERS_MANIFEST"
+        own = own.withColumn("v", v)
+        return _say(own, rule, F.col("v.status"), F.col("v.reason")).unionByName(_say(now.where("not complete"), rule, "unverifiable", "cold_start"))
+
+    def _recoveries(self, s: DataFrame, g: DataFrame, resets: DataFrame) -> list[DataFrame]:
+        """What follows an instrument reset: a snapshot group before any change, with the reset's anchor, and after it the
+        number next to the group's. A reset that another one, or a new era, follows first has no finding."""
         r = resets.select(*_PLACE, "era_no", "pos", "instrument", F.col("anchor").cast("bigint").alias("anchor"))
-        ends = done.select(*BOOK, F.col("end_pos").alias("pos"), "anchor", F.col("k").alias("group_k"))
-        rec = cut(sn.recovery(r, ends, BOOK))
-        bound_port = "snapshot" in cfg.ports
-        nothing = F.col("group_pos").isNull()
-        delta = asof(r.withColumn("reset_pos", F.col("pos")), s.select(*BOOK, "pos", F.col("pos").alias("delta_pos")), BOOK, "pos", ["delta_pos"], strict=True, forward=True).select(*BOOK, "pos", "delta_pos")
-        f = rec.join(delta, [*BOOK, "pos"], "left")
-        early = F.col("delta_pos").isNotNull() & (nothing | (F.col("delta_pos") < F.col("group_pos")))
-        follows = F.when(F.lit(not bound_port), "na").when(nothing | early, "violation").otherwise("pass")
-        out.append(_say(f, "RESET.SNAPSHOT_FOLLOWS", follows))
-        out.append(_say(rec.where(~nothing), "RESET.RECOVERY_SNAPSHOT_ANCHOR_MATCHES_RESET", F.col("status")))
-        again = asof(rec.where(~nothing).withColumn("at_reset", F.col("pos")).withColumn("pos", F.col("group_pos")), ends, BOOK, "pos", ["group_k"])
-        nxt = asof(again, s.select(*BOOK, "pos", F.col("per_seq").alias("next_seq")), BOOK, "pos", ["next_seq"], strict=True, forward=True).where("next_seq is not null")
-        out.append(_say(nxt, "RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR", F.when(F.col("next_seq") == F.col("group_k") + 1, "pass").otherwise("violation")))
-        return out
+        ended = g.where("ended").select(*BOOK, F.col("end_pos").alias("pos"), F.col("end_pos").alias("group_pos"), F.col("anchor").alias("group_anchor"), F.col("last_seq").alias("group_k"), "dirty")
+        rec = asof(r, ended.withColumnRenamed("dirty", "torn"), BOOK, "pos", ["group_pos", "group_anchor", "group_k", "torn"], strict=True, forward=True)
+        changes = s.select(*BOOK, "pos", F.col("pos").alias("delta_pos"), F.col("seq").alias("delta_seq"), "per_seq")
+        rec = asof(rec, changes, BOOK, "pos", ["delta_pos", "delta_seq"], strict=True, forward=True)
+        rec = asof(rec, r.select(*BOOK, "pos", F.col("pos").alias("next_reset")), BOOK, "pos", ["next_reset"], strict=True, forward=True)
+        newest = self.accepted.groupBy(*CHANNEL).agg(F.max("era_no").alias("newest"))
+        first = F.least("group_pos", "delta_pos")
+        rec = rec.join(newest, CHANNEL).where((first.isNotNull() & (F.col("next_reset").isNull() | (first < F.col("next_reset")))) | (first.isNull() & F.col("next_reset").isNull() & (F.col("era_no") == F.col("newest"))))
+        rec = cut(rec.withColumn("late", F.col("group_pos").isNull() | F.coalesce(F.col("delta_pos") < F.col("group_pos"), F.lit(False))))
+        bound = F.lit("snapshot" in self.settings.ports)
+        late = rec.where("late").withColumn("pos", F.col("delta_pos")).withColumn("seq", F.coalesce("delta_seq", F.lit(0)))
+        met = rec.where("not late").withColumn("pos", F.col("group_pos")).withColumn("port", F.lit("snapshot"))
+        wrong, torn = F.col("group_anchor") != F.col("anchor"), F.coalesce("torn", F.lit(False))
+        nxt = asof(met.drop("delta_pos", "delta_seq"), changes, BOOK, "pos", ["delta_pos", "delta_seq", "per_seq"], strict=True, forward=True)
+        nxt = nxt.where("per_seq is not null and (next_reset is null or delta_pos < next_reset)").withColumn("port", F.lit("mktdata"))
+        # The last group before the change says what number comes next.
+        nxt = asof(nxt.drop("group_k").withColumn("pos", F.col("delta_pos")).withColumn("seq", F.col("delta_seq")), ended, BOOK, "pos", ["group_k"])
+        return [
+            _say(late, "RESET.SNAPSHOT_FOLLOWS", F.when(~bound, "na").otherwise("violation")),
+            _say(met, "RESET.SNAPSHOT_FOLLOWS", F.when(~bound, "na").otherwise("pass")),
+            _say(met, "RESET.RECOVERY_SNAPSHOT_ANCHOR_MATCHES_RESET", F.when(~wrong, "pass").when(torn, "unverifiable").otherwise("violation"), F.when(wrong & torn, "loss")),
+            _say(nxt, "RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR", F.when(F.col("per_seq") == F.col("group_k") + 1, "pass").otherwise("violation")),
+        ]
 
     def _order_audits(self, g: DataFrame, shape: dict[str, Column], track: DataFrame, top: DataFrame, lives: DataFrame, orders: DataFrame) -> DataFrame:
         """Each completed group against the live orders of its life, by what was known when it ended: a later gap changes
@@ -449,7 +561,7 @@ class Run:
         if missing:
             none = spark.createDataFrame(missing, "rule_id string, status string").withColumns({"capture_id": F.lit(""), "channel_id": F.lit(0)})
             out = out.unionByName(_say(none, F.col("rule_id"), F.col("status")))
-        return graded(out, self.settings.configured(), F.col("future")).withColumn("feed", F.lit(self.feed)).drop("future")
+        return graded(self.gated(out), self.settings.configured(), F.col("future")).withColumn("feed", F.lit(self.feed)).drop("future")
 
 
 def check(datagrams: DataFrame, feed: str, settings: Settings = Settings()) -> DataFrame:

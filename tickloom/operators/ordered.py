@@ -6,8 +6,12 @@ which it can change are folded.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _before(keys: list[str], order: list[str]):
@@ -79,44 +83,103 @@ def with_run_length(rows: DataFrame, keys: list[str], order: list[str], value: C
     return out.withColumn(name, length.cast("bigint")).drop("__v", "__c", "__run")
 
 
-def distance(new: Column, current: Column, size: int) -> Column:
-    """How far ``new`` is ahead of ``current`` on a ring of ``size`` numbers."""
-    return F.pmod(new - current, F.lit(size))
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def scanned(rows: DataFrame, keys: list[str], order: str, columns: list[str], make: Callable[[], Callable[..., tuple]], result: dict[str, str]) -> DataFrame:
+    """``rows`` with the columns of ``result`` (name to type), where state depends on what was accepted before.
+
+    ``make`` gives a function for each key, which takes the values of ``columns`` of one row after the other in
+    ``order`` and returns the new values. Rows stream past it, batch by batch, so neither time nor memory grows beyond
+    the rows themselves. It is for the rows that can change state, of which there are few."""
+    names = list(result)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            out = []
+            own = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            for key, values in zip(own, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if step is None or key != last:
+                    last, step = key, make()
+                out.append(step(*values))
+            new = [pa.array([o[k] for o in out], _ARROW[result[name]]) for k, name in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
+
+    more = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in result.items()))
+    schema = StructType([*rows.schema.fields, *more.fields])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def _reset_changes(frames: DataFrame, keys: list[str], reset: str, order: str) -> DataFrame:
+    """``frames`` with __change (another reset count than the frame before) and __span, the number of the last change."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    f = frames.withColumn("__change", F.coalesce(F.col(reset) != F.lag(reset).over(w), F.lit(True)))
+    return f.withColumn("__span", F.sum(F.col("__change").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+
+
+def _with_decided(f: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``f`` with what was decided at the change that began their span."""
+    out = f.join(decided.select(*keys, "__span", "era_no", "era_state"), [*keys, "__span"])
+    return out.withColumn("era_state", F.when((F.col("era_state") == "newer") & ~F.col("__change"), "same").otherwise(F.col("era_state"))).drop("__change", "__span")
 
 
 def with_eras(frames: DataFrame, keys: list[str], reset: str = "reset_count", order: str = "arrival") -> DataFrame:
     """``frames`` with era_no and era_state: same, newer (a frame that opens an era), older or ambiguous.
 
     A reset count 1 to 127 ahead of the last accepted one is newer; 128 ahead is ambiguous, more is older, and neither
-    is accepted. The fold runs over the rows at which the count changes, of which there are few, and their decisions
-    are carried to the rows between."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    f = frames.withColumn("__change", F.coalesce(F.col(reset) != F.lag(reset).over(w), F.lit(True)))
-    f = f.withColumn("__span", F.sum(F.col("__change").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    changes = f.where("__change").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__span", F.col(reset).cast("bigint").alias("rc")))).alias("__all"))
-    zero = F.expr("named_struct('rc', cast(null as bigint), 'era', 0L, 'out', cast(array() as array<struct<span:int,era_no:bigint,state:string>>))")
+    is accepted. era_no counts the accepted eras. Only the rows at which the count changes are scanned, and their
+    decisions are carried to the rows between."""
+    f = _reset_changes(frames, keys, reset, order)
+
+    def make():
+        count, era = None, 0
+
+        def step(new: int) -> tuple[int, str]:
+            nonlocal count, era
+            ahead = 0 if count is None else (new - count) % 256
+            if ahead >= 128:
+                return era, "ambiguous" if ahead == 128 else "older"
+            count, era = new, era + (ahead > 0)
+            return era, "newer" if ahead else "same"
 
-    def step(s: Column, x: Column) -> Column:
-        d = distance(x["rc"], s["rc"], 256)
-        state = F.when(s["rc"].isNull() | (d == 0), "same").when(d < 128, "newer").when(d == 128, "ambiguous").otherwise("older")
-        era = s["era"] + F.when(state == "newer", 1).otherwise(0)
-        row = F.struct(x["__span"].cast("int").alias("span"), era.cast("bigint").alias("era_no"), state.alias("state"))
-        return F.struct(F.when(state.isin("same", "newer"), x["rc"]).otherwise(s["rc"]).alias("rc"), era.cast("bigint").alias("era"), F.concat(s["out"], F.array(row)).alias("out"))
+        return step
 
-    folded = changes.select(*keys, F.explode(F.aggregate("__all", zero, step, lambda s: s["out"])).alias("e")).select(*keys, F.col("e.span").alias("__span"), "e.era_no", "e.state")
-    out = f.join(folded, [*keys, "__span"])
-    state = F.when((F.col("state") == "newer") & ~F.col("__change"), "same").otherwise(F.col("state"))
-    return out.withColumn("era_state", state).drop("__change", "__span", "state")
+    changes = f.where("__change").select(*keys, "__span", F.col(reset).cast("bigint").alias("__reset"))
+    return _with_decided(f, scanned(changes, keys, "__span", ["__reset"], make, {"era_no": "bigint", "era_state": "string"}), keys)
 
 
 def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str = "reset_count", order: str = "arrival") -> DataFrame:
-    """``frames`` of ``with_eras`` with the era_no that all ports of ``keys`` share, whichever port leads into an era: a
-    port whose first reset count is ahead of the first of its channel starts that many eras later."""
-    first = frames.groupBy(*keys, port).agg(F.min(F.struct(F.col(order).alias("at"), F.col(reset).alias("rc"))).alias("own"))
-    channel = first.groupBy(*keys).agg(F.min("own").alias("all"))
-    ahead = F.pmod(F.col("own.rc") - F.col("all.rc") + 128, F.lit(256)) - 128
-    late = first.join(channel, keys).select(*keys, port, ahead.cast("bigint").alias("__ahead"))
-    return frames.join(late, [*keys, port]).withColumn("era_no", F.col("era_no") + F.col("__ahead")).drop("__ahead")
+    """``frames`` with era_state as by ``with_eras`` for each port, and an era_no that all ports of ``keys`` share: how
+    many resets the channel has gone through since its first frame, by the reset counts themselves.
+
+    A port that is silent in an era, or skips its count, has the right number in the next one. One scan goes over the
+    changes of all ports in order of arrival. A port's first count is placed by its distance, -128 to 127, from the
+    newest of the channel so far; numbers before the channel's first frame are negative."""
+    f = _reset_changes(frames, [*keys, port], reset, order)
+
+    def make():
+        ports: dict[str, tuple[int, int]] = {}
+        newest: tuple[int, int] | None = None
+
+        def step(name: str, new: int) -> tuple[int, str]:
+            nonlocal newest
+            if name in ports:
+                era, count = ports[name]
+                ahead = (new - count) % 256
+                if ahead >= 128:
+                    return era, "ambiguous" if ahead == 128 else "older"
+            else:
+                era, ahead = (0, 0) if newest is None else (newest[0] + (new - newest[1] + 128) % 256 - 128, 0)
+            ports[name] = (era + ahead, new)
+            newest = max(newest or ports[name], ports[name])
+            return era + ahead, "newer" if ahead else "same"
+
+        return step
+
+    changes = f.where("__change").select(*keys, port, "__span", F.col(order).alias("__at"), F.col(reset).cast("bigint").alias("__reset"))
+    decided = scanned(changes, keys, "__at", [port, "__reset"], make, {"era_no": "bigint", "era_state": "string"})
+    return _with_decided(f, decided, [*keys, port])
 
 
 def with_late(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival") -> DataFrame:

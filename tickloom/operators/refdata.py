@@ -5,53 +5,98 @@ manifests: keys, pos, send_ts, valid, manifest_seq, count. definitions: keys, po
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import asof, distance, with_previous
+from .ordered import asof, scanned, with_previous
+
+
+class _Manifests:
+    """What a subscriber keeps of the manifests of one key, and how each new one fits it."""
+
+    def __init__(self):
+        self.seq = self.count = self.expected = None
+        self.generation = 0
+
+    def __call__(self, valid: int, seq: int, count: int) -> tuple[bool, list[str], bool, int, int | None, int | None]:
+        first = self.seq is None
+        ahead = 0 if first else (seq - self.seq) % 65536
+        older, newer = ahead > 32768, first or 0 < ahead < 32768
+        wrap = self.seq == 65535 and seq == 0
+        rules = []
+        if valid > 1:
+            rules.append("MANIFEST.STATE_MACHINE")
+        takes = False
+        if valid == 1:
+            if newer and ((seq == 0 and not wrap) or count == 0):
+                rules.append("REFDATA.MANIFEST_SEQ_NONZERO_WHEN_VALID")
+            elif older:
+                rules.append("REFDATA.SEQ_MONOTONIC_NO_REGRESS")
+            else:
+                takes = True
+                if newer and not first and ahead != 1:
+                    rules.append("REFDATA.SEQ_BUMP_NOT_BY_ONE")
+                if not first and ahead == 0 and count != self.count:
+                    rules.append("REFDATA.COUNT_CHANGE_NO_SEQ_BUMP")
+        if takes and (newer or ahead == 0):
+            self.seq, self.count = seq, count
+            if newer:
+                self.generation, self.expected = self.generation + 1, count
+        return takes, rules, takes and newer, self.generation, self.seq, self.expected
 
 
 def accepted_manifests(manifests: DataFrame, keys: list[str]) -> DataFrame:
-    """Every manifest with the rules it breaks (``rules``) and whether it moves the state (``accepted``).
-
-    Acceptance depends on what was accepted before, so a channel's manifests (about one a second) are folded in order.
-    valid over 1 is discarded; valid 0 clears; an older number (1 to 32767 behind) is discarded; number 0 that is no
-    wrap from 65535, or count 0 with a newer number, is discarded; a newer number replaces the set."""
-    kind = manifests.schema["pos"].dataType.simpleString()
-    state = f"named_struct('seq', cast(null as bigint), 'count', cast(null as bigint), 'out', cast(array() as array<struct<pos:{kind},accepted:boolean,rules:array<string>>>))"
-
-    def step(s: Column, m: Column) -> Column:
-        first = s["seq"].isNull()
-        behind = distance(s["seq"], m["manifest_seq"], 65536)
-        older = ~first & behind.between(1, 32767)
-        newer = first | (~older & (behind != 0))
-        wrap = ~first & (s["seq"] == 65535) & (m["manifest_seq"] == 0)
-        on = m["valid"] == 1
-        odd = m["valid"] > 1
-        zero = on & newer & ~older & (((m["manifest_seq"] == 0) & ~wrap) | (m["count"] == 0))
-        regress = on & older & ~zero
-        jump = on & newer & ~first & ~zero & (distance(m["manifest_seq"], s["seq"], 65536) != 1)
-        recount = on & ~first & (behind == 0) & (m["count"] != s["count"])
-        rules = F.array_compact(
-            F.array(
-                F.when(odd, "MANIFEST.STATE_MACHINE"),
-                F.when(zero, "REFDATA.MANIFEST_SEQ_NONZERO_WHEN_VALID"),
-                F.when(regress, "REFDATA.SEQ_MONOTONIC_NO_REGRESS"),
-                F.when(jump, "REFDATA.SEQ_BUMP_NOT_BY_ONE"),
-                F.when(recount, "REFDATA.COUNT_CHANGE_NO_SEQ_BUMP"),
-            )
-        )
-        takes = on & ~zero & ~older
-        row = F.struct(m["pos"].alias("pos"), takes.alias("accepted"), rules.alias("rules"))
-        return F.struct(
-            F.when(takes, m["manifest_seq"]).otherwise(s["seq"]).alias("seq"),
-            F.when(takes, m["count"]).otherwise(s["count"]).alias("count"),
-            F.concat(s["out"], F.array(row)).alias("out"),
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "valid", "manifest_seq", F.col("count").alias("count"))))
-    folded = manifests.groupBy(*keys).agg(ordered.alias("__m")).select(*keys, F.explode(F.aggregate("__m", F.expr(state), step, lambda s: s["out"])).alias("__o"))
-    return manifests.join(folded.select(*keys, "__o.pos", "__o.accepted", "__o.rules"), [*keys, "pos"])
+    """Every manifest with the rules it breaks (``rules``), whether it moves the state (``accepted``) and begins a new
+    set of instruments (``newer``), and the state after it: ``generation`` (the sets so far), ``current_seq`` and
+    ``current_count``, which is what the set's first manifest announced.
+
+    Acceptance depends on what was accepted before, so a key's manifests (about one a second) are scanned in order.
+    valid over 1 and valid 0 move nothing; an older number (1 to 32767 behind) is discarded; number 0 that is no wrap
+    from 65535, or count 0 with a newer number, is discarded; a newer number replaces the set. What a subscriber forgets
+    (at a reset, or at valid 0) is said by ``keys``."""
+    result = {"accepted": "boolean", "rules": "array<string>", "newer": "boolean", "generation": "bigint", "current_seq": "bigint", "current_count": "bigint"}
+    return scanned(manifests, keys, "pos", ["valid", "manifest_seq", "count"], _Manifests, result)
+
+
+def manifest_cycles(manifests: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """Accepted manifests with ``cycle`` (the retransmission cycle that is open after them) and ``closes``: the first
+    manifest opens a cycle, and one that is sent ``length`` or more after the opening closes it and opens the next."""
+
+    def make():
+        start, cycle = None, 0
+
+        def step(ts: int) -> tuple[int, bool]:
+            nonlocal start, cycle
+            closes = start is not None and ts >= start and ts - start >= length
+            if start is None or closes:
+                start, cycle = ts, cycle + 1
+            return cycle, closes
+
+        return step
+
+    return scanned(manifests, keys, "pos", ["send_ts"], make, {"cycle": "bigint", "closes": "boolean"})
+
+
+def closed_cycles(manifests: DataFrame, definitions: DataFrame, ready: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """The manifests that close a cycle, with established, n_expected, n_frames and missing.
+
+    manifests: accepted ones, with generation and newer. definitions: those taken in, with generation. ready: keys,
+    generation and ready_pos. What is due is the set that stood before the closing manifest, if all its instruments had
+    been defined by then (established); missing counts those of it without a definition since the cycle opened, whatever
+    set that came under; n_frames counts the send times that carried definitions."""
+    opened = manifest_cycles(manifests, keys, length)
+    ends = opened.where("closes").withColumn("set", F.col("generation") - F.col("newer").cast("bigint"))
+    inside = asof(definitions.select(*keys, "generation", "instrument", "pos", "send_ts"), opened.select(*keys, "pos", "cycle"), keys, "pos", ["cycle"]).where("cycle is not null")
+    before = F.lag("send_ts").over(Window.partitionBy(*keys, "cycle").orderBy("pos"))
+    frames = inside.withColumn("new", F.coalesce(F.col("send_ts") != before, F.lit(True))).groupBy(*keys, "cycle").agg(F.count_if("new").alias("n_frames"))
+    seen = inside.select(*keys, "cycle", "instrument").distinct().withColumn("seen", F.lit(True))
+    due = ready.select(*keys, F.col("generation").alias("set"), "ready_pos")
+    e = ends.withColumn("was", F.col("cycle") - 1).join(due, [*keys, "set"], "left").withColumn("established", F.coalesce(F.col("ready_pos") < F.col("pos"), F.lit(False)))
+    frozen = definitions.join(due.withColumnRenamed("set", "generation"), [*keys, "generation"]).where("pos <= ready_pos").select(*keys, F.col("generation").alias("set"), "instrument").distinct()
+    asked = e.where("established").select(*keys, "was", "set").join(frozen, [*keys, "set"])
+    found = asked.join(seen.withColumnRenamed("cycle", "was"), [*keys, "was", "instrument"], "left").groupBy(*keys, "was").agg(F.count("*").alias("n_expected"), F.count_if(F.col("seen").isNull()).alias("missing"))
+    out = e.join(found, [*keys, "was"], "left").join(frames.withColumnRenamed("cycle", "was"), [*keys, "was"], "left")
+    return out.na.fill(0, ["n_expected", "missing", "n_frames"])
 
 
 def cadence(rows: DataFrame, keys: list[str], order: str, ts: str, limit: int) -> DataFrame:
