@@ -22,11 +22,11 @@ class Tape:
     def __init__(self, feed, channel=3):
         self.feed, self.channel, self.rows, self.next = feed, channel, [], {}
 
-    def send(self, port, *messages, skip=0, reset=0):
+    def send(self, port, *messages, skip=0, reset=0, ts=None):
         seq = self.next.get(port, 0) + skip
         self.next[port] = seq + 1
         raw = bytearray(raw_frame(self.feed, *messages, seq=seq, channel=self.channel, reset=reset))
-        raw[12:20] = struct.pack("<Q", 1000 + len(self.rows))
+        raw[12:20] = struct.pack("<Q", 1000 + len(self.rows) if ts is None else ts)
         self.rows.append(("tape", len(self.rows), port, raw))
         return seq
 

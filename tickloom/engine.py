@@ -82,14 +82,14 @@ _POS_TYPE = "struct<" + ",".join(f"{c}:bigint" for c in _POS) + ">"
 def _say(rows: DataFrame, rule: str | Column, status: str | Column = "violation", reason: str | Column | None = None, detail: Column | None = None) -> DataFrame:
     """Rows as findings; a missing place is filled with what a finding without one carries."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    has = lambda c, default: F.col(c) if c in rows.columns else default
+    has = lambda c, default: c if c in rows.columns else default
     placed = "pos" in rows.columns and "msg_index" in getattr(rows.schema["pos"].dataType, "names", [])
-    return rows.select(
-        as_column(rule).alias("rule_id"), as_column(status).alias("status"), as_column(reason).alias("reason"), F.col("capture_id"),
-        has("port", F.lit("snapshot")).alias("port"), F.col("channel_id").cast("bigint").alias("channel_id"), has("instrument", F.lit(0)).cast("bigint").alias("instrument"),
-        has("seq", F.lit(None)).cast("bigint").alias("seq"), (detail if detail is not None else F.lit("")).cast("string").alias("detail"), has("future", F.lit(False)).alias("future"),
-        (F.struct(*(F.col(f"pos.{c}").cast("bigint").alias(c) for c in _POS)) if placed else F.lit(None).cast(_POS_TYPE)).alias("pos"),
-    )
+    pos = "if(pos is null, null, struct(" + ", ".join(f"cast(pos.{c} as bigint) as {c}" for c in _POS) + "))" if placed else f"cast(null as {_POS_TYPE})"
+    rest = [
+        "capture_id", f"{has('port', repr('snapshot'))} as port", "cast(channel_id as bigint) as channel_id", f"cast({has('instrument', '0')} as bigint) as instrument",
+        f"cast({has('seq', 'null')} as bigint) as seq", f"{has('future', 'false')} as future", f"{pos} as pos",
+    ]
+    return rows.select(as_column(rule).alias("rule_id"), as_column(status).alias("status"), as_column(reason).alias("reason"), (detail if detail is not None else F.lit("")).cast("string").alias("detail"), *map(F.expr, rest))
 
 
 class Run:
@@ -97,6 +97,7 @@ class Run:
 
     def __init__(self, datagrams: DataFrame, feed: str, settings: Settings = Settings()):
         self.feed, self.settings = feed, settings
+        self.views: dict[tuple[str, str | None], DataFrame] = {}
         self.frames = cut(fr.decode_frames(datagrams, feed).withColumn("future", F.col("schema_version") > fr.SCHEMA_VERSION[feed]))
         own = (F.octet_length("raw") >= FRAME_HEADER) & (F.col("magic") == MAGIC[feed])
         keys = [*CHANNEL, "port"]
@@ -140,8 +141,12 @@ class Run:
 
     def typed(self, *names: str, port: str | None = None) -> list[DataFrame]:
         keep = ("capture_id", "port", "channel_id", "seq", "era_no", "pos", "send_ts", "dirty", "missing", "future", "type", "body")
-        m = self.messages.where(F.col("port") == port) if port else self.messages
-        return [decode(m.withColumnRenamed("missing", "lost_frames"), message(self.feed, n), tuple("lost_frames" if c == "missing" else c for c in keep)).drop("channel", "ts") for n in names]
+        m = self.messages.where(f"port = '{port}'") if port else self.messages
+        m = m.withColumnRenamed("missing", "lost_frames")
+        for n in names:
+            if (n, port) not in self.views:
+                self.views[n, port] = decode(m, message(self.feed, n), tuple("lost_frames" if c == "missing" else c for c in keep)).drop("channel", "ts")
+        return [self.views[n, port] for n in names]
 
     # --- envelope and sequencing
 

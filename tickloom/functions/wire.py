@@ -13,34 +13,30 @@ from .layout import FRAME_HEADER, MAGIC, MESSAGE_HEADER, SCHEMA_VERSION, Field,
 U64 = "decimal(20,0)"
 
 
-def _reversed_hex(body: Column, offset: int, size: int) -> Column:
-    return F.concat(*(F.hex(F.substring(body, offset + k + 1, 1)) for k in range(size - 1, -1, -1)))
-
-
-def read(body: Column, field: Field, base: int = MESSAGE_HEADER) -> Column:
-    """The field of a message body; ``base`` is the offset at which the body starts."""
+def reading(body: str, field: Field, base: int = MESSAGE_HEADER) -> str:
+    """SQL text for the field of a message body, a column's name; ``base`` is the offset at which the body starts."""
     at, size = field.offset - base, field.size
-    long_enough = F.octet_length(body) >= at + size
+    whole = f"octet_length({body}) >= {at + size}"
     if field.kind[0] == "b":
-        return F.when(long_enough, F.substring(body, at + 1, size))
+        return f"if({whole}, substring({body}, {at + 1}, {size}), null)"
     if field.kind[0] == "c":
-        raw = F.substring(body, at + 1, size)
-        return F.when(long_enough, F.rtrim(F.translate(F.decode(raw, "US-ASCII"), "\x00", " ")))
-    digits = _reversed_hex(body, at, size)
-    if field.kind == "u64":
-        return F.coalesce(F.when(long_enough, F.conv(digits, 16, 10).cast(U64)), F.lit(0).cast(U64))
-    if field.kind == "i64":
-        return F.coalesce(F.when(long_enough, F.conv(digits, 16, -10).cast("bigint")), F.lit(0).cast("bigint"))
-    value = F.conv(digits, 16, 10).cast("bigint")
+        return f"if({whole}, rtrim(translate(decode(substring({body}, {at + 1}, {size}), 'US-ASCII'), '\\u0000', ' ')), null)"
+    digits = ", ".join(f"hex(substring({body}, {at + k + 1}, 1))" for k in range(size - 1, -1, -1))
+    kind = U64 if field.kind == "u64" else "bigint"
+    value = f"cast(conv(concat({digits}), 16, {-10 if field.kind == 'i64' else 10}) as {kind})"
     if field.kind == "i8":
-        value = value - F.when(value > 127, 256).otherwise(0)
-    return F.coalesce(F.when(long_enough, value), F.lit(0).cast("bigint"))
+        value = f"(({value} + 128) % 256 - 128)"
+    return f"coalesce(if({whole}, {value}, null), cast(0 as {kind}))"
+
+
+def read(body: str, field: Field, base: int = MESSAGE_HEADER) -> Column:
+    return F.expr(reading(body, field, base))
 
 
 def decode(messages: DataFrame, kind: Message, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed view: the messages of one kind with their fields as columns, and the columns in ``keep``."""
-    own = messages.where((F.col("feed") == kind.feed) & (F.col("type") == kind.type))
-    return own.select(*keep, *(read(F.col("body"), f).alias(f.name) for f in kind.fields))
+    own = messages.where(f"feed = '{kind.feed}' and type = {kind.type}")
+    return own.selectExpr(*keep, *(f"{reading('body', f)} as {f.name}" for f in kind.fields))
 
 
 def little(value: Column, size: int) -> Column:

@@ -102,7 +102,7 @@ def decode_frames(datagrams: DataFrame, feed: str) -> DataFrame:
     ``findings``. Short datagrams have an all-zero header; null ones are empty."""
     raw = F.coalesce("raw", F.lit(b""))
     whole = F.octet_length("raw") >= FRAME_HEADER
-    header = {f.name: F.when(whole, read(F.col("raw"), f, 0)).otherwise(F.lit(0)).cast("bigint") for f in _HEADER}
+    header = {f.name: F.when(whole, read("raw", f, 0)).otherwise(F.lit(0)).cast("bigint") for f in _HEADER}
     out = datagrams.withColumn("raw", raw).withColumn("starts", _starts("raw")).withColumns({"feed": F.lit(feed), **header})
     none = F.array().cast("array<int>")
     return out.withColumn("starts", F.when(F.col("magic") == MAGIC[feed], F.col("starts")).otherwise(none)).withColumn("findings", _frame_rules(feed))
@@ -158,7 +158,7 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         rows.append(F.when(known & ~reserved & when, F.struct(F.lit(rule).alias("rule_id"), F.lit(status).alias("status"))))
 
     def field(names: str, name: str) -> Column:
-        return read(F.col("body"), next(f for f in message(feed, names).fields if f.name == name))
+        return read("body", next(f for f in message(feed, names).fields if f.name == name))
 
     def bits(names: str, name: str, mask: int) -> Column:
         return field(names, name).bitwiseAND(F.lit(mask).cast("bigint"))

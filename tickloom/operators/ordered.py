@@ -26,14 +26,13 @@ def asof(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: l
     """Each fact with the ``values`` of the last dim at or before its ``pos`` (``strict``: before; ``forward``: after).
 
     Both sides are united and the last dim is carried over the order, so there is one shuffle and no range join."""
-    d = dims.select(*keys, pos, F.lit(1 if strict else 0).alias("__side"), F.struct(*values).alias("__dim"))
-    f = facts.withColumn("__fact", F.struct(*facts.columns)).select(*keys, pos, F.lit(0 if strict else 1).alias("__side"), "__fact")
+    d = dims.selectExpr(*keys, pos, f"{int(strict)} as __side", f"struct({', '.join(values)}) as __dim")
+    f = facts.selectExpr(*keys, pos, f"{int(not strict)} as __side", f"struct({', '.join(facts.columns)}) as __fact")
     both = f.unionByName(d, allowMissingColumns=True)
     # Forward is backward in the other order: a frame that ends with its partition is worked out anew for each row.
-    w = Window.partitionBy(*keys).orderBy(F.desc(pos) if forward else F.asc(pos), "__side")
-    seen = F.last("__dim", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__seen", seen).where("__fact is not null")
-    return out.select("__fact.*", *(F.col(f"__seen.{v}").alias(v) for v in values))
+    order = f"{pos} desc" if forward else pos
+    seen = f"last(__dim, true) over (partition by {', '.join(keys)} order by {order}, __side rows between unbounded preceding and current row) as __seen"
+    return both.selectExpr("__fact", seen).where("__fact is not null").selectExpr("__fact.*", *(f"__seen.{v} as {v}" for v in values))
 
 
 def with_duplicates(frames: DataFrame, keys: list[str], payload: str, arrival: str = "arrival") -> DataFrame:

@@ -91,7 +91,7 @@ def le_u64_extremes(spark, sf):
     from ..functions.layout import Field
 
     rows = spark.createDataFrame([(0, "00" * 8), (1, "FF" * 8), (2, "00" * 7 + "80"), (3, "FF" * 7 + "7F")], "k int, digits string").withColumn("body", F.unhex("digits"))
-    return rows.select("k", w.read(F.col("body"), Field("x", 0, "u64"), 0).cast("string").alias("as_u64"), w.read(F.col("body"), Field("x", 0, "i64"), 0).alias("as_i64"))
+    return rows.select("k", w.read("body", Field("x", 0, "u64"), 0).cast("string").alias("as_u64"), w.read("body", Field("x", 0, "i64"), 0).alias("as_i64"))
 
 
 def _several(spark, sf) -> DataFrame:
