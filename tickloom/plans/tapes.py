@@ -24,19 +24,20 @@ select *, row_number() over (partition by instrument, life order by event_id) as
 _LOST = "instrument % 5 = 3 and life = 0 and per_seq = 7"
 
 
-def _frames(rows: DataFrame, feed: str) -> DataFrame:
-    """Datagrams of one message for rows (instrument, port, place, body) in order of place; a channel has every fourth
-    instrument."""
-    rows = rows.withColumn("channel_id", F.col("instrument") % 4)
-    seq = F.row_number().over(Window.partitionBy("channel_id", "port").orderBy("place")).cast("bigint") - 1
-    rows = rows.withColumn("seq", seq)
-    raw = w.frame(feed, F.col("channel_id"), F.col("seq"), F.col("place"), F.lit(0), F.col("body"), F.lit(1))
+def _frames(rows: DataFrame, feed: str, channels: int = 4) -> DataFrame:
+    """Datagrams of one message for rows (instrument, port, place, body, reset, ts, lost) in order of place, without the
+    lost ones; a channel has every ``channels``-th instrument, and numbers begin anew with each reset count."""
+    rows = rows.withColumn("channel_id", F.col("instrument") % channels)
+    seq = F.row_number().over(Window.partitionBy("channel_id", "port", "reset").orderBy("place")).cast("bigint") - 1
+    rows = rows.withColumn("seq", seq).where("not lost")
+    raw = w.frame(feed, F.col("channel_id"), F.col("seq"), F.col("ts"), F.col("reset"), F.col("body"), F.lit(1))
     return rows.select(F.lit("tape").alias("capture_id"), F.col("place").alias("arrival"), "port", raw.alias("raw"))
 
 
-def _message(rows: DataFrame, feed: str, name: str, port: str, place: str, flags: int = 0, **values: str) -> DataFrame:
+def _message(rows: DataFrame, feed: str, name: str, port: str, place: str, flags: int = 0, reset: str = "0", ts: str | None = None, lost: str = "false", **values: str) -> DataFrame:
     body = w.write(message(feed, name), {k: F.expr(v) for k, v in values.items()}, flags=flags)
-    return rows.select("instrument", F.lit(port).alias("port"), F.expr(f"cast({place} as bigint)").alias("place"), body.alias("body"))
+    more = [f"cast({reset} as bigint) as reset", f"cast({ts or place} as bigint) as ts", f"{lost} as lost"]
+    return rows.select("instrument", F.lit(port).alias("port"), F.expr(f"cast({place} as bigint)").alias("place"), body.alias("body"), *map(F.expr, more))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -49,7 +50,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 _PHASE = 1_000_000_000_000
 
 
-def _groups(ends: DataFrame, levels: DataFrame, feed: str, row: str, phase: str, number: int, **values: str) -> list[DataFrame]:
+def _groups(ends: DataFrame, levels: DataFrame, feed: str, row: str, phase: str, number: int, reset: str = "0", anchor: str = "0", **values: str) -> list[DataFrame]:
     """A snapshot group for each of ``ends`` (instrument, life, k) with the rows ``levels`` (instrument, life, n from 1)."""
     flags = 1 if feed == "mbp" else 0
     total = levels.groupBy("instrument", "life").agg(F.count("*").alias("total"))
@@ -57,16 +58,16 @@ def _groups(ends: DataFrame, levels: DataFrame, feed: str, row: str, phase: str,
     base = f"({phase}) * {_PHASE} + instrument * 10000000"
     r = levels.withColumn("id", F.expr(f"life * 10 + {number}"))
     return [
-        _message(e, feed, "snapshot_begin", "snapshot", base, flags, instrument="instrument", anchor="0", total="total", snapshot_id="id", last_seq="k"),
-        _message(r, feed, row, "snapshot", f"{base} + n", flags, snapshot_id="id", **values),
-        _message(e, feed, "snapshot_end", "snapshot", f"{base} + 9999999", flags, instrument="instrument", anchor="0", snapshot_id="id"),
+        _message(e, feed, "snapshot_begin", "snapshot", base, flags, reset, instrument="instrument", anchor=anchor, total="total", snapshot_id="id", last_seq="k"),
+        _message(r, feed, row, "snapshot", f"{base} + n", flags, reset, snapshot_id="id", **values),
+        _message(e, feed, "snapshot_end", "snapshot", f"{base} + 9999999", flags, reset, instrument="instrument", anchor=anchor, snapshot_id="id"),
     ]
 
 
-def _verdicts(grams: DataFrame, feed: str, rules: list[str]) -> DataFrame:
+def _verdicts(grams: DataFrame, feed: str, rules: list[str], **settings: int) -> DataFrame:
     from ..engine import Settings, check
 
-    found = check(grams, feed, Settings(window=0, empty_start=True)).where(F.col("rule_id").isin(*rules))
+    found = check(grams, feed, Settings(window=0, empty_start=True, **settings)).where(F.col("rule_id").isin(*rules))
     return found.groupBy("rule_id", "status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -197,3 +198,110 @@ def mid_or_last_trade(spark, sf):
     quotes = t.where("event_type = 'view'").selectExpr("seq", "instrument", "if(qty % 5 > 0, price + 1, null) as mid")
     trades = t.where("event_type = 'purchase'").select("seq", "instrument", "price")
     return mid_or_trade(quotes, trades, ["instrument"], "seq").select("seq", "instrument", "mid", "origin")
+
+
+#: Changes of 20 books in three eras, numbered anew in each; in era 0, number 7 is lost where the instrument leaves 3 by 5.
+_ERAS = """
+select *, row_number() over (partition by instrument, life order by event_id) as per_seq from (
+  select event_id, user_id % 20 as instrument, event_id {div} 2 % 3 as life, event_id % 2 as side, cast(floor(value) as bigint) % 25 as price,
+    case when event_type = 'error' then 0 else 1 + event_id % 90 end as qty from events) as e"""
+
+
+@query("book_with_skipped_eras", f"with c as ({_ERAS.format(div='//')})," + """
+e as (select instrument, life, max(per_seq) as k from c where life <> 1 group by all),
+l as (select instrument, life, count(*) as levels from (select instrument, life, side, price, arg_max(qty, per_seq) as qty from c group by all) where qty > 0 group by all),
+v as (
+  select 'MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT' as rule_id, 'pass' as status, '' as reason from e
+  union all select 'MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT',
+    case when instrument % 5 = 3 and life = 0 and k >= 7 then 'unverifiable' when instrument % 5 = 2 and life = 2 and coalesce(levels, 0) > 0 then 'violation' else 'pass' end,
+    case when instrument % 5 = 3 and life = 0 and k > 7 then 'loss' when instrument % 5 = 3 and life = 0 and k = 7 then 'pending' else '' end from e left join l using (instrument, life)
+  union all select 'MBP.DELTA.PERINSTR_DENSITY', 'violation', '' from e where instrument % 5 = 3 and life = 0 and k > 7)
+select rule_id, status, reason, count(*) as n from v group by all""")
+def book_with_skipped_eras(spark, sf):
+    """Changes come in the eras of reset counts 0, 1 and 2, snapshot groups in 0 and 2 only: those of era 2, wrong in every
+    fifth book, are held to the changes of era 2."""
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
+    c = spark.sql(_ERAS.format(div="div").replace("from events", "from tape_events"))
+    ends = c.where("life <> 1").groupBy("instrument", "life").agg(F.max("per_seq").alias("k"))
+    last = c.where("life <> 1").groupBy("instrument", "life", "side", "price").agg(F.max_by("qty", "per_seq").alias("qty")).where("qty > 0")
+    last = last.withColumn("n", F.row_number().over(Window.partitionBy("instrument", "life").orderBy("side", "price")))
+    last = last.withColumn("qty", F.expr("qty + if(instrument % 5 = 2 and life = 2, 1, 0)"))
+    values = {"price": "price", "qty": "qty", "side": "side"}
+    parts = _groups(ends.withColumn("k", F.lit(0)), last.where("false"), "mbp", "snapshot_level", "10 * life + 1", 1, "life", **values)
+    parts.append(_message(c.where(f"not ({_LOST})"), "mbp", "level_update", "mktdata", f"(10 * life + 2) * {_PHASE} + event_id", reset="life", instrument="instrument", source="1", side="side", action="if(qty = 0, 2, 0)", per_seq="per_seq", price="price", qty="qty"))
+    parts += _groups(ends, last, "mbp", "snapshot_level", "10 * life + 3", 3, "life", **values)
+    return _verdicts(_frames(_union(parts), "mbp"), "mbp", ["MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "MBP.DELTA.PERINSTR_DENSITY"])
+
+
+_LIMIT = 60_000_000_000
+
+
+@query("rules_under_loss", f"""
+with f as (
+  select user_id % 16 as channel, event_type = 'click' as beat, event_id, epoch_us(ts) * 1000 as ts,
+    row_number() over (partition by user_id % 16, event_type = 'click' order by event_id) as i from events where event_type in ('click', 'view')),
+k as (select * from f where not (channel % 4 = 1 and i = 20)),
+g as (select *, ts - lag(ts) over (partition by channel, beat order by event_id) as gap from k)
+select case when beat then 'HEARTBEAT.CADENCE' else 'REFDATA.MANIFEST_CADENCE' end as rule_id,
+  case when channel % 4 = 1 and i > 20 then 'unverifiable' else 'violation' end as status, case when channel % 4 = 1 and i > 20 then 'loss' else '' end as reason, count(*) as n
+from g where gap > {_LIMIT} group by all""")
+def rules_under_loss(spark, sf):
+    """Heartbeats and manifests at the times of clicks and views: every channel is late at times, and one in four has lost
+    its twentieth frame of either port, after which lateness can't be told from loss."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type in ('click', 'view')")
+    e = e.selectExpr("user_id % 16 as instrument", "event_type", "event_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000 as sent")
+    e = e.withColumn("i", F.expr("row_number() over (partition by instrument, event_type order by event_id)"))
+    more = {"ts": "sent", "lost": "instrument % 4 = 1 and i = 20"}
+    beats = _message(e.where("event_type = 'click'"), "tob", "heartbeat", "mktdata", "event_id", channel="instrument", **more)
+    manifests = _message(e.where("event_type = 'view'"), "tob", "manifest", "refdata", "event_id", channel="instrument", valid="1", manifest_seq="1", count="1", **more)
+    grams = _frames(beats.unionByName(manifests), "tob", 16)
+    return _verdicts(grams, "tob", ["HEARTBEAT.CADENCE", "REFDATA.MANIFEST_CADENCE"], heartbeat=_LIMIT, manifest_cadence=_LIMIT)
+
+
+#: Orders of 80 books on eight channels. By the book's number over 8: nothing more, a reset that a group and a change
+#: follow, a reset that a change follows at once, a reset that nothing follows.
+_OPPORTUNITIES = """
+select *, row_number() over (partition by instrument order by event_id) as per_seq, instrument {div} 8 % 4 as kind, instrument % 5 <> 4 as grouped, instrument % 8 % 4 = 3 as torn from (
+  select event_id, user_id % 80 as instrument, cast(floor(value) as bigint) % 25 - 3 as price, 1 + event_id % 90 as qty from events where event_type = 'view') as e"""
+
+
+@query("opportunities_by_rule", f"with c as ({_OPPORTUNITIES.format(div='//')})," + """
+e as (select instrument, any_value(kind) as kind, any_value(grouped) as grouped, any_value(torn) as torn, count(*) as k from c group by all),
+v as (
+  select 'SNAP.ROUND_ROBIN_COVERS_MANIFEST' as rule_id, case when grouped or kind = 1 then 'pass' when torn then 'unverifiable' else 'violation' end as status, case when torn and not (grouped or kind = 1) then 'loss' else '' end as reason from e
+  union all select 'RESET.SNAPSHOT_FOLLOWS', case when kind = 1 then 'pass' when torn then 'unverifiable' else 'violation' end, case when torn and kind <> 1 then 'loss' else '' end from e where kind > 0
+  union all select r, 'pass', '' from e, (select unnest(['RESET.RECOVERY_SNAPSHOT_ANCHOR_MATCHES_RESET', 'RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR']) as r) where kind = 1
+  union all select r, case when i = 1 then 'unverifiable' else 'pass' end, case when i = 1 then 'cold_start' else '' end
+    from (select unnest(range(1, 1 + case when grouped then 2 else 0 end + case when kind = 1 then 1 else 0 end)) as i from e), (select unnest(['SNAP.ANCHOR_MONOTONIC_PER_INSTRUMENT', 'SNAP.SNAPSHOT_ID_MONOTONIC']) as r)
+  union all select 'SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT', 'pass', '' from e, (select unnest([1, 2])) where grouped
+  union all select 'SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT', 'unverifiable', 'untrusted' from e where kind = 1
+  union all select 'FIELD.ORDERADD_PRICE_BOUND', case when instrument % 3 = 0 then 'na' when price < 0 then 'violation' else 'pass' end, '' from c
+  union all select 'FIELD.ORDERADD_PRICE_BOUND', case when instrument % 3 = 0 then 'na' else 'pass' end, '' from e where kind in (1, 2)
+  union all select 'SNAP.ORDER_PRICE_BOUND', case when instrument % 3 = 0 then 'na' when price < 0 then 'violation' else 'pass' end, '' from c, (select unnest([1, 2])) where grouped)
+select rule_id, status, reason, count(*) as n from v group by all""")
+def opportunities_by_rule(spark, sf):
+    """Every opportunity of the order feed's rules that owe one, whether taken or not: orders under price bounds, two equal
+    groups of most books, and what follows a reset, where every fourth channel lost a frame of its snapshot port."""
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
+    c = spark.sql(_OPPORTUNITIES.format(div="div").replace("from events", "from tape_events")).withColumn("life", F.lit(0))
+    e = c.groupBy("instrument", "life", "kind", "grouped", "torn").agg(F.count("*").alias("k"))
+    known = e.select("instrument").distinct()
+    count = known.groupBy((F.col("instrument") % 8).alias("instrument")).agg(F.count("*").alias("count"))
+    parts = [
+        _message(count, "mbo", "manifest", "refdata", "instrument", channel="instrument", valid="1", manifest_seq="1", count="count"),
+        _message(known, "mbo", "definition", "refdata", "100 + instrument", instrument="instrument", manifest_seq="1", price_bound="instrument % 3"),
+        _message(c, "mbo", "order_add", "mktdata", f"{_PHASE} + event_id", instrument="instrument", source="1", side="0", per_seq="per_seq", order_id="event_id", price="price", qty="qty"),
+        _message(e.where("torn"), "mbo", "heartbeat", "snapshot", f"4 * {_PHASE} + instrument", lost="true"),
+        _message(e.where("kind > 0"), "mbo", "instrument_reset", "mktdata", f"5 * {_PHASE} + instrument", instrument="instrument", anchor="5"),
+    ]
+    held = c.where("grouped").withColumn("n", F.col("per_seq"))
+    values = {"order_id": "event_id", "side": "0", "price": "price", "qty": "qty"}
+    for k in (2, 3):
+        parts += _groups(e.where("grouped").select("instrument", "life", "k"), held, "mbo", "snapshot_order", str(k), k, **values)
+    parts += _groups(e.where("kind = 1").selectExpr("instrument", "life", "0 as k"), held.where("false"), "mbo", "snapshot_order", "6", 6, anchor="5", **values)
+    parts.append(_message(e.where("kind in (1, 2)"), "mbo", "order_add", "mktdata", f"7 * {_PHASE} + instrument", instrument="instrument", source="1", side="0", per_seq="1", order_id="1000000000 + instrument", price="1", qty="1"))
+    # A frame at the end of every snapshot port tells that the one before it was lost.
+    parts.append(_message(count, "mbo", "heartbeat", "snapshot", f"4 * {_PHASE} + 1000000 + instrument"))
+    rules = ["SNAP.ROUND_ROBIN_COVERS_MANIFEST", "RESET.SNAPSHOT_FOLLOWS", "RESET.RECOVERY_SNAPSHOT_ANCHOR_MATCHES_RESET", "RESET.NO_DANGLING_DELTAS_AT_OR_BELOW_ANCHOR", "SNAP.ANCHOR_MONOTONIC_PER_INSTRUMENT", "SNAP.SNAPSHOT_ID_MONOTONIC",
+             "SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "FIELD.ORDERADD_PRICE_BOUND", "SNAP.ORDER_PRICE_BOUND"]
+    return _verdicts(_frames(_union(parts), "mbo", 8), "mbo", rules)
