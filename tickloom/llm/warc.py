@@ -55,19 +55,24 @@ def header_fields(head: bytes) -> dict[str, str]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file, whatever members it has, in pieces."""
-    z, data = zlib.decompressobj(31), stream.read(PIECE)
+    """The bytes of a gzip file, whatever members it has, in pieces. A last member without its end is an error, which only
+    its checksum and length tell where the records in it are whole; zeros after a member are padding."""
+    z, data, begun = zlib.decompressobj(31), stream.read(PIECE), False
     while data:
+        if not begun and not (data := data.lstrip(b"\0")):
+            data = stream.read(PIECE)
+            continue
+        begun = True
         out = z.decompress(data, PIECE)
         if out:
             yield out
         if z.eof:
             data = z.unused_data or stream.read(PIECE)
-            z = zlib.decompressobj(31)
+            z, begun = zlib.decompressobj(31), False
         else:
             data = z.unconsumed_tail or stream.read(PIECE)
-    if out := z.flush():
-        yield out
+    if begun:
+        raise ValueError("the gzip stream is cut short")
 
 
 def normalise_file(source: str, target: str, level: int = 3) -> int:

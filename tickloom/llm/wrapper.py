@@ -12,8 +12,9 @@ without what is marked as no content, is equal are copies and have one vote toge
 * texts that stay the same on most pages, or are drawn from few values, are template; the places that vary are slots;
 * containers whose text is links, and lists of records that repeat one fixed label, are furniture (menus, teasers, replies);
 * from the root down, the container with more than half of the varying text holds the article. What stands beside it, small
-  and of one shape on nearly all pages, is a field of the template (adverts, notices, footers with changing text), and so
-  is what only single pages have there. Text blocks and headings beside it stay.
+  and of one shape on nearly all pages, is a field of the template (adverts, notices, footers with changing text) if it has
+  links, a fixed label or a name that says so, or comes before the box with the page's title, and so is what only single
+  pages have there. Other prose, text blocks and headings beside it stay.
 
 A wrapper decides over names and kinds of elements: what holds the article is never skipped, whatever its class says, and
 furniture is, whatever it is called. Marks (HTML's sectioning elements, roles, words in class names) break ties: what the
@@ -125,11 +126,13 @@ class _Open:
 
 def parse(page: str) -> Node:
     """The DOM tree; unclosed elements end where HTML ends them, or with their parent. A class or id does not skip what
-    holds the page's main or only articles, nor all that the page has."""
+    holds the page's main or only articles, nor all that the page has. A form that holds them, or most of the page's
+    text, is a box like any other."""
     root = Node("#root")
     stack, at, length = _Open(root), 0, len(page)
     named: list[Node] = []  # what only a class or id skips
     articles: list[list[Node]] = []  # of each article inside such a node, these nodes
+    forms: list[Node] = []
 
     def add(text: str) -> None:
         if stack.nodes[-1].tag == "head" and not text.isspace():
@@ -183,12 +186,16 @@ def parse(page: str) -> Node:
             else:
                 for x in stack.named:
                     x.skip = False
+        if tag == "form":
+            forms.append(node)
         stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = page.find(">", end.end()) + 1 or length if end else length
         elif tag not in VOID and not m.group(3).endswith("/"):
             stack.push(node)
+    if forms:
+        _open_forms(root, forms)
     if articles and (not _outermost(root, "main") or not _shows(root)):
         for over in articles:
             for x in over:
@@ -199,6 +206,17 @@ def parse(page: str) -> Node:
     return root
 
 
+def _open_forms(root: Node, forms: list[Node]) -> None:
+    """Makes boxes of the forms that hold a main element or more than half of the page's text."""
+    kept = [(x.tag, x.skip) for x in forms]
+    for x in forms:
+        x.tag, x.skip = "div", False
+    whole = _plain([root])
+    for x, (tag, skip) in zip(forms, kept, strict=True):
+        if 2 * _plain([x]) <= whole and not _outermost(x, "main"):
+            x.tag, x.skip = tag, skip
+
+
 def nodes_of(root: Node) -> list[Node]:
     """All nodes of a tree in page order."""
     out, stack = [], [root]
@@ -496,15 +514,18 @@ class Pages:
     def __init__(self) -> None:
         self.matcher, self.held, self.known = Matcher(), 0, {}
 
-    def reference(self, text: str) -> tuple[Node, dict[int, int], dict[int, int]]:
-        """Of a skeleton the tree, the numbers of its nodes by their ids, and the marks."""
+    def reference(self, text: str) -> tuple[Node, dict[int, int], dict[int, int], set[int]]:
+        """Of a skeleton the tree, the numbers of its nodes by their ids, the marks, and the ids of texts that stand in a
+        container themselves, outside any block."""
         if self.matcher.full() or self.held > self.limit:
             self.matcher, self.held, self.known = Matcher(), 0, {}
         found = self.known.get(text)
         if found is None:
             tree, marks = regrown(text)
             self.matcher.shape(tree)
-            found = self.known[text] = (tree, {id(x): k for k, x in enumerate(nodes_of(tree))}, marks)
+            nodes = nodes_of(tree)
+            bare = {id(c) for x in nodes if _container(x) for c in x.children if c.tag == "#"}
+            found = self.known[text] = (tree, {id(x): k for k, x in enumerate(nodes)}, marks, bare)
             self.held += len(found[1])
         return found
 
@@ -516,8 +537,9 @@ class Pages:
 
 def votes_of(pages: Pages, reference: str, page: str) -> tuple[int, list[int], list[int], list[int]]:
     """Digest of a page's text, and its votes: places of the reference with, for a text, its value and length, and for
-    an element, whether it has the reference's shape (1 or 0) and the plain characters of children without a partner."""
-    model, at, _ = pages.reference(reference)
+    an element, whether it has the reference's shape (1 or 0) and the plain characters of children without a partner. The
+    place -1 - k is the first word of a text k that stands in a container itself."""
+    model, at, _, bare = pages.reference(reference)
     tree = pages.tree(page)
     copy = _digest(tree)
     places, values, sizes = [], [], []
@@ -526,6 +548,10 @@ def votes_of(pages: Pages, reference: str, page: str) -> tuple[int, list[int], l
             if not (text := b.text.strip()):
                 continue
             value, size = _value(text), len(text)
+            if id(a) in bare:
+                places.append(-1 - at[id(a)])
+                values.append(_value(text.split(maxsplit=1)[0]))
+                sizes.append(0)
         elif a.tag in HARD:
             continue
         else:
@@ -577,15 +603,22 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
     nodes = nodes_of(root)
     n = len(nodes)
     number = {id(x): k for k, x in enumerate(nodes)}
-    parent, linked = [-1] * n, [False] * n
+    parent, linked, within = [-1] * n, [False] * n, [False] * n
+    mains_above = [0] * n  # what the page calls its article, from the root to a node
     out: dict[int, int] = {}
     varying, links, plain, n_links = ([0] * n for _ in range(4))
     held = [x.main for x in nodes]  # whether what the page calls its article is in an element
+    titled = [False] * n  # whether a varying heading of the page is in an element
     labels: list[set[int]] = [set() for _ in range(n)]  # the template values in an element
+    speaks = [False] * n  # whether a template text, or one that begins with a fixed word, is in an element
     for k, x in enumerate(nodes):
+        mains_above[k] += x.main
         for c in x.children:
-            parent[number[id(c)]] = k
-            linked[number[id(c)]] = linked[k] or x.tag == "a"
+            j = number[id(c)]
+            parent[j] = k
+            linked[j] = linked[k] or x.tag == "a"
+            within[j] = within[k] or x.main
+            mains_above[j] = mains_above[k]
     for k in range(n - 1, -1, -1):  # below come after above
         x, up = nodes[k], parent[k]
         pages, distinct, top, value, size, same = counts.get(k, (0, 0, 0, 0, 0, 0))
@@ -598,12 +631,16 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
             elif not linked[k]:
                 varying[k] = size
             links[k], plain[k] = (size, 0) if linked[k] else (0, size)
+            seen, _, first, *_ = counts.get(-1 - k, (0, 0, 0))
+            speaks[k] = k in out or (seen >= least and first >= share * seen)
         elif x.tag not in HARD:
             varying[k] += size
             plain[k] += size
             n_links[k] += x.tag == "a"
-            furniture = pages >= 2 and _container(x) or x.tag in ("ul", "ol", "table", "dl")
-            if furniture and links[k] >= 0.7 * (links[k] + plain[k]) and n_links[k] >= 3:
+            titled[k] = titled[k] or (x.tag == "h1" and varying[k] > 0)
+            # Lists of links inside the article are its references; only those around it are menus.
+            menu = pages >= 2 and not within[k] and (_container(x) or x.tag in ("ul", "ol", "table", "dl"))
+            if menu and links[k] >= 0.7 * (links[k] + plain[k]) and n_links[k] >= 3:
                 out[k] = FURNITURE
             elif pages >= least and _container(x) and not held[k]:
                 alike = Counter(c.shape for c in x.children if c.tag != "#").most_common(1)
@@ -613,6 +650,13 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
                         out[k] = FURNITURE
             if out.get(k) == FURNITURE:
                 varying[k] = 0
+            below = [labels[number[id(c)]] for c in x.children]
+            if below:  # the greatest set takes the others in, so that depth costs nothing
+                most_labels = max(below, key=len)
+                for other in below:
+                    if other is not most_labels:
+                        most_labels |= other
+                labels[k] = most_labels
         else:
             varying[k] = links[k] = plain[k] = n_links[k] = 0
             continue
@@ -621,12 +665,18 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
             links[up] += links[k]
             plain[up] += plain[k]
             n_links[up] += n_links[k]
-            labels[up] |= labels[k]
             held[up] = held[up] or held[k]
-    mains = [k for k in range(n) if nodes[k].main]
+            titled[up] = titled[up] or titled[k]
+            speaks[up] = speaks[up] or speaks[k]
+    mains_before = np.concatenate([[0], np.cumsum([x.main for x in nodes])]).tolist()
     end = list(range(n))  # last number inside each node
     for k in range(n - 1, 0, -1):
         end[parent[k]] = max(end[parent[k]], end[k])
+    marked = lambda k: mains_before[end[k] + 1] - mains_before[k]
+    # A box beside the article is a field of the template where something speaks for it: links, a label, its name, that it
+    # comes before the box with the page's title, or that the page calls the other box its article, or no content (then
+    # names say nothing here). Prose that varies between the title and the end is article.
+    evident = [bool(links[k] or n_links[k] or speaks[k] or nodes[k].skip) for k in range(n)]
     at, path = 0, []
     while True:
         kids = [number[id(c)] for c in nodes[at].children if c.tag != "#"]
@@ -634,16 +684,16 @@ def judge(root: Node, counts: dict[int, tuple[int, int, int, int, int, int]], sh
         big = max(boxes, key=lambda k: varying[k], default=-1)
         most = big >= 0 and 2 * varying[big] > varying[at] and counts.get(big, (0,))[0] >= least
         lines = sum(varying[k] for k in kids if nodes[k].tag in BLOCKS)
-        inside = [m for m in mains if at <= m <= end[at]]
-        if most and inside and not any(big <= m <= end[big] for m in inside) and not any(m <= big for m in inside if end[m] >= big):
+        around = mains_above[big] - (mains_above[parent[at]] if at else 0) if big >= 0 else 0
+        if most and marked(at) and not marked(big) and not around:
             return out  # the page calls something else its article
         ends = nodes[at].main and nodes[at].tag != "main"  # a main element may hold more than the article
         if not ends and (most or 2 * lines > varying[at] > 0):
             for k in boxes:
                 pages, same = counts.get(k, (0,) * 6)[0], counts.get(k, (0,) * 6)[5]
-                title = any(nodes[j].tag == "h1" and varying[j] for j in range(k, end[k] + 1)) and not nodes[k].skip
-                if k != big or not most:
-                    if pages >= least and same >= share * pages and varying[k] <= small * varying[at] and not title and not any(k <= m <= end[k] for m in mains):
+                title = titled[k] and not nodes[k].skip
+                if (k != big or not most) and (evident[k] or (most and ((titled[big] and k < big) or nodes[big].tag == "article" or nodes[big].skip))):
+                    if pages >= least and same >= share * pages and varying[k] <= small * varying[at] and not title and not marked(k):
                         out[k] = FURNITURE
         if not most or ends:
             break
@@ -671,7 +721,7 @@ def text_by(pages: Pages, page: str, wrapper: str | None) -> str:
     """Text of a page by the wrapper of its layout."""
     if wrapper is None:
         return content(parse(page))
-    model, at, marks = pages.reference(wrapper)
+    model, at, marks, _ = pages.reference(wrapper)
     tree = pages.tree(page)
     template, article = set(), None
     beside: list[Node] = []  # what stands beside the article's place on this page only
