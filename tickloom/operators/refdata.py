@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .ordered import asof, scanned, with_previous
 
 
-class _Manifests:
+class Manifests:
     """What a subscriber keeps of the manifests of one key, and how each new one fits it."""
 
     def __init__(self):
@@ -55,7 +55,7 @@ def accepted_manifests(manifests: DataFrame, keys: list[str]) -> DataFrame:
     from 65535, or count 0 with a newer number, is discarded; a newer number replaces the set. What a subscriber forgets
     (at a reset, or at valid 0) is said by ``keys``."""
     result = {"accepted": "boolean", "rules": "array<string>", "newer": "boolean", "generation": "bigint", "current_seq": "bigint", "current_count": "bigint"}
-    return scanned(manifests, keys, "pos", ["valid", "manifest_seq", "count"], _Manifests, result)
+    return scanned(manifests, keys, "pos", ["valid", "manifest_seq", "count"], Manifests, result)
 
 
 def manifest_cycles(manifests: DataFrame, keys: list[str], length: int) -> DataFrame:
