@@ -43,15 +43,32 @@ def ladder(updates: DataFrame, keys: list[str], clears: DataFrame | None = None)
 def ladder_asof(updates: DataFrame, points: DataFrame, keys: list[str], clears: DataFrame | None = None) -> DataFrame:
     """The ladders at each of ``points`` (keys, k): keys, k, side, price, qty.
 
-    Updates and clears get an interval of sequence numbers in which they stand, with the numbers of its first and last
-    point from two as-of joins; a level is then repeated for the points between, so that each point meets it once."""
-    u = updates.select(*keys, "side", "price", "per_seq", "qty")
-    if clears is not None:
-        hit = u.select(*keys, "side", "price").distinct().join(clears, keys).where(covers())
-        u = u.unionByName(hit.select(*keys, "side", "price", "per_seq", F.lit(0).cast("bigint").alias("qty")))
+    Updates get the interval of sequence numbers up to the price's next one, and are repeated for the points in it. A
+    clear belongs to the first point that it comes before; a level falls at the first of its points at which the running
+    extreme of the clears since it was set reaches its price. Clears meet no prices in a join."""
     w = Window.partitionBy(*keys, "side", "price").orderBy("per_seq")
-    spans = u.withColumn("until", F.lead("per_seq").over(w)).where("qty > 0")
-    return at_points(spans, points, keys, "per_seq", "until").select(*keys, "k", "side", "price", "qty")
+    u = updates.select(*keys, "side", "price", "per_seq", "qty").withColumn("until", F.lead("per_seq").over(w)).where("qty > 0")
+    standing = at_points(u, points, keys, "per_seq", "until")
+    if clears is None:
+        return standing.select(*keys, "k", "side", "price", "qty")
+    # One measure for both sides: a clear reaches a level if its reach is not below the level's.
+    sides = F.when(F.col("clear_side") == 2, F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).otherwise(F.array(F.col("clear_side").cast("bigint")))
+    c = clears.select(*keys, F.col("per_seq").cast("bigint").alias("__at"), F.explode(sides).alias("side"), "scope", "from_price")
+    c = c.withColumn("__reach", F.expr(f"if(scope = 0, {(1 << 63) - 1}, if(side = 0, from_price, -from_price))").cast("bigint"))
+    ends = points.select(*keys, F.col("k").cast("bigint").alias("__at"), "k").distinct()
+    c = asof(c.select(*keys, "side", "__at", "__reach"), ends, keys, "__at", ["k"], forward=True).where("k is not null")
+    part = [*keys, "side", "k"]
+    whole = c.groupBy(*part).agg(F.max("__reach").alias("__part"))
+    # At a level's first point only the clears after it count.
+    own = Window.partitionBy(*keys, "side", "price", "per_seq").orderBy("k")
+    first = standing.withColumn("__nth", F.row_number().over(own))
+    later = Window.partitionBy(*part).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    begun = first.where("__nth = 1").withColumn("__at", F.col("per_seq").cast("bigint")).unionByName(c, allowMissingColumns=True)
+    begun = begun.withColumn("__since", F.max("__reach").over(later)).where("price is not null")
+    rest = first.where("__nth > 1").join(whole, part, "left")
+    both = begun.select(*first.columns, "__since").unionByName(rest.select(*first.columns, F.col("__part").alias("__since")))
+    reached = F.max("__since").over(own.rowsBetween(Window.unboundedPreceding, 0)) >= F.when(F.col("side") == 0, F.col("price")).otherwise(-F.col("price"))
+    return both.withColumn("__gone", F.coalesce(reached, F.lit(False))).where("not __gone").select(*keys, "k", "side", "price", "qty")
 
 
 def at_points(spans: DataFrame, points: DataFrame, keys: list[str], start: str, until: str) -> DataFrame:
