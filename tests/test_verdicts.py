@@ -1,7 +1,11 @@
 """Tapes with resets that a port skips, lost frames, restarts of reference data and sets that change: what may be said of each."""
 
+from pathlib import Path
+
 from tests.test_engine import BOOKS, Tape
+from tickloom import engine
 from tickloom.engine import Settings, check
+from tickloom.functions.storage import delete
 
 
 def judged(spark, tapes, settings):
@@ -197,7 +201,7 @@ def test_order_books_over_resets_losses_and_sets(spark):
 CADENCE, COVERAGE, BURST, READY, BEAT = "REFDATA.MANIFEST_CADENCE", "REFDATA.DEFINITION_CYCLE_COVERAGE", "REFDATA.NO_BURST_DEFINITIONS", "REFDATA.NEVER_REACHES_READY", "HEARTBEAT.CADENCE"
 
 
-def test_reference_data_over_resets_losses_and_cycles(spark):
+def test_reference_data_over_resets_losses_and_cycles(spark, monkeypatch):
     tapes = {}
 
     def tape(name):
@@ -253,7 +257,10 @@ def test_reference_data_over_resets_losses_and_cycles(spark):
     manifest(t, 1, 2, ts=0), define(t, 1, 1, ts=10), manifest(t, 1, 2, ts=90), manifest(t, 1, 2, ts=400)
     t = tape("no manifest")
     define(t, 1, 1, ts=10)
+    gone = []
+    monkeypatch.setattr(engine, "delete", lambda spark, paths: (gone.extend(paths), delete(spark, paths)))
     found = judged(spark, tapes, Settings(window=0, manifest_cadence=100, definition_cycle=100, heartbeat=100))
+    assert len(gone) > 5 and not any(Path(p.removeprefix("file:")).exists() for p in gone)  # tables that findings need no longer
     known = "TOB.QUOTE.REFDATA_KNOWN"
     assert not [r for r in bad(found["restart"]) if r not in (known,)], found["restart"]
     assert (of(found["restart"], known, 7), of(found["restart"], known, 8)) == (["na", "pass", "pass", "violation"], ["pass"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions.layout import FRAME_HEADER, MAGIC, message
 from .functions.rules import RULES, starved
-from .functions.storage import cut
+from .functions.storage import collected, cut, delete
 from .functions.wire import decode
 from .operators import frames as fr
 from .operators import levels as lv
@@ -124,12 +124,12 @@ class Run:
         until = Window.partitionBy(*CHANNEL).orderBy("pos", "lost").rowsBetween(Window.unboundedPreceding, 0)
         return flips.select(*CHANNEL, "pos", *(F.last(F.when(F.col("port") == p, F.col("lost")), ignorenulls=True).over(until).alias(f"lost_{p}") for p in PORTS))
 
-    def gated(self, findings: DataFrame) -> DataFrame:
+    def gated(self, findings: DataFrame, gate: DataFrame) -> DataFrame:
         """``findings`` with what loss leaves of them; those without a position are of the end of the run."""
         ruled = F.col("rule_id").isin(*GATES)
         end = F.struct(*(F.lit((1 << 63) - 1).alias(c) for c in _POS))
         rows = findings.where(ruled).withColumn("pos", F.coalesce("pos", end))
-        rows = asof(rows, self.loss_gate(), CHANNEL, "pos", [f"lost_{p}" for p in PORTS])
+        rows = asof(rows, gate, CHANNEL, "pos", [f"lost_{p}" for p in PORTS])
         lost, unseen = F.lit(False), F.lit(False)
         for port in PORTS:
             lost = lost | (F.col("rule_id").isin(*(r for r, ports in GATES.items() if port in ports), "") & F.coalesce(f"lost_{port}", F.lit(False)))
@@ -555,22 +555,27 @@ class Run:
         every = compared.unionByName(a.where("why is not null").withColumn("status", F.lit("unverifiable")), allowMissingColumns=True)
         return _say(every.withColumn("pos", F.col("begin")), "SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", F.col("status"), F.col("why"), F.col("shown"))
 
-    def findings(self) -> DataFrame:
-        """rule_id, severity, status, reason, capture_id, port, channel_id, instrument, seq, detail."""
+    def findings(self, made: list[str] | None = None) -> DataFrame:
+        """rule_id, severity, status, reason, capture_id, port, channel_id, instrument, seq, detail. The tables in ``made``
+        are deleted when the findings no longer need them."""
         parts = [*self.envelope(), *self.reference()]
         parts += {"tob": self.top_of_book, "midpoint": self.midpoint, "mbp": self.market_by_price, "mbo": self.market_by_order}[self.feed]()
+        gate = cut(self.loss_gate())
+        used = list(made or ())[:-1]
         # A plan for each few parts: fewer jobs than parts, and none too long to be planned.
         out = reduce(DataFrame.unionByName, (cut(reduce(DataFrame.unionByName, parts[k : k + 8])) for k in range(0, len(parts), 8)))
         spark = out.sparkSession
+        delete(spark, used)
         missing = [(r, "na") for r in starved(self.feed, set(self.settings.ports))]
         if missing:
             none = spark.createDataFrame(missing, "rule_id string, status string").withColumns({"capture_id": F.lit(""), "channel_id": F.lit(0)})
             out = out.unionByName(_say(none, F.col("rule_id"), F.col("status")))
-        return graded(self.gated(out), self.settings.configured(), F.col("future")).withColumn("feed", F.lit(self.feed)).drop("future")
+        return graded(self.gated(out, gate), self.settings.configured(), F.col("future")).withColumn("feed", F.lit(self.feed)).drop("future")
 
 
 def check(datagrams: DataFrame, feed: str, settings: Settings = Settings()) -> DataFrame:
     """Findings of datagrams (capture_id, arrival, port, raw) of one feed."""
     unknown = [r for r in settings.configured() if r not in RULES]
     assert not unknown, unknown
-    return Run(datagrams, feed, settings).findings()
+    with collected() as made:
+        return Run(datagrams, feed, settings).findings(made)
