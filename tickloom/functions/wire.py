@@ -29,8 +29,10 @@ def reading(body: str, field: Field, base: int = MESSAGE_HEADER) -> str:
     return f"coalesce(if({whole}, {value}, null), cast(0 as {kind}))"
 
 
-def read(body: str, field: Field, base: int = MESSAGE_HEADER) -> Column:
-    return F.expr(reading(body, field, base))
+def read(body: Column | str, field: Field, base: int = MESSAGE_HEADER) -> Column:
+    """The same as a column; ``body`` is a column's name, or the column itself."""
+    name = body if isinstance(body, str) else str(body).removeprefix("Column<'").removesuffix("'>")
+    return F.expr(reading(name, field, base))
 
 
 def decode(messages: DataFrame, kind: Message, keep: tuple[str, ...] = ()) -> DataFrame:
