@@ -33,7 +33,7 @@ from .operators.ordered import asof, with_common_eras, with_duplicates, with_emi
 @dataclass(frozen=True)
 class Settings:
     """Durations are in ns, and 0 leaves out the rules that need them. ``journal`` is how many changes of an instrument
-    a subscriber keeps between two snapshot groups. With ``empty_start`` a level book counts as known to be empty at number
+    a subscriber keeps between two snapshot groups, None if all of them. With ``empty_start`` a level book counts as known to be empty at number
     0, so that an empty first group at 0 passes; without, it has nothing to be compared with."""
 
     window: int = 8
@@ -43,7 +43,7 @@ class Settings:
     confirm_cycles: int = 2
     ranges: tuple[tuple[int, int], ...] | None = ((1, 1023),)
     ports: tuple[str, ...] = ("mktdata", "refdata", "snapshot")
-    journal: int = 4096
+    journal: int | None = 4096
     empty_start: bool = False
 
     def configured(self) -> tuple[str, ...]:
@@ -392,7 +392,8 @@ class Run:
         n = n.withColumn("base", F.max(F.when(F.col("adopted"), F.struct(F.col("k"), F.col("pos"), F.col("island")))).over(before))
         kept = F.greatest(F.col("prev_max") - F.col("k"), F.lit(0))  # changes beyond a group's number stay in the journal
         n = n.withColumn("kept", F.coalesce(F.max(F.when(F.col("adopted"), F.struct("pos", kept.alias("kept")))).over(before)["kept"], F.lit(0)))
-        n = n.withColumn("overflow", F.col("kept") + F.col("taken") > self.settings.journal)
+        most = self.settings.journal
+        n = n.withColumn("overflow", F.lit(False) if most is None else F.col("kept") + F.col("taken") > most)
         return cut(n.withColumn("base_k", F.col("base.k")).withColumn("base_island", F.col("base.island")).drop("base", "kept", "taken", "span", "after_group"))
 
     def market_by_order(self) -> list[DataFrame]:

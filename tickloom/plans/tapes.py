@@ -64,7 +64,7 @@ def _groups(ends: DataFrame, levels: DataFrame, feed: str, row: str, phase: str,
     ]
 
 
-def _verdicts(grams: DataFrame, feed: str, rules: list[str], **settings: int) -> DataFrame:
+def _verdicts(grams: DataFrame, feed: str, rules: list[str], **settings: int | None) -> DataFrame:
     from ..engine import Settings, check
 
     found = check(grams, feed, Settings(window=0, empty_start=True, **settings)).where(F.col("rule_id").isin(*rules))
@@ -88,7 +88,8 @@ v as (
 select rule_id, status, reason, count(*) as n from v group by all"""))
 def book_after_reset_mbp(spark, sf):
     """Each life: an empty group, the changes, a group (wrong in every fifth second life), and the same group again, which
-    its own base confirms. The second life's numbers start at 1 after an instrument reset."""
+    its own base confirms. The second life's numbers start at 1 after an instrument reset. The subscriber keeps every change
+    of a life, however many come between two groups."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
     c = spark.sql(_CHANGES.format(div="div").replace("from events", "from tape_events"))
     ends = c.groupBy("instrument", "life").agg(F.max("per_seq").alias("k"))
@@ -101,7 +102,7 @@ def book_after_reset_mbp(spark, sf):
     for k in (3, 4):
         parts += _groups(ends, last, "mbp", "snapshot_level", f"10 * life + {k}", k, **values)
     parts.append(_message(ends.where("life = 1"), "mbp", "instrument_reset", "mktdata", f"10 * {_PHASE} + instrument", instrument="instrument", anchor="0"))
-    return _verdicts(_frames(_union(parts), "mbp"), "mbp", ["MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "MBP.DELTA.PERINSTR_DENSITY"])
+    return _verdicts(_frames(_union(parts), "mbp"), "mbp", ["MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "MBP.DELTA.PERINSTR_DENSITY"], journal=None)
 
 
 @query("book_after_reset_mbo", _sql("""
