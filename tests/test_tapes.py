@@ -9,7 +9,7 @@ from tickloom.plans import tapes  # noqa: F401
 from tickloom.plans.registry import QUERIES, SQL
 
 
-@pytest.mark.parametrize("name", ["book_after_reset_mbp"])
+@pytest.mark.parametrize("name", ["book_after_reset_mbp", "book_with_skipped_eras"])
 def test_lives_longer_than_the_default_journal(spark, tmp_path, name):
     """Each life of instrument 2 has 4,500 changes between two groups, more than ``Settings.journal`` by default."""
     n = 9_000 if name == "book_after_reset_mbp" else 13_500

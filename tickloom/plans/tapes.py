@@ -220,7 +220,7 @@ v as (
 select rule_id, status, reason, count(*) as n from v group by all""")
 def book_with_skipped_eras(spark, sf):
     """Changes come in the eras of reset counts 0, 1 and 2, snapshot groups in 0 and 2 only: those of era 2, wrong in every
-    fifth book, are held to the changes of era 2."""
+    fifth book, are held to the changes of era 2. The subscriber keeps every change of an era."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
     c = spark.sql(_ERAS.format(div="div").replace("from events", "from tape_events"))
     ends = c.where("life <> 1").groupBy("instrument", "life").agg(F.max("per_seq").alias("k"))
@@ -231,7 +231,7 @@ def book_with_skipped_eras(spark, sf):
     parts = _groups(ends.withColumn("k", F.lit(0)), last.where("false"), "mbp", "snapshot_level", "10 * life + 1", 1, "life", **values)
     parts.append(_message(c.where(f"not ({_LOST})"), "mbp", "level_update", "mktdata", f"(10 * life + 2) * {_PHASE} + event_id", reset="life", instrument="instrument", source="1", side="side", action="if(qty = 0, 2, 0)", per_seq="per_seq", price="price", qty="qty"))
     parts += _groups(ends, last, "mbp", "snapshot_level", "10 * life + 3", 3, "life", **values)
-    return _verdicts(_frames(_union(parts), "mbp"), "mbp", ["MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "MBP.DELTA.PERINSTR_DENSITY"])
+    return _verdicts(_frames(_union(parts), "mbp"), "mbp", ["MBP.SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "MBP.DELTA.PERINSTR_DENSITY"], journal=None)
 
 
 _LIMIT = 60_000_000_000
