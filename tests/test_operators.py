@@ -78,6 +78,20 @@ def test_order_lives(spark):
     assert orders.live_at(df, ["instrument"], F.lit(8)).count() == 1
 
 
+def test_order_lives_are_sorted_once(spark, capsys):
+    """Lives, what they leave and the add before: all of one order's rows by position."""
+    df = spark.range(10).selectExpr("id % 2 as instrument", "id as pos", "'add' as kind", "id as order_id", "id as qty", "0 as side", "id as price", "1 as source", "false as full_fill")
+    orders.duplicate_adds(orders.with_lifecycle(df, ["instrument"]), ["instrument"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1
+
+
+def test_order_lives_of_quantities_beyond_a_word_in_all(spark):
+    df = spark.createDataFrame([(p, "add" if p % 2 else "execute", 1 << 62) for p in range(1, 7)], "pos bigint, kind string, qty bigint")
+    df = df.selectExpr("1 as instrument", "7 as order_id", "*", "0 as side", "1 as price", "1 as source", "false as full_fill")
+    assert rows(orders.with_lifecycle(df, ["instrument"]), "pos", "filled") == [(p, 0) for p in range(1, 7)]
+
+
 def test_manifests(spark):
     m = [(1, 10, 5), (1, 10, 6), (1, 11, 5), (1, 14, 5), (1, 12, 5), (2, 15, 5), (0, 15, 5), (1, 15, 0), (1, 65535, 4), (1, 15, 5)]
     df = spark.createDataFrame([("c", i, i, *x) for i, x in enumerate(m)], "channel_id string, pos bigint, send_ts bigint, valid bigint, manifest_seq bigint, count bigint")

@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 def with_lifecycle(events: DataFrame, keys: list[str]) -> DataFrame:
     """``events`` with life (adds of the order so far), and of the running life: entry_qty, entry_side, entry_price,
     entry_source, removed (a cancel or full fill before this row) and filled (quantity executed before this row)."""
+    # Every column is of one order's rows by position, the running life's being what has come less what had come at its add:
+    # one sort, where windows by life would sort the rows once more in the same task.
     order = Window.partitionBy(*keys, "order_id").orderBy("pos")
-    until = order.rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("life", F.sum((F.col("kind") == "add").cast("bigint")).over(until))
-    own = Window.partitionBy(*keys, "order_id", "life").orderBy("pos")
-    first, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
-    ends = (F.col("kind") == "cancel") | ((F.col("kind") == "execute") & F.coalesce(F.col("full_fill"), F.lit(False)))
-    entry = {f"entry_{c}": F.when(F.col("life") > 0, F.first(c).over(first)) for c in ("qty", "side", "price", "source")}
-    return e.withColumns(entry | {"removed": F.coalesce(F.max(ends).over(before), F.lit(False)), "filled": F.coalesce(F.sum(F.when(F.col("kind") == "execute", F.col("qty"))).over(before), F.lit(0)).cast("bigint")})
+    until, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    is_add, is_fill = F.col("kind") == "add", F.col("kind") == "execute"
+    ends = (F.col("kind") == "cancel") | (is_fill & F.coalesce(F.col("full_fill"), F.lit(False)))
+    e = events.withColumn("life", F.sum(is_add.cast("bigint")).over(until))
+    come = {"__ended": F.when(ends, 1).otherwise(0), "__fills": F.when(is_fill, F.col("qty")).cast("decimal(20,0)")}
+    e = e.withColumns({c: F.coalesce(F.sum(x).over(before), F.lit(0)) for c, x in come.items()})
+    at_add = lambda c: F.last(F.when(is_add, F.struct(c)), ignorenulls=True).over(until)[c]
+    e = e.withColumns({f"entry_{c}": at_add(c) for c in ("qty", "side", "price", "source")} | {f"{c}_then": at_add(c) for c in come})
+    since = lambda c: F.col(c) - F.coalesce(f"{c}_then", F.lit(0))
+    e = e.withColumns({"removed": since("__ended") > 0, "filled": since("__fills").cast("bigint")})
+    return e.drop(*come, *(f"{c}_then" for c in come))
 
 
 def settled(lives: DataFrame, keys: list[str]) -> DataFrame:

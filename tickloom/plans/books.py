@@ -16,7 +16,8 @@ KEYS = ["instrument"]
 
 
 def _lives(spark, sf):
-    return od.with_lifecycle(feeds.orders(spark, sf), KEYS)
+    n = 2 * spark.read.parquet(f"{sf}/orders.parquet").count() + spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    return od.with_lifecycle(feeds.spread(feeds.orders(spark, sf), n, *KEYS, "order_id"), KEYS)
 
 
 _DANGLING = """

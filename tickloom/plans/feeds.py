@@ -12,6 +12,23 @@ def _sql(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(*columns)
 
 
+#: Rows of a task where a feed is sorted: tasks get more, not larger, as the tables grow.
+TASK_ROWS = 1_000_000
+
+
+def lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with k, their number within the order."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return spread(lines, lines.count(), "l_orderkey").selectExpr("*", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k")
+
+
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows``, some ``n`` in all, by keys in tasks of ``TASK_ROWS``; as they are where the session's own number of
+    shuffle partitions keeps tasks smaller."""
+    tasks = -(-n // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(
         spark, sf, "events", "event_id as seq", "user_id as instrument", "user_id % 4 as channel_id", "unix_micros(cast(ts as timestamp)) * 1000 as ts_ns",
@@ -40,7 +57,7 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     adds = o.where("order_id % 101 <> 0").selectExpr("order_id * 100 as pos", "'add' as kind", *head)
     twice = o.where("order_id % 113 = 0").selectExpr("order_id * 100 + 3 as pos", "'add' as kind", *head)
     cancels = o.where("st = 'F' and order_id % 2 = 0").selectExpr("order_id * 100 + 5 as pos", "'cancel' as kind", *head)
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("*", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k")
+    lines = lineitem(spark, sf)
     x = lines.join(o, lines.l_orderkey == o.order_id).selectExpr(
         "order_id * 100 + 2 + 2 * k as pos", "'execute' as kind", "instrument", "order_id", "order_id % 2 as side", "cast(round(l_extendedprice * 100) as bigint) as price",
         "cast(l_quantity as bigint) as qty", "1 + (order_id + if(l_suppkey % 7 = 0, 1, 0)) % 3 as source", "l_linenumber % 3 as aggressor", "l_returnflag = 'R' and l_linenumber >= 5 as full_fill",
@@ -87,7 +104,7 @@ def plain_manifests(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshot groups of eight channels: one for each order, a row for each of its lines."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("*", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k")
+    lines = lineitem(spark, sf)
     total = lines.groupBy("l_orderkey").count()
     b = o.join(total, o.o_orderkey == total.l_orderkey, "left").selectExpr(
         "o_orderkey % 8 as channel_id", "o_orderkey * 40 as pos", "'begin' as kind", "o_orderkey div 8 - if(o_orderkey % 31 = 0, 2, 0) as snapshot_id", "o_custkey % 50 as instrument",
