@@ -92,6 +92,30 @@ def test_order_lives_of_quantities_beyond_a_word_in_all(spark):
     assert rows(orders.with_lifecycle(df, ["instrument"]), "pos", "filled") == [(p, 0) for p in range(1, 7)]
 
 
+@pytest.mark.parametrize("begins", [0, 1, 3, 700])
+def test_islands_by_slices_equal_those_by_one_window(spark, begins, capsys):
+    """Also before the first begin, of a key without any, and where many begins share a slice."""
+    n = 3000
+    df = spark.range(n).selectExpr("id % 2 as k", "id * id as pos", f"id % 2 = 0 and id >= 100 and id % {n // begins if begins else n} < 2 and {begins} > 0 as b").unionByName(spark.createDataFrame([(9, 5, False)], "k bigint, pos bigint, b boolean"))
+    from tickloom.operators.ordered import with_islands
+
+    got = with_islands(df, ["k"], F.col("b"), ["pos"], at=F.col("pos"), tasks=5)
+    assert rows(got, "k", "pos", "island") == rows(with_islands(df, ["k"], F.col("b"), ["pos"]), "k", "pos", "island")
+    got.explain()
+    assert "Window [sum(" in (plan := capsys.readouterr().out) and "[k#" in plan and ", __slice#" in plan
+
+
+def test_snapshot_groups_by_slices(spark):
+    """A begin's rows, a key repeated before and after the end, an id that differs, an end that differs, rows before any begin."""
+    e = [(1, "row", 1, None, 5), (2, "begin", 1, 3, None), (3, "row", 1, None, 5), (4, "row", 2, None, 5), (5, "row", 1, None, None), (6, "end", 1, None, None), (7, "row", 1, None, 6), (8, "begin", 2, 0, None), (9, "end", 3, None, None)]
+    df = spark.createDataFrame([("c", p, k, i, 7, 0, t, x) for p, k, i, t, x in e], "c string, pos bigint, kind string, snapshot_id bigint, instrument bigint, anchor bigint, total bigint, key bigint")
+    for more in ({}, {"at": F.col("pos"), "tasks": 3}):
+        g = snapshots.groups(df, ["c"], **more)
+        assert rows(g.where("island > 0"), "island", "snapshot_id", "total", "received", "duplicates", "wrong_id", "ended", "end_differs", "orphans", "begin_pos") == [(1, 1, 3, 3, 2, 1, True, False, 1, 2), (2, 2, 0, 0, 0, 0, True, True, 0, 8)]
+        assert rows(g.where("island = 0"), "received", "orphans", "begin_pos", "ended") == [(0, 1, 1, False)]
+        assert rows(snapshots.repeated_keys(df, ["c"], **more), "island", "snapshot_id", "key", "n") == [(1, 1, 5, 2)]
+
+
 def test_manifests(spark):
     m = [(1, 10, 5), (1, 10, 6), (1, 11, 5), (1, 14, 5), (1, 12, 5), (2, 15, 5), (0, 15, 5), (1, 15, 0), (1, 65535, 4), (1, 15, 5)]
     df = spark.createDataFrame([("c", i, i, *x) for i, x in enumerate(m)], "channel_id string, pos bigint, send_ts bigint, valid bigint, manifest_seq bigint, count bigint")

@@ -67,9 +67,33 @@ def with_previous(rows: DataFrame, keys: list[str], order: list[str], **columns:
     return rows.withColumns({name: F.lag(c).over(w) for name, c in columns.items()})
 
 
-def with_islands(rows: DataFrame, keys: list[str], begins: Column, order: list[str], name: str = "island") -> DataFrame:
-    """``rows`` with the number of the last begin at or before; 0 before any."""
-    return rows.withColumn(name, F.sum(F.when(begins, 1).otherwise(0)).over(_until(keys, order)).cast("bigint"))
+#: Slices of a key's order, a power of two.
+SLICES = 256
+
+
+def with_islands(rows: DataFrame, keys: list[str], begins: Column, order: list[str], name: str = "island", at: Column | None = None, tasks: int | None = None) -> DataFrame:
+    """``rows`` with the number of the last begin at or before; 0 before any.
+
+    With ``at``, a whole number by which ``order`` goes first, a key's order is cut into ``SLICES`` at begins, each of which
+    is numbered by itself, in ``tasks`` tasks, and goes on from the begins of the slices before: few keys with many rows
+    are spread. What is sent to all tasks is two arrays a key."""
+    if at is None:
+        return rows.withColumn(name, F.sum(F.when(begins, 1).otherwise(0)).over(_until(keys, order)).cast("bigint"))
+    rows = rows.withColumn("__at", at.cast("bigint"))
+    first = rows.where(begins & F.col("__at").isNotNull()).select(*keys, "__at")
+    bounds = first.groupBy(*keys).agg(F.percentile_approx("__at", [k / SLICES for k in range(1, SLICES)], 10 * SLICES).alias("__bounds"))
+    # A binary search for how many bounds are at or below.
+    steps = F.array(*(F.lit(SLICES >> k) for k in range(1, SLICES.bit_length())))
+    slice_of = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("__bounds", i + s - 1) <= F.col("__at"), i + s).otherwise(i))
+    begun = first.join(F.broadcast(bounds), keys).select(*keys, slice_of.alias("__slice")).groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
+    begun = begun.withColumn("__before", F.coalesce(F.sum("__n").over(_before(keys, ["__slice"])), F.lit(0)))
+    numbers = begun.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__slice", "__before"))).alias("__numbers"))
+    out = rows.join(F.broadcast(bounds.join(numbers, keys)), keys, "left").withColumn("__slice", slice_of)
+    # Rows before a key's first begin are in slice 0, which has no begin before it.
+    out = out.withColumn("__start", F.coalesce(F.try_element_at("__numbers", F.col("__slice")), F.lit(0))).drop("__at", "__bounds", "__numbers")
+    out = out.repartition(tasks, *keys, "__slice") if tasks else out
+    island = F.col("__start") + F.sum(F.when(begins, 1).otherwise(0)).over(_until([*keys, "__slice"], order))
+    return out.withColumn(name, island.cast("bigint")).drop("__slice", "__start")
 
 
 def with_run_length(rows: DataFrame, keys: list[str], order: list[str], value: Column, counts: Column, name: str = "run_length") -> DataFrame:

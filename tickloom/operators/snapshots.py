@@ -8,25 +8,41 @@ from pyspark.sql import functions as F
 from .ordered import with_islands, with_previous, with_run_length
 
 
-def groups(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+def groups(rows: DataFrame, keys: list[str], order: str = "pos", at: Column | None = None, tasks: int | None = None) -> DataFrame:
     """rows: kind (begin, row, end), snapshot_id, instrument, anchor, total, key of the row. A row per group: declared
     and received rows, duplicate keys, ids that differ from the begin's, whether its end came and agrees with it.
 
-    Rows before any begin, and after their group's end, are in no group and are counted as orphans of the one before."""
-    r = with_islands(rows, keys, F.col("kind") == "begin", [order])
-    w = Window.partitionBy(*keys, "island").orderBy(order)
-    first = {f"begin_{c}": F.first(F.when(F.col("kind") == "begin", F.col(c)), ignorenulls=True).over(w) for c in ("snapshot_id", "instrument", "anchor", "total")}
-    ended = F.coalesce(F.max(F.col("kind") == "end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    r = r.withColumns(first | {"orphan": (F.col("island") == 0) | (ended & (F.col("kind") != "begin"))})
-    own = (F.col("kind") == "row") & ~F.col("orphan")
-    end = (F.col("kind") == "end") & ~F.col("orphan")
+    Rows before any begin, and after their group's end, are in no group and are counted as orphans of the one before. All is
+    worked out over one sort of a task's rows by group, key and order; ``at`` and ``tasks`` are those of ``with_islands``."""
+    r = with_islands(rows, keys, F.col("kind") == "begin", [order], at=at, tasks=tasks)
+    r = r.repartition(tasks, *keys, "island") if tasks else r
+    r = r.withColumn("__key", F.when(F.col("kind") == "row", F.col("key")))
+    group = Window.partitionBy(*keys, "island")
+    r = r.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys, "island", "__key").orderBy(order)))
+    first = {f"begin_{c}": F.max(F.when(F.col("kind") == "begin", F.col(c))).over(group) for c in ("snapshot_id", "instrument", "anchor", "total")}
+    r = r.withColumns(first | {"__end": F.min(F.when(F.col("kind") == "end", F.col(order))).over(group)})
+    orphan = (F.col("island") == 0) | F.coalesce(F.col(order) > F.col("__end"), F.lit(False))
+    own = (F.col("kind") == "row") & ~orphan
+    end = (F.col("kind") == "end") & ~orphan
     agrees = (F.col("snapshot_id") == F.col("begin_snapshot_id")) & (F.col("instrument") == F.col("begin_instrument")) & (F.col("anchor") == F.col("begin_anchor"))
-    return r.groupBy(*keys, "island").agg(
-        F.max("begin_snapshot_id").alias("snapshot_id"), F.max("begin_instrument").alias("instrument"), F.max("begin_anchor").alias("anchor"), F.max("begin_total").alias("total"),
-        F.count_if(own).alias("received"), (F.count_if(own) - F.count_distinct(F.when(own, F.col("key")))).alias("duplicates"),
-        F.count_if(own & (F.col("snapshot_id") != F.col("begin_snapshot_id"))).alias("wrong_id"), F.coalesce(F.max(end), F.lit(False)).alias("ended"),
-        F.coalesce(F.max(end & ~agrees), F.lit(False)).alias("end_differs"), F.count_if("orphan").alias("orphans"), F.min(order).alias("begin_pos"),
-    )
+    fresh = own & (F.col("__nth") == 1) & F.col("__key").isNotNull()
+    made = {
+        "received": F.count_if(own).over(group), "duplicates": F.count_if(own).over(group) - F.count_if(fresh).over(group),
+        "wrong_id": F.count_if(own & (F.col("snapshot_id") != F.col("begin_snapshot_id"))).over(group), "ended": F.coalesce(F.max(end).over(group), F.lit(False)),
+        "end_differs": F.coalesce(F.max(end & ~agrees).over(group), F.lit(False)), "orphans": F.count_if(orphan).over(group), "begin_pos": F.min(order).over(group),
+    }
+    r = r.withColumns(made | {"__row": F.row_number().over(group.orderBy("__key", order))}).where("__row = 1")
+    return r.select(*keys, "island", *(F.col(f"begin_{c}").alias(c) for c in ("snapshot_id", "instrument", "anchor", "total")), *made)
+
+
+def repeated_keys(rows: DataFrame, keys: list[str], order: str = "pos", at: Column | None = None, tasks: int | None = None) -> DataFrame:
+    """keys, island, snapshot_id of the begin, key, n: keys of more than one row between a begin and the next."""
+    r = with_islands(rows, keys, F.col("kind") == "begin", [order], at=at, tasks=tasks).where("island > 0")
+    r = r.repartition(tasks, *keys, "island") if tasks else r
+    own = Window.partitionBy(*keys, "island", "kind", "key")
+    r = r.withColumns({"n": F.count("*").over(own), "__nth": F.row_number().over(own.orderBy(order))})
+    r = r.withColumn("snapshot_id", F.max(F.when(F.col("kind") == "begin", F.col("snapshot_id"))).over(Window.partitionBy(*keys, "island")))
+    return r.where("kind = 'row' and __nth = 1 and n > 1").select(*keys, "island", "snapshot_id", "key", "n")
 
 
 def with_anchor_checks(begins: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:

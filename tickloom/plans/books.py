@@ -15,8 +15,17 @@ from .registry import query
 KEYS = ["instrument"]
 
 
+def _rows(spark, sf):
+    """About how many rows the feeds of orders and of snapshots have: two of an order and one of a line."""
+    return 2 * spark.read.parquet(f"{sf}/orders.parquet").count() + spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def _tasks(spark, sf):
+    return feeds.tasks(spark, _rows(spark, sf))
+
+
 def _lives(spark, sf):
-    n = 2 * spark.read.parquet(f"{sf}/orders.parquet").count() + spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    n = _rows(spark, sf)
     return od.with_lifecycle(feeds.spread(feeds.orders(spark, sf), n, *KEYS, "order_id"), KEYS)
 
 
@@ -257,7 +266,7 @@ from b left join e using (channel_id, g) left join r using (channel_id, g) left
 
 
 def _groups(spark, sf):
-    return sn.groups(feeds.snapshot_rows(spark, sf), ["channel_id"])
+    return sn.groups(feeds.snapshot_rows(spark, sf), ["channel_id"], at=F.col("pos"), tasks=_tasks(spark, sf))
 
 
 @query("snapshot_islands", with_ctes("srows", _GROUPS))
@@ -273,11 +282,8 @@ def snapshot_count_match(spark, sf):
 
 @query("snapshot_dup_keys", with_ctes("srows", "select channel_id, snapshot_id, key, n from (select s.channel_id, s.g, b.snapshot_id, s.key, count(*) as n from srows s join srows b on s.channel_id = b.channel_id and s.g = b.g and b.kind = 'begin' where s.kind = 'row' group by all having count(*) > 1)"))
 def snapshot_dup_keys(spark, sf):
-    from ..operators.ordered import with_islands
-
-    r = with_islands(feeds.snapshot_rows(spark, sf), ["channel_id"], F.col("kind") == "begin", ["pos"])
-    named = r.where("kind = 'row'").groupBy("channel_id", "island", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return named.join(r.where("kind = 'begin'").select("channel_id", "island", "snapshot_id"), ["channel_id", "island"]).select("channel_id", "snapshot_id", "key", "n")
+    r = sn.repeated_keys(feeds.snapshot_rows(spark, sf), ["channel_id"], at=F.col("pos"), tasks=_tasks(spark, sf))
+    return r.select("channel_id", "snapshot_id", "key", "n")
 
 
 @query("snapshot_anchor_monotonic", with_ctes("srows", """

@@ -22,11 +22,17 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return spread(lines, lines.count(), "l_orderkey").selectExpr("*", "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as k")
 
 
+def tasks(spark: SparkSession, n: int) -> int | None:
+    """How many tasks of ``TASK_ROWS`` have ``n`` rows, if that is more than the session's number of shuffle partitions."""
+    most = -(-n // TASK_ROWS)
+    return most if most > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """``rows``, some ``n`` in all, by keys in tasks of ``TASK_ROWS``; as they are where the session's own number of
     shuffle partitions keeps tasks smaller."""
-    tasks = -(-n // TASK_ROWS)
-    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    most = tasks(rows.sparkSession, n)
+    return rows.repartition(most, *keys) if most else rows
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
