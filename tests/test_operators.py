@@ -177,6 +177,25 @@ def test_relational_sequencing_equals_replay(spark, seed):
     assert rows(got.where("rule_id = 'FRAME.GAP'"), "era_no", "seq") == rows(gaps, "era_no", "seq")
 
 
+def test_replay_holds_no_key_whole():
+    """Findings come batch by batch while a key goes on; a key that ends inside a batch is flushed there."""
+    import pyarrow as pa
+
+    from tickloom.streaming.replay import _replayed
+
+    read = 0
+
+    def batches():
+        nonlocal read
+        for channel, start in ((1, 0), (1, 100), (2, 0)):
+            read += 1
+            n = range(start, start + 100)
+            yield pa.RecordBatch.from_pydict({"capture_id": ["c"] * 100, "channel_id": [channel] * 100, "port": ["mktdata"] * 100, "arrival": list(n), "seq": [x * 2 for x in n], "reset_count": [0] * 100, "send_ts": list(n), "payload": list(n)})
+
+    seen = [(read, b.num_rows) for b in _replayed(batches(), 8)]
+    assert seen == [(1, 91), (2, 100), (3, 8 + 91), (3, 8)]
+
+
 def test_sequencer_state_survives(spark):
     tape = random_tape(9)
     whole = Sequencer()
