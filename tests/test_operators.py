@@ -247,3 +247,26 @@ def test_emission_equals_a_buffer(spark, window):
         if len(heap) > window:
             left[heapq.heappop(heap)] = a
     assert got == left | {s: 1 << 60 for s in heap}
+
+
+def test_slices_of_one_channel(spark):
+    """One channel's rows are spread over tasks by slices of their order, and come to what a window over the channel says."""
+    rows = [("t", 0, "m", i, i * 7 % 400 // 2, i // 90 % 3, 1000 - i % 13) for i in range(400)]
+    df = spark.createDataFrame(rows, "capture_id string, channel_id int, port string, arrival bigint, seq bigint, reset_count int, send_ts bigint")
+    df = df.withColumn("pos", F.struct(F.col("arrival").alias("emit_pos"), "seq"))
+    by_arrival, by_seq = o.slices(df, ["channel_id", "port"], "arrival", "seq", size=25)
+    assert len(by_arrival.bounds) == 15 and by_arrival.tasks == 8
+    assert o.slices(df, ["channel_id", "port"], "arrival", size=400) == [None]
+    keys = ["capture_id", "channel_id"]
+    most = by_arrival.spread(df, keys, F.col("arrival")).groupBy(F.spark_partition_id(), "__slice").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] <= 40 and most[1] == 16
+    dims = df.where("arrival % 60 = 31").select(*keys, "pos", F.col("arrival").alias("was"))
+    made = {
+        "numbered": lambda a, s: o.numbered(df, keys, ["arrival"], "n", a), "gaps": lambda a, s: o.with_gaps(df, keys, "seq", ["pos"], a),
+        "previous": lambda a, s: o.with_previous(df, keys, ["pos"], a, before="send_ts"), "late": lambda a, s: o.with_late(df, keys, window=3, cuts=a),
+        "emitted": lambda a, s: o.with_emit_position(df, keys, window=3, cuts=(a, s)), "eras": lambda a, s: o.with_common_eras(df, keys, "port", cuts=a),
+        "asof": lambda a, s: o.asof(df, dims, keys, "pos", ["was"], strict=True, cuts=a), "next": lambda a, s: o.asof(df, dims, keys, "pos", ["was"], forward=True, cuts=a),
+    }
+    for name, make in made.items():
+        plain, cut = make(None, None), make(by_arrival, by_seq)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, cut.select(*plain.columns).collect())), name

@@ -1,18 +1,27 @@
 """Ordered operators: as-of joins, sequencing of frames, per-instrument sequences, sticky flags, runs and islands.
 
 Each is one window (one shuffle on its keys). Where state depends on what was accepted before, only the few rows at
-which it can change are folded.
+which it can change are folded. With ``Slices``, a key's rows are spread over tasks by where they are in the order, and each
+slice goes on from what those before it come to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.storage import cut
+
+#: Rows of a key that a task takes at once, rows of a slice of the order of keys with more, and slices of a task on average.
+KEY_ROWS = 2_000_000
+SLICE_ROWS = 250_000
+_A_TASK = 2
+
 
 def _before(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -22,15 +31,79 @@ def _until(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def asof(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
+def _first_of(rows: DataFrame, pos: str) -> Column:
+    """The whole number that goes first in ``pos``, a number or a position of the engine."""
+    return F.col(f"{pos}.emit_pos") if isinstance(rows.schema[pos].dataType, StructType) else F.col(pos)
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Cuts of an order at whole numbers that go first in it: slice i begins at ``bounds[i - 1]``. ``tasks`` is how many
+    tasks the slices of all keys are dealt over."""
+
+    bounds: tuple[int, ...]
+    tasks: int
+
+    def of(self, at: Column) -> Column:
+        """The slice of ``at`` by a binary search: how many bounds are at or below."""
+        bounds, size = F.array(*(F.lit(b).cast("bigint") for b in self.bounds)), 1 << len(self.bounds).bit_length()
+        steps = F.array(*(F.lit(size >> k) for k in range(1, size.bit_length())))
+        return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(bounds, i + s - 1) <= at, i + s).otherwise(i))
+
+    def spread(self, rows: DataFrame, keys: list[str], at: Column, **totals: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+        """``rows`` with __slice, by keys and slice in tasks, and with what the slices before come to: an aggregate of a
+        slice, and the one that runs over these. A row a key and slice is sent to all tasks."""
+        out = rows.withColumn("__slice", self.of(at))
+        if totals:
+            own = [*keys, "__slice"]
+            t = out.groupBy(*own).agg(*(total.alias(name) for name, (total, _) in totals.items()))
+            t = t.select(*own, *(run(F.col(name)).over(_before(keys, ["__slice"])).alias(name) for name, (_, run) in totals.items()))
+            out = out.join(F.broadcast(t), own)
+        return out.repartition(self.tasks, *keys, "__slice")
+
+
+def slices(rows: DataFrame, keys: list[str], *numbers: str, size: int | None = None) -> list[Slices | None]:
+    """Slices of ``size`` rows of all keys together by each of ``numbers``; None where no key has more rows than a task takes
+    (``KEY_ROWS``, or ``size``), as slices cost a pass or two more."""
+    most, n = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if (most or 0) <= (size or KEY_ROWS):
+        return [None for _ in numbers]
+    count = -(-n // (size or SLICE_ROWS))
+    at = [k / count for k in range(1, count)]
+    got = rows.agg(*(F.percentile_approx(F.col(c).cast("bigint"), at, 10 * count).alias(f"b{i}") for i, c in enumerate(numbers))).first()
+    tasks = max(-(-count // _A_TASK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return [Slices(tuple(sorted(set(b))), tasks) if b else None for b in got]
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, cuts: Slices | None = None) -> DataFrame:
+    """``rows`` with their number from 1 in ``order``, by whose first column ``cuts`` are."""
+    if cuts is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    out = cuts.spread(rows, keys, F.col(order[0]), __carry=(F.count("*"), F.sum))
+    place = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order)) + F.coalesce("__carry", F.lit(0))
+    return out.withColumn(name, place.cast("bigint")).drop("__carry", "__slice")
+
+
+def asof(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: list[str], strict: bool = False, forward: bool = False, cuts: Slices | None = None) -> DataFrame:
     """Each fact with the ``values`` of the last dim at or before its ``pos`` (``strict``: before; ``forward``: after).
 
-    Both sides are united and the last dim is carried over the order, so there is one shuffle and no range join."""
+    Both sides are united and the last dim is carried over the order, so there is one shuffle and no range join. With
+    ``cuts`` by ``pos``, each slice begins with the last dim of the slices before."""
     d = dims.selectExpr(*keys, pos, f"{int(strict)} as __side", f"struct({', '.join(values)}) as __dim")
     f = facts.selectExpr(*keys, pos, f"{int(not strict)} as __side", f"struct({', '.join(facts.columns)}) as __fact")
     both = f.unionByName(d, allowMissingColumns=True)
     # Forward is backward in the other order: a frame that ends with its partition is worked out anew for each row.
     order = f"{pos} desc" if forward else pos
+    if cuts:
+        at = _first_of(facts, pos)
+        # The dim that a slice ends with in the order of the window, and the last of those for every slice of the key.
+        ends = d.withColumn("__slice", cuts.of(at)).groupBy(*keys, "__slice").agg((F.min_by if forward else F.max_by)("__dim", pos).alias("__dim"))
+        every = ends.select(*keys).distinct().withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(len(cuts.bounds)))))
+        earlier = Window.partitionBy(*keys).orderBy(F.desc("__slice") if forward else F.asc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.join(ends, [*keys, "__slice"], "left").withColumn("__dim", F.last("__dim", ignorenulls=True).over(earlier)).where("__dim is not null")
+        both = both.withColumn("__slice", cuts.of(at)).withColumn("__own", F.lit(1)).unionByName(carried.withColumn("__own", F.lit(0)), allowMissingColumns=True)
+        both = both.repartition(cuts.tasks, *keys, "__slice")
+        keys, order = [*keys, "__slice"], f"__own, {order}"
     seen = f"last(__dim, true) over (partition by {', '.join(keys)} order by {order}, __side rows between unbounded preceding and current row) as __seen"
     return both.selectExpr("__fact", seen).where("__fact is not null").selectExpr("__fact.*", *(f"__seen.{v} as {v}" for v in values))
 
@@ -50,10 +123,15 @@ def with_ring(rows: DataFrame, keys: list[str], seq: str, order: list[str], payl
     return out.withColumn("divergent", F.coalesce((F.col("__gap") <= size) & (F.col("__was") != F.col(payload)), F.lit(False))).drop("__n", "__gap", "__was")
 
 
-def with_gaps(rows: DataFrame, keys: list[str], seq: str, order: list[str]) -> DataFrame:
-    """``rows`` with prev_max, missing (numbers skipped since the greatest so far) and backward (at or below... it)."""
-    top = F.max(seq).over(_before(keys, order))
-    return rows.withColumn("prev_max", top).withColumn("missing", F.greatest(F.coalesce(F.col(seq) - F.col("prev_max") - 1, F.lit(0)), F.lit(0)).cast("bigint")).withColumn("backward", F.coalesce(F.col(seq) < F.col("prev_max"), F.lit(False)))
+def with_gaps(rows: DataFrame, keys: list[str], seq: str, order: list[str], cuts: Slices | None = None) -> DataFrame:
+    """``rows`` with prev_max, missing (numbers skipped since the greatest so far) and backward (at or below... it).
+    ``cuts`` are by ``order``."""
+    if cuts:
+        rows = cuts.spread(rows, keys, _first_of(rows, order[0]), __top=(F.max(seq), F.max))
+        rows = rows.withColumn("prev_max", F.greatest("__top", F.max(seq).over(_before([*keys, "__slice"], order)))).drop("__top", "__slice")
+    else:
+        rows = rows.withColumn("prev_max", F.max(seq).over(_before(keys, order)))
+    return rows.withColumn("missing", F.greatest(F.coalesce(F.col(seq) - F.col("prev_max") - 1, F.lit(0)), F.lit(0)).cast("bigint")).withColumn("backward", F.coalesce(F.col(seq) < F.col("prev_max"), F.lit(False)))
 
 
 def with_sticky(rows: DataFrame, keys: list[str], flag: Column, order: list[str], name: str = "dirty") -> DataFrame:
@@ -61,8 +139,14 @@ def with_sticky(rows: DataFrame, keys: list[str], flag: Column, order: list[str]
     return rows.withColumn(name, F.max(F.coalesce(flag, F.lit(False))).over(_until(keys, order)))
 
 
-def with_previous(rows: DataFrame, keys: list[str], order: list[str], **columns: str) -> DataFrame:
-    """``rows`` with columns that hold the previous row's values: name=column."""
+def with_previous(rows: DataFrame, keys: list[str], order: list[str], cuts: Slices | None = None, **columns: str) -> DataFrame:
+    """``rows`` with columns that hold the previous row's values: name=column. ``cuts`` are by ``order``."""
+    if cuts:
+        one = F.struct(*(F.col(c).alias(name) for name, c in columns.items()))
+        rows = cuts.spread(rows, keys, _first_of(rows, order[0]), __last=(F.max_by(one, order[0]), lambda c: F.last(c, ignorenulls=True)))
+        was = F.coalesce(F.lag(one).over(Window.partitionBy(*keys, "__slice").orderBy(*order)), F.col("__last"))
+        rows = rows.withColumn("__was", was)
+        return rows.withColumns({name: F.col("__was")[name] for name in columns}).drop("__last", "__was", "__slice")
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumns({name: F.lag(c).over(w) for name, c in columns.items()})
 
@@ -82,6 +166,7 @@ def with_islands(rows: DataFrame, keys: list[str], begins: Column, order: list[s
     rows = rows.withColumn("__at", at.cast("bigint"))
     first = rows.where(begins & F.col("__at").isNotNull()).select(*keys, "__at")
     bounds = first.groupBy(*keys).agg(F.percentile_approx("__at", [k / SLICES for k in range(1, SLICES)], 10 * SLICES).alias("__bounds"))
+    bounds = cut(bounds)  # worked out once, as approximate bounds may be others the next time
     # A binary search for how many bounds are at or below.
     steps = F.array(*(F.lit(SLICES >> k) for k in range(1, SLICES.bit_length())))
     slice_of = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get("__bounds", i + s - 1) <= F.col("__at"), i + s).otherwise(i))
@@ -172,14 +257,15 @@ def with_eras(frames: DataFrame, keys: list[str], reset: str = "reset_count", or
     return _with_decided(f, scanned(changes, keys, "__span", ["__reset"], make, {"era_no": "bigint", "era_state": "string"}), keys)
 
 
-def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str = "reset_count", order: str = "arrival") -> DataFrame:
+def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str = "reset_count", order: str = "arrival", cuts: Slices | None = None) -> DataFrame:
     """``frames`` with era_state as by ``with_eras`` for each port, and an era_no that all ports of ``keys`` share: how
     many resets the channel has gone through since its first frame, by the reset counts themselves.
 
     A port that is silent in an era, or skips its count, has the right number in the next one. One scan goes over the
     changes of all ports in order of arrival. A port's first count is placed by its distance, -128 to 127, from the
-    newest of the channel so far; numbers before the channel's first frame are negative."""
-    f = _reset_changes(frames, [*keys, port], reset, order)
+    newest of the channel so far; numbers before the channel's first frame are negative. With ``cuts`` by ``order``, the
+    first frame of a slice is scanned as well: it is decided as the frames before it were."""
+    f = frames if cuts else _reset_changes(frames, [*keys, port], reset, order)
 
     def make():
         ports: dict[str, tuple[int, int]] = {}
@@ -200,35 +286,58 @@ def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str =
 
         return step
 
-    changes = f.where("__change").select(*keys, port, "__span", F.col(order).alias("__at"), F.col(reset).cast("bigint").alias("__reset"))
+    if cuts:
+        was = F.lag(reset).over(Window.partitionBy(*keys, port, "__slice").orderBy(order))
+        changes = cuts.spread(f.select(*keys, port, order, reset), [*keys, port], F.col(order)).withColumn("__change", F.coalesce(F.col(reset) != was, F.lit(True)))
+        changes = changes.withColumn("__span", F.col(order))
+    else:
+        changes = f
+    changes = changes.where("__change").select(*keys, port, "__span", F.col(order).alias("__at"), F.col(reset).cast("bigint").alias("__reset"))
     decided = scanned(changes, keys, "__at", [port, "__reset"], make, {"era_no": "bigint", "era_state": "string"})
+    if cuts:
+        decided = cut(decided).select(*keys, port, F.col("__at").alias(order), "era_no", "era_state", "__at")
+        out = asof(f, decided, [*keys, port], order, ["era_no", "era_state", "__at"], cuts=cuts)
+        opens = (F.col("era_state") != "newer") | (F.col("__at") == F.col(order))
+        return out.withColumn("era_state", F.when(opens, F.col("era_state")).otherwise("same")).drop("__at")
     return _with_decided(f, decided, [*keys, port])
 
 
-def with_late(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival") -> DataFrame:
+def with_late(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival", cuts: Slices | None = None) -> DataFrame:
     """``frames`` with late: more than ``window`` frames with a greater seq came before, so that a reorder buffer has let
     one of them go already.
 
     The k-th greatest seq so far is a running maximum over what the k-1 maxima before it pushed out, so the one that
-    counts is ``window`` + 1 windows deep, all over the same partitions and order: one shuffle, one sort."""
-    before = _before(keys, [arrival])
-    out = frames.withColumn("__x", F.col(seq))
+    counts is ``window`` + 1 windows deep, all over the same partitions and order: one shuffle, one sort. With ``cuts`` by
+    ``arrival``, the ``window`` + 1 greatest of the slices before come first in each slice."""
+    before, out = _before(keys, [arrival]), frames
+    if cuts:
+        own = [*keys, "__slice"]
+        nth = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc(seq)))
+        top = frames.select(*keys, seq, cuts.of(F.col(arrival)).alias("__slice")).withColumn("__nth", nth).where(F.col("__nth") <= window + 1)
+        top = top.groupBy(*own).agg(F.collect_list(seq).alias("__top"))
+        most = F.slice(F.sort_array(F.flatten(F.collect_list("__top").over(_before(keys, ["__slice"]))), asc=False), 1, window + 1)
+        top = top.select(*own, most.alias("__top")).select(*own, F.explode("__top").alias(seq), F.lit(0).alias("__own"))
+        out = frames.withColumns({"__slice": cuts.of(F.col(arrival)), "__own": F.lit(1)}).unionByName(top, allowMissingColumns=True).repartition(cuts.tasks, *own)
+        before = _before(own, ["__own", arrival])
+    out = out.withColumn("__x", F.col(seq))
     for _ in range(window):
         out = out.withColumn("__top", F.max("__x").over(before)).withColumn("__x", F.when(F.col("__top").isNotNull(), F.least("__x", "__top")))
-    return out.withColumn("late", F.coalesce(F.max("__x").over(before) > F.col(seq), F.lit(False))).drop("__x", "__top")
+    out = out.withColumn("late", F.coalesce(F.max("__x").over(before) > F.col(seq), F.lit(False))).drop("__x", "__top")
+    return out.where("__own = 1").drop("__slice", "__own") if cuts else out
 
 
-def with_emit_position(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival", port_order: Column | None = None) -> DataFrame:
+def with_emit_position(frames: DataFrame, keys: list[str], seq: str = "seq", window: int = 8, arrival: str = "arrival", port_order: Column | None = None, cuts: tuple[Slices | None, Slices | None] = (None, None)) -> DataFrame:
     """``frames`` with emit_pos, the arrival at which a reorder buffer of ``window`` frames lets each go.
 
     A late frame leaves as it comes. Of the others the i-th in order of seq leaves when the (i + window)-th arrives; the
-    last ones leave at the end, by port."""
-    f = with_late(frames, keys, seq, window, arrival)
+    last ones leave at the end, by port. ``cuts`` are by ``arrival`` and by ``seq``."""
+    by_arrival, by_seq = cuts
+    f = with_late(frames, keys, seq, window, arrival, by_arrival)
+    f = cut(f) if by_arrival else f
     own = [*keys, "late"]
-    rank = F.row_number().over(Window.partitionBy(*own).orderBy(seq, arrival))
-    arrived = F.row_number().over(Window.partitionBy(*own).orderBy(arrival))
-    f = f.withColumn("__i", rank).withColumn("__n", arrived)
-    gone = f.where("not late").select(*keys, (F.col("__n") - window).alias("__i"), F.col(arrival).alias("__gone"))
+    came = numbered(f, own, [arrival], "__n", by_arrival)
+    f = numbered(f, own, [seq, arrival], "__i", by_seq)
+    gone = came.where("not late").select(*keys, (F.col("__n") - window).alias("__i"), F.col(arrival).alias("__gone"))
     last = F.lit(1 << 60) + (port_order if port_order is not None else F.lit(0))
     out = f.join(gone, [*keys, "__i"], "left").withColumn("emit_pos", F.when(F.col("late"), F.col(arrival)).otherwise(F.coalesce("__gone", last)))
-    return out.drop("__i", "__n", "__gone", "late")
+    return out.drop("__i", "__gone", "late")

@@ -13,8 +13,9 @@ def groups(rows: DataFrame, keys: list[str], order: str = "pos", at: Column | No
     and received rows, duplicate keys, ids that differ from the begin's, whether its end came and agrees with it.
 
     Rows before any begin, and after their group's end, are in no group and are counted as orphans of the one before. All is
-    worked out over one sort of a task's rows by group, key and order; ``at`` and ``tasks`` are those of ``with_islands``."""
-    r = with_islands(rows, keys, F.col("kind") == "begin", [order], at=at, tasks=tasks)
+    worked out over one sort of a task's rows by group, key and order; ``at`` and ``tasks`` are those of ``with_islands``, for
+    rows without an island."""
+    r = rows if "island" in rows.columns else with_islands(rows, keys, F.col("kind") == "begin", [order], at=at, tasks=tasks)
     r = r.repartition(tasks, *keys, "island") if tasks else r
     r = r.withColumn("__key", F.when(F.col("kind") == "row", F.col("key")))
     group = Window.partitionBy(*keys, "island")

@@ -35,6 +35,12 @@ def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.repartition(most, *keys) if most else rows
 
 
+def dealt(rows: DataFrame, size: int = 250_000) -> DataFrame:
+    """``rows`` in tasks of ``size`` or less, however few files and row groups they are read from; as they are if few."""
+    n = -(-rows.count() // size)
+    return rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism)) if n > 1 else rows
+
+
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
     return _sql(
         spark, sf, "events", "event_id as seq", "user_id as instrument", "user_id % 4 as channel_id", "unix_micros(cast(ts as timestamp)) * 1000 as ts_ns",

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import wire as w
 from ..functions.layout import message
 from ..functions.rules import spec_links
+from ..functions.storage import cut
 from ..operators import orders as od
 from ..operators import refdata as rd
 from ..operators.derived import mid_or_trade
+from ..operators.ordered import numbered, slices
 from . import feeds
 from .feeds import with_ctes
 from .registry import query
@@ -28,8 +30,9 @@ def _frames(rows: DataFrame, feed: str, channels: int = 4) -> DataFrame:
     """Datagrams of one message for rows (instrument, port, place, body, reset, ts, lost) in order of place, without the
     lost ones; a channel has every ``channels``-th instrument, and numbers begin anew with each reset count."""
     rows = rows.withColumn("channel_id", F.col("instrument") % channels)
-    seq = F.row_number().over(Window.partitionBy("channel_id", "port", "reset").orderBy("place")).cast("bigint") - 1
-    rows = rows.withColumn("seq", seq).where("not lost")
+    keys = ["channel_id", "port", "reset"]
+    (cuts,) = slices(rows, keys, "place")
+    rows = numbered(rows, keys, ["place"], "seq", cuts).withColumn("seq", F.col("seq") - 1).where("not lost")
     raw = w.frame(feed, F.col("channel_id"), F.col("seq"), F.col("ts"), F.col("reset"), F.col("body"), F.lit(1))
     return rows.select(F.lit("tape").alias("capture_id"), F.col("place").alias("arrival"), "port", raw.alias("raw"))
 
@@ -91,7 +94,7 @@ def book_after_reset_mbp(spark, sf):
     its own base confirms. The second life's numbers start at 1 after an instrument reset. The subscriber keeps every change
     of a life, however many come between two groups."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
-    c = spark.sql(_CHANGES.format(div="div").replace("from events", "from tape_events"))
+    c = cut(spark.sql(_CHANGES.format(div="div").replace("from events", "from tape_events")))
     ends = c.groupBy("instrument", "life").agg(F.max("per_seq").alias("k"))
     last = c.groupBy("instrument", "life", "side", "price").agg(F.max_by("qty", "per_seq").alias("qty")).where("qty > 0")
     last = last.withColumn("n", F.row_number().over(Window.partitionBy("instrument", "life").orderBy("side", "price")))
@@ -117,7 +120,7 @@ def book_after_reset_mbo(spark, sf):
     """Each life: orders, and two equal groups of all of them (with another quantity in every fifth second life, which is
     suspected first and a violation when it comes again)."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
-    c = spark.sql(_CHANGES.format(div="div").replace("from events", "from tape_events")).withColumn("qty", F.col("qty") + 1)
+    c = cut(spark.sql(_CHANGES.format(div="div").replace("from events", "from tape_events"))).withColumn("qty", F.col("qty") + 1)
     ends = c.groupBy("instrument", "life").agg(F.max("per_seq").alias("k"))
     parts = [_message(c.where(f"not ({_LOST})"), "mbo", "order_add", "mktdata", f"(10 * life + 2) * {_PHASE} + event_id", instrument="instrument", source="1", side="side", per_seq="per_seq", order_id="event_id", price="price", qty="qty")]
     held = c.withColumn("n", F.col("per_seq")).withColumn("qty", F.expr("qty + if(instrument % 5 = 2 and life = 1, 1, 0)"))
@@ -222,7 +225,7 @@ def book_with_skipped_eras(spark, sf):
     """Changes come in the eras of reset counts 0, 1 and 2, snapshot groups in 0 and 2 only: those of era 2, wrong in every
     fifth book, are held to the changes of era 2. The subscriber keeps every change of an era."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
-    c = spark.sql(_ERAS.format(div="div").replace("from events", "from tape_events"))
+    c = cut(spark.sql(_ERAS.format(div="div").replace("from events", "from tape_events")))
     ends = c.where("life <> 1").groupBy("instrument", "life").agg(F.max("per_seq").alias("k"))
     last = c.where("life <> 1").groupBy("instrument", "life", "side", "price").agg(F.max_by("qty", "per_seq").alias("qty")).where("qty > 0")
     last = last.withColumn("n", F.row_number().over(Window.partitionBy("instrument", "life").orderBy("side", "price")))
@@ -284,7 +287,7 @@ def opportunities_by_rule(spark, sf):
     """Every opportunity of the order feed's rules that owe one, whether taken or not: orders under price bounds, two equal
     groups of most books, and what follows a reset, where every fourth channel lost a frame of its snapshot port."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("tape_events")
-    c = spark.sql(_OPPORTUNITIES.format(div="div").replace("from events", "from tape_events")).withColumn("life", F.lit(0))
+    c = cut(spark.sql(_OPPORTUNITIES.format(div="div").replace("from events", "from tape_events"))).withColumn("life", F.lit(0))
     e = c.groupBy("instrument", "life", "kind", "grouped", "torn").agg(F.count("*").alias("k"))
     known = e.select("instrument").distinct()
     count = known.groupBy((F.col("instrument") % 8).alias("instrument")).agg(F.count("*").alias("count"))

@@ -220,7 +220,7 @@ def feed_check_top_of_book(spark, sf):
     from ..engine import Settings, check
 
     t = feeds.ticks(spark, sf)
-    quotes = datagrams(t, "tob", _body("tob", "quote", _QUOTE))
+    quotes = datagrams(feeds.dealt(t), "tob", _body("tob", "quote", _QUOTE))
     d = t.selectExpr("channel_id", "instrument").where("instrument % 3 > 0").distinct()
     d = d.selectExpr("channel_id", "instrument", "cast(row_number() over (partition by channel_id order by instrument) as bigint) as seq").withColumn("ts_ns", F.lit(0).cast("bigint"))
     n = d.groupBy("channel_id").agg(F.count("*").alias("n")).withColumns({"seq": F.lit(0).cast("bigint"), "ts_ns": F.lit(0).cast("bigint")})
