@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import derived, findings, levels, orders, snapshots
 from tickloom.operators import ordered as o
 from tickloom.operators.refdata import accepted_manifests, price_bound
+from tickloom.plans import feeds
 from tickloom.streaming.replay import Sequencer, replay_batch
 
 
@@ -116,6 +117,20 @@ def test_snapshot_groups_by_slices(spark):
         assert rows(snapshots.repeated_keys(df, ["c"], **more), "island", "snapshot_id", "key", "n") == [(1, 1, 5, 2)]
 
 
+def test_feeds_are_dealt_by_rows_however_many_partitions_the_session_has(spark, monkeypatch):
+    # Adaptive execution joins the session's partitions by bytes, so that many of them still make few, large tasks.
+    monkeypatch.setattr(feeds, "TASK_ROWS", 100)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        lines = feeds.lineitem(spark, "/root/testdata/sf0.001")
+        sizes = [r[0] for r in lines.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) > 30 and max(sizes) < 300
+        assert feeds.tasks(spark, 300) is None  # no more than the cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_manifests(spark):
     m = [(1, 10, 5), (1, 10, 6), (1, 11, 5), (1, 14, 5), (1, 12, 5), (2, 15, 5), (0, 15, 5), (1, 15, 0), (1, 65535, 4), (1, 15, 5)]
     df = spark.createDataFrame([("c", i, i, *x) for i, x in enumerate(m)], "channel_id string, pos bigint, send_ts bigint, valid bigint, manifest_seq bigint, count bigint")

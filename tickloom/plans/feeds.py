@@ -13,7 +13,7 @@ def _sql(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
 
 
 #: Rows of a task where a feed is sorted: tasks get more, not larger, as the tables grow.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 500_000
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,14 +23,14 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, n: int) -> int | None:
-    """How many tasks of ``TASK_ROWS`` have ``n`` rows, if that is more than the session's number of shuffle partitions."""
+    """How many tasks of ``TASK_ROWS`` have ``n`` rows, if that is more than the cores or the session's number of shuffle
+    partitions. Many partitions are no reason to leave it to these: adaptive execution joins them, by bytes, to few."""
     most = -(-n // TASK_ROWS)
-    return most if most > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    return most if most > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) else None
 
 
 def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``rows``, some ``n`` in all, by keys in tasks of ``TASK_ROWS``; as they are where the session's own number of
-    shuffle partitions keeps tasks smaller."""
+    """``rows``, some ``n`` in all, by keys in tasks of ``TASK_ROWS``; as they are where there are too few for that."""
     most = tasks(rows.sparkSession, n)
     return rows.repartition(most, *keys) if most else rows
 
