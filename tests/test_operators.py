@@ -285,3 +285,17 @@ def test_slices_of_one_channel(spark):
     for name, make in made.items():
         plain, cut = make(None, None), make(by_arrival, by_seq)
         assert sorted(map(str, plain.collect())) == sorted(map(str, cut.select(*plain.columns).collect())), name
+
+
+def test_a_channel_of_many_short_eras_is_cut_into_slices(spark, monkeypatch):
+    """No era has many frames, but the channel has: what goes over all its eras is spread, and says the same."""
+    from tickloom import engine
+    from tickloom.plans.wire import feed_check_top_of_book
+
+    folder, runs = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(engine.Run, "_sequence", lambda self, *a, own=engine.Run._sequence: (runs.append(self), own(self, *a))[1])
+    plain = feed_check_top_of_book(spark, folder).collect()
+    monkeypatch.setattr(engine, "CHANNEL_ROWS", 20)
+    monkeypatch.setattr(o, "SLICE_ROWS", 15)
+    assert sorted(map(str, feed_check_top_of_book(spark, folder).collect())) == sorted(map(str, plain))
+    assert runs[0].channel_cuts is None and runs[1].cuts is None and len(runs[1].channel_cuts.bounds) > 3

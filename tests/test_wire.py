@@ -100,6 +100,17 @@ def test_encode_then_decode(spark):
     assert frame_findings(frames).count() == 0
 
 
+def test_numbers_are_turned_at_once(spark):
+    """A number is read by one substring, not one for each byte, and equals what struct packs at every size and bound."""
+    field = next(f for f in message("mbo", "order_execute").fields if f.kind == "u64")
+    assert w.reading("body", field).count("substring(") == 1
+    for size, values in ((1, (0, 200, 255)), (2, (0, 258, 65535)), (4, (1, 128 << 24, 2**32 - 1)), (8, (0, 0x0102030405060708, 2**63, 2**64 - 1))):
+        got = spark.range(1).select(*(w.little(F.lit(str(v)).cast("decimal(20,0)"), size) for v in values)).first()
+        assert [bytes(b) for b in got] == [v.to_bytes(size, "little") for v in values]
+    got = spark.range(1).select(w.little(F.lit(-2), 1), w.little(F.lit(-2), 8)).first()
+    assert [bytes(b) for b in got] == [b"\xfe", b"\xfe" + b"\xff" * 7]
+
+
 #: feed, port, message, the structural findings it gives.
 VECTORS = [
     ("mbo", "mktdata", raw_message(3, 8), ["MSG.RESERVED_TYPE_0X03_0X05"]),

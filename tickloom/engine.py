@@ -68,6 +68,8 @@ LIFE = [*BOOK, "life_no"]
 PORTS = ("mktdata", "refdata", "snapshot")
 _PLACE = ["capture_id", "port", "channel_id", "seq"]
 SET = [*CHANNEL, "era_no", "session", "generation"]
+#: Frames of a channel's port beyond which what goes over all its eras is cut into slices: windows by channel use a core each.
+CHANNEL_ROWS = 500_000
 #: A violation of these rules is unverifiable where one of the ports has lost a frame of the era so far.
 GATES = {r: ("refdata",) for r in RULES if r.startswith("REFDATA.") or r == "MANIFEST.STATE_MACHINE"} | {
     "HEARTBEAT.CADENCE": ("mktdata",), "DELTA.PERINSTR_DENSITY": ("mktdata",), "DELTA.PERINSTR_DUP_DIVERGENT": ("mktdata",), "TRADE.EXEC_GROUPING": ("mktdata",),
@@ -119,13 +121,15 @@ class Run:
         self.frames = cut(fr.decode_frames(datagrams, feed).withColumn("future", F.col("schema_version") > fr.SCHEMA_VERSION[feed]))
         own = (F.octet_length("raw") >= FRAME_HEADER) & (F.col("magic") == MAGIC[feed])
         keys = [*CHANNEL, "port"]
+        # Slices of an era's order, where one is long, and of a channel's, which may be long by many eras.
         self.cuts, by_seq = slices(self.frames.where(own), [*keys, "reset_count"], "arrival", "seq", size=settings.slice_rows)
-        with _tasks(datagrams.sparkSession, self.cuts and self.cuts.tasks):
+        self.channel_cuts = self.cuts or slices(self.frames.where(own), keys, "arrival", size=settings.slice_rows, key_rows=CHANNEL_ROWS)[0]
+        with _tasks(datagrams.sparkSession, self.channel_cuts and self.channel_cuts.tasks):
             self._sequence(own, keys, by_seq)
 
     def _sequence(self, own: Column, keys: list[str], by_seq: Slices | None) -> None:
         settings, feed = self.settings, self.feed
-        eras = cut(with_common_eras(self.frames.where(own), CHANNEL, "port", cuts=self.cuts))
+        eras = cut(with_common_eras(self.frames.where(own), CHANNEL, "port", cuts=self.channel_cuts))
         self.lost_eras = eras.where("era_state in ('older', 'ambiguous')")
         self.starts = eras.where("era_state = 'newer'")
         copies = cut(with_duplicates(eras.where("era_state in ('same', 'newer')").withColumn("payload", F.xxhash64("raw")), [*keys, "era_no", "seq"], "payload"))
@@ -159,7 +163,7 @@ class Run:
         ruled = F.col("rule_id").isin(*GATES)
         end = F.struct(*(F.lit((1 << 63) - 1).alias(c) for c in _POS))
         rows = findings.where(ruled).withColumn("pos", F.coalesce("pos", end))
-        rows = asof(rows, gate, CHANNEL, "pos", [f"lost_{p}" for p in PORTS], cuts=self.cuts)
+        rows = asof(rows, gate, CHANNEL, "pos", [f"lost_{p}" for p in PORTS], cuts=self.channel_cuts)
         lost, unseen = F.lit(False), F.lit(False)
         for port in PORTS:
             lost = lost | (F.col("rule_id").isin(*(r for r, ports in GATES.items() if port in ports), "") & F.coalesce(f"lost_{port}", F.lit(False)))
@@ -268,10 +272,10 @@ class Run:
         """``facts`` with channel_ready and, of the instrument's definition in the set in force, known and the fields."""
         own = {"era_no": "ref_era", "session": "session", "generation": "generation"}
         named = lambda rows: rows.withColumnsRenamed({"era_no": "ref_era"})
-        f = asof(facts, named(self.sets), CHANNEL, "pos", [*own.values(), "serving"], cuts=self.cuts)
+        f = asof(facts, named(self.sets), CHANNEL, "pos", [*own.values(), "serving"], cuts=self.channel_cuts)
         keys = [*CHANNEL, *own.values()]
         f = asof(f, named(self.definitions.select(*SET, "instrument", "pos", F.lit(True).alias("known"), *fields)), [*keys, "instrument"], "pos", ["known", *fields])
-        f = asof(f, named(self.ready.select(*SET, F.col("ready_pos").alias("pos"), F.lit(True).alias("channel_ready"))), keys, "pos", ["channel_ready"], cuts=self.cuts)
+        f = asof(f, named(self.ready.select(*SET, F.col("ready_pos").alias("pos"), F.lit(True).alias("channel_ready"))), keys, "pos", ["channel_ready"], cuts=self.channel_cuts)
         off = ~F.coalesce("serving", F.lit(False))
         return f.withColumns({c: F.when(~off, F.col(c)) for c in ("known", "channel_ready", *fields)}).drop(*own.values(), "serving")
 
@@ -297,7 +301,7 @@ class Run:
         numbered = lambda events, by, name: events.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("pos")).cast("bigint"))
         frozen = self.ready.select(*SET, "ready_pos")
         kept = self.definitions.select(*SET, "instrument", "pos").join(frozen, SET).where("pos <= ready_pos").select(*keys, F.col("ready_pos").alias("pos")).distinct()
-        out = asof(rows, numbered(frozen.select(*CHANNEL, F.col("ready_pos").alias("pos")), CHANNEL, "n_sets"), CHANNEL, "pos", ["n_sets"], cuts=self.cuts)
+        out = asof(rows, numbered(frozen.select(*CHANNEL, F.col("ready_pos").alias("pos")), CHANNEL, "n_sets"), CHANNEL, "pos", ["n_sets"], cuts=self.channel_cuts)
         out = asof(out, numbered(kept, keys, "n_kept"), keys, "pos", ["n_kept"])
         return out.withColumn("pruned", F.coalesce("n_sets", F.lit(0)) - F.coalesce("n_kept", F.lit(0))).drop("n_sets", "n_kept")
 
@@ -477,7 +481,7 @@ class Run:
         left = F.when(F.col("kind") == "add", F.col("qty")).otherwise(F.col("entry_qty") - F.col("filled") - F.coalesce("qty", F.lit(0)))
         spent = lives.where("life > 0 and not removed and kind <> 'cancel' and not coalesce(full_fill, false)").where(left == 0)
         b = batches.select(*CHANNEL, "pos", F.col("pos").alias("boundary"))
-        return asof(spent, b, CHANNEL, "pos", ["boundary"], strict=True, forward=True, cuts=self.cuts).where("boundary is not null")
+        return asof(spent, b, CHANNEL, "pos", ["boundary"], strict=True, forward=True, cuts=self.channel_cuts).where("boundary is not null")
 
     def _order_snapshots(self, s: DataFrame, lives: DataFrame, resets: DataFrame) -> list[DataFrame]:
         g = self._groups("snapshot_order", F.col("order_id").cast("string"), "order_id", "side", "price", "qty", "flags", "enter_ts")
@@ -588,7 +592,7 @@ class Run:
         return _say(every.withColumn("pos", F.col("begin")), "SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", F.col("status"), F.col("why"), F.col("shown"))
 
     def findings(self, made: list[str] | None = None) -> DataFrame:
-        with _tasks(self.frames.sparkSession, self.cuts and self.cuts.tasks):
+        with _tasks(self.frames.sparkSession, self.channel_cuts and self.channel_cuts.tasks):
             return self._findings(made)
 
     def _findings(self, made: list[str] | None) -> DataFrame:

@@ -149,6 +149,7 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         length = F.when(kind == m.type, m.length).otherwise(length)
         placed = placed | ((kind == m.type) & (F.col("port") == m.port))
     rows: list[Column] = []
+    fields: dict[str, Column] = {}  # of a message of the kind, worked out once for all rules
 
     def say(rule: str, when: Column, status: str = "violation", names: str | None = None, any_length: bool = False) -> None:
         """``when`` is asked of known messages, of the kind ``names`` and canonical length if given."""
@@ -158,7 +159,9 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         rows.append(F.when(known & ~reserved & when, F.struct(F.lit(rule).alias("rule_id"), F.lit(status).alias("status"))))
 
     def field(names: str, name: str) -> Column:
-        return read("body", next(f for f in message(feed, names).fields if f.name == name))
+        m = message(feed, names)
+        fields[f"__{names}_{name}"] = F.when(kind == m.type, read("body", next(f for f in m.fields if f.name == name)))
+        return F.col(f"__{names}_{name}")
 
     def bits(names: str, name: str, mask: int) -> Column:
         return field(names, name).bitwiseAND(F.lit(mask).cast("bigint"))
@@ -203,5 +206,5 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         say("MID.QUALITY_FLAGS", bits("midpoint", "quality", 0xF0) != 0, names="midpoint")
         say("MID.TIMESTAMP_ORDERING", field("midpoint", "compute_ts") < field("midpoint", "book_ts"), names="midpoint")
     keep = [c for c in messages.columns if c not in ("body", "rule_id", "status")]
-    found = messages.withColumn("f", F.explode_outer(F.array_compact(F.array(*rows)))).where("f is not null")
+    found = messages.withColumns(fields).withColumn("f", F.explode_outer(F.array_compact(F.array(*rows)))).where("f is not null")
     return found.select(*keep, "f.rule_id", "f.status")

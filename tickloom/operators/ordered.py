@@ -62,11 +62,11 @@ class Slices:
         return out.repartition(self.tasks, *keys, "__slice")
 
 
-def slices(rows: DataFrame, keys: list[str], *numbers: str, size: int | None = None) -> list[Slices | None]:
+def slices(rows: DataFrame, keys: list[str], *numbers: str, size: int | None = None, key_rows: int | None = None) -> list[Slices | None]:
     """Slices of ``size`` rows of all keys together by each of ``numbers``; None where no key has more rows than a task takes
-    (``KEY_ROWS``, or ``size``), as slices cost a pass or two more."""
+    (``size``, ``key_rows`` or ``KEY_ROWS``), as slices cost a pass or two more."""
     most, n = rows.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    if (most or 0) <= (size or KEY_ROWS):
+    if (most or 0) <= (size or key_rows or KEY_ROWS):
         return [None for _ in numbers]
     count = -(-n // (size or SLICE_ROWS))
     at = [k / count for k in range(1, count)]
