@@ -105,6 +105,19 @@ def test_order_feed(spark):
     assert ("SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "unverifiable") in found["gap"]
 
 
+def test_rules_asked_for_are_those_of_the_whole_check(spark):
+    """Asking for some rules leaves out other findings, and changes none of theirs."""
+    rows = [(f, *row[1:]) for f in ("gap", "bound", "book", "count") for row in order_tape(f).rows]
+    df = spark.createDataFrame(rows, "capture_id string, arrival bigint, port string, raw binary").cache()
+    settings = Settings(window=1, empty_start=True)
+    columns = ["capture_id", "port", "instrument", "seq", "rule_id", "severity", "status", "reason", "detail"]
+    listed = lambda found: sorted(map(str, found.select(columns).collect()))
+    whole = check(df, "mbo", settings).cache()
+    rules = ["FIELD.ORDERADD_PRICE_BOUND", "SNAP.RECONSTRUCTED_BOOK_MATCHES_SNAPSHOT", "SNAP.TOTAL_ORDERS_COUNT_MATCH"]
+    want = listed(whole.where(whole.rule_id.isin(*rules)))
+    assert want and listed(check(df, "mbo", settings, rules)) == want
+
+
 def level_tape(fault=None):
     t = Tape("mbp")
     t.refdata()

@@ -111,6 +111,17 @@ def test_numbers_are_turned_at_once(spark):
     assert [bytes(b) for b in got] == [b"\xfe", b"\xfe" + b"\xff" * 7]
 
 
+def test_fields_of_a_message_share_one_reversal(spark):
+    """Fields read from a body held backward equal those read alone, also where the body is too short, without a reversal."""
+    m = message("mbo", "order_execute")
+    numbers = [f for f in m.fields if f.kind[0] not in "cb"]
+    assert not any("reverse(" in w.reading("body", f, back="back") for f in numbers)
+    bodies = [bytes(range(200, 252)), b"\xff" * 52, bytes(range(11)), b""]
+    df = spark.createDataFrame([(bytearray(b),) for b in bodies], "body binary").selectExpr("body", f"{w.backward('body')} as back")
+    for alone, shared in df.select(F.struct(*(w.read("body", f).alias(f.name) for f in numbers)), F.struct(*(w.read("body", f, back="back").alias(f.name) for f in numbers))).collect():
+        assert alone == shared
+
+
 #: feed, port, message, the structural findings it gives.
 VECTORS = [
     ("mbo", "mktdata", raw_message(3, 8), ["MSG.RESERVED_TYPE_0X03_0X05"]),

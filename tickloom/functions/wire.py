@@ -15,8 +15,14 @@ from .layout import FRAME_HEADER, MAGIC, MESSAGE_HEADER, SCHEMA_VERSION, Field,
 U64 = "decimal(20,0)"
 
 
-def reading(body: str, field: Field, base: int = MESSAGE_HEADER) -> str:
-    """SQL text for the field of a message body, a column's name; ``base`` is the offset at which the body starts."""
+def backward(body: str) -> str:
+    """SQL text for the hex digits of a body, last byte first: one reversal for all numbers of a message."""
+    return f"hex(encode(reverse(decode({body}, 'ISO-8859-1')), 'ISO-8859-1'))"
+
+
+def reading(body: str, field: Field, base: int = MESSAGE_HEADER, back: str | None = None) -> str:
+    """SQL text for the field of a message body, a column's name; ``base`` is the offset at which the body starts, and
+    ``back`` the column that holds the body ``backward``, if there is one."""
     at, size = field.offset - base, field.size
     whole = f"octet_length({body}) >= {at + size}"
     if field.kind[0] == "b":
@@ -24,7 +30,7 @@ def reading(body: str, field: Field, base: int = MESSAGE_HEADER) -> str:
     if field.kind[0] == "c":
         return f"if({whole}, rtrim(translate(decode(substring({body}, {at + 1}, {size}), 'US-ASCII'), '\\u0000', ' ')), null)"
     own = f"substring({body}, {at + 1}, {size})"
-    digits = f"hex({own})" if size == 1 else f"hex(encode(reverse(decode({own}, 'ISO-8859-1')), 'ISO-8859-1'))"
+    digits = f"substring({back}, {-2 * (at + size)}, {2 * size})" if back else f"hex({own})" if size == 1 else backward(own)
     kind = U64 if field.kind == "u64" else "bigint"
     value = f"cast(conv({digits}, 16, {-10 if field.kind == 'i64' else 10}) as {kind})"
     if field.kind == "i8":
@@ -32,16 +38,17 @@ def reading(body: str, field: Field, base: int = MESSAGE_HEADER) -> str:
     return f"coalesce(if({whole}, {value}, null), cast(0 as {kind}))"
 
 
-def read(body: Column | str, field: Field, base: int = MESSAGE_HEADER) -> Column:
+def read(body: Column | str, field: Field, base: int = MESSAGE_HEADER, back: str | None = None) -> Column:
     """The same as a column; ``body`` is a column's name, or the column itself."""
     name = body if isinstance(body, str) else str(body).removeprefix("Column<'").removesuffix("'>")
-    return F.expr(reading(name, field, base))
+    return F.expr(reading(name, field, base, back))
 
 
 def decode(messages: DataFrame, kind: Message, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed view: the messages of one kind with their fields as columns, and the columns in ``keep``."""
     own = messages.where(f"feed = '{kind.feed}' and type = {kind.type}")
-    return own.selectExpr(*keep, *(f"{reading('body', f)} as {f.name}" for f in kind.fields))
+    own = own.selectExpr("*", f"{backward('body')} as __back")
+    return own.selectExpr(*keep, *(f"{reading('body', f, back='__back')} as {f.name}" for f in kind.fields))
 
 
 def _digits(value: Column, size: int) -> Column:

@@ -6,6 +6,8 @@ of a batch at once; the header, all message fields and every rule are column exp
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.layout import FRAME_HEADER, MAGIC, MAX_FRAME, MESSAGE_HEADER, SCHEMA_VERSION, Field, message, of_feed
-from ..functions.wire import read
+from ..functions.wire import backward, read
 
 _HEADER = (
     Field("magic", 0, "u16"), Field("schema_version", 2, "u8"), Field("channel_id", 3, "u8"), Field("seq", 4, "u64"), Field("send_ts", 12, "u64"),
@@ -59,6 +61,10 @@ def _byte(at: Column | int) -> Column:
     return F.conv(F.hex(F.substring(F.col("raw"), at + 1, F.lit(1))), 16, 10).cast("int")
 
 
+#: The rules of ``_frame_rules``.
+WALKED = ("FRAME.LENGTH_CONSISTENCY", "FRAME.MAGIC_MISMATCH", "FRAME.SCHEMA_VERSION", "MSG.LENGTH_PER_TYPE", "FRAME.MSG_COUNT_RANGE")
+
+
 def _frame_rules(feed: str) -> Column:
     """The findings of a datagram: each rule is a predicate on its header, its size and the end of its last message.
 
@@ -68,10 +74,8 @@ def _frame_rules(feed: str) -> Column:
     own = (size >= FRAME_HEADER) & (F.col("magic") == MAGIC[feed])
     legal = declared.between(FRAME_HEADER, MAX_FRAME)
     cut = legal & (declared > size)
-    last = F.element_at("starts", -1)
-    stop = F.when(n > 0, last + _byte(last + 1)).otherwise(FRAME_HEADER)
+    stop, next_length = F.col("__stop"), F.col("__next")
     left = F.least(declared, size) - stop
-    next_length = F.when(left >= MESSAGE_HEADER, _byte(stop + 1))
     beyond = next_length >= MESSAGE_HEADER
 
     def say(rule: str, when: Column, at: Column | int, detail: list, transport: Column | bool = False) -> Column:
@@ -102,10 +106,17 @@ def decode_frames(datagrams: DataFrame, feed: str) -> DataFrame:
     ``findings``. Short datagrams have an all-zero header; null ones are empty."""
     raw = F.coalesce("raw", F.lit(b""))
     whole = F.octet_length("raw") >= FRAME_HEADER
-    header = {f.name: F.when(whole, read("raw", f, 0)).otherwise(F.lit(0)).cast("bigint") for f in _HEADER}
-    out = datagrams.withColumn("raw", raw).withColumn("starts", _starts("raw")).withColumns({"feed": F.lit(feed), **header})
+    header = {f.name: F.when(whole, read("raw", f, 0, "__back")).otherwise(F.lit(0)).cast("bigint") for f in _HEADER}
+    back = F.expr(backward(f"substring(raw, 1, {FRAME_HEADER})"))
+    out = datagrams.withColumn("raw", raw).withColumn("starts", _starts("raw")).withColumn("__back", back).withColumns({"feed": F.lit(feed), **header})
     none = F.array().cast("array<int>")
-    return out.withColumn("starts", F.when(F.col("magic") == MAGIC[feed], F.col("starts")).otherwise(none)).withColumn("findings", _frame_rules(feed))
+    out = out.withColumn("starts", F.when(F.col("magic") == MAGIC[feed], F.col("starts")).otherwise(none))
+    # Where the messages end, and the length that stands there, are worked out once for all rules.
+    last = F.element_at("starts", -1)
+    out = out.withColumn("__stop", F.when(F.size("starts") > 0, last + _byte(last + 1)).otherwise(FRAME_HEADER))
+    left = F.least("frame_length", F.octet_length("raw")) - F.col("__stop")
+    out = out.withColumn("__next", F.when(left >= MESSAGE_HEADER, _byte(F.col("__stop") + 1)))
+    return out.withColumn("findings", _frame_rules(feed)).drop("__back", "__stop", "__next")
 
 
 def frame_findings(frames: DataFrame) -> DataFrame:
@@ -135,8 +146,9 @@ def registered(source: Column, ranges: list[tuple[int, int]] | None) -> Column:
     return (source != 0) & inside
 
 
-def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | None = ((1, 1023),)) -> DataFrame:
-    """Findings of the structural rules on messages: one projection that lists a message's findings, then explodes.
+def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | None = ((1, 1023),), rules: Collection[str] | None = None) -> DataFrame:
+    """Findings of the structural rules on messages: one projection that lists a message's findings, then explodes. With
+    ``rules``, of these alone.
 
     Reserved types come before unknown ones and both end a message's checks. Field rules need the canonical length."""
     kinds = of_feed(feed)
@@ -149,10 +161,13 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         length = F.when(kind == m.type, m.length).otherwise(length)
         placed = placed | ((kind == m.type) & (F.col("port") == m.port))
     rows: list[Column] = []
+    asked = lambda rule: rules is None or rule in rules
     fields: dict[str, Column] = {}  # of a message of the kind, worked out once for all rules
 
     def say(rule: str, when: Column, status: str = "violation", names: str | None = None, any_length: bool = False) -> None:
         """``when`` is asked of known messages, of the kind ``names`` and canonical length if given."""
+        if not asked(rule):
+            return
         if names:
             m = message(feed, names)
             when = (kind == m.type) & when if any_length else (kind == m.type) & (F.col("length") == m.length) & when
@@ -160,14 +175,15 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
 
     def field(names: str, name: str) -> Column:
         m = message(feed, names)
-        fields[f"__{names}_{name}"] = F.when(kind == m.type, read("body", next(f for f in m.fields if f.name == name)))
+        fields[f"__{names}_{name}"] = F.when(kind == m.type, read("body", next(f for f in m.fields if f.name == name), back="__back"))
         return F.col(f"__{names}_{name}")
 
     def bits(names: str, name: str, mask: int) -> Column:
         return field(names, name).bitwiseAND(F.lit(mask).cast("bigint"))
 
-    rows.append(F.when(reserved, F.struct(F.lit("MSG.RESERVED_TYPE_0X03_0X05").alias("rule_id"), F.lit("violation").alias("status"))))
-    rows.append(F.when(~reserved & ~known, F.struct(F.lit("MSG.UNKNOWN_TYPE_SKIPPED").alias("rule_id"), F.lit("pass").alias("status"))))
+    for rule, when, status in (("MSG.RESERVED_TYPE_0X03_0X05", reserved, "violation"), ("MSG.UNKNOWN_TYPE_SKIPPED", ~reserved & ~known, "pass")):
+        if asked(rule):
+            rows.append(F.when(when, F.struct(F.lit(rule).alias("rule_id"), F.lit(status).alias("status"))))
     say("MSG.LENGTH_PER_TYPE", F.col("length") != length)
     say("MSG.WRONG_PORT_PLACEMENT", ~placed)
     say("HEARTBEAT.CHANNEL_ID_MATCH", field("heartbeat", "channel") != F.col("channel_id"), names="heartbeat")
@@ -206,5 +222,7 @@ def structural(messages: DataFrame, feed: str, ranges: list[tuple[int, int]] | N
         say("MID.QUALITY_FLAGS", bits("midpoint", "quality", 0xF0) != 0, names="midpoint")
         say("MID.TIMESTAMP_ORDERING", field("midpoint", "compute_ts") < field("midpoint", "book_ts"), names="midpoint")
     keep = [c for c in messages.columns if c not in ("body", "rule_id", "status")]
-    found = messages.withColumns(fields).withColumn("f", F.explode_outer(F.array_compact(F.array(*rows)))).where("f is not null")
+    if not rows:
+        return messages.where("false").select(*keep, F.lit("").alias("rule_id"), F.lit("").alias("status"))
+    found = messages.withColumn("__back", F.expr(backward("body"))).withColumns(fields).withColumn("f", F.explode_outer(F.array_compact(F.array(*rows)))).where("f is not null")
     return found.select(*keep, "f.rule_id", "f.status")

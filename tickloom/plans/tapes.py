@@ -70,7 +70,7 @@ def _groups(ends: DataFrame, levels: DataFrame, feed: str, row: str, phase: str,
 def _verdicts(grams: DataFrame, feed: str, rules: list[str], **settings: int | None) -> DataFrame:
     from ..engine import Settings, check
 
-    found = check(grams, feed, Settings(window=0, empty_start=True, **settings)).where(F.col("rule_id").isin(*rules))
+    found = check(grams, feed, Settings(window=0, empty_start=True, **settings), rules).where(F.col("rule_id").isin(*rules))
     return found.groupBy("rule_id", "status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
