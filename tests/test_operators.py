@@ -299,3 +299,49 @@ def test_a_channel_of_many_short_eras_is_cut_into_slices(spark, monkeypatch):
     monkeypatch.setattr(o, "SLICE_ROWS", 15)
     assert sorted(map(str, feed_check_top_of_book(spark, folder).collect())) == sorted(map(str, plain))
     assert runs[0].channel_cuts is None and runs[1].cuts is None and len(runs[1].channel_cuts.bounds) > 3
+
+
+def test_frames_without_a_buffer_are_not_shuffled(spark, capsys):
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate([3, 1, 2, 5, 4, 9, 7, 8])], "c int, arrival bigint, seq bigint")
+    out = o.with_emit_position(df, ["c"], window=0)
+    assert rows(out, "arrival", "emit_pos") == [(i, i) for i in range(8)]
+    capsys.readouterr()
+    out.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_asof_joins_of_few_rows_equal_the_others(spark, seed):
+    r = random.Random(seed)
+    some = lambda n: [(r.choice([None, 1, 2]), p, r.randrange(100)) for p in r.sample(range(-50, 50), n)]
+    facts = spark.createDataFrame([*some(40), (1, None, 7)], "c int, pos bigint, f int")
+    dims = spark.createDataFrame([(c, p, v) for c, p, v in some(25)], "c int, pos int, v int")
+    whole = lambda df: sorted(map(str, df.select("c", "pos", "f", "v").collect()))
+    for strict in (False, True):
+        for forward in (False, True):
+            known = facts.where("pos is not null") if forward else facts
+            assert whole(o.asof_few(known, dims, ["c"], "pos", ["v"], strict, forward)) == whole(o.asof(known, dims, ["c"], "pos", ["v"], strict, forward))
+    assert whole(o.asof_of_few(facts, dims, ["c"], "pos", ["v"])) == whole(o.asof(facts, dims, ["c"], "pos", ["v"]))
+    none = dims.where("false")
+    assert whole(o.asof_few(facts, none, ["c"], "pos", ["v"])) == whole(o.asof(facts, none, ["c"], "pos", ["v"]))
+
+
+def test_eras_of_reset_counts_that_come_in_runs(spark):
+    one = [(0, "a", 1, 250), (0, "b", 2, 249), (0, "a", 3, 251), (0, "a", 4, 251), (0, "b", 5, 251), (0, "a", 6, 3), (0, "b", 7, 130), (0, "b", 8, 130), (1, "a", 9, 0)]
+    df = spark.createDataFrame(one, "c int, port string, arrival bigint, reset_count bigint")
+    columns = ("c", "port", "arrival", "era_no", "era_state")
+    assert rows(o.with_eras_of_counts(df, ["c"], "port"), *columns) == rows(o.with_common_eras(df, ["c"], "port"), *columns)
+    again = df.unionByName(spark.createDataFrame([(0, "a", 10, 251)], df.schema))
+    assert o.with_eras_of_counts(again, ["c"], "port") is None
+
+
+def test_few_groups_equal_the_others(spark):
+    r, made, pos = random.Random(5), [], 0
+    for g in range(12):
+        for kind in [*r.choices(["begin"], k=g > 0), *r.choices(["row"], k=r.randrange(6)), *r.choices(["end"], k=r.randrange(3)), *r.choices(["row"], k=r.randrange(2))]:
+            made.append((1, pos, kind, g + (r.random() < 0.2), r.choice([7, 8]) if kind != "row" else None, 0, 3 if kind == "begin" else None, r.choice(["x", "y", "z", None]) if kind == "row" else None, pos, 0, False, None))
+            pos += 1
+    df = spark.createDataFrame(made, "c int, pos bigint, kind string, snapshot_id int, instrument int, anchor bigint, total int, key string, seq bigint, lost_frames bigint, dirty boolean, last_seq bigint")
+    df = o.with_islands(df, ["c"], F.col("kind") == "begin", ["pos"])
+    whole = snapshots.groups(df, ["c"])
+    assert rows(snapshots.few_groups(df, ["c"]).fillna(-1), *whole.columns) == rows(whole.fillna(-1), *whole.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import asof
+from .ordered import asof, asof_few
 
 
 def covers() -> Column:
@@ -71,15 +71,17 @@ def ladder_asof(updates: DataFrame, points: DataFrame, keys: list[str], clears:
     return both.withColumn("__gone", F.coalesce(reached, F.lit(False))).where("not __gone").select(*keys, "k", "side", "price", "qty")
 
 
-def at_points(spans: DataFrame, points: DataFrame, keys: list[str], start: str, until: str) -> DataFrame:
-    """``spans`` once for each of ``points`` (keys, k) with start <= k < until (null: no end), by equality joins only."""
+def at_points(spans: DataFrame, points: DataFrame, keys: list[str], start: str, until: str, few: bool = False) -> DataFrame:
+    """``spans`` once for each of ``points`` (keys, k) with start <= k < until (null: no end), by equality joins only. ``few``
+    says that the points may go to all tasks."""
+    join = asof_few if few else asof
     p = points.select(*keys, "k").distinct().withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
     dims = p.select(*keys, F.col("k").cast("bigint").alias("__at"), F.col("__n").alias("__first"))
-    s = asof(spans.withColumn("__at", F.col(start).cast("bigint")), dims, keys, "__at", ["__first"], forward=True)
+    s = join(spans.withColumn("__at", F.col(start).cast("bigint")), dims, keys, "__at", ["__first"], forward=True)
     s = s.where("__first is not null").withColumn("__at", F.coalesce(F.col(until).cast("bigint"), F.lit((1 << 63) - 1)))
-    s = asof(s, dims.withColumnRenamed("__first", "__last"), keys, "__at", ["__last"], strict=True).where("__first <= __last")
+    s = join(s, dims.withColumnRenamed("__first", "__last"), keys, "__at", ["__last"], strict=True).where("__first <= __last")
     s = s.withColumn("__n", F.explode(F.sequence("__first", "__last"))).drop("__at", "__first", "__last")
-    return s.join(p, [*keys, "__n"]).drop("__n")
+    return s.join(F.broadcast(p) if few else p, [*keys, "__n"]).drop("__n")
 
 
 def inside(levels: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,6 +108,58 @@ def asof(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: l
     return both.selectExpr("__fact", seen).where("__fact is not null").selectExpr("__fact.*", *(f"__seen.{v} as {v}" for v in values))
 
 
+#: Rows of a side of an as-of join that all tasks may hold.
+FEW = 10_000
+
+
+def is_few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def _lists(rows: DataFrame, keys: list[str], pos: str, what: Column) -> tuple[DataFrame, int]:
+    """A row for each of ``keys`` with __list, the sorted (pos, x) of its few rows, and how many the longest has."""
+    lists = cut(rows.groupBy(*(F.col(c).alias(f"__{c}") for c in keys)).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), what.alias("x")))).alias("__list")))
+    return F.broadcast(lists), lists.agg(F.max(F.size("__list"))).first()[0] or 0
+
+
+def _listed(rows: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(lists, same, "left").drop(*(f"__{c}" for c in keys))
+
+
+def _how_many(pos: Column, most: int, at_too: bool) -> Column:
+    """How many of __list are before ``pos``, or at it if ``at_too``, by a binary search."""
+    size = 1 << most.bit_length()
+    steps = F.array(*(F.lit(size >> k) for k in range(1, size.bit_length())))
+
+    def step(i: Column, s: Column) -> Column:
+        there = F.get("__list", i + s - 1)["pos"]
+        return F.when(there <= pos if at_too else there < pos, i + s).otherwise(i)
+
+    return F.aggregate(steps, F.lit(0), step) if most else F.lit(0)
+
+
+def asof_few(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
+    """What ``asof`` gives where the dims are few: these go to all tasks, and facts stay where they are, without a shuffle."""
+    kind = facts.schema[pos].dataType.simpleString()
+    lists, most = _lists(dims.withColumn(pos, F.col(pos).cast(kind)), keys, pos, F.struct(*values))
+    n = _how_many(F.col(pos), most, strict == forward)
+    seen = F.get("__list", n if forward else n - 1)["x"]
+    out = _listed(facts, lists, keys).withColumn("__seen", F.when(F.col(pos).isNotNull(), seen))
+    return out.select(*facts.columns, *(F.col("__seen")[v].alias(v) for v in values))
+
+
+def asof_of_few(facts: DataFrame, dims: DataFrame, keys: list[str], pos: str, values: list[str]) -> DataFrame:
+    """What ``asof`` gives where the facts are few: of the dims between two facts the last is kept, by tasks first."""
+    kind = dims.schema[pos].dataType.simpleString()
+    lists, most = _lists(facts.select(*keys, F.col(pos).cast(kind).alias(pos)).distinct(), keys, pos, F.lit(0))
+    d = _listed(dims.select(*keys, pos, *values), lists, keys).where("__list is not null").withColumn("__n", _how_many(F.col(pos), most, False)).where("__n < size(__list)")
+    last = d.groupBy(*keys, "__n").agg(F.max_by(F.struct(pos, *values), pos).alias("__d")).select(*keys, "__d.*")
+    return asof_few(facts, last, keys, pos, values)
+
+
 def with_duplicates(frames: DataFrame, keys: list[str], payload: str, arrival: str = "arrival") -> DataFrame:
     """``frames`` with copy_no (0 for the first of its keys) and divergent (a copy whose payload is not the first's)."""
     w = Window.partitionBy(*keys).orderBy(arrival)
@@ -257,6 +309,42 @@ def with_eras(frames: DataFrame, keys: list[str], reset: str = "reset_count", or
     return _with_decided(f, scanned(changes, keys, "__span", ["__reset"], make, {"era_no": "bigint", "era_state": "string"}), keys)
 
 
+def _era_step():
+    """For a channel: a function of a port's name and its next reset count, which gives era_no and era_state."""
+    ports: dict[str, tuple[int, int]] = {}
+    newest: tuple[int, int] | None = None
+
+    def step(name: str, new: int) -> tuple[int, str]:
+        nonlocal newest
+        if name in ports:
+            era, count = ports[name]
+            ahead = (new - count) % 256
+            if ahead >= 128:
+                return era, "ambiguous" if ahead == 128 else "older"
+        else:
+            era, ahead = (0, 0) if newest is None else (newest[0] + (new - newest[1] + 128) % 256 - 128, 0)
+        ports[name] = (era + ahead, new)
+        newest = max(newest or ports[name], ports[name])
+        return era + ahead, "newer" if ahead else "same"
+
+    return step
+
+
+def with_eras_of_counts(frames: DataFrame, keys: list[str], port: str, reset: str = "reset_count", order: str = "arrival") -> DataFrame | None:
+    """What ``with_common_eras`` gives where every reset count of a port comes in one run, without a shuffle of frames: a
+    few rows say where the runs begin. None where counts come again, or where the runs are many."""
+    own = [*keys, port]
+    runs = cut(frames.groupBy(*own, reset).agg(F.min(order).alias("__at"), F.max(order).alias("__to")))
+    again = runs.withColumn("__was", F.lag("__to").over(Window.partitionBy(*own).orderBy("__at"))).where("__was >= __at")
+    if not is_few(runs) or not again.isEmpty():
+        return None
+    changes = runs.select(*own, reset, "__at", F.col(reset).cast("bigint").alias("__reset"))
+    decided = cut(scanned(changes, keys, "__at", [port, "__reset"], _era_step, {"era_no": "bigint", "era_state": "string"}))
+    out = frames.join(F.broadcast(decided.drop("__reset")), [*own, reset])
+    opens = (F.col("era_state") != "newer") | (F.col("__at") == F.col(order))
+    return out.select(*frames.columns, "era_no", F.when(opens, F.col("era_state")).otherwise("same").alias("era_state"))
+
+
 def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str = "reset_count", order: str = "arrival", cuts: Slices | None = None) -> DataFrame:
     """``frames`` with era_state as by ``with_eras`` for each port, and an era_no that all ports of ``keys`` share: how
     many resets the channel has gone through since its first frame, by the reset counts themselves.
@@ -267,25 +355,6 @@ def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str =
     first frame of a slice is scanned as well: it is decided as the frames before it were."""
     f = frames if cuts else _reset_changes(frames, [*keys, port], reset, order)
 
-    def make():
-        ports: dict[str, tuple[int, int]] = {}
-        newest: tuple[int, int] | None = None
-
-        def step(name: str, new: int) -> tuple[int, str]:
-            nonlocal newest
-            if name in ports:
-                era, count = ports[name]
-                ahead = (new - count) % 256
-                if ahead >= 128:
-                    return era, "ambiguous" if ahead == 128 else "older"
-            else:
-                era, ahead = (0, 0) if newest is None else (newest[0] + (new - newest[1] + 128) % 256 - 128, 0)
-            ports[name] = (era + ahead, new)
-            newest = max(newest or ports[name], ports[name])
-            return era + ahead, "newer" if ahead else "same"
-
-        return step
-
     if cuts:
         was = F.lag(reset).over(Window.partitionBy(*keys, port, "__slice").orderBy(order))
         changes = cuts.spread(f.select(*keys, port, order, reset), [*keys, port], F.col(order)).withColumn("__change", F.coalesce(F.col(reset) != was, F.lit(True)))
@@ -293,7 +362,7 @@ def with_common_eras(frames: DataFrame, keys: list[str], port: str, reset: str =
     else:
         changes = f
     changes = changes.where("__change").select(*keys, port, "__span", F.col(order).alias("__at"), F.col(reset).cast("bigint").alias("__reset"))
-    decided = scanned(changes, keys, "__at", [port, "__reset"], make, {"era_no": "bigint", "era_state": "string"})
+    decided = scanned(changes, keys, "__at", [port, "__reset"], _era_step, {"era_no": "bigint", "era_state": "string"})
     if cuts:
         decided = cut(decided).select(*keys, port, F.col("__at").alias(order), "era_no", "era_state", "__at")
         out = asof(f, decided, [*keys, port], order, ["era_no", "era_state", "__at"], cuts=cuts)
@@ -331,6 +400,9 @@ def with_emit_position(frames: DataFrame, keys: list[str], seq: str = "seq", win
 
     A late frame leaves as it comes. Of the others the i-th in order of seq leaves when the (i + window)-th arrives; the
     last ones leave at the end, by port. ``cuts`` are by ``arrival`` and by ``seq``."""
+    if window == 0:
+        # The frames that are not late come in order of seq, so each leaves as it comes, as the late ones do.
+        return frames.withColumn("emit_pos", F.col(arrival).cast("bigint"))
     by_arrival, by_seq = cuts
     f = with_late(frames, keys, seq, window, arrival, by_arrival)
     f = cut(f) if by_arrival else f

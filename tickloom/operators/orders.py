@@ -29,14 +29,26 @@ def with_lifecycle(events: DataFrame, keys: list[str]) -> DataFrame:
     return e.drop(*come, *(f"{c}_then" for c in come))
 
 
+def with_versions(lives: DataFrame, keys: list[str]) -> DataFrame:
+    """``lives`` with what ``versions`` needs of an order's other rows: until, first_flags and first_enter_ts (of the life's add).
+    Over the sort of ``with_lifecycle``, if it comes right after it."""
+    order = Window.partitionBy(*keys, "order_id").orderBy("pos")
+    at_add = lambda c: F.last(F.when(F.col("kind") == "add", F.struct(c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))[c]
+    return lives.withColumns({"until": F.lead("per_seq").over(order), "first_flags": at_add("flags"), "first_enter_ts": at_add("enter_ts")})
+
+
+def overfilled(lives: DataFrame) -> DataFrame:
+    """Executions of more than is left of a running life."""
+    return lives.where((F.col("kind") == "execute") & (F.col("life") > 0) & ~F.col("removed") & (F.col("qty") > F.col("entry_qty") - F.col("filled")))
+
+
 def settled(lives: DataFrame, keys: list[str]) -> DataFrame:
     """``lives`` in which an execution of more than is left, and without the full-fill flag, leaves its order as it was.
 
     What counts as filled then depends on what was let through before, so the orders that have such an execution, and no
     others, are folded."""
-    over = (F.col("kind") == "execute") & (F.col("life") > 0) & ~F.col("removed") & (F.col("qty") > F.col("entry_qty") - F.col("filled"))
     own = [*keys, "order_id", "life"]
-    odd = lives.where(over).select(*own).distinct()
+    odd = overfilled(lives).select(*own).distinct()
     event = F.struct("pos", (F.col("kind") == "execute").alias("fills"), F.col("qty").cast("bigint").alias("qty"), F.col("entry_qty").cast("bigint").alias("most"))
     kind = lives.schema["pos"].dataType.simpleString()
     start = F.expr(f"named_struct('filled', 0L, 'rows', cast(array() as array<struct<pos:{kind},filled:bigint>>))")
@@ -106,16 +118,14 @@ def live_at(events: DataFrame, keys: list[str], pos: Column) -> DataFrame:
 
 
 def versions(lives: DataFrame, keys: list[str]) -> DataFrame:
-    """What each event of ``lives`` leaves of its order: keys, order_id, side, price, flags, enter_ts, remaining, from
+    """What each event of ``lives`` (of ``with_versions``) leaves of its order: keys, order_id, side, price, flags, enter_ts, remaining, from
     per_seq to before until (null: no later event). Events that leave nothing alive have no row."""
-    until = F.lead("per_seq").over(Window.partitionBy(*keys, "order_id").orderBy("pos"))
-    first = Window.partitionBy(*keys, "order_id", "life").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_fill, full = F.col("kind") == "execute", F.coalesce(F.col("full_fill"), F.lit(False))
     before = F.col("entry_qty") - F.col("filled")
     left = before - F.when(is_fill & (F.col("qty") <= before), F.col("qty")).otherwise(0)
     gone = F.col("removed") | (F.col("kind") == "cancel") | (is_fill & full)
-    entry = {"side": F.col("entry_side"), "price": F.col("entry_price"), "flags": F.first("flags").over(first), "enter_ts": F.first("enter_ts").over(first)}
-    e = lives.withColumns({"until": until, "remaining": left.cast("bigint"), "gone": gone} | entry)
+    entry = {"side": F.col("entry_side"), "price": F.col("entry_price"), "flags": F.col("first_flags"), "enter_ts": F.col("first_enter_ts")}
+    e = lives.withColumns({"remaining": left.cast("bigint"), "gone": gone} | entry)
     return e.where("life > 0 and not gone and remaining > 0").select(*keys, "order_id", "side", "price", "flags", "enter_ts", "remaining", "per_seq", "until")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from .ordered import with_islands, with_previous, with_run_length
 
 
@@ -36,6 +37,32 @@ def groups(rows: DataFrame, keys: list[str], order: str = "pos", at: Column | No
     return r.select(*keys, "island", *(F.col(f"begin_{c}").alias(c) for c in ("snapshot_id", "instrument", "anchor", "total")), *made)
 
 
+def few_groups(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """What ``groups`` gives of rows with an island, where the groups are few and each may be long: what begins and ends say
+    goes to all tasks, the rest is aggregates. With what the engine asks of a group besides: last_seq, end_pos, seq (the first),
+    torn (a frame was lost between its begin and its last row), port_dirty, and before, the frames lost at its begin."""
+    own_keys = [*keys, "island"]
+    names = ("snapshot_id", "instrument", "anchor", "total")
+    marks = rows.where("kind <> 'row' or island = 0").groupBy(*own_keys).agg(
+        *(F.max(F.when(F.col("kind") == "begin", F.col(c))).alias(f"begin_{c}") for c in names), F.min(F.when(F.col("kind") == "end", F.col(order))).alias("__end"),
+        F.min(order).alias("begin_pos"), F.max(F.when(F.col("kind") == "end", F.col(order))).alias("end_pos"), F.min_by("seq", order).alias("__seq"),
+    )
+    marks = cut(marks)
+    r = rows.join(F.broadcast(marks), own_keys)
+    orphan = (F.col("island") == 0) | F.coalesce(F.col(order) > F.col("__end"), F.lit(False))
+    own, end = (F.col("kind") == "row") & ~orphan, (F.col("kind") == "end") & ~orphan
+    agrees = (F.col("snapshot_id") == F.col("begin_snapshot_id")) & (F.col("instrument") == F.col("begin_instrument")) & (F.col("anchor") == F.col("begin_anchor"))
+    made = r.groupBy(*own_keys).agg(
+        F.count_if(own).alias("received"), F.count_distinct(F.when(own, F.col("key"))).alias("__distinct"), F.count_if(own & (F.col("snapshot_id") != F.col("begin_snapshot_id"))).alias("wrong_id"),
+        F.coalesce(F.max(end), F.lit(False)).alias("ended"), F.coalesce(F.max(end & ~agrees), F.lit(False)).alias("end_differs"), F.count_if(orphan).alias("orphans"),
+        F.max("last_seq").alias("last_seq"), F.max((F.col("seq") > F.col("__seq")) & (F.col("lost_frames") > 0)).alias("torn"), F.min("seq").alias("seq"),
+        F.max(F.coalesce("dirty", F.lit(False))).alias("port_dirty"), F.max(F.col("lost_frames") * F.when(F.col("kind") == "begin", 1).otherwise(0)).alias("before"),
+    )
+    made = made.withColumn("duplicates", F.col("received") - F.col("__distinct")).join(F.broadcast(marks), own_keys)
+    more = ("last_seq", "torn", "end_pos", "seq", "port_dirty", "before")
+    return made.select(*own_keys, *(F.col(f"begin_{c}").alias(c) for c in names), "received", "duplicates", "wrong_id", "ended", "end_differs", "orphans", "begin_pos", *more)
+
+
 def repeated_keys(rows: DataFrame, keys: list[str], order: str = "pos", at: Column | None = None, tasks: int | None = None) -> DataFrame:
     """keys, island, snapshot_id of the begin, key, n: keys of more than one row between a begin and the next."""
     r = with_islands(rows, keys, F.col("kind") == "begin", [order], at=at, tasks=tasks).where("island > 0")
